@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import Template, conversation_digests, format_turns
-from .common import table
+from .common import shared_dir, table
 from .decontamination import contamination
+from .secrets import secret_spans, span_text
 from .sharding import extendible_shards
+from .toxicity import fit, score
+from .warc import read_warc, write_warc
 
 SHARD_BYTES = 16 << 20
 
@@ -22,6 +28,47 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("items")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    write_warc(table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).collect()
+    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def held_out() -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All columns of ``docs``, and the score of a model fitted on the rows of labels that aren't held out."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out())
+    return score(docs, fit(table(spark, sf_dir, "documents"), labels))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(spark, docs, sf_dir).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -32,6 +79,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op3_decontamination": op3_decontamination,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_warc": op7_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
 
@@ -69,6 +119,12 @@ n AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, n, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d, n)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN g USING (d, n)""",
     "op10_chat_format": rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
