@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .chat_format import Template, conversation_digests, format_turns
 from .common import shared_dir, table
 from .decontamination import contamination
+from .packing import pack
 from .secrets import secret_spans, span_text
 from .sharding import extendible_shards
+from .simhash import edited_and_next
 from .toxicity import fit, score
 from .warc import read_warc, write_warc
 
@@ -23,6 +25,14 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", SHARD_BYTES).drop("text")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return out.drop("items")
@@ -54,6 +64,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_and_next(table(spark, sf_dir, "documents"))
+
+
 def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
@@ -78,9 +92,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
+    "op2_retrieval_packing": op2_retrieval_packing,
     "op3_decontamination": op3_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op7_warc": op7_warc,
+    "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
