@@ -66,6 +66,18 @@ def pieces(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def word_spans(letter: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the runs of flagged bytes; a run ends where its row ends."""
+    flag = np.zeros(len(letter) + 2, np.int8)
+    flag[1:-1] = letter
+    edge = np.diff(flag)
+    cut = np.unique(off[(off > 0) & (off < len(letter))])
+    cut = cut[(flag[cut] == 1) & (flag[cut + 1] == 1)]  # rows that meet inside a run
+    start = np.sort(np.concatenate([np.flatnonzero(edge == 1), cut]))
+    end = np.sort(np.concatenate([np.flatnonzero(edge == -1), cut]))
+    return start, end, np.searchsorted(off, start, side="right") - 1
+
+
 def hash_words(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit polynomial hash of each a[start:end] (modulo 2**64, odd base), from one running sum."""
     n = len(a)

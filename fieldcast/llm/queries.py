@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat_format import Template, conversation_digests, format_turns
 from .common import shared_dir, table
 from .decontamination import contamination
+from .ngram_join import jaccard_components
 from .packing import pack
 from .secrets import secret_spans, span_text
 from .sharding import extendible_shards
@@ -38,6 +39,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("items")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=["doc_id"])
     base = F.filter("spans", lambda s: s["kind"] != "random")
@@ -94,6 +99,7 @@ QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_retrieval_packing": op2_retrieval_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_ngram_join": op4_ngram_join,
     "op5_secret_scan": op5_secret_scan,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
@@ -106,6 +112,17 @@ for _c in Template().controls:
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 
 ORACLES = {
+    "op4_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)""",
     "op1_extendible_sharding": f"""
 WITH d AS (
   SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,

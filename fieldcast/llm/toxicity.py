@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, pieces, utf8
+from .common import hash_words, pieces, utf8, word_spans
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x30:0x3A] = _LETTERS[0x61:0x7B] = _LETTERS[0x80:] = True
@@ -43,14 +43,8 @@ class Settings:
 def term_sets(raw: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of each distinct term of each row, sorted by row."""
     a = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8)
-    letter = np.zeros(len(a) + 2, np.int8)
-    letter[1:-1] = _LETTERS[a]
-    edge = np.diff(letter)
-    edge_at = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(a))]  # words end where a row ends
-    inner = edge_at[(letter[edge_at] == 1) & (letter[edge_at + 1] == 1)]
-    start = np.sort(np.concatenate([np.flatnonzero(edge == 1), np.unique(inner)]))
-    end = np.sort(np.concatenate([np.flatnonzero(edge == -1), np.unique(inner)]))
-    row = (np.searchsorted(off, start, side="right") - 1).astype(np.uint64)
+    start, end, row = word_spans(_LETTERS[a], off)
+    row = row.astype(np.uint64)
     keys = []
     for k, width in enumerate((None, 5, 4)):
         h = hash_words(a, start, end if width is None else np.minimum(end, start + width))
