@@ -1,10 +1,69 @@
-"""Document pipeline of five stages; each works on what the one before it kept."""
+"""Document pipeline of five stages; each works on what the one before it kept.
+
+toxicity: documents with a score of 0.7 or more go. ngram_join: of each component only the smallest doc_id stays.
+decontamination: documents with a benchmark window go. secrets: found spans are replaced in the text; all documents stay.
+packing: the rest is packed into sequences of 2048 tokens.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldcast.llm.common import shared_dir, table
+from fieldcast.llm.decontamination import contamination
+from fieldcast.llm.ngram_join import jaccard_components
+from fieldcast.llm.queries import packed, toxicity_scores
+from fieldcast.llm.secrets import secret_spans
+
+FEW_IDS = 500_000
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity_scores(spark, docs, sf_dir).filter("score < 0.7").select(docs.columns)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    later = jaccard_components(docs).filter("NOT doc_id <=> component_id").select("doc_id").distinct()
+    few = later.limit(FEW_IDS + 1).count() <= FEW_IDS
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows are one document
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    return docs.join(F.broadcast(later) if few else later, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return contamination(docs, table(spark, sf_dir, "benchmark")).filter("NOT contaminated").select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secret_spans(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = found.withColumn("text", F.coalesce("redacted", "text"))
+    changed = F.when(F.col("redacted").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", changed).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_join", ngram_join),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+
+ORACLE_SQL = None  # a trained model and a tokenizer are beyond SQL; tests/llm compares each stage with brute force
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
