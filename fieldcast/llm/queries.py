@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bwt_dedup import remove_repeats
 from .chat_format import Template, conversation_digests, format_turns
 from .common import shared_dir, table
 from .decontamination import contamination
@@ -60,6 +61,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -101,6 +107,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_ngram_join": op4_ngram_join,
     "op5_secret_scan": op5_secret_scan,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
