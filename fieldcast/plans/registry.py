@@ -1,6 +1,576 @@
-"""All registered queries of the main library and their SQL."""
+"""All registered queries of the main library and their SQL. Each runs over the whole of its tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import mixture, risk, scalars
+from ..operators import align, bias, drift, impute, metrics, score, series, tables
+from . import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+c, lit = F.col, F.lit
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+LINE = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate"]
+LINE_SQL = ", ".join(LINE)
+GAPPY = "CASE WHEN event_id % 7 <> 0 THEN value END"
+
+
+def gappy(spark, d):
+    return t(spark, d, "events").withColumn("v", F.when(c("event_id") % 7 != 0, c("value")))
+
+
+def r6(x, name):
+    return F.round(x, 6).alias(name)
+
+
+# ---- scalars
+
+
+@query(f"""SELECT {LINE_SQL}, round((nir - red) / (nir + red + 1e-10), 6) AS ndvi,
+round(2.5 * (nir - red) / (nir + 6 * red - 7.5 * blue + 1 + 1e-10), 6) AS evi, round((nir - swir) / (nir + swir + 1e-10), 6) AS lswi,
+round((nir - red) / CASE WHEN nir + red = 0 THEN 1e-6 ELSE nir + red END, 6) AS ndvi_safe, round(red / 10000, 9) AS red_scaled
+FROM (SELECT *, l_discount AS red, l_tax + 0.2 AS nir, l_discount / 2 AS blue, l_quantity / 100 AS swir FROM lineitem)""")
+def scalar_indices(spark, d):
+    x = t(spark, d, "lineitem").select(*LINE, c("l_discount").alias("B04"), (c("l_tax") + 0.2).alias("B08"), (c("l_discount") / 2).alias("B02"), (c("l_quantity") / 100).alias("B11"))
+    x = scalars.all_indices(x).withColumn("ndvi_safe", scalars.ndvi_zero_safe(c("B04"), c("B08")))
+    x = scalars.rescale(x.withColumn("red_scaled", c("B04")), ["red_scaled"])
+    return x.select(*LINE, r6(c("ndvi"), "ndvi"), r6(c("evi"), "evi"), r6(c("lswi"), "lswi"), r6(c("ndvi_safe"), "ndvi_safe"), F.round("red_scaled", 9).alias("red_scaled"))
+
+
+@query(f"""SELECT {LINE_SQL}, CASE WHEN l_linenumber IN (4, 5, 6) THEN l_quantity END AS l_quantity, CASE WHEN l_linenumber IN (4, 5, 6) THEN l_linenumber END AS scene FROM lineitem""")
+def cloud_mask(spark, d):
+    x = t(spark, d, "lineitem").select(*LINE, "l_quantity", c("l_linenumber").alias("scene"))
+    return scalars.cloud_mask(x, ["l_quantity"], "scene")
+
+
+@query(f"""SELECT {LINE_SQL}, greatest((least(greatest(l_quantity, 10), 35) + least(greatest(l_quantity - 8, 10), 35)) / 2 - 10, 0) AS gdd,
+round(sin(2 * pi() * month(l_shipdate) / 12), 6) + 0.0 AS month_sin, round(cos(2 * pi() * month(l_shipdate) / 12), 6) + 0.0 AS month_cos,
+CASE WHEN l_quantity > 40 THEN 'Clay' WHEN l_tax * 1000 + 10 > 85 THEN 'Sand' ELSE 'Loam' END AS texture,
+round((l_quantity - 25) / (25 + 1e-10), 6) AS anomaly, least(greatest(l_quantity, 5), 45) AS clipped, l_discount < 0.03 AS stressed FROM lineitem""")
+def scalar_weather_soil(spark, d):
+    x = t(spark, d, "lineitem")
+    s, k = scalars.cyclical_month(c("l_shipdate"))
+    return x.select(
+        *LINE,
+        scalars.growing_degree_days(c("l_quantity"), c("l_quantity") - 8).alias("gdd"),
+        (F.round(s, 6) + 0.0).alias("month_sin"),
+        (F.round(k, 6) + 0.0).alias("month_cos"),
+        scalars.soil_texture(c("l_quantity"), c("l_tax") * 1000 + 10).alias("texture"),
+        r6(scalars.anomaly(c("l_quantity"), lit(25.0)), "anomaly"),
+        scalars.clip(c("l_quantity"), lit(5.0), lit(45.0)).alias("clipped"),
+        scalars.stress_flags(c("l_discount") * 10, c("l_tax"))["ndvi_stress"].alias("stressed"),
+    )
+
+
+@query("""SELECT s.s_suppkey, count(*) AS customers FROM supplier s JOIN customer k
+ON k.c_acctbal / 20 BETWEEN s.s_acctbal / 20 - 100 AND s.s_acctbal / 20 + 100 AND k.c_nationkey = s.s_nationkey AND k.c_custkey BETWEEN s.s_suppkey - 500 AND s.s_suppkey + 500 GROUP BY 1""")
+def bbox_filter(spark, d):
+    s = t(spark, d, "supplier").select("s_suppkey", c("s_nationkey").alias("n"), scalars.bbox_of_point(c("s_acctbal") / 20, c("s_suppkey").cast("double"), 100.0).alias("b"))
+    box = F.array(c("b")[0] - 400, c("b")[1], c("b")[2] + 400, c("b")[3])
+    k = t(spark, d, "customer").select(c("c_nationkey").alias("n"), "c_acctbal", c("c_custkey").cast("double").alias("x"))
+    return s.join(k, "n").filter(scalars.in_bbox(c("c_acctbal") / 20, c("x"), box)).groupBy("s_suppkey").agg(F.count(lit(1)).alias("customers"))
+
+
+@query("""SELECT c_custkey, p.lat, p.lon FROM customer LEFT JOIN (SELECT 'BUILD' AS place, 23.2324 AS lat, 87.8615 AS lon UNION ALL SELECT 'AUTO', 10.5, 20.25) p ON contains(c_mktsegment, p.place)""")
+def district_lookup(spark, d):
+    places = spark.createDataFrame([("BUILD", 23.2324, 87.8615), ("AUTO", 10.5, 20.25)], "place string, lat double, lon double")
+    return tables.districts(t(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", places).select("c_custkey", "lat", "lon")
+
+
+TIER_SQL = "CASE WHEN (a - p) / a > 0.5 THEN 'High Risk' WHEN (a - p) / a > 0.2 THEN 'Medium Risk' ELSE 'Low Risk' END"
+UP_SQL = """CASE WHEN s / (p + 1e-10) > 0.15 AND tier = 'Low Risk' THEN 'Medium Risk (Elevated due to uncertainty)'
+WHEN s / (p + 1e-10) > 0.15 AND tier = 'Medium Risk' THEN 'High Risk (Elevated due to uncertainty)' ELSE tier END"""
+
+
+@query(f"""WITH h AS (SELECT o_custkey, avg(o_totalprice) AS a, coalesce(stddev_samp(o_totalprice), 0) / 10 AS s FROM orders GROUP BY 1),
+r AS (SELECT o.o_orderkey, o_totalprice AS p, a, s FROM orders o JOIN h USING (o_custkey)), x AS (SELECT *, {TIER_SQL} AS tier FROM r)
+SELECT {UP_SQL} AS calibrated_risk, count(*) AS orders, round(avg(p), 4) AS mean_price FROM x GROUP BY 1""")
+def slice_risk_tiers(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    h = o.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("a"), (F.coalesce(F.stddev_samp("o_totalprice"), lit(0.0)) / 10).alias("s"))
+    tier = risk.calibrated_risk(risk.risk_tier(c("o_totalprice"), c("a")), c("o_totalprice"), c("s"))
+    return align.attach(o, h, ["o_custkey"]).groupBy(tier.alias("calibrated_risk")).agg(F.count(lit(1)).alias("orders"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, o_totalprice / 20000 AS p, 8.0 AS a, o_totalprice / 400000 + 0.3 AS s FROM orders), y AS (SELECT *, {TIER_SQL} AS tier FROM x)
+SELECT o_orderkey, {UP_SQL} AS calibrated_risk, round(greatest(0, p - 1.96 * s), 6) AS lower_bound, round(p + 1.96 * s, 6) AS upper_bound,
+CASE WHEN p > 0 AND p < 15 THEN 'ok' ELSE 'implausible' END AS status FROM y""")
+def risk_report(spark, d):
+    x = t(spark, d, "orders").select("o_orderkey", (c("o_totalprice") / 20000).alias("p"), (c("o_totalprice") / 400000 + 0.3).alias("s"))
+    low, high = risk.bounds_95(c("p"), c("s"))
+    return x.select("o_orderkey", risk.calibrated_risk(risk.risk_tier(c("p"), lit(8.0)), c("p"), c("s")).alias("calibrated_risk"), r6(low, "lower_bound"), r6(high, "upper_bound"), F.when(risk.plausible(c("p")), "ok").otherwise("implausible").alias("status"))
+
+
+_SAID = {"Satellite": risk.SATELLITE_ADVICE, "Weather": risk.WEATHER_ADVICE, "Soil": risk.SOIL_ADVICE}
+_QUOTED = {k: v.replace("%s%%", "{}%").replace("'", "''") for k, v in _SAID.items()}
+
+
+@query(f"""WITH x AS (SELECT {LINE_SQL}, l_discount * 4 AS a, l_tax * 6 AS w, 0.25 AS s, CASE l_linenumber WHEN 1 THEN 'HIGH' WHEN 2 THEN 'LOW' ELSE 'High Risk' END AS r, l_quantity AS p FROM lineitem)
+SELECT {LINE_SQL}, array_to_string(list_filter([
+CASE WHEN a >= w AND a >= s THEN format('{_QUOTED["Satellite"]}', CAST(round_even(a * 100, 0) AS INT)) WHEN w >= s THEN format('{_QUOTED["Weather"]}', CAST(round_even(w * 100, 0) AS INT)) ELSE format('{_QUOTED["Soil"]}', CAST(round_even(s * 100, 0) AS INT)) END,
+CASE r WHEN 'HIGH' THEN '{risk.HIGH_ADVICE}' WHEN 'LOW' THEN '{risk.LOW_ADVICE}' END, CASE WHEN 4 / p > 0.4 THEN '{risk.VOLATILE_ADVICE}' END], lambda y: y IS NOT NULL), '|') AS advice FROM x""")
+def forecast_advice(spark, d):
+    x = t(spark, d, "lineitem").select(*LINE, (c("l_discount") * 4).alias("a"), (c("l_tax") * 6).alias("w"), lit(0.25).alias("s"), F.when(c("l_linenumber") == 1, "HIGH").when(c("l_linenumber") == 2, "LOW").otherwise("High Risk").alias("r"), c("l_quantity").alias("p"))
+    return x.select(*LINE, F.array_join(risk.forecast_advice(c("a"), c("w"), c("s"), c("r"), c("p") - 2, c("p") + 2, c("p")), "|").alias("advice"))
+
+
+@query(f"""WITH x AS (SELECT {LINE_SQL}, CASE l_returnflag WHEN 'A' THEN 'High Risk' WHEN 'N' THEN 'Medium Risk' ELSE 'Low Risk' END AS r, CASE WHEN l_tax >= l_discount AND l_tax >= 0.05 THEN 'accumulated_precip' WHEN l_discount >= 0.05 THEN 'gdd' ELSE 'ph' END AS f FROM lineitem)
+SELECT {LINE_SQL}, CASE WHEN r = 'Low Risk' THEN '{risk.GOOD_ADVICE}' WHEN f = 'accumulated_precip' THEN '{risk.PRECIP_ADVICE.replace("%s", "Rainfall")}' WHEN f = 'gdd' THEN '{risk.HEAT_ADVICE.replace("%s", "Temperature/Accumulated Heat")}' ELSE '{risk.ACID_ADVICE.replace("%s", "Soil acidity (pH)")}' END AS advice FROM x""")
+def attribution_advice(spark, d):
+    x = t(spark, d, "lineitem").select(*LINE, F.create_map(lit("accumulated_precip"), c("l_tax"), lit("gdd"), c("l_discount"), lit("ph"), lit(0.05)).alias("m"), F.when(c("l_returnflag") == "A", risk.HIGH).when(c("l_returnflag") == "N", risk.MEDIUM).otherwise(risk.LOW).alias("r"))
+    return x.select(*LINE, F.array_join(risk.attribution_advice(c("r"), c("m")), "|").alias("advice"))
+
+
+# ---- series (events by user)
+
+
+@query(f"""SELECT event_id, CASE WHEN v IS NOT NULL THEN round(sum(v) OVER w, 4) END AS running_value,
+CASE WHEN count(v) OVER r = 3 THEN round(sum(v) OVER r, 4) END AS rolling_value, lag(v, 1) OVER o AS v_lag_1, lag(v, 3) OVER o AS v_lag_3
+FROM (SELECT *, {GAPPY} AS v FROM events) WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id), w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING)""")
+def running_rolling_lag(spark, d):
+    k, o = ["user_id"], ["ts", "event_id"]
+    x = series.running_total(gappy(spark, d), k, o, {"running_value": "v"})
+    x = series.lags(series.rolling_sum(x, k, o, "v", 3, "rolling_value"), k, o, "v", [1, 3])
+    return x.select("event_id", F.round("running_value", 4).alias("running_value"), F.round("rolling_value", 4).alias("rolling_value"), "v_lag_1", "v_lag_3")
+
+
+@query(f"""WITH x AS (SELECT user_id, row_number() OVER o - 1 AS start, lead({GAPPY}, 4) OVER o AS label, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS total
+FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id), w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
+SELECT user_id, start, total, label FROM x WHERE start % 2 = 0 AND label IS NOT NULL AND n = 4""")
+def sliding_sequences(spark, d):
+    s = series.sequences(gappy(spark, d), ["user_id"], ["ts", "event_id"], ["value"], "v", 4, 2)
+    return s.select("user_id", "start", F.round(mixture.total(F.flatten("features")), 4).alias("total"), "label")
+
+
+@query(f"""WITH x AS (SELECT *, {GAPPY} AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+y AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS a, first_value(v IGNORE NULLS) OVER f AS b, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER p AS ia, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER f AS ib
+FROM x WINDOW p AS (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE a + (b - a) * (i - ia) / (ib - ia) END, 6) AS v FROM y""")
+def linear_interpolation(spark, d):
+    return series.interpolate(gappy(spark, d), ["user_id"], ["ts", "event_id"], ["v"]).select("event_id", r6(c("v"), "v"))
+
+
+@query()
+def pchip_gap_fill(spark, d):
+    return series.fill_gaps(gappy(spark, d).select("event_id", "user_id", "ts", "v"), ["user_id"], "ts", ["v"])
+
+
+@query("""SELECT event_id, user_id, date_trunc('day', ts)::TIMESTAMP AS day FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS r FROM events) WHERE r = 1""")
+def first_per_day(spark, d):
+    return series.first_per_day(t(spark, d, "events"), ["user_id"], "ts", ["event_id"]).select("event_id", "user_id", "day")
+
+
+@query("""WITH m AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, round(avg(value), 6) AS value FROM events GROUP BY ALL),
+s AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM m GROUP BY 1) SELECT user_id, day, value FROM s LEFT JOIN m USING (user_id, day)""")
+def daily_mean(spark, d):
+    return series.daily_mean(t(spark, d, "events"), ["user_id"], "ts", ["value"], spine=True).select("user_id", "day", r6(c("value"), "value"))
+
+
+@query("""WITH x AS (SELECT *, week(ts) AS year, row_number() OVER (PARTITION BY user_id, week(ts) ORDER BY ts DESC, value DESC) AS r, count(*) OVER (PARTITION BY user_id, week(ts)) AS n FROM events)
+SELECT user_id, year, max(n) AS n_rows, CASE WHEN max(n) >= 12 THEN 'ok' ELSE max(n) || ' rows, need at least 12' END AS status, CASE WHEN max(n) >= 12 THEN round(sum(value) FILTER (r <= 12), 4) END AS total FROM x GROUP BY ALL""")
+def last_of_period(spark, d):
+    x = series.last_of_year(t(spark, d, "events"), ["user_id"], "ts", ["value"], F.weekofyear("ts").cast("long"), 12)
+    return x.select("user_id", "year", "n_rows", "status", F.round(mixture.total(F.flatten("matrix")), 4).alias("total"))
+
+
+@query("""WITH x AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) > ts THEN 1 ELSE 0 END AS b FROM events),
+p AS (SELECT user_id, ts, sum(b) AS b, count(*) AS n FROM x GROUP BY ALL), q AS (SELECT user_id, sum(b)::BIGINT AS order_violations, sum(n - 1)::BIGINT AS duplicates FROM p GROUP BY 1)
+SELECT *, CASE WHEN order_violations > 0 THEN 'error' WHEN duplicates > 0 THEN 'warning' ELSE 'ok' END AS status FROM q""")
+def temporal_integrity(spark, d):
+    return series.integrity(t(spark, d, "events"), ["user_id"], "event_id", "ts")
+
+
+@query()
+def spi_index(spark, d):
+    return series.spi(t(spark, d, "events").withColumn("v", c("value") + 1), ["user_id"], ["ts", "event_id"], "v").select("event_id", "user_id", "spi", "spi_status")
+
+
+@query("""WITH y AS (SELECT user_id, list_sort(list(DISTINCT year(ts))) AS y FROM events GROUP BY 1) SELECT user_id, array_to_string(y, ',') AS years FROM y""")
+def distinct_years(spark, d):
+    y = tables.years(t(spark, d, "events").withColumn("y", F.year("ts")), "y", "user_id")
+    return y.select("user_id", F.array_join(F.transform("years", lambda x: x.cast("string")), ",").alias("years"))
+
+
+# ---- joins
+
+
+@query("""WITH a AS (SELECT DISTINCT n_regionkey AS r, round(c_acctbal, -2) AS x FROM customer JOIN nation ON c_nationkey = n_nationkey),
+p AS (SELECT s_suppkey, n_regionkey AS r, s_acctbal AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+k AS (SELECT s_suppkey, x, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(x - v), x DESC) AS i FROM p JOIN a USING (r)) SELECT s_suppkey, x AS nearest FROM k WHERE i = 1""")
+def nearest_axis_value(spark, d):
+    n = t(spark, d, "nation").select("n_nationkey", c("n_regionkey").alias("r"))
+    axis = t(spark, d, "customer").join(n, c("c_nationkey") == c("n_nationkey")).select("r", F.round("c_acctbal", -2).alias("x"))
+    points = t(spark, d, "supplier").join(n, c("s_nationkey") == c("n_nationkey")).select("s_suppkey", "r", "s_acctbal")
+    return align.nearest_on_axis(points, axis, ["r"], "s_acctbal", "x", ["s_suppkey"], "nearest").select("s_suppkey", "nearest")
+
+
+@query("""WITH l AS (SELECT DISTINCT user_id, date_trunc('week', ts)::TIMESTAMP AS week FROM events),
+h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+j AS (SELECT l.user_id, l.week, h.i, h.value, count(*) FILTER (h.ts <= l.week) OVER (PARTITION BY l.user_id, l.week) AS past, count(*) OVER (PARTITION BY l.user_id, l.week) AS n FROM l JOIN h USING (user_id))
+SELECT user_id, week, CASE WHEN max(past) >= 12 THEN 'recent' ELSE 'first' END AS window_source, round(sum(value), 4) AS total FROM j
+WHERE n >= 12 AND ((past >= 12 AND i > past - 12 AND i <= past) OR (past < 12 AND i <= 12)) GROUP BY ALL""")
+def as_of_windows(spark, d):
+    e = t(spark, d, "events")
+    labels = e.select("user_id", F.date_trunc("week", "ts").alias("week")).distinct()
+    w = align.history_windows(labels, e, ["user_id"], ["user_id", "week"], "week", "ts", ["value"], ["event_id"], 12)
+    return w.select("user_id", "week", "window_source", F.round(mixture.total(F.flatten("window")), 4).alias("total"))
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id, date_trunc('day', ts)::TIMESTAMP AS day FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id, date_trunc('day', ts)::TIMESTAMP AS day FROM events WHERE event_type <> 'click')
+SELECT user_id, day FROM a JOIN b USING (user_id, day)""")
+def common_days(spark, d):
+    e = t(spark, d, "events").withColumn("day", F.date_trunc("day", "ts"))
+    a, _ = align.common_days(e.filter("event_type = 'click'").select("user_id", "day").distinct(), e.filter("event_type <> 'click'").select("user_id", "day"), ["user_id"])
+    return a
+
+
+_GRID = "SELECT p_size % 5 AS lat, p_partkey % 5 AS lon, p_brand AS site, avg(p_retailprice) AS v FROM part GROUP BY ALL"
+
+
+@query(f"""WITH g AS ({_GRID}), f AS (SELECT s.site, i * 0.5 - 0.25 AS lat, j * 0.5 - 0.25 AS lon FROM (SELECT DISTINCT site FROM g) s, range(10) a(i), range(10) b(j)),
+ax AS (SELECT site, lat AS a, lead(lat) OVER (PARTITION BY site ORDER BY lat) AS b FROM (SELECT DISTINCT site, lat FROM g)), ay AS (SELECT site, lon AS a, lead(lon) OVER (PARTITION BY site ORDER BY lon) AS b FROM (SELECT DISTINCT site, lon FROM g)),
+h AS (SELECT f.site, f.lat, f.lon, x.a AS x0, x.b AS x1, y.a AS y0, y.b AS y1, (f.lat - x.a) / (x.b - x.a) AS u, (f.lon - y.a) / (y.b - y.a) AS w FROM f JOIN ax x ON x.site = f.site AND f.lat > x.a AND f.lat < x.b JOIN ay y ON y.site = f.site AND f.lon > y.a AND f.lon < y.b),
+r AS (SELECT h.site, h.lat, h.lon, (1-u)*(1-w)*p.v + (1-u)*w*q.v + u*(1-w)*s.v + u*w*t.v AS v FROM h JOIN g p ON p.site=h.site AND p.lat=x0 AND p.lon=y0 JOIN g q ON q.site=h.site AND q.lat=x0 AND q.lon=y1 JOIN g s ON s.site=h.site AND s.lat=x1 AND s.lon=y0 JOIN g t ON t.site=h.site AND t.lat=x1 AND t.lon=y1)
+SELECT f.site, f.lat, f.lon, round(coalesce(r.v, 0), 7) AS v FROM f LEFT JOIN r USING (site, lat, lon)""")
+def bilinear_regrid(spark, d):
+    g = t(spark, d, "part").groupBy((c("p_size") % 5).cast("double").alias("lat"), (c("p_partkey") % 5).cast("double").alias("lon"), c("p_brand").alias("site")).agg(F.avg("p_retailprice").alias("v"))
+    g = g.withColumn("day", lit("2024-01-01"))
+    axis = F.sequence(lit(0), lit(9))
+    fine = g.select("site").distinct().withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis)).select("site", (c("i") * 0.5 - 0.25).alias("lat"), (c("j") * 0.5 - 0.25).alias("lon"))
+    return align.regrid(g, fine, ["site"], "day", ["v"]).select("site", "lat", "lon", F.round("v", 7).alias("v"))
+
+
+@query("""SELECT o_orderkey, c_acctbal, n_name, coalesce(s.n, 0) AS suppliers FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s.s_nationkey = c_nationkey""")
+def attach_labels_and_soil(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", c("o_custkey").alias("c_custkey"))
+    x = align.attach(o, t(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), ["c_custkey"])
+    x = align.attach(x, t(spark, d, "nation").select(c("n_nationkey").alias("c_nationkey"), "n_name"), ["c_nationkey"], "left")
+    s = t(spark, d, "supplier").groupBy(c("s_nationkey").alias("c_nationkey")).agg(F.count(lit(1)).alias("n"))
+    return align.attach(x, s, ["c_nationkey"], "left").select("o_orderkey", "c_acctbal", "n_name", F.coalesce("n", lit(0)).alias("suppliers"))
+
+
+@query("""WITH p AS (SELECT c_nationkey AS k, avg(o_totalprice) AS p FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) SELECT s_suppkey, round(coalesce(s_acctbal * p, 0), 2) AS interaction FROM supplier LEFT JOIN p ON k = s_nationkey""")
+def soil_weather_interaction(spark, d):
+    w = t(spark, d, "orders").join(t(spark, d, "customer"), c("o_custkey") == c("c_custkey")).select(c("c_nationkey").alias("site"), c("o_totalprice").alias("precip"))
+    s = t(spark, d, "supplier").select("s_suppkey", c("s_nationkey").alias("site"), c("s_acctbal").alias("soil_pH"))
+    return tables.soil_precip_interaction(s, w, "site").select("s_suppkey", F.round("ph_precip_interaction", 2).alias("interaction"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n % 5 = 0 THEN 'MISSING → zero-vector' ELSE 'file:' || n_name || '_soil.csv' END AS soil_source, CASE WHEN n % 5 = 0 THEN '0.0,0.0,0.0' ELSE n || '.0,' || n * 2 || '.0,0.0' END AS soil,
+CASE WHEN n % 5 = 0 THEN 'no soil row' ELSE '' END AS soil_warnings FROM (SELECT *, n_nationkey AS n FROM nation)""")
+def soil_provenance(spark, d):
+    n = t(spark, d, "nation").select("n_nationkey", "n_name")
+    soil = n.filter("n_nationkey % 5 <> 0").select("n_name", c("n_nationkey").cast("double").alias("a"), (c("n_nationkey") * 2).cast("double").alias("b"))
+    x = tables.soil_vectors(n, soil, "n_name", ["a", "b"], 3)
+    return x.select("n_nationkey", "soil_source", F.array_join(F.transform("soil", lambda v: v.cast("string")), ",").alias("soil"), F.array_join("soil_warnings", ",").alias("soil_warnings"))
+
+
+@query("""SELECT user_id, day, round(a.value, 4) AS sat, round(b.value, 4) AS rain FROM (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, avg(value) AS value FROM events WHERE event_type = 'click' GROUP BY ALL) a
+JOIN (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, avg(value) AS value FROM events WHERE event_type <> 'click' GROUP BY ALL) b USING (user_id, day)""")
+def stack_modalities(spark, d):
+    e = t(spark, d, "events")
+    a = series.daily_mean(e.filter("event_type = 'click'"), ["user_id"], "ts", ["value"]).withColumnRenamed("value", "s")
+    b = series.daily_mean(e.filter("event_type <> 'click'"), ["user_id"], "ts", ["value"]).withColumnRenamed("value", "w")
+    x = align.stack_features(a, b, ["user_id", "day"], ["s"], ["w"])
+    x = align.split_features(x.withColumn("features", F.array("features")), 1)
+    return x.select("user_id", "day", F.round(c("sat")[0][0], 4).alias("sat"), F.round(c("weather")[0][0], 4).alias("rain"))
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def sites_without_features(spark, d):
+    s = t(spark, d, "customer").select("c_custkey")
+    return align.missing_sites(s, t(spark, d, "orders").select(c("o_custkey").alias("c_custkey")), on=["c_custkey"])
+
+
+@query("""WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1997), r AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1995) SELECT k, k NOT IN (SELECT k FROM r) AS reference_missing FROM c""")
+def match_reference(spark, d):
+    o = t(spark, d, "orders").select(c("o_custkey").alias("k"), F.year("o_orderdate").alias("y"))
+    return align.match_reference(o.filter("y = 1997"), o.filter("y = 1995"), "k")
+
+
+@query("""WITH m AS (SELECT o_custkey AS k, avg(o_totalprice) AS v FROM orders GROUP BY 1) SELECT k, c_nationkey, round(CASE WHEN k % 10 = 0 THEN 1000.5 ELSE v END, 4) AS shown_yield FROM m JOIN customer ON c_custkey = k""")
+def map_table(spark, d):
+    y = t(spark, d, "orders").select(c("o_custkey").alias("k"), "o_totalprice")
+    areas = t(spark, d, "customer").select(c("c_custkey").alias("k"), "c_nationkey")
+    f = areas.filter("k % 10 = 0").select("k", lit(1000.5).alias("forecast"))
+    return tables.map_table(y, areas, f, "k", "o_totalprice").select("k", "c_nationkey", F.round("shown_yield", 4).alias("shown_yield"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def region_filter(spark, d):
+    y = t(spark, d, "orders").select("o_orderkey", c("o_custkey").alias("site"))
+    return tables.region_filter(y, t(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(c("c_custkey").alias("site")), "site").select("o_orderkey")
+
+
+# ---- aggregations
+
+
+@query("""SELECT l_returnflag, round(avg(CASE WHEN l_linenumber IN (4, 5, 6) THEN 1.0 ELSE 0 END), 6) AS valid_ratio, avg(CASE WHEN l_linenumber IN (4, 5, 6) THEN 1.0 ELSE 0 END) < 0.1 AS is_unreliable FROM lineitem GROUP BY 1""")
+def valid_ratio(spark, d):
+    return tables.valid_ratio(t(spark, d, "lineitem"), ["l_returnflag"], "l_linenumber").withColumn("valid_ratio", F.round("valid_ratio", 6))
+
+
+@query("""SELECT p_partkey, round((p_retailprice - m) / s, 6) AS price_z, round((p_size - n) / q, 6) AS size_z FROM part, (SELECT avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s, avg(p_size) AS n, stddev_samp(p_size) AS q FROM part)""")
+def soil_z_scores(spark, d):
+    x = t(spark, d, "part").select("p_partkey", c("p_retailprice").alias("price_z"), c("p_size").alias("size_z"))
+    return tables.z_scores(x, ["price_z", "size_z"]).select("p_partkey", r6(c("price_z"), "price_z"), r6(c("size_z"), "size_z"))
+
+
+_IQR = "(SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem))"
+
+
+@query(f"""SELECT round(q1, 4) AS q1, round(q3, 4) AS q3, round(lower, 4) AS lower, round(upper, 4) AS upper, count(*) FILTER (l_extendedprice < lower OR l_extendedprice > upper) AS outliers FROM lineitem, {_IQR} GROUP BY q1, q3, lower, upper""")
+def iqr_outliers(spark, d):
+    x = bias.iqr_bounds(t(spark, d, "lineitem"), "l_extendedprice")
+    return x.select(*(F.round(n, 4).alias(n) for n in ("q1", "q3", "lower", "upper")), "outliers")
+
+
+@query(f"""SELECT count(*) AS n, round(sum(least(greatest(l_extendedprice, lower), upper)), 2) AS total FROM lineitem, {_IQR}""")
+def bias_clip(spark, d):
+    return bias.correct_bias(t(spark, d, "lineitem"), ["l_extendedprice"], fix_skew=False).agg(F.count(lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+@query()
+def box_cox(spark, d):
+    x, k, shift = bias.box_cox(t(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "price_bc")
+    return x.withColumns({"box_cox_lambda": lit(k), "shift": lit(shift)})
+
+
+@query("""WITH k AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, (SELECT max(n) FROM k) AS rows_after, n AS distinct_orders FROM k""")
+def class_balance(spark, d):
+    x = bias.balance_classes(t(spark, d, "orders"), "o_orderpriority", ["o_orderkey"])
+    return x.groupBy("o_orderpriority").agg(F.count(lit(1)).alias("rows_after"), F.countDistinct("o_orderkey").alias("distinct_orders"))
+
+
+_SIDES = "SELECT l_returnflag AS region, CASE WHEN year(l_shipdate) <= 1997 THEN 'ref' ELSE 'cur' END AS side, l_extendedprice AS x FROM lineitem"
+
+
+def sides(spark, d):
+    return t(spark, d, "lineitem").select(c("l_returnflag").alias("region"), F.when(F.year("l_shipdate") <= 1997, "ref").otherwise("cur").alias("side"), c("l_extendedprice").alias("x"))
+
+
+@query(f"""WITH s AS ({_SIDES}), m AS (SELECT region, min(x) AS a, max(x) AS b, count(*) FILTER (side = 'ref') AS nr, count(*) FILTER (side = 'cur') AS nc FROM s GROUP BY 1),
+k AS (SELECT s.region, side, (SELECT count(*) FROM range(1, 10) e(i) WHERE s.x >= m.a + (m.b - m.a) * i / 10) AS bin FROM s JOIN m USING (region)),
+z AS (SELECT m.region, nr, nc, i AS bin, a, b FROM m, range(0, 10) e(i)),
+h AS (SELECT z.region, nr, nc, a, b, z.bin, count(*) FILTER (k.side = 'ref') AS r, count(*) FILTER (k.side = 'cur') AS c FROM z LEFT JOIN k ON k.region = z.region AND k.bin = z.bin GROUP BY ALL),
+p AS (SELECT *, CASE WHEN r = 0 THEN 1e-4 ELSE r / nr END AS pr, CASE WHEN c = 0 THEN 1e-4 ELSE c / nc END AS pc FROM h),
+q AS (SELECT region, CASE WHEN max(nr) > 5 AND max(nc) > 5 THEN sum((pc - pr) * ln(pc / pr)) END AS psi FROM p GROUP BY 1)
+SELECT region, round(psi, 6) AS psi, CASE WHEN psi IS NULL THEN 'SKIP' WHEN psi >= 0.25 THEN 'BLOCK' WHEN psi >= 0.1 THEN 'WARN' ELSE 'OK' END AS status FROM q""")
+def psi_drift(spark, d):
+    p = drift.psi(sides(spark, d), "region", "side", "x")
+    return p.select("region", r6(c("psi"), "psi"), drift.psi_status(c("psi")).alias("status"))
+
+
+@query(f"""WITH s AS ({_SIDES}), n AS (SELECT region, count(*) FILTER (side = 'ref') AS nr, count(*) FILTER (side = 'cur') AS nc FROM s GROUP BY 1),
+v AS (SELECT region, x, count(*) FILTER (side = 'ref') AS r, count(*) FILTER (side = 'cur') AS c FROM s GROUP BY ALL),
+u AS (SELECT region, sum(r) OVER w AS r, sum(c) OVER w AS c FROM v WINDOW w AS (PARTITION BY region ORDER BY x))
+SELECT region, nr AS n_ref, nc AS n_cur, round(max(abs(r / nullif(nr, 0) - c / nullif(nc, 0))), 9) AS ks_d FROM u JOIN n USING (region) GROUP BY ALL""")
+def ks_distance(spark, d):
+    x = drift.ks_distance(sides(spark, d), "region", "side", "x")
+    return x.select("region", "n_ref", "n_cur", F.round("ks_d", 9).alias("ks_d"))
+
+
+@query()
+def drift_report(spark, d):
+    x = t(spark, d, "lineitem").select(c("l_returnflag").alias("site"), F.year("l_shipdate").alias("y"), c("l_discount").alias("B04"), (c("l_tax") + 0.2).alias("B08"), c("l_quantity").alias("t_max"))
+    a, b = x.filter("y <= 1997"), x.filter("y > 1997")
+    return jobs.drift_check(a, b, a, b)
+
+
+_PRED = "SELECT l_returnflag, l_quantity + 1 AS y, l_quantity + 1 + (l_discount - 0.05) * 10 AS p, 0.3 AS s FROM lineitem"
+
+
+@query(f"""WITH x AS ({_PRED}) SELECT l_returnflag, round(avg(abs(p - y)), 4) AS mae, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 4) AS r2, round(avg(abs((y - p) / (y + 1e-10))) * 100, 2) AS mape, round(avg(p - y), 4) AS mean_bias FROM x GROUP BY 1""")
+def point_metrics(spark, d):
+    x = t(spark, d, "lineitem").select("l_returnflag", (c("l_quantity") + 1).alias("y"), (c("l_quantity") + 1 + (c("l_discount") - 0.05) * 10).alias("p"))
+    return metrics.point_metrics(x, "y", "p", ["l_returnflag"])
+
+
+@query(f"""WITH x AS ({_PRED}) SELECT round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae, round(avg(CASE WHEN abs(y - p) <= 1.96 * s THEN 1.0 ELSE 0 END), 6) AS calibration_95, count(*) AS num_samples, round(avg((y - p) * (y - p)) + 0.1 * avg(abs(y - p)), 6) AS point_loss FROM x""")
+def benchmark_metrics(spark, d):
+    x = t(spark, d, "lineitem").select((c("l_quantity") + 1).alias("y"), (c("l_quantity") + 1 + (c("l_discount") - 0.05) * 10).alias("p"), lit(0.3).alias("s"))
+    b = metrics.benchmark_report(x, "y", "p", "s").crossJoin(x.agg(mixture.point_loss(c("y"), c("p")).alias("point_loss")))
+    return b.select(r6(c("rmse"), "rmse"), r6(c("mae"), "mae"), r6(c("calibration_95"), "calibration_95"), "num_samples", r6(c("point_loss"), "point_loss"))
+
+
+@query("""WITH h AS (SELECT o_custkey AS site, avg(o_totalprice) AS a FROM orders GROUP BY 1), l AS (SELECT o_custkey AS site, year(o_orderdate) AS year, arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS y FROM orders GROUP BY ALL)
+SELECT site, year, round(y, 4) AS observed_yield, round(a, 4) AS historical_avg FROM l JOIN h USING (site)""")
+def site_history(spark, d):
+    y = t(spark, d, "orders").select(c("o_custkey").alias("site"), F.year("o_orderdate").cast("long").alias("year"), "o_orderdate", "o_totalprice")
+    x = tables.site_history(y, "site", "year", "o_orderdate", "o_totalprice")
+    return x.select("site", "year", F.round("observed_yield", 4).alias("observed_yield"), F.round("historical_avg", 4).alias("historical_avg"))
+
+
+@query("""WITH m AS (SELECT o_custkey AS site, avg(o_totalprice) AS v FROM orders GROUP BY 1) SELECT site, round(v, 4) AS mean_value, round((v - lo) / greatest(hi - lo, 0.1), 6) AS ratio FROM m, (SELECT min(v) AS lo, max(v) AS hi FROM m)""")
+def scaled_site_means(spark, d):
+    x = tables.scaled_means(t(spark, d, "orders").select(c("o_custkey").alias("site"), "o_totalprice"), "site", "o_totalprice")
+    return x.select("site", F.round("mean_value", 4).alias("mean_value"), r6(c("ratio"), "ratio"))
+
+
+_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a in _COLS for b in _COLS))
+def correlation_matrix(spark, d):
+    return tables.correlations(t(spark, d, "lineitem"), list(_COLS)).select("a", "b", r6(c("r"), "r"))
+
+
+@query("""WITH q AS (SELECT l_returnflag AS k, min(l_quantity) AS a, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS m, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS b FROM lineitem GROUP BY 1)
+SELECT l_returnflag, a AS min_value, q1, m AS median, q3, b AS max_value, min(l_quantity) FILTER (l_quantity >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(l_quantity) FILTER (l_quantity <= q3 + 1.5 * (q3 - q1)) AS whisker_high FROM lineitem JOIN q ON k = l_returnflag GROUP BY ALL""")
+def distribution_summary(spark, d):
+    return tables.summary(t(spark, d, "lineitem").select("l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity")
+
+
+# ---- mixtures (slices of embeddings)
+
+_MIX = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, (vec_id % 5)::DOUBLE AS y FROM embeddings),
+s AS (SELECT vec_id, y, list_transform(e[1:5], lambda x: exp(4 * x)) AS w, list_transform(e[6:10], lambda x: 0.1 + abs(x)) AS sigma, list_transform(e[11:15], lambda x: 3 + 8 * x) AS mu FROM e),
+u AS (SELECT vec_id, y, i, w[i] / list_sum(w) AS p, sigma[i] AS s, mu[i] AS m FROM s, range(1, 6) r(i)),
+g AS (SELECT vec_id, y, sum(p * m) AS mean, sqrt(greatest(sum(p * (s * s + m * m)) - sum(p * m) * sum(p * m), 1e-6)) AS std, sum(p * s) AS spread,
+ max(ln(p + 1e-10) - 0.5 * ((y - m) * (y - m) / (s * s) + ln(s * s) + ln(2 * pi()))) AS top, sum(p * ln(p + 1e-10)) AS ent,
+ sum(p * -0.5 * ((y - m) * (y - m) / (s * s + 1e-6) + ln(s * s + 1e-6) + ln(2 * pi()))) AS wl, list(struct_pack(k := -p, i := i, p := p, m := m) ORDER BY p DESC, i) FILTER (p >= 0.2) AS modes FROM u GROUP BY ALL),
+f AS (SELECT g.*, -(top + ln((SELECT sum(exp(ln(p + 1e-10) - 0.5 * ((u.y - m) * (u.y - m) / (s * s) + ln(s * s) + ln(2 * pi())) - g.top)) FROM u WHERE u.vec_id = g.vec_id))) + 0.01 * ent AS nll,
+ coalesce(len(modes) >= 2 AND abs(modes[1].m - modes[2].m) / (spread + 1e-8) >= 1.5, false) AS two FROM g)"""
+
+
+def mixtures(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"), (c("vec_id") % 5).cast("double").alias("y"))
+    w = F.transform(F.slice("e", 1, 5), lambda x: F.exp(4 * x))
+    e = e.withColumn("w", w)
+    return e.select("vec_id", "y", F.transform("w", lambda x: x / mixture.total(c("w"))).alias("pi"), F.transform(F.slice("e", 6, 5), lambda x: 0.1 + F.abs(x)).alias("sigma"), F.transform(F.slice("e", 11, 5), lambda x: 3 + 8 * x).alias("mu"))
+
+
+A = (c("pi"), c("sigma"), c("mu"))
+
+
+@query(_MIX + """ SELECT vec_id, round(mean, 5) AS mean, round(std, 5) AS std, two AS is_bimodal, round(CASE WHEN two THEN modes[1].m ELSE mean END, 5) AS estimate,
+round(CASE WHEN two THEN 1 - abs(modes[1].p - modes[2].p) / (modes[1].p + modes[2].p + 1e-8) ELSE 0 END, 5) AS valley_depth, coalesce(len(modes), 0) AS n_modes, round(nll, 5) AS nll, round(mean - 1.959963984540054 * spread, 5) AS lower, round(mean + 1.959963984540054 * spread, 5) AS upper FROM f""")
+def mixture_functions(spark, d):
+    x = mixtures(spark, d).withColumn("report", mixture.bimodality(*A))
+    low, high = mixture.interval(*A)
+    r5 = lambda v, n: F.round(v, 5).alias(n)
+    return x.select(
+        "vec_id",
+        r5(mixture.mean(c("pi"), c("mu")), "mean"),
+        r5(mixture.std(*A), "std"),
+        c("report.is_bimodal").alias("is_bimodal"),
+        r5(mixture.safe_estimate(c("report"))[0], "estimate"),
+        r5(c("report.valley_depth"), "valley_depth"),
+        F.size("report.modes").cast("long").alias("n_modes"),
+        r5(mixture.nll(*A, c("y")), "nll"),
+        r5(low, "lower"),
+        r5(high, "upper"),
+    )
+
+
+@query(_MIX + """ SELECT round(avg(nll), 6) AS nll, round(-avg(wl), 6) AS diagnostic_nll, round(avg(abs(y - mean)) + 0.1 * avg(spread), 6) AS crps_approximation FROM f""")
+def mixture_metrics(spark, d):
+    x = mixtures(spark, d)
+    return x.agg(r6(F.avg(mixture.nll(*A, c("y"))), "nll"), r6(metrics.diagnostic_nll(*A, c("y")), "diagnostic_nll"), r6(metrics.crps_approximation(*A, c("y")), "crps_approximation"))
+
+
+@query()
+def pit_calibration(spark, d):
+    return metrics.calibration(metrics.pit(mixtures(spark, d)))
+
+
+_ATT = "SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)"
+
+
+def attributions(spark, d):
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    rows = lambda a, n, w: F.transform(F.sequence(lit(0), lit(n - 1)), lambda i: F.slice(c("e"), a + i * w, w))
+    return t(spark, d, "embeddings").withColumn("e", e).select("vec_id", rows(1, 4, 5).alias("sat"), rows(21, 5, 8).alias("weather"), F.slice("e", 61, 4).alias("soil"))
+
+
+@query(f"""WITH a AS ({_ATT}), m AS (SELECT vec_id, avg(abs(x)) FILTER (i <= 20) AS s, avg(abs(x)) FILTER (i BETWEEN 21 AND 60) AS w, avg(abs(x)) FILTER (i > 60) AS g FROM a GROUP BY 1) SELECT round(avg(s), 4) AS "Satellite", round(avg(w), 4) AS "Weather", round(avg(g), 4) AS "Soil" FROM m""")
+def modality_importance(spark, d):
+    return tables.modality_importance(attributions(spark, d))
+
+
+@query(f"""WITH a AS ({_ATT}) SELECT ((i - 1) // 5)::INT AS step, round(avg(abs(x)), 6) AS importance FROM a WHERE i <= 20 GROUP BY 1""")
+def temporal_importance(spark, d):
+    return tables.temporal_importance(attributions(spark, d)).select("step", r6(c("importance"), "importance"))
+
+
+@query(f"""WITH a AS ({_ATT}) SELECT CASE WHEN i <= 60 THEN coalesce(['gdd', 'precip'][(i - 21) % 8 + 1], 'Weather_' || (i - 21) % 8) ELSE coalesce(['ph'][i - 60], 'Soil_' || (i - 61)) END AS feature, round(sum(abs(x)), 4) AS importance FROM a WHERE i > 20 GROUP BY 1""")
+def feature_importance(spark, d):
+    return tables.feature_importance(attributions(spark, d), ["gdd", "precip"], ["ph"]).select("feature", F.round("importance", 4).alias("importance"))
+
+
+# ---- helpers and jobs
+
+
+@query("""SELECT count(*) AS n, floor(count(*) * 0.8)::BIGINT AS n_train FROM orders""")
+def train_split(spark, d):
+    return bias.split(t(spark, d, "orders"), ["o_orderkey"]).agg(F.count(lit(1)).alias("n"), F.count(F.when(c("is_train"), 1)).alias("n_train"))
+
+
+@query()
+def knn_imputation(spark, d):
+    p = t(spark, d, "part").select("p_partkey", "p_brand", F.when(c("p_partkey") % 9 != 0, c("p_retailprice")).alias("price"), F.when(c("p_partkey") % 11 != 0, c("p_size").cast("double")).alias("size"), (c("p_partkey") % 13).cast("double").alias("x"))
+    return impute.impute(p, ["price", "size", "x"], "p_partkey", block="p_brand")
+
+
+@query()
+def time_series_imputation(spark, d):
+    e = gappy(spark, d).select("event_id", "user_id", "ts", "v")
+    return impute.impute(e, ["v"], "event_id", ["user_id"], ["ts", "event_id"])
+
+
+@query()
+def weather_features(spark, d):
+    e = t(spark, d, "events").select("event_id", c("user_id").cast("string").alias("site"), c("ts").alias("time"), (c("value") / 10 + 20).alias("t_max"), (c("value") / 10).alias("t_min"), (c("value") + 1).alias("precip"))
+    return jobs.weather_features(e, ["site"])
+
+
+def event_inputs(spark, d):
+    e = t(spark, d, "events").withColumn("day", F.date_trunc("day", "ts"))
+    m = series.daily_mean(e.withColumn("w", F.hour("ts").cast("double")), ["user_id"], "ts", ["value", "w"])
+    w = series.last_of_year(m, ["user_id"], "day", ["value", "w"], "day", 6).filter("status = 'ok'")
+    return align.split_features(w, 1, "matrix").select(c("user_id").cast("string").alias("site"), "year", "sat", "weather", F.array(lit(6.5), lit(1.8)).alias("soil"))
+
+
+@query()
+def batch_forecast(spark, d):
+    e = t(spark, d, "events").select(c("user_id").cast("string").alias("site"), F.year("ts").alias("year"), c("ts").alias("time"), (c("value") / 50).alias("yield"))
+    h = tables.site_history(e, "site", "year", "time", "yield")
+    out = jobs.forecast(event_inputs(spark, d).withColumns({"a": lit(0.5), "w": lit(0.3), "g": lit(0.2)}), h, score.stand_in_scorer, ("a", "w", "g"))
+    return out.select("site", "year", "status", "predicted_yield", "lower_bound", "upper_bound", "std", "risk", "advice", "observed_yield", "historical_avg")
+
+
+@query()
+def evaluate_mixtures(spark, d):
+    return jobs.evaluate(mixtures(spark, d))
+
+
+@query("""WITH y AS (SELECT o_custkey AS site, year(o_orderdate) AS year, arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS v FROM orders GROUP BY ALL)
+SELECT c_custkey AS site, year, round(v, 4) AS observed_yield, c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AND year > 1993 AS live_ready,
+CASE WHEN c_custkey % 3 = 0 THEN 'no feature store' WHEN c_custkey % 4 = 0 THEN 'no model' WHEN year <= 1993 THEN 'year not covered' ELSE 'ready' END AS status FROM customer JOIN y ON y.site = c_custkey""")
+def region_context(spark, d):
+    y = t(spark, d, "orders").select(c("o_custkey").alias("site"), F.year("o_orderdate").cast("long").alias("year"), "o_orderdate", "o_totalprice")
+    areas = t(spark, d, "customer").select(c("c_custkey").alias("site"))
+    h = tables.site_history(y, "site", "year", "o_orderdate", "o_totalprice")
+    years = y.select("site", "year").distinct()
+    live = years.select("site", "year", (c("site") % 3 != 0).alias("has_store"), (c("site") % 4 != 0).alias("has_model"), lit(None).cast("string").alias("live_error"), (c("year") > 1993).alias("covers_year"))
+    return jobs.region_context(areas, years, h, live).select("site", "year", F.round("observed_yield", 4).alias("observed_yield"), "live_ready", "status")
