@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import mixture, risk, scalars
 from ..operators import align, bias, drift, impute, metrics, score, series, tables
 
+# The status sentences of a region's context.
+READY = "Ready for live inference"
+NO_STORE = "Missing processed feature store for this region"
+NO_MODEL = "Missing trained checkpoint"
+NOT_COVERED = "Processed features do not cover %d"
+
 BANDS = ["B02", "B03", "B04", "B08"]
 RAIN = ["t_max", "t_min", "precip"]
 
@@ -105,11 +111,11 @@ def region_context(areas: DataFrame, years: DataFrame, history: DataFrame, live:
     store, model, covers = (F.coalesce(n, F.lit(False)) for n in ("has_store", "has_model", "covers_year"))
     ready = store & model & covers & c("live_error").isNull()
     status = (
-        F.when(ready, "ready")
+        F.when(ready, READY)
         .when(c("live_error").isNotNull(), c("live_error"))
-        .when(~store, "no feature store")
-        .when(~model, "no model")
-        .otherwise("year not covered")
+        .when(~store, NO_STORE)
+        .when(~model, NO_MODEL)
+        .otherwise(F.format_string(NOT_COVERED, c("year")))
     )
     return d.withColumns({"live_ready": ready, "status": status})
 

@@ -566,7 +566,7 @@ def evaluate_mixtures(spark, d):
 
 @query("""WITH y AS (SELECT o_custkey AS site, year(o_orderdate) AS year, arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS v FROM orders GROUP BY ALL)
 SELECT c_custkey AS site, year, round(v, 4) AS observed_yield, c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AND year > 1993 AS live_ready,
-CASE WHEN c_custkey % 3 = 0 THEN 'no feature store' WHEN c_custkey % 4 = 0 THEN 'no model' WHEN year <= 1993 THEN 'year not covered' ELSE 'ready' END AS status FROM customer JOIN y ON y.site = c_custkey""")
+CASE WHEN c_custkey % 3 = 0 THEN 'Missing processed feature store for this region' WHEN c_custkey % 4 = 0 THEN 'Missing trained checkpoint' WHEN year <= 1993 THEN 'Processed features do not cover ' || year ELSE 'Ready for live inference' END AS status FROM customer JOIN y ON y.site = c_custkey""")
 def region_context(spark, d):
     y = t(spark, d, "orders").select(c("o_custkey").alias("site"), F.year("o_orderdate").cast("long").alias("year"), "o_orderdate", "o_totalprice")
     areas = t(spark, d, "customer").select(c("c_custkey").alias("site"))
@@ -574,3 +574,31 @@ def region_context(spark, d):
     years = y.select("site", "year").distinct()
     live = years.select("site", "year", (c("site") % 3 != 0).alias("has_store"), (c("site") % 4 != 0).alias("has_model"), lit(None).cast("string").alias("live_error"), (c("year") > 1993).alias("covers_year"))
     return jobs.region_context(areas, years, h, live).select("site", "year", F.round("observed_yield", 4).alias("observed_yield"), "live_ready", "status")
+
+
+def line_grids(spark, d):
+    x = t(spark, d, "lineitem")
+    place = [c("l_returnflag").alias("site"), c("l_shipdate").alias("time")]
+    sat = x.select(*place, c("l_linenumber").cast("double").alias("lat"), (c("l_suppkey") % 5).cast("double").alias("lon"), (c("l_discount") / 2).alias("B02"), c("l_discount").alias("B03"), c("l_discount").alias("B04"), (c("l_tax") + 0.2).alias("B08"), (c("l_orderkey") % 6 + 3).cast("int").alias("SCL"))
+    rain = x.select(*place, (c("l_linenumber") % 3 * 3 + 1).cast("double").alias("lat"), (c("l_suppkey") % 3 * 2).cast("double").alias("lon"), c("l_quantity").alias("t_max"), (c("l_quantity") - 8).alias("t_min"), (c("l_tax") * 100).alias("precip"))
+    return sat, rain
+
+
+@query()
+def preprocess_grids(spark, d):
+    sat, rain, quality = jobs.preprocess(*line_grids(spark, d))
+    return sat.join(rain, ["site", "day", "lat", "lon"]).join(quality, "site")
+
+
+@query()
+def build_training_set(spark, d):
+    sat, rain, _ = jobs.preprocess(*line_grids(spark, d))
+    labels = t(spark, d, "lineitem").groupBy(c("l_returnflag").alias("site"), F.date_trunc("year", "l_shipdate").alias("time")).agg(lit(3.2).alias("lat"), lit(1.6).alias("lon"), F.avg("l_extendedprice").alias("yield"))
+    soil = t(spark, d, "lineitem").groupBy(c("l_returnflag").alias("site")).agg(F.avg("l_tax").alias("ph"), F.avg("l_discount").alias("soc"))
+    return jobs.training_set(labels, sat, rain, soil, jobs.BANDS, jobs.RAIN, ["ph", "soc"], 4)
+
+
+@query()
+def clean_records(spark, d):
+    p = t(spark, d, "part").select("p_partkey", F.when(c("p_partkey") % 9 != 0, c("p_retailprice")).alias("price"), F.when(c("p_partkey") % 11 != 0, c("p_size").cast("double")).alias("size"))
+    return jobs.clean_records(p, ["price", "size"], "p_partkey")
