@@ -460,24 +460,25 @@ def mixtures(spark, d):
     return e.select("vec_id", "y", F.transform("w", lambda x: x / mixture.total(c("w"))).alias("pi"), F.transform(F.slice("e", 6, 5), lambda x: 0.1 + F.abs(x)).alias("sigma"), F.transform(F.slice("e", 11, 5), lambda x: 3 + 8 * x).alias("mu"))
 
 
-A = (c("pi"), c("sigma"), c("mu"))
+def parts():
+    return c("pi"), c("sigma"), c("mu")
 
 
 @query(_MIX + """ SELECT vec_id, round(mean, 5) AS mean, round(std, 5) AS std, two AS is_bimodal, round(CASE WHEN two THEN modes[1].m ELSE mean END, 5) AS estimate,
 round(CASE WHEN two THEN 1 - abs(modes[1].p - modes[2].p) / (modes[1].p + modes[2].p + 1e-8) ELSE 0 END, 5) AS valley_depth, coalesce(len(modes), 0) AS n_modes, round(nll, 5) AS nll, round(mean - 1.959963984540054 * spread, 5) AS lower, round(mean + 1.959963984540054 * spread, 5) AS upper FROM f""")
 def mixture_functions(spark, d):
-    x = mixtures(spark, d).withColumn("report", mixture.bimodality(*A))
-    low, high = mixture.interval(*A)
+    x = mixtures(spark, d).withColumn("report", mixture.bimodality(*parts()))
+    low, high = mixture.interval(*parts())
     r5 = lambda v, n: F.round(v, 5).alias(n)
     return x.select(
         "vec_id",
         r5(mixture.mean(c("pi"), c("mu")), "mean"),
-        r5(mixture.std(*A), "std"),
+        r5(mixture.std(*parts()), "std"),
         c("report.is_bimodal").alias("is_bimodal"),
         r5(mixture.safe_estimate(c("report"))[0], "estimate"),
         r5(c("report.valley_depth"), "valley_depth"),
         F.size("report.modes").cast("long").alias("n_modes"),
-        r5(mixture.nll(*A, c("y")), "nll"),
+        r5(mixture.nll(*parts(), c("y")), "nll"),
         r5(low, "lower"),
         r5(high, "upper"),
     )
@@ -486,7 +487,7 @@ def mixture_functions(spark, d):
 @query(_MIX + """ SELECT round(avg(nll), 6) AS nll, round(-avg(wl), 6) AS diagnostic_nll, round(avg(abs(y - mean)) + 0.1 * avg(spread), 6) AS crps_approximation FROM f""")
 def mixture_metrics(spark, d):
     x = mixtures(spark, d)
-    return x.agg(r6(F.avg(mixture.nll(*A, c("y"))), "nll"), r6(metrics.diagnostic_nll(*A, c("y")), "diagnostic_nll"), r6(metrics.crps_approximation(*A, c("y")), "crps_approximation"))
+    return x.agg(r6(F.avg(mixture.nll(*parts(), c("y"))), "nll"), r6(metrics.diagnostic_nll(*parts(), c("y")), "diagnostic_nll"), r6(metrics.crps_approximation(*parts(), c("y")), "crps_approximation"))
 
 
 @query()
