@@ -32,10 +32,10 @@ class Settings:
     bits: int = 18
     factors: int = 4
     max_rows: int = 10_000
-    epochs: int = 15
+    epochs: int = 40
     batch: int = 64
-    rate: float = 0.1
-    decay: float = 5e-5
+    rate: float = 0.2
+    decay: float = 1e-5
     least_z: float = 2.5
     seed: int = 7
 
