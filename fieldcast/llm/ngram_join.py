@@ -4,13 +4,15 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets of 5-word s
 7 * |A & B| >= 3 * (|A| + |B|). Equal sets are one class.
 
 1. One pass gives each document its set's size and class.
-2. Linked sets share one of the first |A| - ceil(3|A|/4) + 1 shingles in any common order. The order puts shingles that
-   many documents hold last (their counts come first, over all documents), so passages and frequent phrases make no
-   candidates. Classes that share such a shingle are tied to its first class; connected classes form a cell. No link
-   leaves a cell. Shingles travel packed, by hash buckets; a bucket is read as a stream with bounded memory.
-3. In each cell, hashed shingles are counted in 64 groups. The counts are points of an R-tree; a node's coordinate maxima
-   bound the overlap with a query by summed coordinate minima. Surviving pairs that aren't connected yet are verified on
-   the whole sets. Only a spanning set of links leaves the task. A cell over ``cell_shingles`` is cut into blocks: each
+2. Linked sets share one of the first |A| - ceil(3|A|/4) + 1 shingles in any common order. The order is by
+   the number of documents that hold a shingle (in powers of two, counted over all documents), then by hash, so passages
+   and frequent phrases make no candidates. Hashed shingles are counted in groups, 64 or a quarter of the set's size; summed coordinate minima of two count vectors bound the overlap.
+   Up to ``pair_run`` classes that share such a shingle make pairs, and the bound drops most. More classes are tied to
+   the first of them, so no group is paired out. Tied classes form a cell. No link leaves a cell. Shingles travel packed,
+   by hash buckets; a bucket is read as a stream with bounded memory.
+3. In each cell the count vectors are points of an R-tree; a node's coordinate maxima bound the overlap with a query
+   likewise. Surviving pairs that aren't connected yet are verified on the whole sets. Only a spanning set of links leaves
+   the task. A cell over ``cell_shingles`` is cut into blocks: each
    holds a tree of its own and reads all members of the cell as a stream of queries.
 4. Links make components; a document's component is the smallest doc_id.
 
@@ -72,16 +74,33 @@ def class_of(s: np.ndarray) -> int:
     return int(z.view(np.int64)[0])
 
 
-def prefix(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The shingles of which linked sets share one: the first of the order (not heavy, then heavy; then by hash)."""
+class Heavy:
+    """Levels (base-2 logarithm of the number of documents) of shingles that many documents hold; all others have level 0."""
+
+    def __init__(self, codes: np.ndarray, levels: np.ndarray, buckets: int):
+        order = np.argsort(codes)
+        self.codes, self.levels, self.buckets = codes[order], levels[order], buckets
+
+    @staticmethod
+    def code(keys: np.ndarray, buckets: int) -> np.ndarray:
+        """32 bits of the hash beside its bucket; shingles that share a code share a level, which moves only the order."""
+        return (keys >> np.uint64(32)) * np.uint64(buckets) + keys % np.uint64(buckets)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.zeros(len(keys), np.int8)
+        code = self.code(keys, self.buckets)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.levels[at], 0)
+
+
+def prefix(s: np.ndarray, heavy: Heavy) -> np.ndarray:
+    """The shingles of which linked sets share one: the first of the order (by level, then by hash)."""
     n = len(s)
-    k = n - -(-3 * n // 4) + 1
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-        last = heavy[at] == s
-        if last.any():
-            s = np.concatenate([s[~last], s[last]])
-    return s[:k]
+    level = heavy.of(s)
+    if level.any():
+        s = s[np.argsort(level, kind="stable")]
+    return s[: n - -(-3 * n // 4) + 1]
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -107,17 +126,18 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[me
             yield row[0], row[1:]
 
 
-def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, most: int = 500_000) -> np.ndarray:
-    """Shingles of the lower half of the hash range that many documents hold: at least ``least``, and at most ``most`` keys.
+def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, most: int = 500_000) -> Heavy:
+    """Shingles that many documents hold: at least ``least``, and at most ``most`` of them.
 
     Only the order depends on them, not the links, so a table of bounded size is enough.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [s[: np.searchsorted(s, np.uint64(1 << 63))] for s in _sets(b, width)]
-            keys, n = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
-            yield _blobs(buckets, keys, counts=n.astype(np.int32))
+            keys, n = np.unique(np.concatenate([*_sets(b, width), np.zeros(0, np.uint64)]), return_counts=True)
+            blob = _blobs(buckets, keys, counts=n.astype(np.int32))
+            high = [np.ascontiguousarray(np.frombuffer(k, np.uint32)[1::2]).tobytes() for k in blob.column("keys").to_pylist()]
+            yield pa.RecordBatch.from_arrays([blob.column("bucket"), pa.array(high, pa.binary()), blob.column("counts")], names=["bucket", "keys", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, counts = None, [], []
@@ -129,31 +149,32 @@ def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, m
             at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             n = np.add.reduceat(c.astype(np.int64), at)
             on = n >= least
-            return pa.RecordBatch.from_arrays([pa.array(k[at][on].view(np.int64)), pa.array(n[on])], names=["key", "n"])
+            code = k[at][on].astype(np.uint64) * np.uint64(buckets) + np.uint64(now)
+            return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(np.log2(n[on]).astype(np.int32))], names=["code", "level"])
 
         for bucket, (k, c) in _by_bucket(batches):
             if bucket != now and keys:
                 yield total()
                 keys, counts = [], []
             now = bucket
-            keys.append(np.frombuffer(k, np.uint64))
+            keys.append(np.frombuffer(k, np.uint32))
             counts.append(np.frombuffer(c, np.int32))
         if keys:
             yield total()
 
     packed = texts.mapInArrow(count, "bucket int, keys binary, counts binary")
-    heavy = saved(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "key long, n long"))
-    left, floor = 0, 63
-    power = {r["p"]: r["c"] for r in heavy.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    while floor >= 0 and left + power.get(floor, 0) <= most:
-        left += power.get(floor, 0)
+    heavy = saved(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "code long, level int"))
+    have, floor = 0, 63
+    number = {r["level"]: r["count"] for r in heavy.groupBy("level").count().collect()}
+    while floor > 0 and have + number.get(floor, 0) <= most:
+        have += number.get(floor, 0)
         floor -= 1
-    got = heavy.filter(F.col("n") >= F.lit(1 << (floor + 1) if floor < 62 else 1 << 62)).select("key").toPandas()["key"].to_numpy()
-    return np.sort(got.astype(np.int64).view(np.uint64))
+    got = heavy.filter(F.col("level") > floor).toPandas()
+    return Heavy(got["code"].to_numpy(np.int64).view(np.uint64), got["level"].to_numpy(np.int8), buckets)
 
 
-def _ties(texts: DataFrame, heavy: np.ndarray, buckets: int, width: int) -> DataFrame:
-    """(a, b): classes that share a prefix shingle, each tied to one class of that shingle."""
+def _ties(texts: DataFrame, heavy: Heavy, buckets: int, width: int, pair_run: int) -> DataFrame:
+    """(a, b, many): classes that share a prefix shingle, as all pairs of few or as ties of many to one of them."""
     shared = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,38 +188,84 @@ def _ties(texts: DataFrame, heavy: np.ndarray, buckets: int, width: int) -> Data
                     owners.append(np.full(len(keys[-1]), c))
             yield _blobs(buckets, np.concatenate(keys), owners=np.concatenate(owners))
 
+    def rows(pair: np.ndarray, many: bool) -> pa.RecordBatch:
+        pair = np.unique(np.sort(pair, axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(pair.shape[1], many))], names=["a", "b", "many"])
+
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, 0
-        first_key, first_owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of the shingles met in this bucket
-        keys, owners = [], []
+        now, fresh = None, 0
+        keys, owners, large = [], [], np.zeros(0, np.uint64)  # of a large run only one entry is kept
 
         def merge() -> pa.RecordBatch:
-            nonlocal first_key, first_owner
-            k, o = np.concatenate([first_key, *keys]), np.concatenate([first_owner, *owners])
-            order = np.argsort(k, kind="stable")
+            nonlocal keys, owners, large
+            k, o = np.concatenate(keys), np.concatenate(owners)
+            order = np.lexsort((o, k))
             k, o = k[order], o[order]
-            new = np.concatenate([[True], k[1:] != k[:-1]])
-            at = np.flatnonzero(new)
-            leader = o[at][np.cumsum(new) - 1]
-            first_key, first_owner = k[at], o[at]
-            on = leader != o
-            pair = np.unique(np.stack([leader[on], o[on]]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+            on = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
+            k, o = k[on], o[on]
+            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(at, len(k)))
+            big = (size > pair_run) | np.isin(k[at], large)
+            member = np.repeat(big, size)
+            leader = np.repeat(o[at], size)
+            pair = np.stack([leader[member], o[member]])
+            large = k[at][big]
+            keep = ~member
+            keep[at] = True
+            keys, owners = [k[keep]], [o[keep]]
+            return rows(pair[:, pair[0] != pair[1]], True)
+
+        def pairs() -> pa.RecordBatch:
+            k, o = keys[0], owners[0]
+            found = [np.zeros((2, 0), np.int64)]
+            for d in range(1, pair_run):
+                same = np.flatnonzero(k[d:] == k[:-d]) if len(k) > d else np.zeros(0, np.int64)
+                if not len(same):
+                    break
+                found.append(np.stack([o[same], o[same + d]]))
+            return rows(np.concatenate(found, axis=1), False)
 
         for bucket, (k, o) in _by_bucket(batches):
-            if keys and (bucket != now or held >= 2_000_000):
+            if keys and (bucket != now or fresh >= 2_000_000):
                 yield merge()
-                keys, owners, held = [], [], 0
+                fresh = 0
             if bucket != now:
-                now, first_key, first_owner = bucket, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if keys:
+                    yield pairs()
+                now, keys, owners, large = bucket, [], [], np.zeros(0, np.uint64)
             keys.append(np.frombuffer(k, np.uint64))
             owners.append(np.frombuffer(o, np.int64))
-            held += len(keys[-1])
+            fresh += len(keys[-1])
         if keys:
             yield merge()
+            yield pairs()
 
     packed = texts.mapInArrow(emit, "bucket int, keys binary, owners binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tie, "a long, b long")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tie, "a long, b long, many boolean")
+
+
+def _within_bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose summed minima of counts allow a link."""
+    for side in "ab":
+        c = classes.select(F.col("name").alias(side), F.col("counts").alias(f"c{side}"))
+        pairs = pairs.join(c, side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [b.column(c).to_pylist() for c in ("ca", "cb")]
+            wide = np.array([[len(v) for v in x] for x in sides]).reshape(2, -1)
+            on = np.zeros(b.num_rows, bool)
+            for p, q in np.unique(wide, axis=1).T if b.num_rows else ():
+                at = np.flatnonzero((wide[0] == p) & (wide[1] == q))
+                least = min(p, q)
+                raw = [np.frombuffer(b"".join([v[i] for i in at]), np.uint8).reshape(len(at), -1, least) for v in sides]
+                full = (raw[0].max((1, 2)) == 255) | (raw[1].max((1, 2)) == 255)  # a clipped count bounds nothing
+                x, y = (v.sum(1, dtype=np.int64) for v in raw)
+                m, n = x.sum(1), y.sum(1)
+                on[at] = (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (7 * np.minimum(x, y).sum(1) >= 3 * (m + n)) | full
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(on)) for c in "ab"], names=["a", "b"])
+
+    return pairs.select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
 class RTree:
@@ -244,8 +311,13 @@ class RTree:
         return own[7 * np.minimum(self.points[own], q).sum(1) >= 3 * (size + self.sizes[own])]
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def groups_of(n: int) -> int:
+    """A power of two that leaves at most four shingles a group; vectors fold into any smaller power by adding up."""
+    return max(GROUPS, 1 << max(0, (n + 3) // 4 - 1).bit_length())
+
+
+def count_vector(s: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 class Cell:
@@ -254,7 +326,10 @@ class Cell:
     def __init__(self, names: np.ndarray, sets: list[np.ndarray]):
         self.names, self.sets = names, sets
         self.sizes = np.array([len(s) for s in sets])
-        self.tree = RTree(np.stack([count_vector(s) for s in sets]), self.sizes)
+        self.groups = groups_of(int(np.median(self.sizes)))
+        while self.groups > GROUPS and self.groups * len(sets) > 1 << 24:
+            self.groups //= 2
+        self.tree = RTree(np.stack([count_vector(s, self.groups) for s in sets]), self.sizes)
         self.label = np.arange(len(sets))
 
     def links(self, s: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -286,7 +361,7 @@ class Cell:
         return out
 
     def links_of(self, name: int, s: np.ndarray) -> list[tuple[int, int]]:
-        near = self.tree.search(count_vector(s), len(s))
+        near = self.tree.search(count_vector(s, self.groups), len(s))
         near = near[self.names[near] != name]
         return [(name, int(self.names[j])) for j in (self.links(s, near) if len(near) else ())]
 
@@ -322,26 +397,31 @@ def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(out)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, bucket_shingles: int = 1_000_000, cell_shingles: int = 2_000_000, few_members: int = 400_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, bucket_shingles: int = 1_000_000, cell_shingles: int = 2_000_000, few_members: int = 400_000, pair_run: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), F.col("text").alias("_text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, c = [], []
+            n, c, v = [], [], []
             for s in _sets(b, width):
                 n.append(len(s))
                 c.append(class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "_id", "n_shingles", "name"])
+                v.append(np.minimum(count_vector(s, groups_of(len(s))), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(v, pa.binary())], names=["doc_id", "_id", "n_shingles", "name", "counts"])
 
-    known = saved(own.mapInArrow(describe, f"doc_id {kind}, _id long, n_shingles long, name long"))
+    known = saved(own.mapInArrow(describe, f"doc_id {kind}, _id long, n_shingles long, name long, counts binary"))
+    vectors = known.filter("name IS NOT NULL").select("name", "counts").dropDuplicates(["name"])
+    known = known.drop("counts")
     classes = known.filter("name IS NOT NULL").groupBy("name").agg(F.min("_id").alias("_id"), F.first("n_shingles").alias("n"))
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (3 * bucket_shingles)))
     texts = own.select("_text")
     heavy = heavy_shingles(texts, buckets, width)
-    cells = components(_ties(texts, heavy, buckets, width))
+    ties = saved(_ties(texts, heavy, buckets, width, pair_run))
+    close = _within_bound(ties.filter("NOT many").select("a", "b").distinct(), vectors)
+    cells = components(ties.filter("many").select("a", "b").unionByName(close))
 
     members = saved(cells.join(classes, F.col("node") == F.col("name")).select("name", "_id", "n", F.col("root").alias("cell")))
     few = members.limit(few_members + 1).count() <= few_members

@@ -64,7 +64,7 @@ def made(seed, n=150):
     return rows + rows[20:23]
 
 
-@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"bucket_shingles": 300, "cell_shingles": 500, "few_members": 3}), (3, {"cell_shingles": 2000})])
+@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"bucket_shingles": 300, "cell_shingles": 500, "few_members": 3, "pair_run": 3}), (3, {"cell_shingles": 2000})])
 def test_join_is_exact(spark, seed, more, monkeypatch):
     if more:
         whole = ngram_join.heavy_shingles
