@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, pieces, saved, utf8
+from .common import hash_words, mix, pieces, saved, utf8
 
 _NULL_ID = -(1 << 63)
 
@@ -60,8 +60,48 @@ def _bucketed(at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, lis
     return order, cut, [b for b in range(buckets) if cut[b + 1] > cut[b]]
 
 
+def _grouped(rk: np.ndarray, groups: int, **values: np.ndarray) -> pa.RecordBatch:
+    """Rows of (group of rk, packed rk, packed values)."""
+    order, cut, full = _bucketed((rk.view(np.uint64) % np.uint64(groups)).astype(np.int64), groups)
+    cols = {"rks": rk, **values}
+    packed = [pa.array([c[order[cut[g] : cut[g + 1]]].tobytes() for g in full], pa.binary()) for c in cols.values()]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *packed], names=["group", *cols])
+
+
+def _by_row(packed: DataFrame, groups: int, name: str, unite) -> DataFrame:
+    """(rk, value): all that the packed groups hold of each row, by ``unite(rk sorted, values)`` of one group at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            rk = np.concatenate([np.frombuffer(x[0], np.int64) for x in held])
+            values = np.concatenate([np.frombuffer(x[1], np.uint64) for x in held])
+            order = np.lexsort((values, rk))
+            rk, values = rk[order], values[order]
+            at = np.flatnonzero(np.concatenate([[True], rk[1:] != rk[:-1]])) if len(rk) else np.zeros(0, np.int64)
+            end = np.append(at[1:], len(rk))
+            return pa.RecordBatch.from_arrays([pa.array(rk[at], pa.int64()), pa.array([unite(values[x:y]) for x, y in zip(at, end)], pa.binary())], names=["rk", name])
+
+        for b in batches:
+            for group, *values in zip(*(c.to_pylist() for c in b.columns)):
+                if group != now and held:
+                    yield done()
+                    held = []
+                now = group
+                held.append(values)
+        if held:
+            yield done()
+
+    return packed.repartition(groups, "group").sortWithinPartitions("group").mapInArrow(run, f"rk long, {name} binary")
+
+
+def short(key: np.ndarray) -> np.ndarray:
+    return key >> np.uint64(16)
+
+
 def _shared_keys(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(rk, keys): the packed keys of each row that documents of other ids have too."""
+    """(group, rks, keys): packed pairs of a row and a key that documents of other ids have too, by group of rows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,11 +112,11 @@ def _shared_keys(texts: DataFrame, buckets: int, length: int, gram: int) -> Data
                 _, _, row, key = string_runs(raw[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
                 keys.append(key)
                 rows.append(row + i)
-            key, row = np.concatenate(keys), np.concatenate(rows).astype(np.int32)
+            key, row = short(np.concatenate(keys)), np.concatenate(rows).astype(np.uint16 if b.num_rows <= 1 << 16 else np.int32)
             order, cut, full = _bucketed((key % np.uint64(buckets)).astype(np.int64), buckets)
-            key, row = key[order], row[order]
+            low, high, row = key[order].astype(np.uint32), (key[order] >> np.uint64(32)).astype(np.uint16), row[order]
             part = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), part(key), part(row), pa.array([rks.tobytes()] * len(full), pa.binary()), pa.array([ids.tobytes()] * len(full), pa.binary())], names=["bucket", "keys", "rows", "rks", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), part(low), part(high), part(row), pa.array([rks.tobytes()] * len(full), pa.binary()), pa.array([ids.tobytes()] * len(full), pa.binary())], names=["bucket", "low", "high", "rows", "rks", "ids"])
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, rks, ids = None, [], [], []
@@ -88,28 +128,24 @@ def _shared_keys(texts: DataFrame, buckets: int, length: int, gram: int) -> Data
             at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             many = np.minimum.reduceat(i, at) != np.maximum.reduceat(i, at)
             on = np.repeat(many, np.diff(np.append(at, len(k))))
-            k, r = k[on], r[on]
-            order = np.argsort(r, kind="stable")
-            k, r = k[order], r[order]
-            at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
-            end = np.append(at[1:], len(r))
-            return pa.RecordBatch.from_arrays([pa.array(r[at], pa.int64()), pa.array([k[x:y].tobytes() for x, y in zip(at, end)], pa.binary())], names=["rk", "keys"])
+            return _grouped(r[on], buckets, keys=k[on])
 
         for b in batches:
-            for bucket, k, row, rk, i in zip(*(c.to_pylist() for c in b.columns)):
+            for bucket, low, high, row, rk, i in zip(*(c.to_pylist() for c in b.columns)):
                 if bucket != now and keys:
                     yield found()
                     keys, rks, ids = [], [], []
                 now = bucket
-                row = np.frombuffer(row, np.int32)
-                keys.append(np.frombuffer(k, np.uint64))
+                low = np.frombuffer(low, np.uint32)
+                row = np.frombuffer(row, np.uint16 if len(row) == 2 * len(low) else np.int32)
+                keys.append((np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)) | low)
                 rks.append(np.frombuffer(rk, np.int64)[row])
                 ids.append(np.frombuffer(i, np.int64)[row])
         if keys:
             yield found()
 
-    packed = texts.mapInArrow(emit, "bucket int, keys binary, rows binary, rks binary, ids binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(share, "rk long, keys binary")
+    packed = texts.mapInArrow(emit, "bucket int, low binary, high binary, rows binary, rks binary, ids binary")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(share, "group int, rks binary, keys binary")
 
 
 def offsets(length: int) -> list[int]:
@@ -154,63 +190,86 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     return string, interval
 
 
-def _marks(segments: DataFrame, buckets: int, length: int, shard_strings: int = 1 << 16) -> DataFrame:
-    """(rk, spans): packed (start, end) pairs of what each row loses, by bucket."""
+def _distinct(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, lens, which) of the distinct segments, told apart by a 64-bit hash and their length."""
+    begin = np.cumsum(lens) - lens
+    h = hash_words(text, begin, begin + lens) ^ mix(lens.astype(np.uint64))
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    size = lens[first]
+    at = np.repeat(begin[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return text[at], size, which
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, rest, size = None, [], [], 0
 
-        def build() -> None:
-            nonlocal rest, size
-            cols = [np.concatenate(x) for x in zip(*rest)]
-            held.append((Shard(cols[0], cols[1], length), *cols[2:]))
-            rest, size = [], 0
+def _marks(segments: DataFrame, buckets: int, groups: int, length: int, shard_strings: int = 1 << 16) -> DataFrame:
+    """(group, rks, spans): packed pairs of a row and a (start, end) that it loses.
+
+    A bucket holds each distinct segment once, whatever the number of documents with it. Later documents lose all of their
+    copy of a segment; the first one loses the strings that another segment's documents had before it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
 
         def marks() -> pa.RecordBatch:
-            string, interval = merge([h[0] for h in held])
-            segment = np.concatenate([h[0].segment + x for h, x in zip(held, np.cumsum([len(h[1]) for h in held]) - [len(h[1]) for h in held])])
-            within = np.concatenate([h[0].within for h in held])
-            rk, ids, start = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
-            own = ids[segment[string]]
+            base = np.cumsum([len(h[1]) for h in held]) - [len(h[1]) for h in held]
+            text, lens, which = _distinct(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            segment = which[np.concatenate([h[2] + x for h, x in zip(held, base)])]
+            rk, ids, start = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
+            first = np.full(len(lens), np.iinfo(np.int64).max)
+            np.minimum.at(first, segment, ids)
+            count = lens - length + 1
+            total, begin = np.cumsum(count), np.cumsum(lens) - lens
+            shards, i = [], 0
+            while i < len(lens):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + shard_strings, side="right")))
+                shards.append((i, Shard(text[begin[i] : begin[j - 1] + lens[j - 1]], lens[i:j], length)))
+                i = j
+            string, interval = merge([x for _, x in shards])
+            owner = np.concatenate([x.segment + i for i, x in shards])
+            own = first[owner[string]]
             at = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
             least = np.repeat(np.minimum.reduceat(own, at), np.diff(np.append(at, len(own))))
             gone = np.zeros(len(string), bool)
-            gone[string] = own > least
-            k = np.flatnonzero(gone)
-            seg, pos = segment[k], start[segment[k]] + within[k]
-            cut = np.concatenate([[True], (seg[1:] != seg[:-1]) | (pos[1:] != pos[:-1] + 1)]) if len(k) else np.zeros(0, bool)
-            a = np.flatnonzero(cut)
-            b = np.append(a[1:], len(k)) - 1
-            who, s, e = rk[seg[a]], pos[a], pos[b] + length if len(k) else pos
-            order = np.argsort(who, kind="stable")
-            who, pair = who[order], np.stack([s[order], e[order]], 1).astype(np.int32) if len(k) else np.zeros((0, 2), np.int32)
-            at = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
-            end = np.append(at[1:], len(who))
-            return pa.RecordBatch.from_arrays([pa.array(who[at], pa.int64()), pa.array([pair[x:y].tobytes() for x, y in zip(at, end)], pa.binary())], names=["rk", "spans"])
+            gone[string] = own > least  # of each segment's first document
+            flag = np.concatenate([[0], gone.view(np.int8), [0]])
+            inner = np.ones(len(gone) + 1, bool)
+            inner[np.concatenate([[0], total])] = False  # runs end with their segment
+            a = np.flatnonzero((flag[1:] == 1) & ~((flag[:-1] == 1) & inner))
+            b = np.flatnonzero((flag[:-1] == 1) & ~((flag[1:] == 1) & inner)) - 1
+            run_segment, offset = owner[a], total - count
+            later = ids > first[segment]
+            spans = [np.stack([rk[later], start[later], start[later] + lens[segment[later]]])]
+            one = np.flatnonzero(~later)
+            k = np.searchsorted(run_segment, segment[one]), np.searchsorted(run_segment, segment[one], side="right")
+            n = k[1] - k[0]
+            who = np.repeat(one, n)
+            pick = np.repeat(k[0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            spans.append(np.stack([rk[who], start[who] + a[pick] - offset[segment[who]], start[who] + b[pick] - offset[segment[who]] + length]))
+            rks, s, e = np.concatenate(spans, axis=1)
+            return _grouped(rks, groups, spans=(s.astype(np.uint64) << np.uint64(32)) | e.astype(np.uint64))
 
         for b in batches:
-            for bucket, text, lens, rk, ids, start in zip(*(c.to_pylist() for c in b.columns)):
-                if bucket != now and (held or rest):
-                    if rest:
-                        build()
+            for bucket, text, lens, ref, rk, ids, start in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != now and held:
                     yield marks()
                     held = []
                 now = bucket
-                lens = np.frombuffer(lens, np.int32).astype(np.int64)
-                rest.append((np.frombuffer(text, np.uint8), lens, np.frombuffer(rk, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(start, np.int64)))
-                size += int((lens - length + 1).sum())
-                if size >= shard_strings:
-                    build()
-        if rest:
-            build()
+                held.append((np.frombuffer(text, np.uint8), np.frombuffer(lens, np.int32).astype(np.int64), np.frombuffer(ref, np.int32).astype(np.int64), np.frombuffer(rk, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(start, np.int64)))
         if held:
             yield marks()
 
-    return segments.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "rk long, spans binary")
+    return segments.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "group int, rks binary, spans binary")
+
+
+def _united(spans: np.ndarray) -> bytes:
+    """A row's spans as few as can be, as sorted int32 pairs; they come sorted."""
+    start, end = (spans >> np.uint64(32)).astype(np.int64), np.maximum.accumulate((spans & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    at = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    return np.stack([start[at], end[np.append(at[1:], len(end)) - 1]], 1).astype(np.int32).tobytes()
 
 
 def _segments(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Packed segments of the rows' shared keys, by bucket."""
+    """Packed segments of the rows' shared keys, by bucket; a distinct segment's text goes once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,23 +278,32 @@ def _segments(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFra
             for i, j in pieces(off, 1 << 20):
                 a, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
                 first, last, row, key = string_runs(a, o, length, gram)
-                shared = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for own in b.column("_keys").slice(i, j - i).to_pylist() for x in own]))
-                on = np.isin(key, shared)
+                shared = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in b.column("_keys").slice(i, j - i).to_pylist()]))
+                on = np.isin(short(key), shared)
                 first, last, row, key = first[on], last[on], row[on], key[on]
                 order, cut, full = _bucketed((key % np.uint64(buckets)).astype(np.int64), buckets)
                 first, lens, row = first[order], (last - first + length)[order], row[order]
                 at = np.repeat(first - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
                 text, cut_text = a[at], np.concatenate([[0], np.cumsum(lens)])[cut]
-                part = lambda x, c: pa.array([x[c[k] : c[k + 1]].tobytes() for k in full], pa.binary())
+                own = [_distinct(text[cut_text[k] : cut_text[k + 1]], lens[cut[k] : cut[k + 1]]) for k in full]
+                part = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), part(text, cut_text), part(lens.astype(np.int32), cut), part(rks[row + i], cut), part(ids[row + i], cut), part((first - o[row]).astype(np.int64), cut)],
-                    names=["bucket", "text", "lens", "rks", "ids", "starts"],
+                    [
+                        pa.array(full, pa.int32()),
+                        pa.array([x[0].tobytes() for x in own], pa.binary()),
+                        pa.array([x[1].astype(np.int32).tobytes() for x in own], pa.binary()),
+                        pa.array([x[2].astype(np.int32).tobytes() for x in own], pa.binary()),
+                        part(rks[row + i]),
+                        part(ids[row + i]),
+                        part((first - o[row]).astype(np.int64)),
+                    ],
+                    names=["bucket", "text", "lens", "refs", "rks", "ids", "starts"],
                 )
 
-    return texts.mapInArrow(run, "bucket int, text binary, lens binary, rks binary, ids binary, starts binary")
+    return texts.mapInArrow(run, "bucket int, text binary, lens binary, refs binary, rks binary, ids binary, starts binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, bucket_strings: int = 400_000, few_bytes: int = 32 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 30, bucket_strings: int = 400_000, few_bytes: int = 32 << 20, few_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
@@ -247,14 +315,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, bucket_str
     d = d.join(F.broadcast(copies) if few else copies, F.col("_digest") == F.col("_d"), "left").withColumn("_copy", F.coalesce(F.col("_id") > F.col("_first"), F.lit(False)))
     firsts = d.filter(long & ~F.col("_copy")).select("rk", "_id", "_text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
-    shared = _shared_keys(firsts, max(1, total // (length // 3 * bucket_strings * 2)), length, gram)
-    shared = saved(shared.groupBy("rk").agg(F.collect_list("keys").alias("_keys"), F.sum(F.octet_length("keys")).alias("_size")))
-    strings = (shared.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0] // 8) * (length - gram) // 2
-    buckets = max(1, -(-strings // bucket_strings))
-    marks = _marks(_segments(firsts.join(shared.drop("_size"), "rk"), buckets, length, gram), buckets, length)
-    marks = saved(marks.groupBy(F.col("rk").alias("_rk")).agg(F.collect_list("spans").alias("_spans"), F.sum(F.octet_length("spans")).alias("_size")))
-    few = (marks.agg(F.coalesce(F.sum(F.col("_size") + 64), F.lit(0))).first()[0]) <= few_bytes
-    marks = marks.drop("_size")
+    groups = max(1, total // (length // 3 * bucket_strings * 2))
+    shared = saved(_by_row(_shared_keys(firsts, groups, length, gram), groups, "_keys", lambda k: k.tobytes()))
+    rows, size = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_keys")), F.lit(0))).first()
+    buckets = max(1, -(-(size // 8 * (length - gram) // 2) // bucket_strings))
+    if rows <= few_rows:
+        firsts = firsts.join(F.broadcast(shared.select("rk")), "rk", "left_semi")  # before texts are shuffled
+    marks = _marks(_segments(firsts.join(shared, "rk"), buckets, length, gram), buckets, groups, length)
+    marks = saved(_by_row(marks, groups, "_spans", _united).withColumnRenamed("rk", "_rk"))
+    few = (marks.agg(F.coalesce(F.sum(F.octet_length("_spans") + 64), F.lit(0))).first()[0]) <= few_bytes
     out = d.join(F.broadcast(marks) if few else marks, F.col("rk") == F.col("_rk"), "left").select("doc_id", "_text", "_copy", "_spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,13 +337,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, bucket_str
                 elif not spans:
                     rows.append((len(x), 0, 0, x.tobytes()))
                 else:
-                    pair = np.concatenate([np.frombuffer(s, np.int32) for s in spans]).reshape(-1, 2)
-                    change = np.zeros(len(x) + 1, np.int32)
-                    np.add.at(change, pair[:, 0], 1)
-                    np.add.at(change, pair[:, 1], -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    rows.append((len(x), int(gone.sum()), runs, x[~gone].tobytes()))
+                    pair = np.frombuffer(spans, np.int32).reshape(-1, 2)
+                    kept = b"".join(x[p:q].tobytes() for p, q in zip(np.append(0, pair[:, 1]), np.append(pair[:, 0], len(x))))
+                    rows.append((len(x), len(x) - len(kept), len(pair), kept))
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 

@@ -40,11 +40,11 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"bucket_strings": 200, "few_bytes": 1})])
+@pytest.mark.parametrize(("seed", "more"), [(1, {}), (2, {"bucket_strings": 200, "few_bytes": 1, "few_rows": 1})])
 def test_removal_is_exact(spark, seed, more, monkeypatch):
     if more:
         whole = bwt_dedup._marks
-        monkeypatch.setattr(bwt_dedup, "_marks", lambda s, b, n: whole(s, b, n, shard_strings=64))
+        monkeypatch.setattr(bwt_dedup, "_marks", lambda s, b, g, n: whole(s, b, g, n, shard_strings=64))
     rows = made(seed)
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, rk string").repartition(3)
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in bwt_dedup.remove_repeats(df, **more).collect()]
