@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import saved
+
 BITS = 128
 _LANES = 0x0000000100000001
 _BUCKET_ROWS = 2048
@@ -39,10 +41,10 @@ def terms(text: Column) -> Column:
 
 
 def fingerprints(keyed: DataFrame, keys: list[str], term_array: str) -> DataFrame:
-    """One row per key with longs ``f0`` and ``f1``, from rows of term arrays."""
+    """One row per key with longs ``f0`` and ``f1`` and the number of terms ``n_rows``, from rows of term arrays."""
     rows = keyed.select(*keys, F.explode(term_array).alias("_t")).select(*keys, F.xxhash64("_t").alias("_h0"), F.xxhash64("_t", F.lit(1)).alias("_h1"), (F.col("_t").bitwiseAND(3) + 1).alias("_w"))
     lane = [F.sum(F.shiftright(f"_h{k}", i).bitwiseAND(F.lit(_LANES)) * F.col("_w")).alias(f"_v{k}_{i}") for k in (0, 1) for i in range(32)]
-    votes = rows.groupBy(*keys).agg(F.sum("_w").alias("_total"), *lane)
+    votes = rows.groupBy(*keys).agg(F.sum("_w").alias("_total"), F.count(F.lit(1)).alias("n_rows"), *lane)
 
     def word(k: int) -> Column:
         bits = []
@@ -52,17 +54,13 @@ def fingerprints(keyed: DataFrame, keys: list[str], term_array: str) -> DataFram
             bits += [F.when(high * 2 > F.col("_total"), F.lit((1 << (i + 32)) - (1 << 64 if i == 31 else 0))).otherwise(F.lit(0)).cast("long")]
         return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
-    return votes.select(*keys, word(0).alias("f0"), word(1).alias("f1"))
+    return votes.select(*keys, "n_rows", word(0).alias("f0"), word(1).alias("f1"))
 
 
 def distance(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return (F.bit_count(a0.bitwiseXOR(b0)) + F.bit_count(a1.bitwiseXOR(b1))).cast("long")
 
 
-def as_text(f0: Column, f1: Column) -> Column:
-    return F.lower(F.concat(F.lpad(F.hex(f0), 16, "0"), F.lpad(F.hex(f1), 16, "0")))
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_id, next_text): the next document by ascending doc_id, the first after the last.
 
@@ -87,42 +85,52 @@ def with_next(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_b", bucket)
     firsts = d.groupBy("_b").agg(F.min("_o").alias("_first"))
     before = F.coalesce(F.lag("_b").over(Window.orderBy("_b")), F.max("_b").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    firsts = firsts.select("_first", before.alias("_to"))  # one row per range
-    heads = d.drop("_b").join(firsts, F.col("_o") == F.col("_first")).groupBy("_to").agg(F.min(F.struct("_o", "text", "doc_id")).alias("_h"))
+    firsts = firsts.select("_first", before.alias("_to"))  # one row per range: 16384 at most
+    heads = d.drop("_b").join(F.broadcast(firsts), F.col("_o") == F.col("_first")).groupBy("_to").agg(F.min(F.struct("_o", "text", "doc_id")).alias("_h"))
     extra = heads.select(F.col("_h.doc_id").alias("doc_id"), F.col("_h.text").alias("text"), F.col("_h._o").alias("_o"), F.col("_to").alias("_b"), F.lit(1).alias("_x"))
     own = Window.partitionBy("_b").orderBy("_x", "_o", "text")
     both = d.withColumn("_x", F.lit(0)).unionByName(extra)
     return both.select("doc_id", "text", "_x", F.lead("doc_id").over(own).alias("next_id"), F.lead("text").over(own).alias("next_text")).filter("_x = 0").drop("_x")
 
 
+def _as_longs(hex_text: Column) -> list[Column]:
+    """Hex digits, 16 to a long."""
+    word = lambda i: F.conv(F.substring(hex_text, i, 8), 16, 10).cast("long")
+    return [F.shiftleft(word(16 * k + 1), 32).bitwiseOR(word(16 * k + 9)) for k in range(4)]
+
+
+def _as_hex(*longs: Column) -> Column:
+    return F.lower(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in longs)))
+
+
 def edited_and_next(docs: DataFrame) -> DataFrame:
-    """Fingerprint of each text, of its edited text and of the next document, with their likeness."""
+    """Fingerprint of each text, of its edited text and of the next document, with their likeness.
+
+    Texts are shuffled once. All that is known of a row goes through the vote count as longs of its key; equal rows share a
+    key, and are told apart again by their count of terms.
+    """
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     base = with_next(docs).withColumn("edited", F.concat(F.left("text", n - cut), F.left("next_text", cut)))
     key = lambda c: F.xxhash64(c, F.length(c))
-    meta = base.select(
-        "doc_id", "next_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        key("text").alias("k"), key("edited").alias("ke"), key("next_text").alias("kn"),
-    )
-    texts = base.select("doc_id", F.explode(F.array("text", "edited")).alias("_x"))
-    fp = fingerprints(texts.select("doc_id", key("_x").alias("k"), terms(F.col("_x")).alias("_terms")), ["doc_id", "k"], "_terms")
-
-    def of(name: str, doc: str, k: str) -> tuple[DataFrame, Column]:
-        f = fp.select(F.col("doc_id").alias(f"{name}_d"), F.col("k").alias(f"{name}_k"), F.col("f0").alias(f"{name}0"), F.col("f1").alias(f"{name}1"))
-        return f, F.col(doc).eqNullSafe(F.col(f"{name}_d")) & (F.col(k) == F.col(f"{name}_k"))
-
-    out = meta
-    for name, doc, k in (("a", "doc_id", "k"), ("e", "doc_id", "ke"), ("x", "next_id", "kn")):
-        f, on = of(name, doc, k)
-        out = out.join(f, on)
+    sha = [x.alias(f"s{k}") for k, x in enumerate(_as_longs(F.sha2("edited", 256)))]
+    row = ["doc_id", "next_id", "n_chars", "k", "kn", "s0", "s1", "s2", "s3"]
+    known = base.select("doc_id", "next_id", n.cast("long").alias("n_chars"), key("text").alias("k"), key("next_text").alias("kn"), *sha, F.posexplode(F.array("text", "edited")).alias("which", "_x"))
+    known = known.withColumn("_terms", terms(F.col("_x"))).withColumn("n_terms", F.size("_terms"))
+    votes = fingerprints(known, [*row, "which", "n_terms"], "_terms")
+    own, other = F.col("which") == 0, F.col("which") == 1
+    one = lambda of, c: F.max(F.when(of, F.col(c)))
+    fp = saved(votes.groupBy(*row).agg(one(own, "f0").alias("a0"), one(own, "f1").alias("a1"), one(other, "f0").alias("e0"), one(other, "f1").alias("e1"), F.max(F.when(own, F.col("n_rows") / F.col("n_terms"))).cast("int").alias("copies")))
+    following = fp.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("a0").alias("x0"), F.col("a1").alias("x1")).distinct()
+    out = fp.join(following, F.col("next_id").eqNullSafe(F.col("_d")) & (F.col("kn") == F.col("_k")))
+    out = out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     c = F.col
     return out.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        as_text(c("a0"), c("a1")).alias("fingerprint"),
-        as_text(c("e0"), c("e1")).alias("edited_fingerprint"),
+        _as_hex(c("s0"), c("s1"), c("s2"), c("s3")).alias("edited_sha256"),
+        _as_hex(c("a0"), c("a1")).alias("fingerprint"),
+        _as_hex(c("e0"), c("e1")).alias("edited_fingerprint"),
         (1 - distance(c("a0"), c("a1"), c("e0"), c("e1")) / BITS).alias("near_edited"),
         (1 - distance(c("a0"), c("a1"), c("x0"), c("x1")) / BITS).alias("near_next"),
     )
