@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, pieces, saved, utf8
+from .common import hash_words, lean, mix, pieces, saved, utf8
 
 _NULL_ID = -(1 << 63)
 
@@ -93,7 +93,7 @@ def _by_row(packed: DataFrame, groups: int, name: str, unite) -> DataFrame:
         if held:
             yield done()
 
-    return packed.repartition(groups, "group").sortWithinPartitions("group").mapInArrow(run, f"rk long, {name} binary")
+    return lean(packed.repartition(groups, "group").sortWithinPartitions("group"), run, f"rk long, {name} binary")
 
 
 def short(key: np.ndarray) -> np.ndarray:
@@ -144,8 +144,8 @@ def _shared_keys(texts: DataFrame, buckets: int, length: int, gram: int) -> Data
         if keys:
             yield found()
 
-    packed = texts.mapInArrow(emit, "bucket int, low binary, high binary, rows binary, rks binary, ids binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(share, "group int, rks binary, keys binary")
+    packed = lean(texts, emit, "bucket int, low binary, high binary, rows binary, rks binary, ids binary")
+    return lean(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), share, "group int, rks binary, keys binary")
 
 
 def offsets(length: int) -> list[int]:
@@ -258,7 +258,7 @@ def _marks(segments: DataFrame, buckets: int, groups: int, length: int, shard_st
         if held:
             yield marks()
 
-    return segments.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "group int, rks binary, spans binary")
+    return lean(segments.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "group int, rks binary, spans binary")
 
 
 def _united(spans: np.ndarray) -> bytes:
@@ -300,7 +300,7 @@ def _segments(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFra
                     names=["bucket", "text", "lens", "refs", "rks", "ids", "starts"],
                 )
 
-    return texts.mapInArrow(run, "bucket int, text binary, lens binary, refs binary, rks binary, ids binary, starts binary")
+    return lean(texts, run, "bucket int, text binary, lens binary, refs binary, rks binary, ids binary, starts binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 30, bucket_strings: int = 400_000, few_bytes: int = 32 << 20, few_rows: int = 1_000_000) -> DataFrame:
@@ -343,4 +343,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 30, bucket_str
             cols = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return out.mapInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return lean(out, finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

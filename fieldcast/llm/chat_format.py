@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 
 @dataclass(frozen=True)
 class Template:
@@ -111,7 +113,7 @@ def format_turns(turns: DataFrame, template: Template | None = None) -> DataFram
             kind = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int64()), pa.array(segs, kind), pa.array(ok, pa.bool_())], names=["conv_id", "turn", "position", "segments", "in_order"])
 
-    return d.mapInArrow(run, _SEGMENTS.format(key=types["conv_id"], turn=types["turn"]))
+    return lean(d, run, _SEGMENTS.format(key=types["conv_id"], turn=types["turn"]))
 
 
 def conversation_digests(formatted: DataFrame, template: Template | None = None) -> DataFrame:
@@ -150,4 +152,4 @@ def conversation_digests(formatted: DataFrame, template: Template | None = None)
         if s is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(done(), schema)], schema=schema)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, first_bad_turn long")
+    return lean(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, first_bad_turn long")

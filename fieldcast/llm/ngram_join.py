@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, pieces, saved, utf8, word_spans
+from .common import hash_words, lean, mix, pieces, saved, utf8, word_spans
 from .components import components
 
 GROUPS = 64
@@ -105,10 +105,22 @@ def prefix(s: np.ndarray, heavy: Heavy) -> np.ndarray:
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
     raw, off = utf8(batch.column("_text"))
-    for i, j in pieces(off, 2 << 20):
+    for i, j in pieces(off, 1 << 20):
         yield from shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], width)
 
 
+def _parts(sets: Iterator[np.ndarray], most: int = 1_000_000) -> Iterator[list[np.ndarray]]:
+    """The sets in lists of about so many shingles."""
+    held, size = [], 0
+    for s in sets:
+        held.append(s)
+        size += len(s)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    yield held
+
+
 def _blobs(buckets: int, keys: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
     """Rows of (bucket, packed keys, packed values)."""
     at = (keys % np.uint64(buckets)).astype(np.int64)
@@ -134,10 +146,11 @@ def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, m
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, n = np.unique(np.concatenate([*_sets(b, width), np.zeros(0, np.uint64)]), return_counts=True)
-            blob = _blobs(buckets, keys, counts=n.astype(np.int32))
-            high = [np.ascontiguousarray(np.frombuffer(k, np.uint32)[1::2]).tobytes() for k in blob.column("keys").to_pylist()]
-            yield pa.RecordBatch.from_arrays([blob.column("bucket"), pa.array(high, pa.binary()), blob.column("counts")], names=["bucket", "keys", "counts"])
+            for sets in _parts(_sets(b, width)):
+                keys, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+                blob = _blobs(buckets, keys, counts=n.astype(np.int32))
+                high = [np.ascontiguousarray(np.frombuffer(k, np.uint32)[1::2]).tobytes() for k in blob.column("keys").to_pylist()]
+                yield pa.RecordBatch.from_arrays([blob.column("bucket"), pa.array(high, pa.binary()), blob.column("counts")], names=["bucket", "keys", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, counts = None, [], []
@@ -162,8 +175,8 @@ def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, m
         if keys:
             yield total()
 
-    packed = texts.mapInArrow(count, "bucket int, keys binary, counts binary")
-    heavy = saved(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "code long, level int"))
+    packed = lean(texts, count, "bucket int, keys binary, counts binary")
+    heavy = saved(lean(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), add, "code long, level int"))
     have, floor = 0, 63
     number = {r["level"]: r["count"] for r in heavy.groupBy("level").count().collect()}
     while floor > 0 and have + number.get(floor, 0) <= most:
@@ -179,14 +192,16 @@ def _ties(texts: DataFrame, heavy: Heavy, buckets: int, width: int, pair_run: in
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen, keys, owners = set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for s in _sets(b, width):
-                c = class_of(s)
-                if len(s) and c not in seen:
-                    seen.add(c)
-                    keys.append(prefix(s, shared.value))
-                    owners.append(np.full(len(keys[-1]), c))
-            yield _blobs(buckets, np.concatenate(keys), owners=np.concatenate(owners))
+            seen = set()
+            for sets in _parts(_sets(b, width)):
+                keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for s in sets:
+                    c = class_of(s)
+                    if len(s) and c not in seen:
+                        seen.add(c)
+                        keys.append(prefix(s, shared.value))
+                        owners.append(np.full(len(keys[-1]), c))
+                yield _blobs(buckets, np.concatenate(keys), owners=np.concatenate(owners))
 
     def rows(pair: np.ndarray, many: bool) -> pa.RecordBatch:
         pair = np.unique(np.sort(pair, axis=0), axis=1)
@@ -240,8 +255,8 @@ def _ties(texts: DataFrame, heavy: Heavy, buckets: int, width: int, pair_run: in
             yield merge()
             yield pairs()
 
-    packed = texts.mapInArrow(emit, "bucket int, keys binary, owners binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tie, "a long, b long, many boolean")
+    packed = lean(texts, emit, "bucket int, keys binary, owners binary")
+    return lean(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), tie, "a long, b long, many boolean")
 
 
 def _within_bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -265,7 +280,7 @@ def _within_bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 on[at] = (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (7 * np.minimum(x, y).sum(1) >= 3 * (m + n)) | full
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(on)) for c in "ab"], names=["a", "b"])
 
-    return pairs.select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+    return lean(pairs.select("a", "b", "ca", "cb"), run, "a long, b long")
 
 
 class RTree:
@@ -411,7 +426,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, bucket_shingles: int = 1
                 v.append(np.minimum(count_vector(s, groups_of(len(s))), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(v, pa.binary())], names=["doc_id", "_id", "n_shingles", "name", "counts"])
 
-    known = saved(own.mapInArrow(describe, f"doc_id {kind}, _id long, n_shingles long, name long, counts binary"))
+    known = saved(lean(own, describe, f"doc_id {kind}, _id long, n_shingles long, name long, counts binary"))
     vectors = known.filter("name IS NOT NULL").select("name", "counts").dropDuplicates(["name"])
     known = known.drop("counts")
     classes = known.filter("name IS NOT NULL").groupBy("name").agg(F.min("_id").alias("_id"), F.first("n_shingles").alias("n"))
@@ -436,11 +451,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, bucket_shingles: int = 1
             take = pa.array(same, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("cell", "blocks", "name")] + [pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["cell", "blocks", "name", "shingles"])
 
-    points = held.mapInArrow(gather, "cell long, blocks int, name long, shingles binary")
+    points = lean(held, gather, "cell long, blocks int, name long, shingles binary")
     block = F.pmod("name", F.col("blocks")).cast("int")
     everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.when(k == block, 0).otherwise(1).alias("role")))
     dealt = points.withColumn("_p", F.explode(everywhere)).select("cell", "_p.block", "_p.role", "name", "shingles")
-    links = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "role", "name").mapInArrow(_link_cells, "a long, b long")
+    links = lean(dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "role", "name"), _link_cells, "a long, b long")
     roots = components(links)
 
     best = classes.join(roots, F.col("name") == F.col("node"), "left").select("name", "_id", F.coalesce("root", "name").alias("root"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import lean, utf8
 
 KINDS = ("assign", "access", "hex", "random")
 _ANY = "".join
@@ -128,7 +128,7 @@ def secret_spans(docs: DataFrame, vocabulary: str, text: str = "text", keep: lis
                     clean[r] = redact(x, found)
             yield pa.RecordBatch.from_arrays([*b.drop_columns(["_text"]).columns, pa.array(spans, kind), pa.array(clean, pa.string())], names=[*keep, "spans", "redacted"])
 
-    return d.mapInArrow(run, f"{kinds}, spans array<struct<kind:string,start:long,end:long>>, redacted string")
+    return lean(d, run, f"{kinds}, spans array<struct<kind:string,start:long,end:long>>, redacted string")
 
 
 def _candidates(raw: np.ndarray) -> Iterator[np.ndarray]:

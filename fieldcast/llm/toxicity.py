@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, pieces, utf8, word_spans
+from .common import hash_words, lean, pieces, utf8, word_spans
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x30:0x3A] = _LETTERS[0x61:0x7B] = _LETTERS[0x80:] = True
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
                 sets += [bucket[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_y"), pa.array(sets, pa.binary())], names=["doc_id", "_y", "_set"])
 
-    got = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, _y int, _set binary").toPandas().sort_values("doc_id", kind="stable")
+    got = lean(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, _y int, _set binary").toPandas().sort_values("doc_id", kind="stable")
     if not len(got):
         return train([], np.zeros(0), share, s)
     return train([np.frombuffer(x, np.int32) for x in got["_set"]], got["_y"].to_numpy(np.float64), share, s)
@@ -166,4 +166,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 out.append(sigmoid(m.raw_scores(row, bucket, j - i)))
             yield pa.RecordBatch.from_arrays([*b.drop_columns(["_text"]).columns, pa.array(np.concatenate(out), pa.float64())], names=[*keep, "score"])
 
-    return d.mapInArrow(run, f"{kinds}, score double")
+    return lean(d, run, f"{kinds}, score double")

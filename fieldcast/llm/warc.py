@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import lean, saved
 
 _URN = "urn:page:"
 SMALL_GROUPS = 50_000  # of about 100 bytes: 5 MB
@@ -90,7 +90,7 @@ def write_warc(pages: DataFrame, folder: str, smallest: int = 100, file_bytes: i
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], names=["path", "records", "bytes"])
 
-    return d.mapInArrow(run, "path string, records long, bytes long")
+    return lean(d, run, "path string, records long, bytes long")
 
 
 class Reader:
@@ -153,4 +153,4 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
 
-    return files.mapInArrow(run, schema)
+    return lean(files, run, schema)
