@@ -117,7 +117,7 @@ def secret_spans(docs: DataFrame, vocabulary: str, text: str = "text", keep: lis
         for b in batches:
             raw, off = utf8(b.column("_text"))
             rows = set()
-            for at in _candidates(raw):
+            for at in _candidates(raw, off):
                 rows.update(np.unique(np.searchsorted(off, at, side="right") - 1).tolist())
             spans, clean = [[] for _ in range(b.num_rows)], [None] * b.num_rows
             for r in rows:
@@ -131,8 +131,8 @@ def secret_spans(docs: DataFrame, vocabulary: str, text: str = "text", keep: lis
     return lean(d, run, f"{kinds}, spans array<struct<kind:string,start:long,end:long>>, redacted string")
 
 
-def _candidates(raw: np.ndarray) -> Iterator[np.ndarray]:
-    """Byte positions in all texts that can be in a span; what crosses two texts is dropped later."""
+def _candidates(raw: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
+    """Byte positions in all texts that can be in a span; of a run of key characters in a text, its start."""
     data = raw.tobytes()
     low = data.translate(_LOWER)
     for name in _NAMES:
@@ -140,14 +140,14 @@ def _candidates(raw: np.ndarray) -> Iterator[np.ndarray]:
     yield np.array(_finds(data, b"AKIA"), np.int64)
     yield _runs(_IS_HEX[raw], 24)
     at = _runs(_IS_KEY[raw], 20)
+    row = np.searchsorted(off, at, side="right") - 1
+    inside = at + 20 <= off[row + 1]
+    at, row = at[inside], row[inside]
     if len(at):
         digits = np.concatenate([[0], np.cumsum(_IS_DIGIT[raw], dtype=np.int32)])
-        has = np.zeros(len(at), bool)
-        cut = np.flatnonzero(np.diff(at) > 1)
+        cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(row) > 0))  # runs end where their row ends
         first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])
-        ok = digits[np.minimum(at[last] + 20, len(raw))] > digits[at[first]]
-        has[first[ok]] = True
-        yield at[has]
+        yield at[first[digits[at[last] + 20] > digits[at[first]]]]
 
 
 def span_text(spans) -> F.Column:
