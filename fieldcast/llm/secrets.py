@@ -1,8 +1,9 @@
 """Secret scans: fixed formats, and a token-efficiency test for random strings.
 
-Base kinds are patterns over the whole text. The method adds kind ``random``: a long run of key characters with letters and
-digits that a byte-pair vocabulary needs many tokens for (few characters a token) is a random string; known digests (hex of
-a digest's length), UUIDs and identifiers made of words are left out. Byte-level NumPy tests over whole Arrow batches find
+Base kinds are patterns over the whole text. The method adds kind ``random``: a long run of key characters, or a stretch
+of it, with letters and digits or 20 letters in a row, that a byte-pair vocabulary needs many tokens for (few characters a
+token) is a random string; known digests (hex of a digest's length), UUIDs and identifiers made of words are left out, and
+what a base span covers is not given again. Byte-level NumPy tests over whole Arrow batches find
 the texts that can match at all; only these are decoded and searched. Nothing is shuffled.
 
 Defined cases: null text is empty and has no spans; ties can't occur, as spans of a kind don't overlap; repeated rows each
@@ -33,6 +34,9 @@ _HEX = re.compile("[0-9a-f]{24,}")
 _RUN = re.compile("[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile("[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile("(?:[0-9a-f]+|[0-9A-F]+)")
+_KNOWN = re.compile(f"(?<![A-Za-z0-9])(?:{_UUID.pattern}|[0-9a-f]{{32,}}|[0-9A-F]{{32,}})(?![A-Za-z0-9])")
+_PART = re.compile("[A-Za-z0-9+]+|[=/_-]+")
+_LETTERS = re.compile("[A-Za-z]{20,}")
 _DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 _WORDS = re.compile("[_/+=-]*(?:[A-Za-z]?[a-z]{3,}[0-9]{0,4}|[A-Z]{3,}[0-9]{0,4}|[0-9]{1,8})(?:[_/+=-]+(?:[A-Za-z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,8}))*[_/+=-]*")
 
@@ -40,7 +44,6 @@ _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _IS_HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _IS_KEY = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"))
-_IS_DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 
 
 def _finds(data: bytes, what: bytes) -> list[int]:
@@ -72,14 +75,61 @@ def load_encoding(vocabulary: str):
 
 
 def is_random(s: str, encoding, chars_per_token: float) -> bool:
-    """Letters and digits, not a digest, UUID or identifier of words, and few characters a token."""
-    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+    """Letters with digits, or many letters in a row (8 kinds at least); not a digest, UUID or identifier of words, and few characters a token."""
+    letters = any(len(set(m[0].lower())) >= 8 for m in _LETTERS.finditer(s))
+    if not (any(c.isalpha() for c in s) and (letters or any(c.isdigit() for c in s))):
         return False
-    if _DIGEST.fullmatch(s) and len(s) in _DIGEST_LENGTHS or _UUID.fullmatch(s) or _WORDS.fullmatch(s):
+    if _DIGEST.fullmatch(s) and len(s) in _DIGEST_LENGTHS or _UUID.fullmatch(s) or not letters and _WORDS.fullmatch(s):
         return False
     return len(s) / len(encoding.encode_ordinary(s)) < chars_per_token
 
 
+def random_parts(s: str, encoding, chars_per_token: float) -> list[tuple[int, int]]:
+    """Stretches of a run that are random strings: the run, or what is left of it without UUIDs and digests, or in these the
+    tokens that are shortest together, out to the next separators where the stretch stays random; then both sides of it."""
+    out, todo = [], [(0, len(s))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 20:
+            continue
+        known = next((m for m in _KNOWN.finditer(s, a, b) if "-" in m[0] or len(m[0]) in _DIGEST_LENGTHS), None)
+        rest = s[a : known.start()] + s[known.end() : b] if known else ""
+        if known and len(rest) < 20 and not any(c.isdigit() for c in rest):  # a name and its UUID or digest
+            continue
+        if is_random(s[a:b], encoding, chars_per_token):
+            out.append((a, b))
+            continue
+        if known:
+            todo += [(a, known.start()), (known.end(), b)]
+            continue
+        best, total, begin, span, at = 0.0, 0.0, a, None, a
+        for m in _PART.finditer(s, a, b):
+            at = m.start()
+            if not m[0][0].isalnum():  # separators count for neither side
+                continue
+            for t in encoding.encode_ordinary(m[0]):
+                if total <= 0:
+                    total, begin = 0.0, at
+                k = len(encoding.decode_single_token_bytes(t))
+                total, at = total + chars_per_token - k, at + k
+                if total > best:
+                    best, span = total, (begin, at)
+        if span is None:
+            continue
+        i, j = span
+        x, y = i, j
+        while x > a and s[x - 1] not in "=/_-":
+            x -= 1
+        while y < b and s[y] not in "=/_-":
+            y += 1
+        wide = [(p, q) for p, q in ((x, y), (i, y), (x, j), (i, j)) if q - p >= 20 and (p, q) != (a, b) and is_random(s[p:q], encoding, chars_per_token)]
+        if wide:
+            i, j = wide[0]
+            out.append((i, j))
+        todo += [(a, i), (j, b)]
+    return sorted(out)
+
+
 def find_spans(text: str, encoding, chars_per_token: float) -> list[tuple[int, str, int]]:
     """(start, kind, end) of one text, by start and kind."""
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 6]
@@ -87,9 +137,16 @@ def find_spans(text: str, encoding, chars_per_token: float) -> list[tuple[int, s
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = sorted(out)
     for m in _RUN.finditer(text):
-        a, b = m.span()
-        if not any(x < b and a < y for x, _, y in base) and is_random(m[0], encoding, chars_per_token):
-            out.append((a, 3, b))
+        for i, j in random_parts(m[0], encoding, chars_per_token):
+            at, end = m.start() + i, m.start() + j
+            for x, _, y in base:  # by start; what is left between them
+                if x >= end:
+                    break
+                if at < x:
+                    out.append((at, 3, x))
+                at = max(at, y)
+            if at < end:
+                out.append((at, 3, end))
     return [(a, KINDS[k], b) for a, k, b in sorted(out)]
 
 
@@ -144,10 +201,8 @@ def _candidates(raw: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
     inside = at + 20 <= off[row + 1]
     at, row = at[inside], row[inside]
     if len(at):
-        digits = np.concatenate([[0], np.cumsum(_IS_DIGIT[raw], dtype=np.int32)])
         cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(row) > 0))  # runs end where their row ends
-        first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])
-        yield at[first[digits[at[last] + 20] > digits[at[first]]]]
+        yield at[np.concatenate([[0], cut + 1])]
 
 
 def span_text(spans) -> F.Column:

@@ -19,3 +19,32 @@ def test_batches_do_not_matter(spark, monkeypatch, rows):
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.secret_spans(df, PATH).collect()}
     want = {i: [(k, a, b) for a, k, b in secrets.find_spans(x or "", encoding, 2.0)] for i, x in enumerate(texts)}
     assert got == want and sum(map(len, want.values())) == 7
+
+
+def _covered(text, key, encoding):
+    at = text.index(key)
+    hit = set()
+    for a, _, b in secrets.find_spans(text, encoding, 2.0):
+        hit.update(range(a, b))
+    return set(range(at, at + len(key))) <= hit
+
+
+def test_keys_in_longer_runs():
+    import random
+    import string
+
+    rng, encoding = random.Random(4), secrets.load_encoding(PATH)
+    for letters, least in ((string.ascii_letters + string.digits, 0.99), (string.ascii_lowercase + string.digits, 0.97), (string.ascii_letters, 0.99)):
+        for before in ("", "production_database_credential=", "/documents/download/reports/"):
+            keys = ["".join(rng.choice(letters) for _ in range(20)) for _ in range(300)]
+            assert sum(_covered(f"see {before}{k} here", k, encoding) for k in keys) >= least * len(keys)
+
+
+def test_base_spans_are_subtracted_and_words_stay():
+    encoding = secrets.load_encoding(PATH)
+    hexa = "0123456789abcdef01234567"
+    x = f"Zq9X2vLw8ZrTnBkQ{hexa}XmPz7YdRw3Kt9Lq"
+    spans = secrets.find_spans(x, encoding, 2.0)
+    assert [k for _, k, _ in spans] == ["random", "hex", "random"] and all(a[2] == b[0] for a, b in zip(spans, spans[1:])) and (spans[0][0], spans[-1][2]) == (0, len(x))
+    for word in ("internationalization_of_configuration", "Donaudampfschifffahrtsgesellschaft", "/documents/download/reports/2024/index", "id=123e4567-e89b-12d3-a456-426614174000"):
+        assert secrets.find_spans(word, encoding, 2.0) == []
