@@ -1,6 +1,7 @@
 """Document pipeline of five stages; each works on what the one before it kept.
 
-toxicity: documents with a score of 0.7 or more go. ngram_join: of each component only the smallest doc_id stays.
+toxicity: documents with a score of 0.7 or more go. ngram_join: of each component only the smallest doc_id stays
+(of equal or null ids, the row of the smallest text).
 decontamination: documents with a benchmark window go. secrets: found spans are replaced in the text; all documents stay.
 packing: the rest is packed into sequences of 2048 tokens.
 """
@@ -13,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm.common import shared_dir, table
+from fieldcast.llm.common import shared_dir, table, written
 from fieldcast.llm.decontamination import contamination
 from fieldcast.llm.ngram_join import jaccard_components
 from fieldcast.llm.queries import packed, toxicity_scores
@@ -27,11 +28,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    later = jaccard_components(docs).filter("NOT doc_id <=> component_id").select("doc_id").distinct()
+    columns, key = docs.columns, "doc_id"
+    named = docs
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated or null ids: rows are told apart by their order
+        key = "_row"
+        rows = docs.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text")  # repeated rows are one document
+        docs = written(rows.withColumn(key, F.monotonically_increasing_id()), "rows")
+        named = docs.select(F.col(key).alias("doc_id"), "text")
+    later = jaccard_components(named).filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias(key)).distinct()
     few = later.limit(FEW_IDS + 1).count() <= FEW_IDS
-    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows are one document
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    return docs.join(F.broadcast(later) if few else later, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(later) if few else later, key, "left_anti").select(columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
