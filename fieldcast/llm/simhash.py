@@ -1,20 +1,22 @@
 """SimHash fingerprints of 128 bits, in DataFrame functions only.
 
 A term is a pair of neighbouring words; its weight (1 to 4) grows with its letters. Each term's hash votes with its weight
-on 128 bits; votes are kept as two 32-bit lanes per long, so one hash aggregation of 64 sums counts them in generated code.
-A bit is set where more than half of the weight votes for it. ``near`` finds all pairs within a Hamming radius by block
-tables: with radius r, two such fingerprints agree in one of r + 1 blocks at least; equal fingerprints are joined once.
-
-Defined cases: null text is empty; texts without words have one empty term, so they share a fingerprint; null ids come
-first in order; equal ids are ordered by text; repeated rows each get a row (their votes add up, which moves no bit); the
-only document is its own next; an empty table gives an empty result; other columns are ignored.
+on 128 bits; a bit is set where more than half of the weight votes for it. Votes are counted in two steps of generated code:
+first in chunks of 31 terms, eight 8-bit lanes to a long (16 sums a term), then over a document's chunks in 32-bit lanes.
+A text and its edited text share the words before the cut, so these are split, hashed and counted once.
+
+Documents are dealt once, to ranges of ids; order, votes and the next document's fingerprint all follow from that one shuffle.
+``near`` finds all pairs within a Hamming radius by block tables: with radius r, two such fingerprints agree in one of r + 1
+blocks at least. Equal fingerprints are one entry; a block value that many share is parted again by blocks of its other bits.
+
+Defined cases: null text is empty; texts without words have one empty term, so they share a fingerprint; very long texts are
+counted in chunks like all others; null ids come first in order; equal ids are ordered by a hash of their text, then by text;
+repeated rows each get a row; the only document is its own next; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,75 +24,106 @@ from pyspark.sql.window import Window
 from .common import saved
 
 BITS = 128
-_LANES = 0x0000000100000001
-_BUCKET_ROWS = 2048
+CHUNK = 31  # of weights up to 4: a lane of the highest byte stays under 128
+_BYTES = 0x0101010101010101
+_LANES = 0x000000FF000000FF
+_BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
+RANGE_ROWS = 256
+LEVEL = 1024
+
+
+def words(text: Column) -> Column:
+    """Lower-cased; sigma is the one letter whose lower case depends on what stands beside it."""
+    return F.array_remove(F.split(F.lower(F.replace(text, F.lit("Σ"), F.lit("σ"))), f"{_BETWEEN}+"), "")
 
 
-def terms(text: Column) -> Column:
-    """Hashes of word pairs, with weight - 1 in the low two bits."""
-    words = F.filter(F.split(F.lower(text), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.shiftright(F.xxhash64(w), 4) * 16 + F.least(F.lit(15), F.length(w)))
-    words_or_none = F.when(F.size(hashed) == 0, F.array(F.xxhash64(F.lit("")))).otherwise(hashed)
+def pairs(words: Column) -> Column:
+    """Structs (0, 1) of each word and the one after it; the last has none."""
+    return F.arrays_zip(F.slice(words, 1, 2147483647), F.slice(words, 2, 2147483647))
 
-    def pair(a: Column, b: Column) -> Column:
-        b = F.coalesce(b, F.lit(0).cast("long"))
-        weight = F.least(F.lit(3), F.floor((a.bitwiseAND(15) + b.bitwiseAND(15)) / 6)).cast("long")
-        return F.shiftright(F.xxhash64(a, b), 2) * 4 + weight
 
-    return F.zip_with(words_or_none, F.slice(words_or_none, 2, 2147483647), lambda a, b: pair(a, b))
+def votes(rows: DataFrame, keys: list[str], which: str, pair_array: str) -> DataFrame:
+    """Per key, ``which`` and chunk of terms: ``_total`` weight and byte lanes ``_c{word}_{i}`` of the bits 8j + i."""
+    t = rows.select(*keys, which, F.posexplode(pair_array).alias("_p", "_t"))
+    a, b = F.col("_t")["0"], F.col("_t")["1"]
+    letters = F.least(F.lit(15), F.length(a)) + F.least(F.lit(15), F.coalesce(F.length(b), F.lit(0)))
+    t = t.select(*keys, which, F.expr(f"_p div {CHUNK}").alias("_chunk"), F.xxhash64(a, b).alias("_h0"), (F.least(F.lit(18), letters) / 6).cast("long").alias("_w"))
+    t = t.select(*keys, which, "_chunk", "_h0", F.xxhash64("_h0").alias("_h1"), (F.col("_w") + 1).alias("_w"))
+    lane = [F.expr(f"sum((shiftright(_h{k}, {i}) & {_BYTES}L) * _w) AS _c{k}_{i}") for k in (0, 1) for i in range(8)]
+    return t.groupBy(*keys, which, "_chunk").agg(F.sum("_w").alias("_total"), *lane)
 
 
-def fingerprints(keyed: DataFrame, keys: list[str], term_array: str) -> DataFrame:
-    """One row per key with longs ``f0`` and ``f1`` and the number of terms ``n_rows``, from rows of term arrays."""
-    rows = keyed.select(*keys, F.explode(term_array).alias("_t")).select(*keys, F.xxhash64("_t").alias("_h0"), F.xxhash64("_t", F.lit(1)).alias("_h1"), (F.col("_t").bitwiseAND(3) + 1).alias("_w"))
-    lane = [F.sum(F.shiftright(f"_h{k}", i).bitwiseAND(F.lit(_LANES)) * F.col("_w")).alias(f"_v{k}_{i}") for k in (0, 1) for i in range(32)]
-    votes = rows.groupBy(*keys).agg(F.sum("_w").alias("_total"), F.count(F.lit(1)).alias("n_rows"), *lane)
+def fingerprints(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key with longs ``f0`` and ``f1``."""
+    lane = [F.expr(f"sum(shiftright(_c{k}_{m % 8}, {m - m % 8}) & {_LANES}L) AS _v{k}_{m}") for k in (0, 1) for m in range(32)]  # bits m and m + 32
+    counted = chunks.groupBy(*keys).agg(F.sum("_total").alias("_total"), *lane)
 
     def word(k: int) -> Column:
-        bits = []
-        for i in range(32):
-            low, high = F.col(f"_v{k}_{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"_v{k}_{i}", 32)
-            bits += [F.when(low * 2 > F.col("_total"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")]
-            bits += [F.when(high * 2 > F.col("_total"), F.lit((1 << (i + 32)) - (1 << 64 if i == 31 else 0))).otherwise(F.lit(0)).cast("long")]
-        return reduce(lambda a, b: a.bitwiseOR(b), bits)
+        low = [f"if((_v{k}_{i} & 4294967295L) * 2 > _total, {_signed(1 << i)}L, 0L)" for i in range(32)]
+        high = [f"if(shiftrightunsigned(_v{k}_{i}, 32) * 2 > _total, {_signed(1 << (i + 32))}L, 0L)" for i in range(32)]
+        return F.expr(" | ".join(low + high))
 
-    return votes.select(*keys, "n_rows", word(0).alias("f0"), word(1).alias("f1"))
+    return counted.select(*keys, word(0).alias("f0"), word(1).alias("f1"))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def distance(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return (F.bit_count(a0.bitwiseXOR(b0)) + F.bit_count(a1.bitwiseXOR(b1))).cast("long")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_id, next_text): the next document by ascending doc_id, the first after the last.
+def _upto(bounds: Column, x: Column, most: int) -> Column:
+    """How many of the sorted bounds (``most`` or fewer) are at most x, by binary search."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, most.bit_length())))))
+    return F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.get(bounds, at + k - 1) <= x, at + k).otherwise(at))
+
+
+def _ranges(d: DataFrame, rows: int, level: int) -> tuple[DataFrame, int]:
+    """Add ``_b``, ascending with (_o, _h), for ranges of about so many rows; and their greatest number.
 
-    Documents are dealt to ranges of ids (bounds are approximate percentiles, found by binary search); each range also
-    gets the first row of the next one, so no window spans more than a range.
+    Bounds are approximate percentiles of ids. Where these are too many for one list, or one id has whole ranges to itself,
+    each range is cut again, by ids or (within one id) by hashes of texts. The second lists are one row for each first range.
     """
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_o", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     n = d.count()
-    ranges = min(1 << 14, max(1, n // _BUCKET_ROWS))
-    if ranges == 1:
-        bucket = F.lit(0)
-    else:
-        shares = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
-        bounds = sorted(set(d.agg(F.percentile_approx("_o", shares, 100 * ranges)).first()[0]))
-        table = F.array(*map(F.lit, bounds))
-        steps = [1 << k for k in reversed(range(max(1, math.ceil(math.log2(len(bounds) + 1)))))]
-
-        def step(at: Column, k: Column) -> Column:
-            return F.when((at + k <= len(bounds)) & (F.element_at(table, F.least(at + k, F.lit(len(bounds)))) <= F.col("_o")), at + k).otherwise(at)
-
-        bucket = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
-    d = d.withColumn("_b", bucket)
-    firsts = d.groupBy("_b").agg(F.min("_o").alias("_first"))
+    first = min(level, max(1, n // rows))
+    if first == 1:
+        return d.withColumn("_b", F.lit(0).cast("long")), 1
+    shares = lambda k: F.array(*(F.lit(i / k) for i in range(1, k)))
+    found = d.agg(F.percentile_approx("_o", shares(first), 100 * first)).first()[0]
+    hot = {x for x in found if found.count(x) > 1}
+    bounds = sorted({*found, *(x + 1 for x in hot)})
+    d = d.withColumn("_b", _upto(F.array(*map(F.lit, bounds)), F.col("_o"), len(bounds)).cast("long"))
+    if not hot and n // rows <= level:
+        return d, first
+    second = min(level, max(2, -(-n // (rows * first)), *(-(-n * found.count(x) // (first * rows)) for x in hot)))
+    cut = lambda c: F.array_distinct(F.percentile_approx(c, shares(second), 100 * second))
+    lists = d.groupBy("_b").agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"), cut("_o").alias("_bo"), cut("_h").alias("_bh"))
+    one = F.col("_lo") == F.col("_hi")
+    lists = lists.select(F.col("_b").alias("_b1"), one.alias("_one"), F.when(one, F.col("_bh")).otherwise(F.col("_bo")).alias("_list"))
+    d = d.join(F.broadcast(lists), F.col("_b") == F.col("_b1"))  # at most 2 * level lists of level longs: 16 MB
+    at = _upto(F.col("_list"), F.when(F.col("_one"), F.col("_h")).otherwise(F.col("_o")), second)
+    return d.withColumn("_b", F.col("_b") * (2 * level) + at).drop("_b1", "_one", "_list"), len(bounds) * second
+
+
+def with_next(docs: DataFrame, rows: int = RANGE_ROWS, level: int = LEVEL) -> DataFrame:
+    """(_b, _r, doc_id, text, next_text, _x): documents in order, by range and place; the next of the last is the first.
+
+    Each range also has a copy of the next range's first row (``_x`` is 1), so no window spans more than a range.
+    """
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.withColumns({"_o": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64("text")})
+    d, most = _ranges(d, rows, level)
+    firsts = d.groupBy("_b").agg(F.min(F.struct("_o", "_h")).alias("_f"))
     before = F.coalesce(F.lag("_b").over(Window.orderBy("_b")), F.max("_b").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    firsts = firsts.select("_first", before.alias("_to"))  # one row per range: 16384 at most
-    heads = d.drop("_b").join(F.broadcast(firsts), F.col("_o") == F.col("_first")).groupBy("_to").agg(F.min(F.struct("_o", "text", "doc_id")).alias("_h"))
-    extra = heads.select(F.col("_h.doc_id").alias("doc_id"), F.col("_h.text").alias("text"), F.col("_h._o").alias("_o"), F.col("_to").alias("_b"), F.lit(1).alias("_x"))
-    own = Window.partitionBy("_b").orderBy("_x", "_o", "text")
+    firsts = firsts.select(F.col("_f._o").alias("_fo"), F.col("_f._h").alias("_fh"), before.alias("_to"))  # one row per range
+    same = (F.col("_o") == F.col("_fo")) & (F.col("_h") == F.col("_fh"))
+    heads = d.drop("_b").join(F.broadcast(firsts) if most <= 1 << 17 else firsts, same).groupBy("_to").agg(F.min(F.struct("_o", "_h", "text", "doc_id")).alias("_f"))
+    extra = heads.select("_f.doc_id", "_f.text", "_f._o", "_f._h", F.col("_to").alias("_b"), F.lit(1).alias("_x"))
+    own = Window.partitionBy("_b").orderBy("_x", "_o", "_h", "text")
     both = d.withColumn("_x", F.lit(0)).unionByName(extra)
-    return both.select("doc_id", "text", "_x", F.lead("doc_id").over(own).alias("next_id"), F.lead("text").over(own).alias("next_text")).filter("_x = 0").drop("_x")
+    return both.select("_b", F.row_number().over(own).alias("_r"), "doc_id", "text", F.lead("text").over(own).alias("next_text"), "_x")
 
 
 def _as_longs(hex_text: Column) -> list[Column]:
@@ -103,28 +136,39 @@ def _as_hex(*longs: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in longs)))
 
 
-def edited_and_next(docs: DataFrame) -> DataFrame:
+def edited_and_next(docs: DataFrame, radius: int = 5, rows: int = RANGE_ROWS, level: int = LEVEL) -> DataFrame:
     """Fingerprint of each text, of its edited text and of the next document, with their likeness.
 
-    Texts are shuffled once. All that is known of a row goes through the vote count as longs of its key; equal rows share a
-    key, and are told apart again by their count of terms.
+    ``n_near``, for ids divisible by 100 (else null): how many other rows have a fingerprint within ``radius``.
     """
+    c = F.col
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    base = with_next(docs).withColumn("edited", F.concat(F.left("text", n - cut), F.left("next_text", cut)))
-    key = lambda c: F.xxhash64(c, F.length(c))
-    sha = [x.alias(f"s{k}") for k, x in enumerate(_as_longs(F.sha2("edited", 256)))]
-    row = ["doc_id", "next_id", "n_chars", "k", "kn", "s0", "s1", "s2", "s3"]
-    known = base.select("doc_id", "next_id", n.cast("long").alias("n_chars"), key("text").alias("k"), key("next_text").alias("kn"), *sha, F.posexplode(F.array("text", "edited")).alias("which", "_x"))
-    known = known.withColumn("_terms", terms(F.col("_x"))).withColumn("n_terms", F.size("_terms"))
-    votes = fingerprints(known, [*row, "which", "n_terms"], "_terms")
-    own, other = F.col("which") == 0, F.col("which") == 1
-    one = lambda of, c: F.max(F.when(of, F.col(c)))
-    fp = saved(votes.groupBy(*row).agg(one(own, "f0").alias("a0"), one(own, "f1").alias("a1"), one(other, "f0").alias("e0"), one(other, "f1").alias("e1"), F.max(F.when(own, F.col("n_rows") / F.col("n_terms"))).cast("int").alias("copies")))
-    following = fp.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"), F.col("a0").alias("x0"), F.col("a1").alias("x1")).distinct()
-    out = fp.join(following, F.col("next_id").eqNullSafe(F.col("_d")) & (F.col("kn") == F.col("_k")))
-    out = out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    c = F.col
+    base = with_next(docs, rows, level).withColumns({"n_chars": n.cast("long"), "_kept": F.left("text", n - cut)})
+    base = base.withColumn("edited", F.when(c("_x") == 0, F.concat("_kept", F.left("next_text", cut))))
+    base = base.withColumn("_head", F.regexp_extract("_kept", f"(?s)^(.*{_BETWEEN})", 1))  # up to the last whole word
+    base = base.withColumns({f"s{k}": x for k, x in enumerate(_as_longs(F.sha2("edited", 256)))})
+    keys = ["_b", "_r", "_x", "doc_id", "n_chars", "s0", "s1", "s2", "s3"]
+    base = base.withColumns({"_shared": words(c("_head")), "_skip": F.length("_head") + 1})
+
+    for side in ("text", "edited"):  # words that begin in the last shared one or after it; one empty word if there is none at all
+        base = base.withColumn(f"_{side}", F.concat(F.slice("_shared", -1, 1), words(F.substring(c(side), c("_skip"), F.lit(2147483647)))))
+        base = base.withColumn(f"_{side}", pairs(F.when(F.size(f"_{side}") == 0, F.array(F.lit(""))).otherwise(c(f"_{side}"))))
+    base = base.withColumn("_shared", F.slice(pairs(c("_shared")), F.lit(1), F.greatest(F.size("_shared") - 1, F.lit(0))))
+    parts = base.select(*keys, F.posexplode(F.array("_shared", "_text", "_edited")).alias("_which", "_pairs"))
+    chunks = votes(parts, keys, "_which", "_pairs")
+    sides = F.when(c("_which") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(c("_which") - 1))
+    fp = fingerprints(chunks.withColumn("_side", F.explode(sides)), [*keys, "_side"])
+    one = lambda k, f: F.max(F.when(c("_side") == k, c(f)))
+    fp = fp.groupBy(*keys).agg(one(0, "f0").alias("a0"), one(0, "f1").alias("a1"), one(1, "f0").alias("e0"), one(1, "f1").alias("e1"))
+    order = Window.partitionBy("_b").orderBy("_r")
+    fp = saved(fp.withColumns({"x0": F.lead("a0").over(order), "x1": F.lead("a1").over(order)}).filter("_x = 0").drop("_b", "_r", "_x"))
+    own = fp.select("doc_id", c("a0").alias("f0"), c("a1").alias("f1"))
+    asked = own.filter(c("doc_id") % 100 == 0).select("f0", "f1").distinct()
+    copies = own.groupBy(c("f0").alias("g0"), c("f1").alias("g1")).agg(F.count(F.lit(1)).alias("_n"))
+    found = near(asked, own, radius).join(copies, ["g0", "g1"]).groupBy(c("f0").alias("_q0"), c("f1").alias("_q1")).agg((F.sum("_n") - 1).alias("_near"))
+    query = c("doc_id") % 100 == 0
+    out = fp.join(found, query & (c("a0") == c("_q0")) & (c("a1") == c("_q1")), "left")
     return out.select(
         "doc_id",
         "n_chars",
@@ -133,32 +177,46 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
         _as_hex(c("e0"), c("e1")).alias("edited_fingerprint"),
         (1 - distance(c("a0"), c("a1"), c("e0"), c("e1")) / BITS).alias("near_edited"),
         (1 - distance(c("a0"), c("a1"), c("x0"), c("x1")) / BITS).alias("near_next"),
+        c("_near").alias("n_near"),
     )
 
 
-def near(queries: DataFrame, corpus: DataFrame, radius: int) -> DataFrame:
+def _blocks(bits: list[int], n: int) -> list[list[int]]:
+    return [bits[round(k * len(bits) / n) : round((k + 1) * len(bits) / n)] for k in range(n)]
+
+
+def _value(bits: list[int], f: str) -> str:
+    """Hash of these of the 128 bits of f0 and f1 (or g0 and g1), as SQL."""
+    mask = [_signed(sum(1 << (b - 64 * w) for b in bits if b // 64 == w)) for w in (0, 1)]
+    return f"xxhash64({f}0 & {mask[0]}L, {f}1 & {mask[1]}L)"
+
+
+def near(queries: DataFrame, corpus: DataFrame, radius: int, hot: int = 1000) -> DataFrame:
     """(f0, f1, g0, g1, distance): all pairs of a query's and a corpus fingerprint within the radius, each once.
 
-    Both sides are made distinct first, so copies aren't paired; join the result with the rows again for members.
+    Both sides are made distinct first, so copies aren't paired; join the result with the rows again for members. Where more
+    than ``hot`` corpus fingerprints share a block, a pair needs an equal block of its other bits as well, again one of
+    radius + 1, so the entries are dealt to these.
     """
-    blocks = radius + 1
-    cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
-
-    def block(i: int, f0: Column, f1: Column) -> Column:
-        parts = []
-        for w, f in enumerate((f0, f1)):
-            lo, hi = max(cuts[i], 64 * w) - 64 * w, min(cuts[i + 1], 64 * w + 64) - 64 * w
-            if lo < hi:
-                mask = (1 << (hi - lo)) - 1
-                parts.append(F.shiftrightunsigned(f, lo).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1).cast("long")))
-        return F.xxhash64(F.lit(i), *parts)
-
-    def tables(df: DataFrame, a: str, b: str) -> DataFrame:
-        own = df.select(F.col("f0").alias(a), F.col("f1").alias(b)).distinct()
-        return own.select(a, b, F.posexplode(F.array(*(block(i, F.col(a), F.col(b)) for i in range(blocks)))).alias("_i", "_block"))
-
-    q, c = tables(queries, "f0", "f1"), tables(corpus, "g0", "g1")
+    n = radius + 1
+    blocks = _blocks(list(range(BITS)), n)
+    subs = [_blocks([b for b in range(BITS) if b not in own], n) for own in blocks]
+
+    def tables(df: DataFrame, f: str) -> DataFrame:
+        own = df.select(F.col("f0").alias(f"{f}0"), F.col("f1").alias(f"{f}1")).distinct()
+        return own.selectExpr("*", f"posexplode(array({', '.join(_value(x, f) for x in blocks)})) AS (_i, _block)")
+
+    def dealt(t: DataFrame, f: str) -> DataFrame:
+        by = " ".join(f"WHEN _many AND _i = {i} THEN array({', '.join(_value(x, f) for x in subs[i])})" for i in range(n))
+        t = t.join(heavy, ["_i", "_block"], "left").withColumn("_many", F.coalesce("_many", F.lit(False)))
+        return t.selectExpr(f"{f}0", f"{f}1", "_i", "_block", "_many", f"posexplode(CASE {by} ELSE array(0L) END) AS (_j, _sub)")
+
+    q, c = tables(queries, "f"), tables(corpus, "g")
+    heavy = c.groupBy("_i", "_block").agg((F.count(F.lit(1)) > hot).alias("_many")).filter("_many")
+    q, c = dealt(q, "f"), dealt(c, "g").drop("_many")
     d = distance(F.col("f0"), F.col("f1"), F.col("g0"), F.col("g1"))
-    pairs = q.join(c, ["_i", "_block"]).withColumn("distance", d).filter(F.col("distance") <= radius)
-    earlier = reduce(lambda a, b: a | b, (((F.col("_i") > i) & (block(i, F.col("f0"), F.col("f1")) == block(i, F.col("g0"), F.col("g1")))) for i in range(blocks)))
-    return pairs.filter(~earlier).select("f0", "f1", "g0", "g1", "distance")
+    pairs = q.join(c, ["_i", "_block", "_j", "_sub"]).withColumn("distance", d).filter(F.col("distance") <= radius)
+    same = lambda bits: f"{_value(bits, 'f')} = {_value(bits, 'g')}"
+    earlier = [f"_i > {i} AND {same(blocks[i])}" for i in range(n)]
+    earlier += [f"_many AND _i = {i} AND _j > {j} AND {same(subs[i][j])}" for i in range(n) for j in range(n)]
+    return pairs.filter(f"NOT ({' OR '.join(f'({x})' for x in earlier)})").select("f0", "f1", "g0", "g1", "distance")
