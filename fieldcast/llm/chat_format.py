@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import lean
 
@@ -119,10 +120,12 @@ def format_turns(turns: DataFrame, template: Template | None = None) -> DataFram
 def conversation_digests(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """One row per conversation of ``format_turns``' result: what is read back from the text, and FSM validity."""
     template = template or Template()
+    kind = formatted.schema["conv_id"].dataType
+    key = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, s = object(), None
-        schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_()), ("first_bad_turn", pa.int64())])
+        schema = pa.schema([("conv_id", key), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_()), ("first_bad_turn", pa.int64())])
 
         def done() -> list:
             if s["reader"].rest:
@@ -152,4 +155,4 @@ def conversation_digests(formatted: DataFrame, template: Template | None = None)
         if s is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(done(), schema)], schema=schema)
 
-    return lean(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, first_bad_turn long")
+    return lean(formatted, run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, first_bad_turn long")

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Only a local master may go without one: it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fieldcast-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -28,35 +31,62 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder."""
+    """Cut the lineage with a checkpoint in the shared folder (``spark.cleaner.referenceTracking.cleanCheckpoints`` clears it)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_FOLDERS: list[str] = []
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A path of its own in the shared folder, which ``clear`` deletes."""
+    _FOLDERS.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder (columnar, so later reads can prune)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
 
+def clear(spark: SparkSession) -> int:
+    """Delete the tables and archives that this process wrote to the shared folder; call it once results are stored."""
+    n = 0
+    while _FOLDERS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
-BATCH_ROWS = 2000
 
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
-def lean(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with small batches; a worker that has ended its task gives its memory back."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+def lean(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)``; batches are cut by rows and bytes, and a worker that has ended its task gives its memory back."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = max(1, min(BATCH_ROWS, BATCH_BYTES * b.num_rows // max(1, b.nbytes)))
+            for i in range(0, b.num_rows, step):
+                yield b.slice(i, step)
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(cut(batches))
         finally:
             _release()
 
     return df.mapInArrow(call, schema)
 
 
+def with_fields(df: DataFrame, added: str, *gone: str) -> StructType:
+    """The schema of a table without some columns and with others at its end."""
+    return StructType([*(f for f in df.schema.fields if f.name not in gone), *StructType.fromDDL(added).fields])
+
+
 def _release() -> None:
     _POWERS.clear()
     pa.default_memory_pool().release_unused()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, pieces, saved, utf8
+from .common import lean, pieces, saved, utf8, with_fields
 
 _WORD = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _NORMAL = bytes((c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD else 0x20) for c in range(256))
@@ -154,12 +154,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "_hit"]
     own = [c for c in keep if c not in added]
     d = docs.select(*own, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
+    schema = with_fields(d, "n_words long, n_hit long, _hit binary, items array<long>")
     sc = docs.sparkSession.sparkContext
     for k in range(blocks):
         own_items = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         shared = sc.broadcast(Patterns([(r["item_id"], r["text"]) for r in own_items.distinct().toLocalIterator()], window))
-        d = lean(d, _pass(shared, k > 0), f"{kinds}, n_words long, n_hit long, _hit binary, items array<long>")
+        d = lean(d, _pass(shared, k > 0), schema)
         if k + 1 < blocks:
             d = saved(d)
     ids = F.transform(F.array_sort(F.transform("items", lambda x: x.cast("string"))), lambda x: x)

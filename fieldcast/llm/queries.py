@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt_dedup import remove_repeats
 from .chat_format import Template, conversation_digests, format_turns
-from .common import shared_dir, table
+from .common import new_folder, table, written
 from .decontamination import contamination
 from .ngram_join import jaccard_components
 from .packing import pack
@@ -67,12 +65,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    write_warc(table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).collect()
-    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = new_folder(spark, "warc")
+    files = written(write_warc(table(spark, sf_dir, "pages"), folder), "warc-files")
+    return read_warc(spark, folder, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +75,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    """A null doc_id counts as the text of no character."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, utf8
+from .common import lean, utf8, with_fields
 
 KINDS = ("assign", "access", "hex", "random")
 _ANY = "".join
@@ -64,16 +64,20 @@ def _runs(mask: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(m)
 
 
-def load_encoding(vocabulary: str):
-    """A tiktoken encoding from a rank file."""
+def encoding_of(rank_file: bytes):
+    """A tiktoken encoding from a rank file's bytes."""
     import public_tokenizers
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def load_encoding(vocabulary: str):
+    with open(vocabulary, "rb") as f:
+        return encoding_of(f.read())
+
+
 def is_random(s: str, encoding, chars_per_token: float) -> bool:
     """Letters with digits, or many letters in a row (8 kinds at least); not a digest, UUID or identifier of words, and few characters a token."""
     letters = any(len(set(m[0].lower())) >= 8 for m in _LETTERS.finditer(s))
@@ -166,10 +170,12 @@ def secret_spans(docs: DataFrame, vocabulary: str, text: str = "text", keep: lis
     """Add ``spans`` (array of kind, start, end in code points, end exclusive) and ``redacted`` (null where nothing is found)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("spans", "redacted", "_text")]
     d = docs.select(*keep, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "_text")
+    schema = with_fields(d, "spans array<struct<kind:string,start:long,end:long>>, redacted string", "_text")
+    with open(vocabulary, "rb") as f:  # on the driver; tasks get the bytes
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_encoding(vocabulary)
+        encoding = encoding_of(shared.value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             raw, off = utf8(b.column("_text"))
@@ -185,7 +191,7 @@ def secret_spans(docs: DataFrame, vocabulary: str, text: str = "text", keep: lis
                     clean[r] = redact(x, found)
             yield pa.RecordBatch.from_arrays([*b.drop_columns(["_text"]).columns, pa.array(spans, kind), pa.array(clean, pa.string())], names=[*keep, "spans", "redacted"])
 
-    return lean(d, run, f"{kinds}, spans array<struct<kind:string,start:long,end:long>>, redacted string")
+    return lean(d, run, schema)
 
 
 def _candidates(raw: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:

@@ -5,9 +5,10 @@ document has the set of its terms' hash buckets. The model is bias + linear weig
 vectors, fitted by AdaGrad on a bounded sample of labelled rows (``max_rows`` of each class, by a hash of doc_id) over the
 terms whose log-odds differ from 0 by ``least_z`` standard errors, with the bias put back to the classes' true share. Scoring is one pass without a shuffle; the model's size is fixed by its parameters.
 
-Defined cases: null or wordless texts score the bias; null labels and labels without a document are ignored; of repeated
-labels of a document the largest counts; with one class or no labels the score is the smoothed share; repeated documents
-each get a row; an empty table gives an empty result; other columns are kept only by ``keep``.
+Defined cases: null or wordless texts score the bias; very long texts are scored whole, as sets of terms; null labels, labels
+of a null doc_id and labels without a document are ignored; of repeated labels of a document the largest counts; with one
+class or no labels the score is the smoothed share; repeated documents each get a row; an empty table gives an empty result;
+other columns are kept only by ``keep``, but for one named score, which the score replaces.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, lean, pieces, utf8, word_spans
+from .common import hash_words, lean, pieces, utf8, with_fields, word_spans
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x30:0x3A] = _LETTERS[0x61:0x7B] = _LETTERS[0x80:] = True
@@ -153,7 +154,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     """Add ``score``, the probability of label 1."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "_text")]
     d = docs.select(*keep, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "_text")
+    schema = with_fields(d, "score double", "_text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,4 +167,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 out.append(sigmoid(m.raw_scores(row, bucket, j - i)))
             yield pa.RecordBatch.from_arrays([*b.drop_columns(["_text"]).columns, pa.array(np.concatenate(out), pa.float64())], names=[*keep, "score"])
 
-    return lean(d, run, f"{kinds}, score double")
+    return lean(d, run, schema)

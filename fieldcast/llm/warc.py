@@ -1,19 +1,21 @@
 """WARC archives: one gzip member per record, written and read by executors.
 
 ``write_warc`` finds equal payloads by digest with one small aggregation (payloads are never shuffled while the table of
-repeated digests is small; its size is checked) and writes one file or more per task to a shared folder. ``read_warc`` lists
-files with Spark's binaryFile source and runs a sequential reader: incremental zlib decompression in small chunks, framing
-by Content-Length, digest verification. Files are cut at ``file_bytes``, which bounds a reader task's memory.
+repeated digests is small; its size is checked) and writes one file or more per task to a shared folder. Names hold the
+task's attempt, and the returned table lists the files of the attempts that count; those of a lost executor are left aside.
+``read_warc`` lists files with Spark's binaryFile source, takes those of that table and runs a sequential reader: incremental
+zlib decompression in small chunks, framing by Content-Length, digest verification. Files are cut at ``file_bytes``, which
+bounds a reader task's memory.
 
 Defined cases: null html is an empty payload, null url an empty target; a null page_id is never the target of a revisit
-unless all of its group are null; equal page_ids with equal payloads are all responses; an empty table gives no file and an
-empty result; other columns are ignored.
+unless all of its group are null; of tied payloads the smallest page_id is the response, and equal page_ids with equal
+payloads are all responses; very long payloads are records of their own size; repeated rows are a record each; an empty table
+gives no file and an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -53,7 +55,9 @@ def _gzip(data: bytes, level: int) -> bytes:
 
 
 def write_warc(pages: DataFrame, folder: str, smallest: int = 100, file_bytes: int = 16 << 20, level: int = 3) -> DataFrame:
-    """Write all pages; the result (made when it is read) has each file's path, records and bytes."""
+    """Write all pages; the result (made when it is read, so store it) has each file's path, records and bytes."""
+    root = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root.getFileSystem(pages.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(root)
     html = F.coalesce("html", F.lit(""))
     d = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     groups = saved(d.filter(F.col("size") >= smallest).groupBy(F.col("digest").alias("_digest"), F.col("size").alias("_size")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
@@ -67,19 +71,18 @@ def write_warc(pages: DataFrame, folder: str, smallest: int = 100, file_bytes: i
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        part, k, out, n, size, path = TaskContext.get().partitionId(), 0, None, 0, 0, ""
+        task, k, out, n, size, path = TaskContext.get(), 0, None, 0, 0, ""
         done = []
 
         def close() -> None:
             out.close()
-            store.move(f"{root}/.{os.getpid()}-{path}", f"{root}/{path}")
             done.append((path, n, size))
 
         for b in batches:
             for page_id, url, x, digest, length, first in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
-                    path, n, size = f"pages-{part:05d}-{k:04d}.warc.gz", 0, 0
-                    out = store.open_output_stream(f"{root}/.{os.getpid()}-{path}", compression=None)
+                    path, n, size = f"pages-{task.partitionId():05d}-{k:04d}-{task.taskAttemptId()}.warc.gz", 0, 0
+                    out = store.open_output_stream(f"{root}/{path}", compression=None)
                 z = _gzip(_record(page_id, url, x.encode(), digest, length, first), level)
                 out.write(z)
                 n, size = n + 1, size + len(z)
@@ -128,10 +131,17 @@ def _page(urn: str) -> int | None:
     return int(x) if x else None
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record, with the payload of responses; a wrong digest raises an error."""
+def read_warc(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
+    """One row per record, with the payload of responses; a wrong digest raises an error.
+
+    ``files`` is the stored result of ``write_warc``; without it all *.warc.gz of the folder are read.
+    """
     schema = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    if files is not None:
+        names = files.select(F.col("path").alias("_name"))
+        few = names.limit(SMALL_GROUPS + 1).count() <= SMALL_GROUPS
+        found = found.join(F.broadcast(names) if few else names, F.element_at(F.split("path", "/"), -1) == F.col("_name"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
@@ -153,4 +163,4 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
 
-    return lean(files, run, schema)
+    return lean(found.select("content"), run, schema)

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fieldcast.llm import chat_format, decontamination, packing, queries, secrets, sharding, simhash, toxicity, warc
+from fieldcast.llm import chat_format, decontamination, packing, queries, secrets, sharding, toxicity, warc
 
 EDGE = [
     (1, "a b c d e f g h i j k l", "x"),
@@ -124,7 +124,7 @@ def test_index_scores_are_bm25():
         return sum(idf[t] * docs[d].count(t) * 2.2 / (docs[d].count(t) + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for t in set(docs[q]))
 
     want = sorted((x for x in range(n) if not used[x] and bm25(0, x) > 0), key=lambda x: (-bm25(0, x), x))[:6]
-    got = index.neighbours(0, used, 6, 1000)
+    got = index.neighbours(0, used, 6)
     assert np.allclose([bm25(0, x) for x in got], [bm25(0, x) for x in want])
 
 
@@ -189,9 +189,10 @@ def test_secrets(spark, sf_dir, edge, empty):
 # 7
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é" + "x" * 200
-    rows = [(3, "http://a/\r\nb", big), (1, None, big), (2, "u", None), (4, "u", "small"), (5, "u", "small"), (6, "v", big), (7, "w", "y" * 90000), (None, "n", "z" * 120)]
-    folder = f"file://{tmp_path}"
-    written = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, file_bytes=300).collect()
+    rows = [(3, "http://a/\r\nb", big), (1, None, big), (2, "u", None), (4, "u", "small"), (5, "u", "small"), (6, "v", big), (7, "w", "y" * 3_000_000), (None, "n", "z" * 120)]
+    folder = f"file://{tmp_path}/a"
+    df = spark.createDataFrame([(*r, "mine", "mine") for r in rows], "page_id long, url string, html string, digest string, first string")
+    written = warc.write_warc(df, folder, file_bytes=300).collect()
     assert sum(r["records"] for r in written) == len(rows)
     back = {r["page_id"]: r for r in warc.read_warc(spark, folder).collect()}
     for i, _, html in rows:
@@ -202,6 +203,22 @@ def test_warc_round_trip(spark, tmp_path):
         assert back[i]["payload"] == (x if first == i else None)
 
 
+def test_warc_repeated_rows_and_lost_attempts(spark, tmp_path):
+    big = "b" * 150
+    df = spark.createDataFrame([(1, "u", big), (1, "u", big), (2, "u", big)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/b"
+    files = spark.createDataFrame(warc.write_warc(df, folder).collect())
+    warc.write_warc(df, folder).collect()  # files of another attempt stay in the folder
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, folder, files).select("page_id", "record_type", "refers_to").collect())
+    assert got == [(1, "response", None), (1, "response", None), (2, "revisit", 1)]
+
+
+def test_warc_of_an_empty_table(spark, tmp_path):
+    folder = f"file://{tmp_path}/c"
+    assert warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), folder).count() == 0
+    assert warc.read_warc(spark, folder).count() == 0
+
+
 def test_warc_rejects_damage():
     x = b"payload" * 30
     z = bytearray(warc._gzip(warc._record(1, "u", x, "0" * 64, len(x), None), 6))
@@ -209,69 +226,6 @@ def test_warc_rejects_damage():
         list(warc.Reader(memoryview(z[:-9])))
 
 
-# 8
-def test_simhash(spark, sf_dir, edge, empty):
-    for df in (docs_of(spark, sf_dir), edge):
-        rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
-        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        got = sorted(simhash.edited_and_next(df).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"]))
-        assert len(got) == len(rows)
-        by = {}
-        for k, ((d, t), r) in enumerate(zip(rows, got)):
-            nxt = rows[(k + 1) % len(rows)][1]
-            c = len(t) // 4
-            e = t[: len(t) - c] + nxt[:c]
-            assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (d, len(t), hashlib.sha256(e.encode()).hexdigest())
-            assert by.setdefault(t, r["fingerprint"]) == r["fingerprint"]
-        for k, r in enumerate(got):
-            a, e, x = (int(v, 16) for v in (r["fingerprint"], r["edited_fingerprint"], got[(k + 1) % len(got)]["fingerprint"]))
-            assert r["near_edited"] == 1 - (a ^ e).bit_count() / 128 and r["near_next"] == 1 - (a ^ x).bit_count() / 128
-    assert simhash.edited_and_next(empty).count() == 0
-
-
-def test_simhash_with_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "_BUCKET_ROWS", 7)
-    ids = sorted(random.Random(1).sample(range(10**6), 100))
-    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: (r["next_id"], r["next_text"]) for r in simhash.with_next(df).collect()}
-    assert got == {i: (n, f"text {n}") for i, n in zip(ids, ids[1:] + ids[:1])}
-
-
-def test_simhash_votes(spark):
-    """Votes counted in lanes agree with votes counted bit by bit."""
-    t = [x * 4 + x % 4 for x in range(1, 40)]
-    df = spark.createDataFrame([(1, t)], "k long, t array<long>")
-    r = simhash.fingerprints(df, ["k"], "t").first()
-    h = spark.createDataFrame([(x,) for x in t], "t long").select("t", F.xxhash64("t").alias("a"), F.xxhash64("t", F.lit(1)).alias("b")).collect()
-    for name, col in (("f0", "a"), ("f1", "b")):
-        total = sum((x & 3) + 1 for x in t)
-        bits = sum(1 << i for i in range(64) if 2 * sum(((x["t"] & 3) + 1) for x in h if (x[col] >> i) & 1) > total)
-        assert r[name] & (2**64 - 1) == bits
-
-
-def test_simhash_block_tables(spark):
-    rng = random.Random(5)
-    base = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(20)]
-    rows = set()
-    for a, b in base:
-        rows.add((a, b))
-        for n in (1, 2, 3, 4, 5, 9):
-            x = (a << 64) | b
-            for i in rng.sample(range(128), n):
-                x ^= 1 << i
-            rows.add((x >> 64, x & (2**64 - 1)))
-    signed = [tuple(v - 2**64 if v >= 2**63 else v for v in r) for r in rows]
-    df = spark.createDataFrame(signed + signed[:5], "f0 long, f1 long")
-    got = {(r["f0"], r["f1"], r["g0"], r["g1"]): r["distance"] for r in simhash.near(df, df, 4).collect()}
-    want = {}
-    for p in signed:
-        for q in signed:
-            d = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(p, q))
-            if d <= 4:
-                want[(*p, *q)] = d
-    assert got == want
-
-
 # 9
 def test_toxicity_learns_interactions():
     rng = np.random.default_rng(0)
