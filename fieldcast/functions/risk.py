@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The tier labels.
 LOW, MEDIUM, HIGH = "Low Risk", "Medium Risk", "High Risk"
+UNKNOWN = "Unknown"
 ELEVATED = " (Elevated due to uncertainty)"
 
 
 def risk_tier(predicted: Column, average: Column, low: float = 0.2, high: float = 0.5) -> Column:
-    """By the share that the prediction falls short of the average; an average of 0 gives NULL's tier, low."""
+    """By the share that the prediction falls short of the average; without a prediction NULL, without an average (NULL or 0) unknown."""
     short = F.try_divide(average - predicted, average)
-    return F.when(short > high, HIGH).when(short > low, MEDIUM).otherwise(LOW)
+    return F.when(predicted.isNull(), None).when(short.isNull(), UNKNOWN).when(short > high, HIGH).when(short > low, MEDIUM).otherwise(LOW)
 
 
 def calibrated_risk(tier: Column, mean: Column, std: Column, limit: float = 0.15) -> Column:

@@ -25,20 +25,24 @@ def history_windows(labels: DataFrame, history: DataFrame, on: list[str], label_
     """The last ``window`` history rows up to each label's time (inclusive), as a matrix.
 
     With fewer: the first ``window`` rows of the history if ``fallback`` is "first" (even if they are later), else no row.
-    ``window_source`` says which. Labels whose whole history is shorter have no row.
+    ``window_source`` says which. Labels whose whole history is shorter have no row; history without a time isn't used.
+    History is numbered once for each key; a label takes its rows by number, so work is labels times ``window``.
     """
-    h = history.select(*on, F.col(time).alias("_t"), *ties, *(F.col(v).cast("double").alias(f"_v_{v}") for v in values))
+    h = history.filter(F.col(time).isNotNull()).select(*on, F.col(time).alias("_t"), *ties, F.array(*(F.col(v).cast("double") for v in values)).alias("_v"))
     h = h.withColumn("_asc", F.row_number().over(Window.partitionBy(*on).orderBy("_t", *ties)))
-    j = labels.select(*label_id, *on, F.col(label_time).alias("_lt")).join(h, on)
-    past = F.col("_t") <= F.col("_lt")
-    w = Window.partitionBy(*label_id)
-    j = j.withColumns({"_past": F.count(F.when(past, 1)).over(w), "_all": F.count(F.lit(1)).over(w)}).filter(F.col("_all") >= window)
+    size = h.groupBy(*on).agg(F.count(F.lit(1)).alias("_all"))
+    own = labels.select(*on, F.col(label_time).alias("_t"), F.struct(*label_id).alias("_id"), F.lit(1).alias("_k")).dropDuplicates()
+    both = h.select(*on, "_t", F.lit(0).alias("_k")).unionByName(own, allowMissingColumns=True)
+    upto = Window.partitionBy(*on).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)  # history comes before a label of its time
+    at = both.withColumn("_past", F.count(F.when(F.col("_k") == 0, 1)).over(upto)).filter("_k = 1").join(size, on).filter(F.col("_all") >= window)
     enough = F.col("_past") >= window
-    recent = enough & (F.col("_asc") > F.col("_past") - window) & (F.col("_asc") <= F.col("_past"))
-    keep = recent if fallback == "drop" else recent | (~enough & (F.col("_asc") <= window))
-    matrix = F.transform(F.array_sort(F.collect_list(F.struct("_asc", F.array(*(f"_v_{v}" for v in values)).alias("v")))), lambda x: x["v"])
-    out = j.filter(keep).groupBy(*label_id).agg(matrix.alias("window"), F.max(F.when(enough, "recent").otherwise("first")).alias("window_source"))
-    return labels.join(out, label_id)
+    if fallback == "drop":
+        at = at.filter(enough)
+    first = F.when(enough, F.col("_past") - window + 1).otherwise(F.lit(1))
+    at = at.select(*on, "_id", F.when(enough, "recent").otherwise("first").alias("window_source"), F.explode(F.sequence(first, first + window - 1)).alias("_asc"))
+    matrix = F.transform(F.array_sort(F.collect_list(F.struct("_asc", "_v"))), lambda x: x["_v"])
+    out = at.join(h.select(*on, "_asc", "_v"), [*on, "_asc"]).groupBy("_id").agg(matrix.alias("window"), F.max("window_source").alias("window_source"))
+    return labels.join(out.select("_id.*", "window", "window_source"), label_id)
 
 
 def common_days(a: DataFrame, b: DataFrame, key: list[str], day: str = "day") -> tuple[DataFrame, DataFrame]:

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import clip
+from .ranks import quantiles
 
 
 def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5, approx: bool = False) -> DataFrame:
-    """One row: q1, q3, lower, upper, outliers (strictly outside). Exact quartiles hold all distinct values; ``approx`` doesn't."""
-    shares = F.array(F.lit(0.25), F.lit(0.75))
-    q = df.agg((F.percentile_approx(column, shares, 100_000) if approx else F.percentile(column, shares)).alias("_q"))
+    """One row: q1, q3, lower, upper, outliers (strictly outside). Exact quartiles take a sort of the distinct values in parts."""
+    shares = [0.25, 0.75]
+    q = df.agg(F.percentile_approx(column, F.array(*map(F.lit, shares)), 100_000).alias("_q")) if approx else quantiles(df, [], column, shares)
     q = q.select(F.col("_q")[0].cast("double").alias("q1"), F.col("_q")[1].cast("double").alias("q3"))
     q = q.withColumns({"lower": F.col("q1") - factor * (F.col("q3") - F.col("q1")), "upper": F.col("q3") + factor * (F.col("q3") - F.col("q1"))})
-    d = df.select(column).crossJoin(F.broadcast(q))
+    d = df.select(column).crossJoin(F.broadcast(q))  # one row
     return d.groupBy("q1", "q3", "lower", "upper").agg(F.count(F.when((F.col(column) < F.col("lower")) | (F.col(column) > F.col("upper")), 1)).alias("outliers"))
 
 
@@ -70,33 +71,50 @@ def correct_bias(df: DataFrame, columns: list[str], fix_skew: bool = True, facto
     return df
 
 
-def balance_classes(df: DataFrame, target: str, order: list[str], seed: int = 42) -> DataFrame:
+CLASSES = 1000
+
+
+def _hash(seed: int, *values) -> Column:
+    """60 bits of the MD5 of the values' text, which any engine can work out."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(v).cast("string"), F.lit("")) if isinstance(v, str) else v.cast("string") for v in values))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def balance_classes(df: DataFrame, target: str, order: list[str], seed: int = 42, part_rows: int = 100_000) -> DataFrame:
     """Oversample each smaller class with replacement up to the largest; originals stay, the NULL class isn't touched.
 
-    Rows are numbered within class and hash part, so no class is numbered in one task; draws are a hash of seed, class and
-    draw number, joined on (class, part, number).
+    Draw i of a class takes the row at place hash(seed, class, i) mod size. Rows are numbered within class and hash part, with
+    the parts' sizes before as offset, so no class is numbered in one task (within a part by ``order``); draws are made
+    by ranges and meet rows by (class, place).
     """
-    counts = df.filter(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
-    most = counts.agg(F.max("_n")).first()[0] or 0
-    parts = max(1, most // 100_000)
-    p = F.pmod(F.xxhash64(*order), F.lit(parts))
-    rows = df.filter(F.col(target).isNotNull()).withColumn("_p", p)
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(target, "_p").orderBy(*order)) - 1)
-    size = rows.groupBy(target, "_p").agg(F.count(F.lit(1)).alias("_k"))
-    ends = size.withColumn("_end", F.sum("_k").over(Window.partitionBy(target).orderBy("_p")))
-    draws = counts.filter(F.col("_n") < most).select(target, "_n", F.explode(F.sequence(F.lit(0), F.lit(most) - F.col("_n") - 1)).alias("_d"))
-    draws = draws.withColumn("_pick", F.pmod(F.xxhash64(F.lit(seed), F.col(target), "_d"), F.col("_n")))
-    at = draws.join(ends, target).filter((F.col("_pick") < F.col("_end")) & (F.col("_pick") >= F.col("_end") - F.col("_k")))
-    at = at.select(target, "_p", (F.col("_pick") - (F.col("_end") - F.col("_k"))).alias("_i"))
-    more = at.join(rows, [target, "_p", "_i"]).select(*df.columns)
+    some = df.filter(F.col(target).isNotNull())
+    counts = [(r[target], r["_n"]) for r in some.groupBy(target).agg(F.count(F.lit(1)).alias("_n")).orderBy(target).limit(CLASSES + 1).collect()]
+    if len(counts) > CLASSES:
+        raise ValueError(f"{target} has over {CLASSES} classes")
+    most = max((n for _, n in counts), default=0)
+    if not any(n < most for _, n in counts):
+        return df
+    parts = max(1, most // part_rows)
+    rows = some.withColumn("_p", _hash(seed, *order) % parts)
+    size = rows.groupBy(F.col(target).alias("_t"), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy("_t").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = size.select("_t", "_q", before.alias("_before"))
+    rows = rows.join(offsets, (F.col(target) == F.col("_t")) & (F.col("_p") == F.col("_q")))
+    rows = rows.withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_t", "_p").orderBy(*order)) - 1)
+    spark, draws = df.sparkSession, None
+    for value, n in counts:
+        if n < most:
+            one = spark.range(most - n).select(F.lit(value).cast(df.schema[target].dataType).alias("_c"), F.col("id").alias("_d"))
+            one = one.select("_c", (_hash(seed, "_c", "_d") % n).alias("_pick"))
+            draws = one if draws is None else draws.unionByName(one)
+    more = draws.join(rows, (F.col("_c") == F.col("_t")) & (F.col("_pick") == F.col("_i"))).select(*df.columns)
     return df.unionByName(more)
 
 
 def split(df: DataFrame, ids: list[str], train_fraction: float = 0.8, seed: int = 42) -> DataFrame:
     """Add ``is_train``: exactly int(n * fraction) rows, those of the least hashes; the cut is found by counts of hash prefixes."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *ids), 1)
-    d = df.withColumn("_h", h)
-    want, base, bits, scope = int(df.count() * train_fraction), 0, 63, d
+    d = df.withColumn("_h", _hash(seed, *ids))
+    want, base, bits, scope = int(df.count() * train_fraction), 0, 60, d
     while bits > 0:
         low = max(0, bits - 12)
         n = {r["p"]: r["c"] for r in scope.groupBy(F.shiftright("_h", low).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}  # at most 4096 rows
@@ -107,7 +125,7 @@ def split(df: DataFrame, ids: list[str], train_fraction: float = 0.8, seed: int
                 break
             want -= n[p]
         if here is None:
-            return d.withColumn("is_train", F.lit(True)).drop("_h") if not bits < 63 else d.withColumn("is_train", F.col("_h") < ((base + 1) << bits)).drop("_h")
+            return d.withColumn("is_train", F.lit(True)).drop("_h") if not bits < 60 else d.withColumn("is_train", F.col("_h") < ((base + 1) << bits)).drop("_h")
         base, bits = here, low
         scope = scope.filter(F.shiftright("_h", low) == here)
         if want == 0:

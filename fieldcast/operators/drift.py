@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.numeric import ks_two_sample_p_udf
+from .ranks import cumulative
 
 
 def psi(df: DataFrame, region: str, side: str, value: str, bins: int = 10, least: int = 5) -> DataFrame:
@@ -38,21 +38,13 @@ def psi_status(x: Column) -> Column:
 def ks_distance(df: DataFrame, region: str, side: str, value: str, parts: int | None = None) -> DataFrame:
     """Per region the greatest gap between both sides' distribution functions.
 
-    Values are counted first; prefix sums run in range parts with offsets, so one region isn't one task.
+    Values are counted first; prefix sums run in parts of even size with offsets, so one region isn't one task.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(region, F.col(value).cast("double").alias("_x")).agg(F.count(F.when(F.col(side) == "ref", 1)).alias("_r"), F.count(F.when(F.col(side) == "cur", 1)).alias("_c"))
-    totals = counts.groupBy(region).agg(F.sum("_r").alias("n_ref"), F.sum("_c").alias("n_cur"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
-    parts = parts or 64
-    d = counts.join(totals, region)
-    share = F.coalesce(F.try_divide(F.col("_x") - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0))
-    d = d.withColumn("_p", F.floor(share * parts))
-    sums = d.groupBy(region, "_p").agg(F.sum("_r").alias("_sr"), F.sum("_c").alias("_sc"))
-    w = Window.partitionBy(region).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(region, "_p", F.coalesce(F.sum("_sr").over(w), F.lit(0)).alias("_br"), F.coalesce(F.sum("_sc").over(w), F.lit(0)).alias("_bc"))
-    v = Window.partitionBy(region, "_p").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    j = d.join(base, [region, "_p"])
-    gap = F.abs(F.try_divide(F.col("_br") + F.sum("_r").over(v), F.col("n_ref")) - F.try_divide(F.col("_bc") + F.sum("_c").over(v), F.col("n_cur")))
-    return j.select(region, "n_ref", "n_cur", gap.alias("_g")).groupBy(region, "n_ref", "n_cur").agg(F.max("_g").alias("ks_d"))
+    sides = {"_r": F.count(F.when(F.col(side) == "ref", 1)), "_c": F.count(F.when(F.col(side) == "cur", 1))}
+    d = cumulative(df, [region], value, sides, parts)
+    totals = df.filter(F.col(value).isNotNull()).groupBy(region).agg(sides["_r"].alias("n_ref"), sides["_c"].alias("n_cur"))
+    gap = F.abs(F.try_divide("_upto__r", "n_ref") - F.try_divide("_upto__c", "n_cur"))
+    return d.join(totals, region).groupBy(region, "n_ref", "n_cur").agg(F.max(gap).alias("ks_d"))
 
 
 def ks_test(df: DataFrame, region: str, side: str, value: str, least: int = 5) -> DataFrame:
@@ -71,6 +63,6 @@ def overall_status(*status: Column) -> Column:
 
 
 def exit_code(report: DataFrame) -> int:
-    """2 if any region is OK at worst WARN's better: 0 all OK, 2 any WARN, 1 any BLOCK."""
+    """1 if any region is BLOCK, else 2 if any is WARN, else 0."""
     r = report.agg(F.max((F.col("overall_status") == "BLOCK").cast("int")), F.max((F.col("overall_status") == "WARN").cast("int"))).first()
     return 1 if r[0] else 2 if r[1] else 0

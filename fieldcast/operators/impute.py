@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,58 +10,56 @@ from pyspark.sql import functions as F
 from .series import interpolate
 
 
-def knn_impute(df: DataFrame, columns: list[str], row_id: str, block: str | None = None, k: int = 5, query_rows: int = 2_000) -> DataFrame:
+def knn_impute(df: DataFrame, columns: list[str], row_id: str, block: str | None = None, k: int = 5, query_rows: int = 1_000, donor_rows: int = 20_000, most_pairs: int = 10**11) -> DataFrame:
     """Fill NULLs by the inverse-distance mean of the k nearest rows that have the column.
 
     Distances are Euclidean over the columns both rows have, scaled up by all over shared columns. Donors at distance 0 win
-    alone; ties go to the lower row id; a cell without donors gets the column mean. Rows with NULLs are the query set; they
-    are taken in broadcast blocks of ``query_rows`` against all rows, and each partition keeps its k best per cell, so work
-    is rows with NULLs times rows (per ``block``, if given). Without NULLs the table comes back as it is.
+    alone; ties go to the lower row id; a cell without donors gets the column mean. Rows with NULLs are the query set. Without
+    NULLs the table comes back as it is.
+
+    Rows with NULLs meet the rows of their ``block`` in tiles of about ``query_rows`` by ``donor_rows``, so neither a block nor
+    its queries are one task, and each tile keeps its k best per cell. Work is rows with NULLs times rows, block by block;
+    over ``most_pairs`` of them it is refused, and a finer block is needed.
     """
-    cols = df.select(F.col(row_id).alias("_id"), *([F.col(block).cast("string").alias("_b")] if block else []), *(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)))
-    any_null = F.lit(False)
-    for i in range(len(columns)):
-        any_null = any_null | F.col(f"_{i}").isNull()
-    queries = cols.filter(any_null)
     names = [f"_{i}" for i in range(len(columns))]
-    if queries.isEmpty():
+    b = F.coalesce(F.col(block).cast("string"), F.lit("\0")) if block else F.lit("")
+    cols = df.select(F.col(row_id).alias("_id"), b.alias("_b"), *(F.col(c).cast("double").alias(n) for n, c in zip(names, columns)))
+    cols = cols.withColumn("_ask", F.greatest(*(F.col(n).isNull() for n in names)) if len(names) > 1 else F.col(names[0]).isNull())
+    sizes = cols.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("_ask"), 1)).alias("_nq")).filter("_nq > 0")
+    pairs = sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_nq"))).first()[0]
+    if pairs is None:
         return df
-    parts = max(1, -(-queries.count() // query_rows))
-    found = None
-    for part in range(parts):
-        q = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("_id"), F.lit(parts)) == part)
-        q = q.toPandas()  # about ``query_rows`` rows
-        if not len(q):
-            continue
-        shared = df.sparkSession.sparkContext.broadcast((q["_id"].to_numpy(), q["_b"].to_numpy() if block else None, q[names].to_numpy(float)))
+    if pairs > most_pairs:
+        raise ValueError(f"{pairs:.0f} pairs of rows to compare; give a finer block")
+    tiles = sizes.select("_b", F.ceil(F.col("_n") / donor_rows).alias("_nd"), F.ceil(F.col("_nq") / query_rows).alias("_nt"))
+    placed = cols.join(tiles, "_b")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("_id", F.lit(salt)), F.col(n))
+    keep = ["_b", "_id", *names]
+    donors = placed.select(*keep, own("_nd", 0).alias("_d"), every("_nt").alias("_t"), F.lit(False).alias("_asks"))
+    asking = placed.filter("_ask").select(*keep, own("_nt", 1).alias("_t"), every("_nd").alias("_d"), F.lit(True).alias("_asks"))
+    kind = dict(cols.dtypes)["_id"]
 
-        def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, blocks, x = shared.value
-            best: dict = {}
-            for b in batches:
-                y, own = b[names].to_numpy(float), b["_id"].to_numpy()
-                for i in range(len(ids)):
-                    use = own != ids[i]
-                    if blocks is not None:
-                        use &= b["_b"].to_numpy() == blocks[i]
-                    v, o = y[use], own[use]
-                    gap = v - x[i]
-                    both = ~np.isnan(gap)
-                    n = both.sum(1)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        d = np.where(n > 0, np.sqrt(len(names) / n * np.nansum(gap * gap, axis=1)), np.nan)
-                    for c in np.flatnonzero(np.isnan(x[i])):
-                        ok = ~np.isnan(v[:, c]) & ~np.isnan(d)
-                        if ok.any():
-                            at = np.flatnonzero(ok)
-                            at = at[np.lexsort((o[at], d[at]))[:k]]
-                            best[i, c] = sorted([*best.get((i, c), []), *zip(d[at].tolist(), o[at].tolist(), v[at, c].tolist())])[:k]
-            rows = [(ids[i], int(c), d, o, v) for (i, c), near in best.items() for d, o, v in near]
-            yield pd.DataFrame(rows, columns=["_id", "_c", "_d", "_o", "_v"])
+    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
+        asks = rows["_asks"].to_numpy(bool)
+        ids, x = rows["_id"].to_numpy()[asks], rows[names].to_numpy(float)[asks]
+        others, y = rows["_id"].to_numpy()[~asks], rows[names].to_numpy(float)[~asks]
+        out = []
+        for i in range(len(ids)):
+            gap = y - x[i]
+            n = (~np.isnan(gap)).sum(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = np.where((n > 0) & (others != ids[i]), np.sqrt(len(names) / n * np.nansum(gap * gap, axis=1)), np.nan)
+            for c in np.flatnonzero(np.isnan(x[i])):
+                at = np.flatnonzero(~np.isnan(y[:, c]) & ~np.isnan(d))
+                if len(at) > k:
+                    at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+                at = at[np.lexsort((others[at], d[at]))[:k]]
+                out += [(ids[i], int(c), d[j], others[j], y[j, c]) for j in at]
+        return pd.DataFrame(out, columns=["_id", "_c", "_d", "_o", "_v"])
 
-        kind = dict(cols.dtypes)["_id"]
-        near = cols.mapInPandas(nearest, f"_id {kind}, _c int, _d double, _o {kind}, _v double")
-        found = near if found is None else found.unionByName(near)
+    tiled = donors.unionByName(asking).groupBy("_b", "_d", "_t")
+    found = tiled.applyInPandas(nearest, f"_id {kind}, _c int, _d double, _o {kind}, _v double")
     top = found.groupBy("_id", "_c").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_o", "_v"))), 1, k).alias("_n"))
     zero = F.filter("_n", lambda x: x["_d"] == 0)
     mean = lambda a, w: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + w(x) * x["_v"]), F.aggregate(a, F.lit(0.0), lambda s, x: s + w(x)))

@@ -110,7 +110,7 @@ def interpolate(df: DataFrame, key: list[str], time, columns: list[str]) -> Data
     return d.withColumns({c: F.col(f"_{c}") for c in columns}).drop("_i", *(f"_{c}" for c in columns))
 
 
-def fill_gaps(df: DataFrame, key: list[str], time: str, columns: list[str], limit: int = 5, tiles: int = 64) -> DataFrame:
+def fill_gaps(df: DataFrame, key: list[str], time: str, columns: list[str], limit: int = 5) -> DataFrame:
     """Monotone cubic (PCHIP) over real time, at most ``limit`` rows into each inner gap; what is left becomes 0.
 
     Series are dealt by key and streamed in order of time, so a task holds one series at a time.

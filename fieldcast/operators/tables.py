@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import fit_length
 from ..schema import numeric_columns
+from .ranks import quantiles
 
 
 def valid_ratio(df: DataFrame, key: list[str], scene: str = "SCL", clear=(4, 5, 6), least: float = 0.1) -> DataFrame:
@@ -63,6 +64,19 @@ def years(yields: DataFrame, year: str, site: str | None = None) -> DataFrame:
     return yields.groupBy(site).agg(F.array_sort(F.collect_set(year)).alias("years"))
 
 
+def yield_trend(yields: DataFrame, site: str, year: str, value: str) -> DataFrame:
+    """Each site's harvests by year."""
+    return yields.select(site, year, value).orderBy(site, year, value)
+
+
+def all_sites(tables: list[DataFrame]) -> DataFrame:
+    """One table of several sites' tables; columns that a table lacks are NULL."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
 def scaled_means(df: DataFrame, site: str, value: str) -> DataFrame:
     """Mean per site and its place between the least and the greatest mean (a span of 0.1 at least)."""
     m = df.groupBy(site).agg(F.avg(value).alias("mean_value"))
@@ -78,7 +92,9 @@ def map_table(yields: DataFrame, areas: DataFrame, forecasts: DataFrame, site: s
 
 
 def region_filter(yields: DataFrame, areas: DataFrame, site: str, name: str | None = None) -> DataFrame:
-    """Rows of configured regions, or of one of them; a table without the site column is empty."""
+    """Rows of configured regions, or of one of them, which must be configured; a table without the site column is empty."""
+    if name is not None and areas.filter(F.col(site) == name).isEmpty():
+        raise ValueError(f"region {name} is not configured")
     if site not in yields.columns:
         return yields.limit(0)
     out = yields.join(areas.select(site).distinct(), site, "left_semi")
@@ -86,10 +102,20 @@ def region_filter(yields: DataFrame, areas: DataFrame, site: str, name: str | No
 
 
 def districts(df: DataFrame, district: str, places: DataFrame) -> DataFrame:
-    """Latitude and longitude by substring: the longest place name that the district contains."""
-    p = places.select("place", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    """Latitude and longitude by substring: the longest place name that the district contains.
+
+    A district's substrings of the lengths that place names have meet the names by equality; no pair is tested one by one.
+    """
+    p = places.filter("place IS NOT NULL").select("place", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.length("place").alias("_k"))
     names = df.select(district).distinct()
-    hit = names.join(p, F.col(district).contains(F.col("place")))
+    lengths = [r["_k"] for r in p.select("_k").distinct().collect()]  # as many as there are lengths of a name
+
+    def cut(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(district) - k + 1, F.lit(1))), lambda i: F.substring(F.col(district), i, F.lit(k)))
+
+    cuts = [cut(k) for k in lengths]
+    parts = names.withColumn("place", F.explode(F.array_distinct(F.concat(*cuts)))) if cuts else names.withColumn("place", F.lit("")).limit(0)
+    hit = parts.join(p, "place")
     best = hit.groupBy(district).agg(F.max_by(F.struct("_lat", "_lon"), F.struct(F.length("place"), "place")).alias("_b"))
     return df.join(best, district, "left").select(*df.columns, F.col("_b._lat").alias("lat"), F.col("_b._lon").alias("lon"))
 
@@ -106,7 +132,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def summary(df: DataFrame, key: list[str], column: str) -> DataFrame:
     """Box-plot numbers: min, quartiles, max, and whiskers (outermost values within 1.5 times the quartile range)."""
-    q = df.groupBy(*key).agg(F.percentile(column, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("_q"))
+    q = quantiles(df, key, column, [0.0, 0.25, 0.5, 0.75, 1.0])
     q = q.select(*key, *(F.col("_q")[i].alias(n) for i, n in enumerate(("min_value", "q1", "median", "q3", "max_value"))))
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.join(q.withColumns({"_lo": low, "_hi": high}), key) if key else df.crossJoin(F.broadcast(q.withColumns({"_lo": low, "_hi": high})))

@@ -16,19 +16,33 @@ NO_STORE = "Missing processed feature store for this region"
 NO_MODEL = "Missing trained checkpoint"
 NOT_COVERED = "Processed features do not cover %d"
 
+FEW_CELLS = 200_000
 BANDS = ["B02", "B03", "B04", "B08"]
 RAIN = ["t_max", "t_min", "precip"]
 
 
-def preprocess(satellite: DataFrame, weather: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(satellite, weather, quality) on common days and on the satellite's cells: masked, gap-filled, daily, regridded."""
+def needed_cells(points: DataFrame, satellite: DataFrame) -> DataFrame:
+    """Distinct (site, lat, lon) of the satellite cells nearest to the points (site, lat, lon)."""
+    at = align.nearest_cell(points.select("site", "lat", "lon").distinct(), satellite, ["lat", "lon"])
+    return at.filter("cell_lat IS NOT NULL").select("site", F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon")).distinct()
+
+
+def preprocess(satellite: DataFrame, weather: DataFrame, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(satellite, weather, quality) on common days and on the satellite's cells: masked, gap-filled, daily, regridded.
+
+    With ``cells`` (``needed_cells``) only these are filled and regridded; days and quality are still those of the whole grid.
+    """
     cell = ["site", "lat", "lon"]
     quality = tables.valid_ratio(satellite, ["site"])
+    daily_rain = series.daily_mean(weather, cell, "time", RAIN)
+    days = satellite.select("site", F.date_trunc("day", "time").alias("day")).distinct()
+    days = days.join(daily_rain.select("site", "day").distinct(), ["site", "day"], "left_semi")
+    if cells is not None:
+        satellite = satellite.join(cells, cell, "left_semi")
     masked = scalars.cloud_mask(satellite, BANDS)
     filled = series.fill_gaps(masked.select("site", "time", "lat", "lon", *BANDS), cell, "time", BANDS)
-    daily_sat = series.first_per_day(filled, cell, "time", BANDS).drop("time")
-    daily_rain = series.daily_mean(weather, cell, "time", RAIN)
-    sat, rain = align.common_days(daily_sat, daily_rain, ["site"])
+    sat = series.first_per_day(filled, cell, "time", BANDS).drop("time").join(days, ["site", "day"], "left_semi")
+    rain = daily_rain.join(days, ["site", "day"], "left_semi")
     return sat, align.regrid(rain, sat, ["site"], "day", RAIN), quality
 
 
@@ -43,7 +57,7 @@ def training_set(labels: DataFrame, satellite: DataFrame, weather: DataFrame, so
     names = [f"f{i}" for i in range(len(sat_values) + len(weather_values))]
     w = align.history_windows(at, flat, cell, ids, "time", "day", names, [], window, fallback)
     w = align.split_features(w, len(sat_values), "window").drop("window")
-    w = tables.soil_vectors(w, soil, "site", soil_values, soil_dim)
+    w = tables.soil_vectors(w, soil, "site", soil_values, soil_dim).persist()  # the split counts it several times
     return bias.split(w, ids, train_fraction)
 
 
@@ -81,7 +95,8 @@ def forecast(inputs: DataFrame, history: DataFrame, load: Callable, shares: tupl
     """A forecast per (site, year) row of ``inputs`` (sat, weather, soil): estimate, bounds, risk, advice, status.
 
     ``history`` is ``tables.site_history``'s result; ``shares`` names attribution columns of satellite, weather and soil.
-    An implausible estimate keeps its row, with status "implausible" and no forecast.
+    An implausible estimate keeps its row, with status "implausible" and no forecast or risk; a site without history (or with
+    an average of 0) has the risk "Unknown".
     """
     c = F.col
     d = score.score(inputs, load)
@@ -94,20 +109,46 @@ def forecast(inputs: DataFrame, history: DataFrame, load: Callable, shares: tupl
     ok = risk.plausible(c("_p"))
     d = d.withColumns({"status": F.when(ok, "ok").otherwise("implausible"), "predicted_yield": F.when(ok, c("_p"))}).drop("_p")
     low, high = risk.bounds_95(c("predicted_yield"), c("std"))
-    tier = risk.risk_tier(c("predicted_yield"), F.coalesce("historical_avg", "predicted_yield"))
-    d = d.withColumns({"lower_bound": low, "upper_bound": high, "risk": F.when(c("predicted_yield").isNotNull(), risk.calibrated_risk(tier, c("predicted_yield"), c("std")))})
+    tier = risk.risk_tier(c("predicted_yield"), c("historical_avg"))
+    d = d.withColumns({"lower_bound": low, "upper_bound": high, "risk": risk.calibrated_risk(tier, c("predicted_yield"), c("std"))})
     if shares:
         d = d.withColumn("advice", risk.forecast_advice(*map(c, shares), c("risk"), c("lower_bound"), c("upper_bound"), c("predicted_yield")))
     return d
 
 
-def region_context(areas: DataFrame, years: DataFrame, history: DataFrame, live: DataFrame) -> DataFrame:
+def live_inputs(areas: DataFrame, years: DataFrame, satellite: DataFrame, weather: DataFrame, soil: DataFrame, sat_values: list[str], weather_values: list[str], soil_values: list[str], soil_dim: int, window: int = 12) -> DataFrame:
+    """Inputs of ``forecast`` per (site, year) of ``years``, from feature tables: the last ``window`` rows of the year at the
+    cell nearest to the area (site, lat, lon), and the soil vector with its source and warnings. ``input_status`` is "ok" or says
+    what is lacking; ``ndvi_series`` comes with the satellite window, if it has B04 and B08."""
+    at = areas.select("site", "lat", "lon")
+
+    def last(grid: DataFrame, values: list[str], name: str) -> DataFrame:
+        cells = needed_cells(at, grid)  # one per site; only its rows are windowed
+        own = grid.join(F.broadcast(cells) if cells.limit(FEW_CELLS + 1).count() <= FEW_CELLS else cells, ["site", "lat", "lon"], "left_semi")
+        w = series.last_of_year(own, ["site"], "time", values, F.year("time"), window)
+        return w.select("site", "year", F.col("matrix").alias(name), F.col("status").alias(f"_{name}"))
+
+    d = years.select("site", F.col("year").cast("int").alias("year")).join(at.select("site"), "site")
+    d = d.join(last(satellite, sat_values, "sat"), ["site", "year"], "left").join(last(weather, weather_values, "weather"), ["site", "year"], "left")
+    short = lambda name, said: F.when(F.col(f"_{name}").isNull(), f"no {said} features").when(F.col(f"_{name}") != "ok", F.concat(F.lit(f"{said}: "), f"_{name}"))
+    d = d.withColumn("input_status", F.coalesce(short("sat", "satellite"), short("weather", "weather"), F.lit("ok"))).drop("_sat", "_weather")
+    if {"B04", "B08"} <= set(sat_values):
+        red, nir = sat_values.index("B04"), sat_values.index("B08")
+        d = d.withColumn("ndvi_series", F.transform("sat", lambda r: scalars.ndvi_zero_safe(r[red], r[nir])))
+    return tables.soil_vectors(d, soil, "site", soil_values, soil_dim)
+
+
+def region_context(areas: DataFrame, years: DataFrame, history: DataFrame, live: DataFrame, inputs: DataFrame | None = None, store_years: DataFrame | None = None) -> DataFrame:
     """A status row per (site, year) of ``years``: history, coverage and readiness.
 
-    ``live``: site, year, has_store, has_model, live_error (NULL if none), covers_year.
+    The average is the site's, so a year without a harvest has it too. ``live``: site, year, has_store, has_model, live_error
+    (NULL if none), covers_year. ``inputs`` (``live_inputs``) adds the year's NDVI series, where its inputs are whole;
+    ``store_years`` (``tables.years`` of the feature store) adds ``feature_years``.
     """
     c = F.col
-    d = areas.select("site").join(years, "site").join(history, ["site", "year"], "left").join(live, ["site", "year"], "left")
+    observed = history.select("site", "year", "observed_yield")
+    average = history.select("site", "historical_avg").distinct()
+    d = areas.select("site").join(years, "site").join(observed, ["site", "year"], "left").join(average, "site", "left").join(live, ["site", "year"], "left")
     store, model, covers = (F.coalesce(n, F.lit(False)) for n in ("has_store", "has_model", "covers_year"))
     ready = store & model & covers & c("live_error").isNull()
     status = (
@@ -117,7 +158,12 @@ def region_context(areas: DataFrame, years: DataFrame, history: DataFrame, live:
         .when(~model, NO_MODEL)
         .otherwise(F.format_string(NOT_COVERED, c("year")))
     )
-    return d.withColumns({"live_ready": ready, "status": status})
+    d = d.withColumns({"live_ready": ready, "status": status})
+    if inputs is not None:
+        d = d.join(inputs.filter("input_status = 'ok'").select("site", "year", "ndvi_series"), ["site", "year"], "left")
+    if store_years is not None:
+        d = d.join(store_years.select("site", c("years").alias("feature_years")), "site", "left").withColumn("feature_years", F.coalesce("feature_years", F.array().cast("array<int>")))
+    return d
 
 
 def evaluate(scored: DataFrame, y: str = "y") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import mixture, risk, scalars
 from ..operators import align, bias, drift, impute, metrics, score, series, tables
+from ..schema import REQUEST
+from ..sources import io
 from . import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +68,7 @@ def cloud_mask(spark, d):
 @query(f"""SELECT {LINE_SQL}, greatest((least(greatest(l_quantity, 10), 35) + least(greatest(l_quantity - 8, 10), 35)) / 2 - 10, 0) AS gdd,
 round(sin(2 * pi() * month(l_shipdate) / 12), 6) + 0.0 AS month_sin, round(cos(2 * pi() * month(l_shipdate) / 12), 6) + 0.0 AS month_cos,
 CASE WHEN l_quantity > 40 THEN 'Clay' WHEN l_tax * 1000 + 10 > 85 THEN 'Sand' ELSE 'Loam' END AS texture,
-round((l_quantity - 25) / (25 + 1e-10), 6) AS anomaly, least(greatest(l_quantity, 5), 45) AS clipped, l_discount < 0.03 AS stressed FROM lineitem""")
+round((l_quantity - 25) / (25 + 1e-10), 6) AS anomaly, least(greatest(l_quantity, 5), 45) AS clipped, l_discount * 10 < 0.3 AS stressed, l_discount * 10 >= 0.5 AS healthy, l_tax * 100 - 5 < -1 AS drought FROM lineitem""")
 def scalar_weather_soil(spark, d):
     x = t(spark, d, "lineitem")
     s, k = scalars.cyclical_month(c("l_shipdate"))
@@ -78,7 +80,7 @@ def scalar_weather_soil(spark, d):
         scalars.soil_texture(c("l_quantity"), c("l_tax") * 1000 + 10).alias("texture"),
         r6(scalars.anomaly(c("l_quantity"), lit(25.0)), "anomaly"),
         scalars.clip(c("l_quantity"), lit(5.0), lit(45.0)).alias("clipped"),
-        scalars.stress_flags(c("l_discount") * 10, c("l_tax"))["ndvi_stress"].alias("stressed"),
+        *(scalars.stress_flags(c("l_discount") * 10, c("l_tax") * 100 - 5)[k].alias(n) for k, n in (("ndvi_stress", "stressed"), ("ndvi_healthy", "healthy"), ("drought", "drought"))),
     )
 
 
@@ -170,9 +172,22 @@ def linear_interpolation(spark, d):
     return series.interpolate(gappy(spark, d), ["user_id"], ["ts", "event_id"], ["v"]).select("event_id", r6(c("v"), "v"))
 
 
-@query()
+def _end_slope(h0: str, h1: str, s0: str, s1: str) -> str:
+    e = f"(((2 * {h0} + {h1}) * {s0} - {h0} * {s1}) / ({h0} + {h1}))"
+    return f"CASE WHEN {e} * {s0} <= 0 THEN 0 WHEN {s0} * {s1} <= 0 AND abs({e}) > 3 * abs({s0}) THEN 3 * {s0} ELSE {e} END"
+
+
+@query(f"""WITH x AS (SELECT event_id, user_id, ts, {GAPPY} AS v, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+k AS (SELECT user_id, i, t AS x0, v AS y0, lead(t) OVER w AS x1, lead(v) OVER w AS y1, lag(t) OVER w AS xp, lag(v) OVER w AS yp FROM x WHERE v IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+s AS (SELECT *, x1 - x0 AS h, (y1 - y0) / (x1 - x0) AS s, x0 - xp AS hp, (y0 - yp) / (x0 - xp) AS sp FROM k),
+n AS (SELECT *, lead(h) OVER w AS hn, lead(s) OVER w AS sn, lag(hp) OVER w AS hq, lag(sp) OVER w AS sq FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+d AS (SELECT *, CASE WHEN hp IS NULL THEN {_end_slope("h", "hn", "s", "sn")} WHEN h IS NULL THEN {_end_slope("hp", "hq", "sp", "sq")} WHEN s * sp > 0 THEN (3 * h + 3 * hp) / ((2 * h + hp) / sp + (h + 2 * hp) / s) ELSE 0 END AS d FROM n),
+e AS (SELECT *, lead(d) OVER (PARTITION BY user_id ORDER BY i) AS d1 FROM d),
+g AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS j FROM x),
+f AS (SELECT g.event_id, g.user_id, g.ts, g.v, g.i - g.j AS run, e.h, e.y0, e.y1, e.d, e.d1, (g.t - e.x0) / e.h AS u FROM g LEFT JOIN e ON e.user_id = g.user_id AND e.i = g.j)
+SELECT event_id, user_id, ts, round(CASE WHEN v IS NOT NULL THEN v WHEN run <= 5 AND h IS NOT NULL THEN (1 + 2 * u) * (1 - u) ** 2 * y0 + u * (1 - u) ** 2 * h * d + u * u * (3 - 2 * u) * y1 + u * u * (u - 1) * h * d1 ELSE 0 END, 6) AS v FROM f""")
 def pchip_gap_fill(spark, d):
-    return series.fill_gaps(gappy(spark, d).select("event_id", "user_id", "ts", "v"), ["user_id"], "ts", ["v"])
+    return series.fill_gaps(gappy(spark, d).select("event_id", "user_id", "ts", "v"), ["user_id"], "ts", ["v"]).withColumn("v", F.round("v", 6))
 
 
 @query("""SELECT event_id, user_id, date_trunc('day', ts)::TIMESTAMP AS day FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS r FROM events) WHERE r = 1""")
@@ -296,10 +311,10 @@ def stack_modalities(spark, d):
     return x.select("user_id", "day", F.round(c("sat")[0][0], 4).alias("sat"), F.round(c("weather")[0][0], 4).alias("rain"))
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995) OR c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1997)""")
 def sites_without_features(spark, d):
-    s = t(spark, d, "customer").select("c_custkey")
-    return align.missing_sites(s, t(spark, d, "orders").select(c("o_custkey").alias("c_custkey")), on=["c_custkey"])
+    o = t(spark, d, "orders").select(c("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("y"))
+    return align.missing_sites(t(spark, d, "customer").select("c_custkey"), o.filter("y = 1995"), o.filter("y = 1997"), on=["c_custkey"])
 
 
 @query("""WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1997), r AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1995) SELECT k, k NOT IN (SELECT k FROM r) AS reference_missing FROM c""")
@@ -356,10 +371,16 @@ def box_cox(spark, d):
     return x.withColumns({"box_cox_lambda": lit(k), "shift": lit(shift)})
 
 
-@query("""WITH k AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, (SELECT max(n) FROM k) AS rows_after, n AS distinct_orders FROM k""")
+_HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderpriority AS p, {_HASH.format("'42:' || o_orderkey")} % greatest(1, (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority)) // 100000) AS part FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY part, o_orderkey) - 1 AS i FROM o), k AS (SELECT p, count(*) AS n FROM o GROUP BY 1), m AS (SELECT max(n) AS m FROM k),
+w AS (SELECT p, {_HASH.format("'42:' || p || ':' || x")} % n AS i FROM (SELECT p, n, unnest(range(0, m - n)) AS x FROM k, m WHERE n < m)),
+a AS (SELECT p, i FROM w UNION ALL SELECT p, i FROM r) SELECT r.o_orderkey, r.p AS o_orderpriority, count(*) AS copies FROM a JOIN r USING (p, i) GROUP BY ALL""")
 def class_balance(spark, d):
     x = bias.balance_classes(t(spark, d, "orders"), "o_orderpriority", ["o_orderkey"])
-    return x.groupBy("o_orderpriority").agg(F.count(lit(1)).alias("rows_after"), F.countDistinct("o_orderkey").alias("distinct_orders"))
+    return x.groupBy("o_orderkey", "o_orderpriority").agg(F.count(lit(1)).alias("copies"))
 
 
 _SIDES = "SELECT l_returnflag AS region, CASE WHEN year(l_shipdate) <= 1997 THEN 'ref' ELSE 'cur' END AS side, l_extendedprice AS x FROM lineitem"
@@ -522,21 +543,34 @@ def feature_importance(spark, d):
 # ---- helpers and jobs
 
 
-@query("""SELECT count(*) AS n, floor(count(*) * 0.8)::BIGINT AS n_train FROM orders""")
+@query(f"""SELECT o_orderkey, row_number() OVER (ORDER BY {_HASH.format("'42:' || o_orderkey")}, o_orderkey) <= floor((SELECT count(*) FROM orders) * 0.8) AS is_train FROM orders""")
 def train_split(spark, d):
-    return bias.split(t(spark, d, "orders"), ["o_orderkey"]).agg(F.count(lit(1)).alias("n"), F.count(F.when(c("is_train"), 1)).alias("n_train"))
+    return bias.split(t(spark, d, "orders"), ["o_orderkey"]).select("o_orderkey", "is_train")
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey AS k, p_brand AS b, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice END AS u, CASE WHEN p_partkey % 11 <> 0 THEN p_size::DOUBLE END AS v, (p_partkey % 13)::DOUBLE AS x FROM part),
+d AS (SELECT q.k, o.k AS o, q.u IS NULL AS wants_u, q.v IS NULL AS wants_v, o.u, o.v,
+ sqrt(3.0 / (1 + (q.u IS NOT NULL AND o.u IS NOT NULL)::INT + (q.v IS NOT NULL AND o.v IS NOT NULL)::INT) * ((q.x - o.x) ** 2 + coalesce((q.u - o.u) ** 2, 0) + coalesce((q.v - o.v) ** 2, 0))) AS d
+ FROM p q JOIN p o ON o.b = q.b AND o.k <> q.k WHERE q.u IS NULL OR q.v IS NULL),
+n AS (SELECT k, 'u' AS c, o, u AS y, d FROM d WHERE wants_u AND u IS NOT NULL UNION ALL SELECT k, 'v', o, v, d FROM d WHERE wants_v AND v IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, c ORDER BY d, o) AS i FROM n),
+f AS (SELECT k, c, CASE WHEN min(d) = 0 THEN avg(y) FILTER (d = 0) ELSE sum(y / nullif(d, 0)) / sum(1 / nullif(d, 0)) END AS y FROM r WHERE i <= 5 GROUP BY ALL)
+SELECT p.k AS p_partkey, b AS p_brand, round(coalesce(u, (SELECT y FROM f WHERE f.k = p.k AND c = 'u'), (SELECT avg(u) FROM p)), 6) AS price, round(coalesce(v, (SELECT y FROM f WHERE f.k = p.k AND c = 'v'), (SELECT avg(v) FROM p)), 6) AS size, x FROM p""")
 def knn_imputation(spark, d):
     p = t(spark, d, "part").select("p_partkey", "p_brand", F.when(c("p_partkey") % 9 != 0, c("p_retailprice")).alias("price"), F.when(c("p_partkey") % 11 != 0, c("p_size").cast("double")).alias("size"), (c("p_partkey") % 13).cast("double").alias("x"))
-    return impute.impute(p, ["price", "size", "x"], "p_partkey", block="p_brand")
+    return impute.impute(p, ["price", "size", "x"], "p_partkey", block="p_brand").select("p_partkey", "p_brand", r6(c("price"), "price"), r6(c("size"), "size"), "x")
 
 
-@query()
+@query(ORACLES["linear_interpolation"].replace("SELECT event_id, round(", "SELECT event_id, user_id, ts, round("))
 def time_series_imputation(spark, d):
     e = gappy(spark, d).select("event_id", "user_id", "ts", "v")
-    return impute.impute(e, ["v"], "event_id", ["user_id"], ["ts", "event_id"])
+    return impute.impute(e, ["v"], "event_id", ["user_id"], ["ts", "event_id"]).withColumn("v", F.round("v", 6))
+
+
+@query("""WITH x AS (SELECT event_id, user_id, ts, value + 1 AS precip, greatest((least(greatest(value / 10 + 20, 10), 35) + least(greatest(value / 10, 10), 35)) / 2 - 10, 0) AS gdd FROM events)
+SELECT event_id, round(gdd, 6) AS gdd, round(sum(precip) OVER w, 4) AS accumulated_precip, round(sum(gdd) OVER w, 4) AS accumulated_gdd FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
+def weather_totals(spark, d):
+    return weather_features(spark, d).select("event_id", r6(c("gdd"), "gdd"), F.round("accumulated_precip", 4).alias("accumulated_precip"), F.round("accumulated_gdd", 4).alias("accumulated_gdd"))
 
 
 @query()
@@ -552,12 +586,39 @@ def event_inputs(spark, d):
     return align.split_features(w, 1, "matrix").select(c("user_id").cast("string").alias("site"), "year", "sat", "weather", F.array(lit(6.5), lit(1.8)).alias("soil"))
 
 
-@query()
+@query(f"""WITH m AS (SELECT user_id, date_trunc('day', ts) AS day, avg(value) AS v, avg(hour(ts)) AS w FROM events GROUP BY ALL),
+l AS (SELECT *, year(day) AS year, row_number() OVER (PARTITION BY user_id, year(day) ORDER BY day DESC) AS r, count(*) OVER (PARTITION BY user_id, year(day)) AS n FROM m),
+i AS (SELECT user_id, year, avg(v) AS a, avg(w) AS b FROM l WHERE r <= 6 AND n >= 6 GROUP BY ALL),
+z AS (SELECT user_id, year, unnest([a, b / 100, 4.15 / 10]) AS z, unnest([3 + tanh(a), 3 + tanh(b / 50), 3 + tanh(4.15 / 5)]) AS mu, unnest([1, 2, 3]) AS k FROM i),
+p AS (SELECT *, exp(z - max(z) OVER q) / sum(exp(z - mz)) OVER q AS pi, 0.2 + 0.1 * abs(tanh(z)) AS sigma FROM (SELECT *, max(z) OVER (PARTITION BY user_id, year) AS mz FROM z) WINDOW q AS (PARTITION BY user_id, year)),
+g AS (SELECT user_id, year, sum(pi * mu) AS mean, sqrt(greatest(sum(pi * (sigma * sigma + mu * mu)) - sum(pi * mu) ** 2, 1e-6)) AS s, sum(pi * sigma) AS spread, list(struct_pack(x := -pi, k := k, mu := mu) ORDER BY pi DESC, k) FILTER (pi >= 0.2) AS modes FROM p GROUP BY ALL),
+f AS (SELECT user_id, year, s, CASE WHEN len(modes) >= 2 AND abs(modes[1].mu - modes[2].mu) / (spread + 1e-8) >= 1.5 THEN modes[1].mu ELSE mean END AS p FROM g),
+h AS (SELECT user_id, avg(value / 50) AS a, arg_max(value / 50, (ts, value)) AS y FROM events WHERE user_id % 7 <> 0 GROUP BY 1),
+j AS (SELECT f.user_id, f.year, s, a, y, CASE WHEN p > 0 AND p < 15 THEN p END AS p FROM f LEFT JOIN h USING (user_id)),
+x AS (SELECT *, CASE WHEN p IS NULL THEN NULL WHEN a IS NULL OR a = 0 THEN 'Unknown' ELSE {TIER_SQL} END AS tier FROM j)
+SELECT user_id::VARCHAR AS site, year, CASE WHEN p IS NULL THEN 'implausible' ELSE 'ok' END AS status, round(p, 6) AS predicted_yield, round(greatest(0, p - 1.96 * s), 6) AS lower_bound, round(p + 1.96 * s, 6) AS upper_bound, round(s, 6) AS std, {UP_SQL} AS risk,
+array_to_string(list_filter(['{_QUOTED["Satellite"].replace("{}", "50")}', CASE WHEN (p + 1.96 * s - greatest(0, p - 1.96 * s)) / p > 0.4 THEN '{risk.VOLATILE_ADVICE}' END], lambda v: v IS NOT NULL), '|') AS advice, round(y, 6) AS observed_yield, round(a, 6) AS historical_avg FROM x""")
 def batch_forecast(spark, d):
-    e = t(spark, d, "events").select(c("user_id").cast("string").alias("site"), F.year("ts").alias("year"), c("ts").alias("time"), (c("value") / 50).alias("yield"))
+    """Every seventh site has no history."""
+    e = t(spark, d, "events").filter("user_id % 7 <> 0").select(c("user_id").cast("string").alias("site"), F.year("ts").alias("year"), c("ts").alias("time"), (c("value") / 50).alias("yield"))
     h = tables.site_history(e, "site", "year", "time", "yield")
     out = jobs.forecast(event_inputs(spark, d).withColumns({"a": lit(0.5), "w": lit(0.3), "g": lit(0.2)}), h, score.stand_in_scorer, ("a", "w", "g"))
-    return out.select("site", "year", "status", "predicted_yield", "lower_bound", "upper_bound", "std", "risk", "advice", "observed_yield", "historical_avg")
+    n = ["predicted_yield", "lower_bound", "upper_bound", "std", "observed_yield", "historical_avg"]
+    return out.withColumns({k: F.round(k, 6) for k in n}).select("site", c("year").cast("long").alias("year"), "status", *n, "risk", F.array_join("advice", "|").alias("advice"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, value / 100 AS r, hour(ts) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS i, count(*) OVER (PARTITION BY user_id) AS k FROM events),
+w AS (SELECT user_id, k, round(sum((n - r) / CASE WHEN n + r = 0 THEN 1e-6 ELSE n + r END) FILTER (i <= 60), 6) AS s FROM e GROUP BY ALL), y AS (SELECT unnest([2023, 2024]) AS year)
+SELECT user_id, y.year::BIGINT AS year, CASE WHEN y.year = 2023 THEN 'no satellite features' WHEN k < 60 THEN 'satellite: ' || k || ' rows, need at least 60' ELSE 'ok' END AS input_status,
+CASE WHEN y.year = 2024 AND k >= 60 THEN s END AS ndvi, CASE WHEN user_id % 2 = 0 THEN 'MISSING → zero-vector' ELSE 'file:' || user_id || '_soil.csv' END AS soil_source FROM w, y""")
+def live_inputs(spark, d):
+    """One cell per user; soil of every other one."""
+    e = t(spark, d, "events").select(c("user_id").alias("site"), c("ts").alias("time"), lit(1.0).alias("lat"), lit(2.0).alias("lon"), (c("value") / 100).alias("B04"), F.hour("ts").cast("double").alias("B08"))
+    areas = e.select("site", lit(1.2).alias("lat"), lit(1.9).alias("lon")).distinct()
+    years = areas.select("site", F.explode(F.array(lit(2023), lit(2024))).alias("year"))
+    soil = areas.filter("site % 2 = 1").select("site", lit(6.5).alias("ph"))
+    x = jobs.live_inputs(areas, years, e, e.withColumn("rain", c("B04")), soil, ["B04", "B08"], ["rain"], ["ph"], 2, 60)
+    return x.select(c("site").alias("user_id"), c("year").cast("long").alias("year"), "input_status", F.round(mixture.total(c("ndvi_series")), 6).alias("ndvi"), "soil_source")
 
 
 @query()
@@ -565,16 +626,41 @@ def evaluate_mixtures(spark, d):
     return jobs.evaluate(mixtures(spark, d))
 
 
-@query("""WITH y AS (SELECT o_custkey AS site, year(o_orderdate) AS year, arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS v FROM orders GROUP BY ALL)
-SELECT c_custkey AS site, year, round(v, 4) AS observed_yield, c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 AND year > 1993 AS live_ready,
-CASE WHEN c_custkey % 3 = 0 THEN 'Missing processed feature store for this region' WHEN c_custkey % 4 = 0 THEN 'Missing trained checkpoint' WHEN year <= 1993 THEN 'Processed features do not cover ' || year ELSE 'Ready for live inference' END AS status FROM customer JOIN y ON y.site = c_custkey""")
+_PHI = """CASE WHEN z < -9 THEN 0 WHEN z > 9 THEN 1 WHEN z = 0 THEN 0.5 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) *
+list_sum(list_transform(range(0, 160), lambda n: exp((2 * n + 1) * ln(abs(z)) - (n + 1) * ln(2) - lgamma(n + 1.5) + 0.5 * ln(pi())))) END"""
+_PIT = f"{_MIX}, phi AS (SELECT vec_id, p, (y - m) / s AS z FROM u), pit AS (SELECT vec_id, sum(p * {_PHI}) AS pit FROM phi GROUP BY 1)"
+
+
+@query(_PIT + " SELECT vec_id, round(pit, 6) AS pit FROM pit")
+def pit_values(spark, d):
+    return metrics.pit(mixtures(spark, d)).select("vec_id", r6(c("pit"), "pit"))
+
+
+@query(_PIT + """, r AS (SELECT pit, row_number() OVER (ORDER BY pit) AS i, count(*) OVER () AS n FROM pit),
+k AS (SELECT greatest(max(i / n - pit), max(pit - (i - 1) / n)) AS ks_d, abs(stddev_pop(pit) - 0.288) AS sharpness_residual FROM r)
+SELECT round(avg(abs(mean - y)), 4) AS mae, round(sqrt(avg((mean - y) ** 2)), 4) AS rmse, round(1 - sum((mean - y) ** 2) / (var_pop(y) * count(*)), 4) AS r2, round(avg(mean - y), 4) AS mean_bias,
+round(avg(CASE WHEN abs(y - mean) <= 1.96 * std THEN 1.0 ELSE 0 END), 6) AS calibration_95, count(*) AS num_samples, round(-avg(wl), 6) AS diagnostic_nll, round(avg(abs(y - mean)) + 0.1 * avg(spread), 6) AS crps_approximation, round(avg(nll), 6) AS nll,
+round(any_value(ks_d), 6) AS ks_d, round(any_value(sharpness_residual), 6) AS sharpness_residual FROM f, k""")
+def evaluation_metrics(spark, d):
+    """What SQL can express of the evaluation: all but the p-value."""
+    x = evaluate_mixtures(spark, d)
+    return x.select("mae", "rmse", "r2", "mean_bias", "num_samples", *(r6(c(n), n) for n in ("calibration_95", "diagnostic_nll", "crps_approximation", "nll", "ks_d", "sharpness_residual")))
+
+
+@query("""WITH y AS (SELECT o_custkey AS site, year(o_orderdate) AS year, arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS v FROM orders WHERE o_custkey % 5 <> 0 GROUP BY ALL),
+a AS (SELECT o_custkey AS site, avg(o_totalprice) AS a FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1), k AS (SELECT c_custkey AS site, unnest(range(1992, 2004)) AS year FROM customer)
+SELECT k.site, k.year, round(v, 4) AS observed_yield, round(a, 6) AS historical_avg, k.site % 3 <> 0 AND k.site % 4 <> 0 AND k.year > 1993 AND k.site % 11 <> 0 AS live_ready,
+CASE WHEN k.site % 11 = 0 THEN 'too few timesteps' WHEN k.site % 3 = 0 THEN 'Missing processed feature store for this region' WHEN k.site % 4 = 0 THEN 'Missing trained checkpoint' WHEN k.year <= 1993 THEN 'Processed features do not cover ' || k.year ELSE 'Ready for live inference' END AS status
+FROM k LEFT JOIN y USING (site, year) LEFT JOIN a USING (site)""")
 def region_context(spark, d):
-    y = t(spark, d, "orders").select(c("o_custkey").alias("site"), F.year("o_orderdate").cast("long").alias("year"), "o_orderdate", "o_totalprice")
+    """Every fifth site has no history at all, and all have years without a harvest."""
+    y = t(spark, d, "orders").filter("o_custkey % 5 <> 0").select(c("o_custkey").alias("site"), F.year("o_orderdate").cast("long").alias("year"), "o_orderdate", "o_totalprice")
     areas = t(spark, d, "customer").select(c("c_custkey").alias("site"))
     h = tables.site_history(y, "site", "year", "o_orderdate", "o_totalprice")
-    years = y.select("site", "year").distinct()
-    live = years.select("site", "year", (c("site") % 3 != 0).alias("has_store"), (c("site") % 4 != 0).alias("has_model"), lit(None).cast("string").alias("live_error"), (c("year") > 1993).alias("covers_year"))
-    return jobs.region_context(areas, years, h, live).select("site", "year", F.round("observed_yield", 4).alias("observed_yield"), "live_ready", "status")
+    years = areas.select("site", F.explode(F.sequence(lit(1992).cast("long"), lit(2003).cast("long"))).alias("year"))
+    error = F.when(c("site") % 11 == 0, "too few timesteps")
+    live = years.select("site", "year", (c("site") % 3 != 0).alias("has_store"), (c("site") % 4 != 0).alias("has_model"), error.alias("live_error"), (c("year") > 1993).alias("covers_year"))
+    return jobs.region_context(areas, years, h, live).select("site", "year", F.round("observed_yield", 4).alias("observed_yield"), r6(c("historical_avg"), "historical_avg"), "live_ready", "status")
 
 
 def line_grids(spark, d):
@@ -593,8 +679,9 @@ def preprocess_grids(spark, d):
 
 @query()
 def build_training_set(spark, d):
-    sat, rain, _ = jobs.preprocess(*line_grids(spark, d))
     labels = t(spark, d, "lineitem").groupBy(c("l_returnflag").alias("site"), F.date_trunc("year", "l_shipdate").alias("time")).agg(lit(3.2).alias("lat"), lit(1.6).alias("lon"), F.avg("l_extendedprice").alias("yield"))
+    raw, weather = line_grids(spark, d)
+    sat, rain, _ = jobs.preprocess(raw, weather, jobs.needed_cells(labels, raw))
     soil = t(spark, d, "lineitem").groupBy(c("l_returnflag").alias("site")).agg(F.avg("l_tax").alias("ph"), F.avg("l_discount").alias("soc"))
     return jobs.training_set(labels, sat, rain, soil, jobs.BANDS, jobs.RAIN, ["ph", "soc"], 4)
 
@@ -603,3 +690,56 @@ def build_training_set(spark, d):
 def clean_records(spark, d):
     p = t(spark, d, "part").select("p_partkey", F.when(c("p_partkey") % 9 != 0, c("p_retailprice")).alias("price"), F.when(c("p_partkey") % 11 != 0, c("p_size").cast("double")).alias("size"))
     return jobs.clean_records(p, ["price", "size"], "p_partkey")
+
+
+# ---- files
+
+
+@query("""SELECT user_id::VARCHAR AS site, round(value, 4) AS v, event_id FROM events WHERE user_id % 4 <> 1 UNION ALL SELECT user_id::VARCHAR, -1, event_id FROM events WHERE user_id % 4 = 1""")
+def io_feature_store(spark, d):
+    """One folder a site; a second write replaces only the sites that it holds; long axis names are shortened at reading."""
+    path = io.scratch(spark, "features")
+    e = t(spark, d, "events").select((c("user_id") % 40).cast("string").alias("folder"), c("user_id").cast("string").alias("site"), F.round("value", 4).alias("v"), "event_id")
+    io.write_features(e.withColumnRenamed("v", "latitude"), path, "folder")
+    again = e.withColumn("v", F.when(c("site").cast("long") % 4 == 1, lit(-1.0)).otherwise(c("v"))).filter("cast(folder AS long) % 4 = 1")
+    io.write_features(again.withColumnRenamed("v", "latitude"), path, "folder")
+    return io.read_grid(spark, path).select("site", c("lat").alias("v"), "event_id")
+
+
+@query("""SELECT o_custkey::VARCHAR AS site_id, o_orderdate::TIMESTAMP AS time, round(o_totalprice, 2) AS yield, year(o_orderdate)::INT AS year FROM orders""")
+def io_yields_csv(spark, d):
+    path = io.scratch(spark, "yields")
+    t(spark, d, "orders").select(c("o_custkey").alias("site_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("time"), F.round("o_totalprice", 2).alias("yield")).write.option("header", True).csv(path)
+    return io.read_yields(spark, path).select("site_id", "time", "yield", "year")
+
+
+@query("""SELECT vec_id, round(list_sum(embedding[1:5]::DOUBLE[]), 5) AS sat, round(list_sum(embedding[21:28]::DOUBLE[]), 5) AS weather, round(list_sum(embedding[61:64]::DOUBLE[]), 5) AS soil FROM embeddings""")
+def io_requests_json(spark, d):
+    """Requests as JSON objects; the id is the one soil value more."""
+    path = io.scratch(spark, "requests")
+    attributions(spark, d).select("sat", "weather", F.concat("soil", F.array(c("vec_id").cast("double"))).alias("soil")).write.json(path)
+    first = lambda n: F.round(mixture.total(c(n)[0]), 5).alias(n)
+    r = spark.read.schema(REQUEST).json(path)
+    return r.select(c("soil")[4].cast("long").alias("vec_id"), first("sat"), first("weather"), F.round(mixture.total(F.slice("soil", 1, 4)), 5).alias("soil"))
+
+
+@query("""SELECT 'csv' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'json', count(*) FROM orders UNION ALL SELECT 'drift', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'summary', count(*) FROM orders""")
+def io_reports(spark, d):
+    """A one-row report as CSV and JSON, a report of one object a region, and a training summary, read back."""
+    path = io.scratch(spark, "reports")
+    o = t(spark, d, "orders")
+    io.write_report(o.agg(F.count(lit(1)).alias("n")), path)
+    io.write_drift(o.select(c("o_orderpriority").alias("region")).distinct(), f"{path}/drift")
+    io.write_training_summary(o, "o_orderpriority", f"{path}/summary", "p")
+    n = c("n").cast("long").alias("n")
+    out = spark.read.option("header", True).csv(f"{path}/csv").select(lit("csv").alias("kind"), n)
+    out = out.unionByName(spark.read.json(f"{path}/json").select(lit("json").alias("kind"), n))
+    out = out.unionByName(spark.read.json(f"{path}/drift").agg(F.count("region").alias("n")).select(lit("drift").alias("kind"), n))
+    return out.unionByName(spark.read.json(f"{path}/summary").select(lit("summary").alias("kind"), c("num_sequences").cast("long").alias("n")))
+
+
+@query("""SELECT o_custkey AS site, year(o_orderdate) AS year, o_totalprice AS v FROM orders""")
+def yield_trend(spark, d):
+    """The halves of two regions' tables as one, by site and year."""
+    o = t(spark, d, "orders").select(c("o_custkey").alias("site"), F.year("o_orderdate").cast("long").alias("year"), c("o_totalprice").alias("v"))
+    return tables.yield_trend(tables.all_sites([o.filter("site % 2 = 0"), o.filter("site % 2 = 1")]), "site", "year", "v")

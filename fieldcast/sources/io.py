@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,5 +84,21 @@ def training_summary(sequences: DataFrame, site: str) -> DataFrame:
     return sequences.agg(F.array_sort(F.collect_set(site)).alias("trained_regions"), F.count(F.lit(1)).alias("num_sequences"))
 
 
+def write_training_summary(sequences: DataFrame, site: str, path: str, project: str) -> None:
+    """The summary as one JSON object, with the project's name."""
+    training_summary(sequences, site).select(F.lit(project).alias("project_name"), "*").coalesce(1).write.mode("overwrite").json(path)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A path of its own in the folder of ``spark.checkpoint.dir``; only a local master may go without that setting."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="fieldcast-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def study_areas(spark: SparkSession, areas: list[dict]) -> DataFrame:
     return spark.createDataFrame([(a["name"], float(a["lat"]), float(a["lon"]), [float(x) for x in a["bbox"]] if a.get("bbox") else None) for a in areas], STUDY_AREAS)

@@ -54,3 +54,10 @@ def weather(areas: DataFrame, start: str, end: str, n: int = 5) -> DataFrame:
 def soil(areas: DataFrame) -> DataFrame:
     s = F.col("site")
     return areas.select("site", (6.5 + 0.1 * normal("ph", s)).alias("ph"), (12.5 + 0.5 * normal("soc", s)).alias("soc"), (4.2 + 0.2 * normal("n", s)).alias("nitrogen"))
+
+
+def official_statistics(spark: SparkSession, states: list[str], crops: list[str], first: int, last: int) -> DataFrame:
+    """year, state, crop, yield (normal around 2.5 with deviation 0.2) for every state, crop and year."""
+    d = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"), F.explode(F.array(*map(F.lit, states))).alias("state"))
+    d = d.select("year", "state", F.explode(F.array(*map(F.lit, crops))).alias("crop"))
+    return d.withColumn("yield", 2.5 + 0.2 * normal("official", F.col("year"), F.col("state"), F.col("crop")))

@@ -276,3 +276,69 @@ def test_empty_and_null_tables(spark):
     n = series_table(spark, [None, None])
     assert column(series.interpolate(n, ["k"], "t", ["v"]), "v") == [None, None] and column(series.fill_gaps(n, ["k"], "t", ["v"]), "v") == [0, 0]
     assert bias.box_cox(n, "v")[1] is None and one(bias.iqr_bounds(n, "v"))["outliers"] == 0
+
+
+def test_quantiles_in_parts(spark):
+    from fieldcast.operators import ranks
+
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v)) for k, n in (("a", 501), ("b", 7), ("c", 1)) for v in np.round(rng.lognormal(0, 2, n), 1)] + [("a", 1e12), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for parts in (1, 5, 40):
+        got = {r["k"]: r["_q"] for r in ranks.quantiles(df, ["k"], "v", shares, parts).collect()}
+        for k in "abc":
+            assert np.allclose(got[k], np.quantile([v for x, v in rows if x == k and v is not None], shares))
+        assert np.allclose(ranks.quantiles(df, [], "v", shares, parts).first()["_q"], np.quantile([v for _, v in rows if v is not None], shares))
+    assert ranks.quantiles(df.limit(0), ["k"], "v", shares).count() == 0
+
+
+def test_knn_in_tiles_is_the_same(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3)).round(2)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    df = spark.createDataFrame([(i, f"b{i % 2}", *(None if v != v else float(v) for v in r)) for i, r in enumerate(x)], "i int, b string, p double, q double, r double")
+    one = sorted(map(tuple, impute.knn_impute(df, ["p", "q", "r"], "i", "b").collect()))
+    tiled = sorted(map(tuple, impute.knn_impute(df, ["p", "q", "r"], "i", "b", query_rows=4, donor_rows=10).collect()))
+    assert np.allclose([r[2:] for r in one], [r[2:] for r in tiled])
+    with pytest.raises(ValueError):
+        impute.knn_impute(df, ["p", "q", "r"], "i", most_pairs=100)
+
+
+def test_balance_takes_drawn_rows_in_parts(spark):
+    df = spark.range(300).select(F.col("id").alias("i"), F.when(F.col("id") < 40, "small").otherwise("large").alias("c"))
+    out = bias.balance_classes(df, "c", ["i"], part_rows=16).groupBy("c", "i").count().collect()
+    assert sum(r["count"] for r in out if r["c"] == "small") == 260 and all(r["i"] < 40 for r in out if r["c"] == "small")
+    assert len([r for r in out if r["c"] == "small" and r["count"] > 1]) > 30 and all(r["count"] == 1 for r in out if r["c"] == "large")
+
+
+def test_risk_without_average_or_prediction(spark):
+    df = spark.createDataFrame([(3.0, 4.0), (3.0, None), (3.0, 0.0), (None, 4.0)], "p double, a double")
+    got = [r["t"] for r in df.select(risk.calibrated_risk(risk.risk_tier(F.col("p"), F.col("a")), F.col("p"), F.lit(0.1)).alias("t")).collect()]
+    assert got == ["Medium Risk", "Unknown", "Unknown", None]
+
+
+def test_unconfigured_region(spark):
+    y, a = spark.createDataFrame([("x", 1.0)], "site string, v double"), spark.createDataFrame([("y",)], "site string")
+    assert tables.region_filter(y, a, "site").count() == 0
+    with pytest.raises(ValueError):
+        tables.region_filter(y, a, "site", "x")
+
+
+def test_only_needed_cells_are_prepared(spark):
+    areas = synth.sites(spark, 2)
+    sat, rain = synth.satellite(areas, "2020-01-01", "2020-06-01"), synth.weather(areas, "2020-01-01", "2020-06-01")
+    labels = areas.select("site", "lat", "lon")
+    cells = jobs.needed_cells(labels, sat)
+    assert cells.count() == 2
+    whole, pruned = jobs.preprocess(sat, rain), jobs.preprocess(sat, rain, cells)
+    for a, b in zip(whole[:2], pruned[:2]):
+        want = a.join(cells, ["site", "lat", "lon"], "left_semi").select(b.columns)
+        x, y = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()) for d in (b, want))
+        assert len(x) > 0 and x == y
+
+
+def test_official_statistics(spark):
+    r = synth.official_statistics(spark, ["a", "b"], ["rice"], 2000, 2499).collect()
+    v = np.array([x["yield"] for x in r])
+    assert len(r) == 1000 and abs(v.mean() - 2.5) < 0.03 and abs(v.std() - 0.2) < 0.02
