@@ -77,7 +77,7 @@ def lean(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
         try:
             yield from run(cut(batches))
         finally:
-            _release()
+            release()
 
     return df.mapInArrow(call, schema)
 
@@ -87,7 +87,8 @@ def with_fields(df: DataFrame, added: str, *gone: str) -> StructType:
     return StructType([*(f for f in df.schema.fields if f.name not in gone), *StructType.fromDDL(added).fields])
 
 
-def _release() -> None:
+def release() -> None:
+    """Give freed memory back to the system."""
     _POWERS.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, lean, pieces, utf8, with_fields, word_spans
+from .common import hash_words, lean, pieces, release, utf8, with_fields, word_spans
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x30:0x3A] = _LETTERS[0x61:0x7B] = _LETTERS[0x80:] = True
@@ -147,7 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     got = lean(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, _y int, _set binary").toPandas().sort_values("doc_id", kind="stable")
     if not len(got):
         return train([], np.zeros(0), share, s)
-    return train([np.frombuffer(x, np.int32) for x in got["_set"]], got["_y"].to_numpy(np.float64), share, s)
+    model = train([np.frombuffer(x, np.int32) for x in got["_set"]], got["_y"].to_numpy(np.float64), share, s)
+    del got
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
