@@ -11,12 +11,12 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets of 5-word s
    the first of them, so no group is paired out. Tied classes form a cell. No link leaves a cell. Shingles travel packed,
    by hash buckets; a bucket is read as a stream with bounded memory.
 3. In each cell the count vectors are points of an R-tree; a node's coordinate maxima bound the overlap with a query
-   likewise. Surviving pairs that aren't connected yet are verified on the whole sets. Only a spanning set of links leaves
-   the task. A cell over ``cell_shingles`` is cut into blocks: each
+   likewise. Surviving pairs are verified on the whole sets (without ``links`` only those that aren't connected yet). A
+   spanning set of links and each class's count of linked documents leave the task. A cell over ``cell_shingles`` is cut into blocks: each
    holds a tree of its own and reads all members of the cell as a stream of queries.
 4. Links make components; a document's component is the smallest doc_id.
 
-Defined cases: null, empty and wordless texts have no shingle and link with nothing; null ids rank as the smallest and
+Defined cases: null, empty and wordless texts have no shingle and link with nothing; very long texts are shingled whole; null ids rank as the smallest and
 give a null component_id if they are the smallest; repeated rows each get a row; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -289,7 +289,7 @@ class RTree:
     LEAF, FAN = 32, 16
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+        self.points, self.sizes, self.visited, self.pruned = points, sizes, 0, 0
         leaves, stack = [], [np.arange(len(points))]
         while stack:
             own = stack.pop()
@@ -316,6 +316,7 @@ class RTree:
             high, low, most = (x[nodes] for x in self.levels[k])
             ok = (4 * low <= -(-16 * size // 3)) & (4 * most >= 3 * size)
             ok &= 7 * np.minimum(high, q).sum(1) >= 3 * (size + low)
+            self.visited, self.pruned = self.visited + len(nodes), self.pruned + int((~ok).sum())
             nodes = nodes[ok]
             if k and len(nodes):
                 nodes = (nodes[:, None] * self.FAN + np.arange(self.FAN)).ravel()
@@ -338,8 +339,8 @@ def count_vector(s: np.ndarray, groups: int) -> np.ndarray:
 class Cell:
     """Members of a cell (or of a block of one), their tree, and exact overlaps."""
 
-    def __init__(self, names: np.ndarray, sets: list[np.ndarray]):
-        self.names, self.sets = names, sets
+    def __init__(self, names: np.ndarray, sets: list[np.ndarray], copies: np.ndarray):
+        self.names, self.sets, self.copies = names, sets, copies
         self.sizes = np.array([len(s) for s in sets])
         self.groups = groups_of(int(np.median(self.sizes)))
         while self.groups > GROUPS and self.groups * len(sets) > 1 << 24:
@@ -347,10 +348,10 @@ class Cell:
         self.tree = RTree(np.stack([count_vector(s, self.groups) for s in sets]), self.sizes)
         self.label = np.arange(len(sets))
 
-    def links(self, s: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-        """Candidates that link with the set, one of each component at least."""
+    def links(self, s: np.ndarray, candidates: np.ndarray, every: bool) -> np.ndarray:
+        """Candidates that link with the set: all, or one of each component at least."""
         found = []
-        order = candidates[np.argsort(-self.sizes[candidates], kind="stable")]
+        order = candidates if every else candidates[np.argsort(-self.sizes[candidates], kind="stable")]
         while len(order):
             part, order = order[:64], order[64:]
             both = np.concatenate([self.sets[i] for i in part])
@@ -358,62 +359,83 @@ class Cell:
             overlap = np.add.reduceat((s[at] == both).astype(np.int64), np.concatenate([[0], np.cumsum(self.sizes[part])[:-1]]))
             yes = part[7 * overlap >= 3 * (len(s) + self.sizes[part])]
             found += yes.tolist()
-            if len(yes) and len(order):
+            if not every and len(yes) and len(order):
                 order = order[~np.isin(self.label[order], self.label[yes])]
         return np.array(found, np.int64)
 
-    def own_links(self) -> list[tuple[int, int]]:
-        """A spanning set of the links among the members."""
-        out = []
+    def own_links(self, every: bool) -> list[tuple[int, int, int]]:
+        """(a, b, 0): a spanning set of the links among the members; with ``every``, (a, a, n) too: documents that a links with here."""
+        out, count = [], np.zeros(len(self.sets), np.int64)
         for i in range(len(self.sets)):
             near = self.tree.search(self.tree.points[i], int(self.sizes[i]))
-            near = near[(near != i) & (self.label[near] != self.label[i])]
-            for j in self.links(self.sets[i], near) if len(near) else ():
+            near = near[near > i] if every else near[(near != i) & (self.label[near] != self.label[i])]
+            linked = self.links(self.sets[i], near, every) if len(near) else ()
+            if every and len(linked):
+                count[i] += self.copies[linked].sum()
+                count[linked] += self.copies[i]
+            for j in linked:
                 a, b = self.label[i], self.label[j]
                 if a != b:
-                    out.append((int(self.names[i]), int(self.names[j])))
+                    out.append((int(self.names[i]), int(self.names[j]), 0))
                     self.label[self.label == b] = a
-        return out
+        return out + [(int(self.names[i]), int(self.names[i]), int(count[i])) for i in np.flatnonzero(count)]
 
-    def links_of(self, name: int, s: np.ndarray) -> list[tuple[int, int]]:
+    def links_of(self, name: int, s: np.ndarray, every: bool) -> list[tuple[int, int, int]]:
+        """Links of a member of another block."""
         near = self.tree.search(count_vector(s, self.groups), len(s))
-        near = near[self.names[near] != name]
-        return [(name, int(self.names[j])) for j in (self.links(s, near) if len(near) else ())]
+        near = self.links(s, near, every) if len(near) else np.zeros(0, np.int64)
+        _, first = np.unique(self.label[near], return_index=True)
+        out = [(name, int(self.names[j]), 0) for j in near[first]]
+        return out + [(name, name, int(self.copies[near].sum()))] if every and len(near) else out
 
 
-def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_cells(every: bool):
     """Rows come sorted by cell, block and role: members (0) first, then queries of other blocks (1)."""
-    now, names, sets, cell = None, [], [], None
 
-    def rows(pairs: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, sets, copies, cell, last = None, [], [], [], None, None
+        out: list = []
 
-    out: list = []
-    for b in batches:
-        for key in zip(*(b.column(c).to_pylist() for c in ("cell", "block", "role", "name", "shingles"))):
-            s = np.frombuffer(key[4], np.uint64)
-            if key[:2] != now:
-                if cell is None and names:
-                    out += Cell(np.array(names), sets).own_links()
-                now, names, sets, cell = key[:2], [], [], None
-            if key[2] == 0:
-                names.append(key[3])
-                sets.append(s.copy())
-            elif names:
-                if cell is None:
-                    cell = Cell(np.array(names), sets)
-                    out += cell.own_links()
-                out += cell.links_of(key[3], s)
-        if out:
-            yield rows(out)
-            out = []
-    if cell is None and names:
-        out += Cell(np.array(names), sets).own_links()
-    yield rows(out)
-
-
-def jaccard_components(docs: DataFrame, width: int = 5, bucket_shingles: int = 1_000_000, cell_shingles: int = 2_000_000, few_members: int = 400_000, pair_run: int = 16) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
+        def close() -> None:
+            nonlocal cell
+            if cell is None and names:
+                cell = Cell(np.array(names), sets, np.array(copies))
+                out.extend(cell.own_links(every))
+
+        for b in batches:
+            for key in zip(*(b.column(c).to_pylist() for c in ("cell", "block", "role", "name", "copies", "shingles"))):
+                s = np.frombuffer(key[5], np.uint64)
+                if key[:2] != now:
+                    close()
+                    now, names, sets, copies, cell, last = key[:2], [], [], [], None, None
+                if key[2:4] == last:  # equal rows of one id
+                    continue
+                last = key[2:4]
+                if key[2] == 0:
+                    names.append(key[3])
+                    copies.append(key[4])
+                    sets.append(s.copy())
+                elif names:
+                    close()
+                    out += cell.links_of(key[3], s, every)
+            if out:
+                yield _rows(out)
+                out.clear()
+        close()
+        yield _rows(out)
+
+    return run
+
+
+def _rows(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(3)], names=["a", "b", "n"])
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, bucket_shingles: int = 1_000_000, cell_shingles: int = 2_000_000, few_members: int = 400_000, pair_run: int = 16, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document; with ``links`` also n_links, the number of documents it links with.
+
+    Components need a spanning set of links only; counts need every pair of a group of near copies verified.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), F.col("text").alias("_text"))
 
@@ -429,7 +451,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, bucket_shingles: int = 1
     known = saved(lean(own, describe, f"doc_id {kind}, _id long, n_shingles long, name long, counts binary"))
     vectors = known.filter("name IS NOT NULL").select("name", "counts").dropDuplicates(["name"])
     known = known.drop("counts")
-    classes = known.filter("name IS NOT NULL").groupBy("name").agg(F.min("_id").alias("_id"), F.first("n_shingles").alias("n"))
+    classes = known.filter("name IS NOT NULL").groupBy("name").agg(F.min("_id").alias("_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (3 * bucket_shingles)))
     texts = own.select("_text")
@@ -438,7 +460,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, bucket_shingles: int = 1
     close = _within_bound(ties.filter("NOT many").select("a", "b").distinct(), vectors)
     cells = components(ties.filter("many").select("a", "b").unionByName(close))
 
-    members = saved(cells.join(classes, F.col("node") == F.col("name")).select("name", "_id", "n", F.col("root").alias("cell")))
+    members = saved(cells.join(classes, F.col("node") == F.col("name")).select("name", "_id", "n", "copies", F.col("root").alias("cell")))
     few = members.limit(few_members + 1).count() <= few_members
     sizes = members.groupBy("cell").agg(F.ceil(F.sum("n") / cell_shingles).cast("int").alias("blocks"))
     members = members.join(sizes, "cell").drop("n")
@@ -449,18 +471,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, bucket_shingles: int = 1
             sets = list(_sets(b, width))
             same = [i for i, (s, c) in enumerate(zip(sets, b.column("name").to_pylist())) if len(s) and class_of(s) == c]
             take = pa.array(same, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("cell", "blocks", "name")] + [pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["cell", "blocks", "name", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("cell", "blocks", "name", "copies")] + [pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["cell", "blocks", "name", "copies", "shingles"])
 
-    points = lean(held, gather, "cell long, blocks int, name long, shingles binary")
+    points = lean(held, gather, "cell long, blocks int, name long, copies long, shingles binary")
     block = F.pmod("name", F.col("blocks")).cast("int")
     everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.when(k == block, 0).otherwise(1).alias("role")))
-    dealt = points.withColumn("_p", F.explode(everywhere)).select("cell", "_p.block", "_p.role", "name", "shingles")
-    links = lean(dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "role", "name"), _link_cells, "a long, b long")
-    roots = components(links)
+    dealt = points.withColumn("_p", F.explode(everywhere)).select("cell", "_p.block", "_p.role", "name", "copies", "shingles")
+    found = saved(lean(dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "role", "name"), _link_cells(links), "a long, b long, n long"))
+    roots = components(found.filter("n = 0").select("a", "b"))
 
-    best = classes.join(roots, F.col("name") == F.col("node"), "left").select("name", "_id", F.coalesce("root", "name").alias("root"))
+    best = classes.join(roots, F.col("name") == F.col("node"), "left").select("name", "_id", "copies", F.coalesce("root", "name").alias("root"))
     ids = best.groupBy("root").agg(F.min("_id").alias("_least"))
-    to = best.join(ids, "root").select(F.col("name").alias("_name"), "_least")
+    to = best.join(ids, "root")
+    if links:
+        count = found.filter("n > 0").groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("_n"))
+        to = to.join(count, F.col("name") == F.col("_a"), "left")
+    to = to.select(F.col("name").alias("_name"), "_least", *([(F.coalesce("_n", F.lit(0)) + F.col("copies") - 1).alias("_links")] if links else []))
     out = known.join(to, F.col("name") == F.col("_name"), "left")
     least = F.when(F.col("name").isNull(), F.col("doc_id")).when(F.col("_least") != _NULL_ID, F.col("_least"))
-    return out.select("doc_id", "n_shingles", least.cast(kind).alias("component_id"))
+    more = [F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    return out.select("doc_id", "n_shingles", least.cast(kind).alias("component_id"), *more)

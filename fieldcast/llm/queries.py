@@ -124,7 +124,7 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.k >= 75 * (x.n + y.n - p.k)),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)""",
     "op1_extendible_sharding": f"""
 WITH d AS (

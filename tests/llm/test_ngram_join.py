@@ -18,12 +18,13 @@ def shingles(text):
 
 
 def brute(rows):
-    """(doc_id, n_shingles, component_id) by comparing all distinct sets."""
+    """(doc_id, n_shingles, component_id, n_links) by comparing all distinct sets."""
     sets = {}
     for d, t in rows:
         sets.setdefault(frozenset(shingles(t)), []).append(d)
     names = [s for s in sets if s]
     root = list(range(len(names)))
+    count = [len(sets[s]) - 1 for s in names]
 
     def find(i):
         while root[i] != i:
@@ -36,12 +37,15 @@ def brute(rows):
             b = names[j]
             if 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and 100 * len(a & b) >= 75 * len(a | b):
                 root[find(i)] = find(j)
+                count[i] += len(sets[b])
+                count[j] += len(sets[a])
     least = {}
     for i, s in enumerate(names):
         r = find(i)
         least[r] = min([least.get(r, sets[s][0]), *sets[s]], key=lambda d: (d is not None, d or 0))
     comp = {s: least[find(i)] for i, s in enumerate(names)}
-    return sorted(((d, len(s), comp.get(s, d)) for d, t in rows for s in [frozenset(shingles(t))]), key=str)
+    links = dict(zip(names, count))
+    return sorted(((d, len(s), comp.get(s, d), links.get(s, 0)) for d, t in rows for s in [frozenset(shingles(t))]), key=str)
 
 
 def made(seed, n=150):
@@ -73,6 +77,8 @@ def test_join_is_exact(spark, seed, more, monkeypatch):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, name int").repartition(3)
     got = ngram_join.jaccard_components(df, **more).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+    got = ngram_join.jaccard_components(df, **more, links=False).collect()
+    assert sorted(map(tuple, got), key=str) == sorted((r[:3] for r in brute(rows)), key=str)
 
 
 def test_join_on_documents(spark, sf_dir):
@@ -94,6 +100,34 @@ def test_tree_finds_all_within_the_bound():
         assert sorted(tree.search(points[i], int(sizes[i])).tolist()) == want.tolist()
 
 
+def test_inner_nodes_are_pruned(spark):
+    """A large group of near copies of many sizes, with a passage in all: its trees have levels, and nodes go unread."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+    sets = []
+    for k in range(1500):
+        w = base[: rng.choice((60, 90, 140, 220, 330))]
+        for _ in range(3):
+            w = w[: (at := rng.randrange(len(w)))] + [f"x{rng.randrange(10**6)}"] + w[at + 1 :]
+        sets.append(ngram_join.shingle_sets(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, len(" ".join(w).encode())]))[0])
+    cell = ngram_join.Cell(np.arange(len(sets)), sets, np.ones(len(sets), np.int64))
+    assert len(cell.tree.levels) > 1
+    out = cell.own_links(True)
+    assert cell.tree.visited > 1500 and cell.tree.pruned > 0.3 * cell.tree.visited
+    n = {a: k for a, b, k in out if k}
+    full = [set(s.tolist()) for s in sets[:1500]]
+    for i in range(0, 1500, 150):
+        want = sum(j != i and 7 * len(full[i] & b) >= 3 * (len(full[i]) + len(b)) for j, b in enumerate(full))
+        assert n.get(i, 0) == want
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"v{i % 9973}u{i}" for i in range(60_000))
+    rows = [(1, long + " end"), (2, "START " + long), (3, "other"), (4, long[: len(long) // 2])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_links int")
+    assert [tuple(r)[2:] for r in sorted(ngram_join.jaccard_components(df).collect())] == [(1, 1), (1, 1), (3, 0), (4, 0)]
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(40)] + [(-7, 500 + i) for i in range(30)]

@@ -30,7 +30,7 @@ def test_stages(spark, sf_dir, tmp_path):
         if name == "toxicity":
             keep = {d for d in before if scores[d] < 0.7}
         elif name == "ngram_join":
-            keep = {d for d, _, c in brute(texts) if d == c}
+            keep = {d for d, _, c, _ in brute(texts) if d == c}
         elif name == "decontamination":
             keep = {x[0] for x in brute_contamination(texts, items) if not x[-1]}
         else:
