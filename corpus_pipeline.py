@@ -43,7 +43,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         rows = rows.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text")  # repeated rows are one document
         rows = written(rows.withColumn("_key", F.monotonically_increasing_id()), "rows")
     named = rows.select(F.col("_key").alias("doc_id"), "text")
-    later = jaccard_components(named).filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_key")).distinct()
+    later = jaccard_components(named, links=False).filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_key")).distinct()
     few = later.limit(FEW_IDS + 1).count() <= FEW_IDS
     return rows.join(F.broadcast(later) if few else later, "_key", "left_anti").select("row.*")
 
