@@ -18,7 +18,7 @@ from .simhash import edited_and_next
 from .toxicity import fit, score
 from .warc import read_warc, write_warc
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20
 
 
 def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ token) is a random string; known digests (hex of a digest's length), UUIDs and i
 what a base span covers is not given again. Byte-level NumPy tests over whole Arrow batches find
 the texts that can match at all; only these are decoded and searched. Nothing is shuffled.
 
-Defined cases: null text is empty and has no spans; ties can't occur, as spans of a kind don't overlap; repeated rows each
+Defined cases: null text is empty and has no spans; very long texts are searched whole, very long runs in pieces; ties can't occur, as spans of a kind don't overlap; repeated rows each
 get a row; an empty table gives an empty result; other columns are kept only by ``keep``.
 """
 
@@ -40,6 +40,7 @@ _LETTERS = re.compile("[A-Za-z]{20,}")
 _DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 _WORDS = re.compile("[_/+=-]*(?:[A-Za-z]?[a-z]{3,}[0-9]{0,4}|[A-Z]{3,}[0-9]{0,4}|[0-9]{1,8})(?:[_/+=-]+(?:[A-Za-z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,8}))*[_/+=-]*")
 
+LONG_RUN = 4096
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _IS_HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
@@ -134,21 +135,40 @@ def random_parts(s: str, encoding, chars_per_token: float) -> list[tuple[int, in
     return sorted(out)
 
 
+def _stretches(run: str, encoding, chars_per_token: float) -> list[tuple[int, int]]:
+    """Random stretches of a run; a run of over ``LONG_RUN`` characters is tested in pieces, cut at a separator if there is one
+    in a piece's second half, and stretches that meet at a cut are one."""
+    out, at = [], 0
+    while at < len(run):
+        end = min(len(run), at + LONG_RUN)
+        if end < len(run):
+            end = max([at + LONG_RUN // 2, *(run.rfind(c, at, end) + 1 for c in "=/_-")]) if any(run.rfind(c, at + LONG_RUN // 2, end) >= 0 for c in "=/_-") else end
+        for i, j in random_parts(run[at:end], encoding, chars_per_token):
+            if out and out[-1][1] == at + i:
+                out[-1] = out[-1][0], at + j
+            else:
+                out.append((at + i, at + j))
+        at = end
+    return out
+
+
 def find_spans(text: str, encoding, chars_per_token: float) -> list[tuple[int, str, int]]:
     """(start, kind, end) of one text, by start and kind."""
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 6]
     out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = sorted(out)
+    k = 0
     for m in _RUN.finditer(text):
-        for i, j in random_parts(m[0], encoding, chars_per_token):
-            at, end = m.start() + i, m.start() + j
-            for x, _, y in base:  # by start; what is left between them
-                if x >= end:
-                    break
+        while k < len(base) and base[k][2] <= m.start():
+            k += 1
+        for i, j in _stretches(m[0], encoding, chars_per_token):
+            at, end, q = m.start() + i, m.start() + j, k
+            while q < len(base) and base[q][0] < end:  # by start; what is left between them
+                x, _, y = base[q]
                 if at < x:
                     out.append((at, 3, x))
-                at = max(at, y)
+                at, q = max(at, y), q + 1
             if at < end:
                 out.append((at, 3, end))
     return [(a, KINDS[k], b) for a, k, b in sorted(out)]
