@@ -2,19 +2,26 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id.
 
-1. Copies of a whole text are found by digest: later ones go whole, the first goes on.
+1. Copies of a whole text are found by SHA-256: later ones go whole, the first goes on.
 2. Each string has a key: the least hash of its ``gram``-byte substrings. Equal strings have equal keys, and neighbouring
-   strings mostly share one, so a run of strings with one key travels as one segment of text. Keys that occur in one
-   document only are dropped first (keys travel packed, by hash buckets).
-3. Segments with a key meet in its bucket. Shards of segments each have their strings in suffix order and, for each depth,
-   the sequence of preceding blocks (their transform in blocks of 8 bytes, the last one overlapping). The merge starts with
-   the shards one after another and refines the interleave depth by depth: it reads the shards' sequences in the present
-   interleave and deals it by block, stably. No suffix is compared or sorted anew. The same pass carries the boundaries
-   where common prefixes end; strings between two boundaries after the last depth are equal (a repeated interval).
+   strings mostly share one, so a run of strings with one key travels as one segment of text. Keys that documents of one id
+   only have are dropped first (keys travel packed, by hash buckets, with the ids of their holders in that bucket).
+3. Segments with a key meet in its bucket, each distinct one once (found by hash and length, confirmed byte by byte). Shards
+   of segments each have their strings in suffix order and, for each depth, a sorted dictionary of preceding blocks and their
+   sequence as places in it (the transform in blocks of 8 bytes, the last one overlapping). The merge starts with the shards
+   one after another and refines the interleave depth by depth: dictionaries are merged, blocks become ranks in the merged
+   one, and the present interleave is dealt by rank in counting passes. No suffix is compared. The same pass carries the
+   boundaries where common prefixes end; strings between two boundaries after the last depth are equal (a repeated interval).
 4. In each repeated interval strings of documents over the least id are marked; each document unites its marks.
 
-Defined cases: null text is empty; a null id is the smallest; rows with equal ids don't remove each other's bytes; repeated
-rows each get a row; an empty table gives an empty result; other columns are ignored.
+Hot keys and segments: what a batch of rows can tell by itself doesn't go through the bucket. Of a key that several ids of a
+batch have, only the least holder is sent there; the others are known to share it. Of a segment likewise: later holders in
+the batch lose it whole, whoever is first elsewhere. So a passage that all documents share sends one reference a batch, and a
+bucket gives out keys as soon as they are known to be shared, and keeps one holder of each.
+
+Defined cases: null text is empty; very long texts are cut into their runs like all others; a null id is the smallest; rows
+with equal ids don't remove each other's bytes; repeated rows each get a row; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,28 +67,31 @@ def _bucketed(at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, lis
     return order, cut, [b for b in range(buckets) if cut[b + 1] > cut[b]]
 
 
-def _grouped(rk: np.ndarray, groups: int, **values: np.ndarray) -> pa.RecordBatch:
-    """Rows of (group of rk, packed rk, packed values)."""
-    order, cut, full = _bucketed((rk.view(np.uint64) % np.uint64(groups)).astype(np.int64), groups)
-    cols = {"rks": rk, **values}
-    packed = [pa.array([c[order[cut[g] : cut[g + 1]]].tobytes() for g in full], pa.binary()) for c in cols.values()]
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *packed], names=["group", *cols])
+def _grouped(ids: np.ndarray, groups: int, values: np.ndarray, rks: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of (group of id, packed ids, packed row hashes, packed values, no text and so on): the columns of a bucket's rows."""
+    rks = np.zeros(len(ids), np.int64) if rks is None else rks
+    order, cut, full = _bucketed((mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64), groups)
+    packed = [pa.array([c[order[cut[g] : cut[g + 1]]].tobytes() for g in full], pa.binary()) for c in (ids, rks, values)]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *packed], names=["group", "ids", "rks", "values"])
+
+
+_GROUPED = "group int, ids binary, rks binary, values binary"
 
 
 def _by_row(packed: DataFrame, groups: int, name: str, unite) -> DataFrame:
-    """(rk, value): all that the packed groups hold of each row, by ``unite(rk sorted, values)`` of one group at a time."""
+    """(id, rk, value): all that the packed groups hold of each row, by ``unite(sorted values)`` of one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def done() -> pa.RecordBatch:
-            rk = np.concatenate([np.frombuffer(x[0], np.int64) for x in held])
-            values = np.concatenate([np.frombuffer(x[1], np.uint64) for x in held])
-            order = np.lexsort((values, rk))
-            rk, values = rk[order], values[order]
-            at = np.flatnonzero(np.concatenate([[True], rk[1:] != rk[:-1]])) if len(rk) else np.zeros(0, np.int64)
+            ids, rk = (np.concatenate([np.frombuffer(x[k], np.int64) for x in held]) for k in (0, 1))
+            values = np.concatenate([np.frombuffer(x[2], np.uint64) for x in held])
+            order = np.lexsort((values, rk, ids))
+            ids, rk, values = ids[order], rk[order], values[order]
+            at = np.flatnonzero(np.concatenate([[True], (rk[1:] != rk[:-1]) | (ids[1:] != ids[:-1])])) if len(rk) else np.zeros(0, np.int64)
             end = np.append(at[1:], len(rk))
-            return pa.RecordBatch.from_arrays([pa.array(rk[at], pa.int64()), pa.array([unite(values[x:y]) for x, y in zip(at, end)], pa.binary())], names=["rk", name])
+            return pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(rk[at], pa.int64()), pa.array([unite(values[x:y]) for x, y in zip(at, end)], pa.binary())], names=["id", "rk", name])
 
         for b in batches:
             for group, *values in zip(*(c.to_pylist() for c in b.columns)):
@@ -93,59 +103,109 @@ def _by_row(packed: DataFrame, groups: int, name: str, unite) -> DataFrame:
         if held:
             yield done()
 
-    return lean(packed.repartition(groups, "group").sortWithinPartitions("group"), run, f"rk long, {name} binary")
+    return lean(packed.repartition(groups, "group").sortWithinPartitions("group"), run, f"id long, rk long, {name} binary")
 
 
 def short(key: np.ndarray) -> np.ndarray:
     return key >> np.uint64(16)
 
 
-def _shared_keys(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(group, rks, keys): packed pairs of a row and a key that documents of other ids have too, by group of rows."""
+def _first_of(what: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By sorted (what, id): (order, flag of the entries with the least id of their kind)."""
+    order = np.lexsort((ids, what))
+    w, i = what[order], ids[order]
+    new = np.concatenate([[True], w[1:] != w[:-1]]) if len(w) else np.zeros(0, bool)
+    least = i[np.flatnonzero(new)][np.cumsum(new) - 1] if len(w) else i
+    return order, i == least
+
+
+def _shared_keys(texts: DataFrame, buckets: int, groups: int, length: int, gram: int, held_keys: int = 4_000_000) -> DataFrame:
+    """Packed pairs of an id and a key that documents of other ids have too, by group of ids."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = utf8(b.column("_text"))
-            rks, ids = b.column("rk").to_numpy(), b.column("_id").to_numpy()
-            keys, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            own_ids = b.column("_id").to_numpy()
+            keys, holders = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, j in pieces(off, 1 << 20):
                 _, _, row, key = string_runs(raw[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
-                keys.append(key)
-                rows.append(row + i)
-            key, row = short(np.concatenate(keys)), np.concatenate(rows).astype(np.uint16 if b.num_rows <= 1 << 16 else np.int32)
-            order, cut, full = _bucketed((key % np.uint64(buckets)).astype(np.int64), buckets)
-            low, high, row = key[order].astype(np.uint32), (key[order] >> np.uint64(32)).astype(np.uint16), row[order]
-            part = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), part(low), part(high), part(row), pa.array([rks.tobytes()] * len(full), pa.binary()), pa.array([ids.tobytes()] * len(full), pa.binary())], names=["bucket", "low", "high", "rows", "rks", "ids"])
+                keys.append(short(key))
+                holders.append(own_ids[row + i])
+            yield _keys_of_batch(np.concatenate(keys), np.concatenate(holders), buckets)
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, rks, ids = None, [], [], []
+        now, keys, ids, fresh = None, [], [], 0
+        known = np.zeros(0, np.uint64)
 
         def found() -> pa.RecordBatch:
-            k, r, i = np.concatenate(keys), np.concatenate(rks), np.concatenate(ids)
-            order = np.argsort(k)
-            k, r, i = k[order], r[order], i[order]
+            """Give out the pairs of shared keys; of these only the key stays, of others the pair."""
+            nonlocal keys, ids, known
+            k, i = np.concatenate(keys), np.concatenate(ids)
+            order = np.lexsort((i, k))
+            k, i = k[order], i[order]
             at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            many = np.minimum.reduceat(i, at) != np.maximum.reduceat(i, at)
-            on = np.repeat(many, np.diff(np.append(at, len(k))))
-            return _grouped(r[on], buckets, keys=k[on])
+            end = np.append(at[1:], len(k))
+            many = (i[at] != i[end - 1]) | np.isin(k[at], known)
+            on = np.repeat(many, end - at)
+            known = np.union1d(known, k[at][many])
+            keys, ids = [k[at][~many]], [i[at][~many]]
+            return _grouped(i[on], groups, k[on])
 
         for b in batches:
-            for bucket, low, high, row, rk, i in zip(*(c.to_pylist() for c in b.columns)):
-                if bucket != now and keys:
-                    yield found()
-                    keys, rks, ids = [], [], []
-                now = bucket
+            for bucket, low, high, holder, holders in zip(*(c.to_pylist() for c in b.columns)):
+                i = np.frombuffer(holders, np.int64)
                 low = np.frombuffer(low, np.uint32)
-                row = np.frombuffer(row, np.uint16 if len(row) == 2 * len(low) else np.int32)
-                keys.append((np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)) | low)
-                rks.append(np.frombuffer(rk, np.int64)[row])
-                ids.append(np.frombuffer(i, np.int64)[row])
+                k = (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)) | low
+                i = i[np.frombuffer(holder, np.uint16 if len(i) <= 1 << 16 else np.int32)]
+                if bucket < 0:  # known to be shared
+                    yield _grouped(i, groups, k)
+                    continue
+                if keys and (bucket != now or fresh > held_keys):
+                    yield found()
+                    fresh = 0
+                if bucket != now:
+                    now, keys, ids, known = bucket, [], [], np.zeros(0, np.uint64)
+                keys.append(k)
+                ids.append(i)
+                fresh += len(k)
         if keys:
             yield found()
 
-    packed = lean(texts, emit, "bucket int, low binary, high binary, rows binary, rks binary, ids binary")
-    return lean(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), share, "group int, rks binary, keys binary")
+    packed = lean(texts, emit, "bucket int, low binary, high binary, holder binary, holders binary")
+    return lean(_dealt(packed, buckets), share, _GROUPED)
+
+
+def _dealt(packed: DataFrame, buckets: int) -> DataFrame:
+    """Rows of a bucket in one task; rows that need no bucket (-1 - any number) are spread by their number."""
+    place = F.when(F.col("bucket") < 0, F.pmod(-F.col("bucket"), F.lit(buckets))).otherwise(F.col("bucket"))
+    return packed.withColumn("_place", place).repartition(buckets, "_place").drop("_place").sortWithinPartitions("bucket")
+
+
+def _keys_of_batch(key: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A batch's pairs by bucket: of each key the least holder, and apart (bucket under 0) the pairs of keys of several ids."""
+    order, first = _first_of(key, ids)
+    key, ids = key[order], ids[order]
+    one = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]) if len(key) else np.zeros(0, bool)
+    key, ids, first = key[one], ids[one], first[one]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    several = np.repeat(np.diff(np.append(at, len(key))) > 1, np.diff(np.append(at, len(key))))
+    rows = []
+
+    def add(bucket: int, k: np.ndarray, i: np.ndarray) -> None:
+        holders, at = np.unique(i, return_inverse=True)
+        rows.append((bucket, k.astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint16).tobytes(), at.astype(np.uint16 if len(holders) <= 1 << 16 else np.int32).tobytes(), holders.tobytes()))
+
+    if several.any():
+        add(-1 - int(ids[several][0] & 0x3FFFFFFF), key[several], ids[several])
+    key, ids = key[first], ids[first]
+    order, cut, full = _bucketed((key % np.uint64(buckets)).astype(np.int64), buckets)
+    for k in full:
+        own = order[cut[k] : cut[k + 1]]
+        add(k, key[own], ids[own])
+    cols = list(zip(*rows)) or [()] * 5
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "low", "high", "holder", "holders"])
 
 
 def offsets(length: int) -> list[int]:
@@ -153,8 +213,16 @@ def offsets(length: int) -> list[int]:
     return [*({length - 8} - set(range(0, length - 7, 8))), *sorted(range(0, length - 7, 8), reverse=True)]
 
 
+def deal(rank: np.ndarray) -> np.ndarray:
+    """Stable order by rank, in counting passes of 16 bits."""
+    order = np.argsort((rank & 0xFFFF).astype(np.uint16), kind="stable")  # for 16 bits NumPy counts
+    if len(rank) and rank.max() > 0xFFFF:
+        order = order[np.argsort((rank[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 class Shard:
-    """Strings of some segments: their suffix order, and their block sequences for every depth."""
+    """Strings of some segments: their suffix order, and for every depth the sorted dictionary of blocks and the block sequence."""
 
     def __init__(self, text: np.ndarray, lens: np.ndarray, length: int):
         blocks = np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
@@ -166,9 +234,9 @@ class Shard:
         self.order = np.arange(len(at))
         self.before = []
         for o in offsets(length):
-            b = blocks[at[self.order] + o].astype(np.uint64)
-            self.before.append(b)
-            self.order = self.order[np.argsort(b, kind="stable")]
+            known, code = np.unique(blocks[at[self.order] + o].astype(np.uint64), return_inverse=True)
+            self.before.append((known, code))
+            self.order = self.order[deal(code)]
 
 
 def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,12 +245,14 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     z = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)  # which shard the next suffix is from
     interval = np.zeros(len(z), np.int64)
     for depth in range(len(shards[0].before)):
-        block = np.empty(len(z), np.uint64)
-        block[np.argsort(z, kind="stable")] = np.concatenate([s.before[depth] for s in shards])
-        deal = np.argsort(block, kind="stable")
-        z, block, old = z[deal], block[deal], interval[deal]
+        own = [s.before[depth] for s in shards]
+        known = np.unique(np.concatenate([k for k, _ in own]))  # the dictionaries, merged
+        rank = np.empty(len(z), np.int64)
+        rank[np.argsort(z, kind="stable")] = np.concatenate([np.searchsorted(known, k)[code] for k, code in own])
+        order = deal(rank)
+        z, rank, old = z[order], rank[order], interval[order]
         edge = np.zeros(len(z), np.int64)
-        edge[1:] = (block[1:] != block[:-1]) | (old[1:] != old[:-1])  # the common prefix ends before this depth
+        edge[1:] = (rank[1:] != rank[:-1]) | (old[1:] != old[:-1])  # the common prefix ends before this depth
         interval = np.cumsum(edge)
     string = np.empty(len(z), np.int64)
     base = np.cumsum(sizes) - sizes
@@ -191,17 +261,27 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, lens, which) of the distinct segments, told apart by a 64-bit hash and their length."""
+    """(text, lens, which) of the distinct segments: those of one hash and length are compared byte by byte."""
     begin = np.cumsum(lens) - lens
     h = hash_words(text, begin, begin + lens) ^ mix(lens.astype(np.uint64))
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    copy = np.flatnonzero(first[which] != np.arange(len(lens)))
+    same = lens[copy] == lens[first[which[copy]]]
+    if same.all():
+        size = lens[copy]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        same = np.array_equal(text[np.repeat(begin[copy], size) + step], text[np.repeat(begin[first[which[copy]]], size) + step])
+    if not np.all(same):  # two texts of one hash
+        seen: dict[bytes, int] = {}
+        which = np.array([seen.setdefault(text[x : x + n].tobytes(), len(seen)) for x, n in zip(begin, lens)])
+        first = np.unique(which, return_index=True)[1]
     size = lens[first]
     at = np.repeat(begin[first] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     return text[at], size, which
 
 
 def _marks(segments: DataFrame, buckets: int, groups: int, length: int, shard_strings: int = 1 << 16) -> DataFrame:
-    """(group, rks, spans): packed pairs of a row and a (start, end) that it loses.
+    """Packed (id, rk) and (start, end) that the row loses, by group of ids.
 
     A bucket holds each distinct segment once, whatever the number of documents with it. Later documents lose all of their
     copy of a segment; the first one loses the strings that another segment's documents had before it.
@@ -238,18 +318,21 @@ def _marks(segments: DataFrame, buckets: int, groups: int, length: int, shard_st
             b = np.flatnonzero((flag[:-1] == 1) & ~((flag[1:] == 1) & inner)) - 1
             run_segment, offset = owner[a], total - count
             later = ids > first[segment]
-            spans = [np.stack([rk[later], start[later], start[later] + lens[segment[later]]])]
+            spans = [np.stack([ids[later], rk[later], start[later], start[later] + lens[segment[later]]])]
             one = np.flatnonzero(~later)
             k = np.searchsorted(run_segment, segment[one]), np.searchsorted(run_segment, segment[one], side="right")
             n = k[1] - k[0]
             who = np.repeat(one, n)
             pick = np.repeat(k[0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            spans.append(np.stack([rk[who], start[who] + a[pick] - offset[segment[who]], start[who] + b[pick] - offset[segment[who]] + length]))
-            rks, s, e = np.concatenate(spans, axis=1)
-            return _grouped(rks, groups, spans=(s.astype(np.uint64) << np.uint64(32)) | e.astype(np.uint64))
+            spans.append(np.stack([ids[who], rk[who], start[who] + a[pick] - offset[segment[who]], start[who] + b[pick] - offset[segment[who]] + length]))
+            lost, rks, s, e = np.concatenate(spans, axis=1)
+            return _grouped(lost, groups, _span(s, e), rks)
 
         for b in batches:
             for bucket, text, lens, ref, rk, ids, start in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket < 0:  # spans of later holders
+                    yield _grouped(np.frombuffer(ids, np.int64), groups, np.frombuffer(start, np.uint64), np.frombuffer(rk, np.int64))
+                    continue
                 if bucket != now and held:
                     yield marks()
                     held = []
@@ -258,7 +341,11 @@ def _marks(segments: DataFrame, buckets: int, groups: int, length: int, shard_st
         if held:
             yield marks()
 
-    return lean(segments.repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "group int, rks binary, spans binary")
+    return lean(_dealt(segments, buckets), run, _GROUPED)
+
+
+def _span(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (start.astype(np.uint64) << np.uint64(32)) | end.astype(np.uint64)
 
 
 def _united(spans: np.ndarray) -> bytes:
@@ -285,25 +372,26 @@ def _segments(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFra
                 first, lens, row = first[order], (last - first + length)[order], row[order]
                 at = np.repeat(first - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
                 text, cut_text = a[at], np.concatenate([[0], np.cumsum(lens)])[cut]
-                own = [_distinct(text[cut_text[k] : cut_text[k + 1]], lens[cut[k] : cut[k + 1]]) for k in full]
-                part = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full, pa.int32()),
-                        pa.array([x[0].tobytes() for x in own], pa.binary()),
-                        pa.array([x[1].astype(np.int32).tobytes() for x in own], pa.binary()),
-                        pa.array([x[2].astype(np.int32).tobytes() for x in own], pa.binary()),
-                        part(rks[row + i]),
-                        part(ids[row + i]),
-                        part((first - o[row]).astype(np.int64)),
-                    ],
-                    names=["bucket", "text", "lens", "refs", "rks", "ids", "starts"],
-                )
+                begin, rk, holder = (first - o[row]).astype(np.int64), rks[row + i], ids[row + i]
+                out, lost = [], [np.zeros(0, np.int64)]
+                for k in full:
+                    own = slice(cut[k], cut[k + 1])
+                    part, size, which = _distinct(text[cut_text[k] : cut_text[k + 1]], lens[own])
+                    least = np.full(len(size), np.iinfo(np.int64).max)
+                    np.minimum.at(least, which, holder[own])
+                    stays = holder[own] == least[which]
+                    lost.append(np.flatnonzero(~stays) + cut[k])
+                    out.append((k, part.tobytes(), size.astype(np.int32).tobytes(), which[stays].astype(np.int32).tobytes(), rk[own][stays].tobytes(), holder[own][stays].tobytes(), begin[own][stays].tobytes()))
+                gone = np.concatenate(lost)
+                if len(gone):
+                    out.append((-1 - int(rk[gone[0]] & 0x3FFFFFFF), b"", b"", b"", rk[gone].tobytes(), holder[gone].tobytes(), _span(begin[gone], begin[gone] + lens[gone]).tobytes()))
+                cols, kinds = list(zip(*out)) or [()] * 7, [pa.int32(), *[pa.binary()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "text", "lens", "refs", "rks", "ids", "starts"])
 
     return lean(texts, run, "bucket int, text binary, lens binary, refs binary, rks binary, ids binary, starts binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 30, bucket_strings: int = 400_000, few_bytes: int = 32 << 20, few_rows: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 30, bucket_strings: int = 400_000, group_bytes: int = 256 << 20, few_bytes: int = 32 << 20, few_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
@@ -315,16 +403,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 30, bucket_str
     d = d.join(F.broadcast(copies) if few else copies, F.col("_digest") == F.col("_d"), "left").withColumn("_copy", F.coalesce(F.col("_id") > F.col("_first"), F.lit(False)))
     firsts = d.filter(long & ~F.col("_copy")).select("rk", "_id", "_text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
-    groups = max(1, total // (length // 3 * bucket_strings * 2))
-    shared = saved(_by_row(_shared_keys(firsts, groups, length, gram), groups, "_keys", lambda k: k.tobytes()))
+    parts = max(1, total // (length // 3 * bucket_strings * 2))
+    groups = min(parts, max(64, total // group_bytes))
+    shared = saved(_by_row(_shared_keys(firsts, parts, groups, length, gram), groups, "_keys", lambda k: np.unique(k).tobytes()).drop("rk"))
     rows, size = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_keys")), F.lit(0))).first()
     buckets = max(1, -(-(size // 8 * (length - gram) // 2) // bucket_strings))
     if rows <= few_rows:
-        firsts = firsts.join(F.broadcast(shared.select("rk")), "rk", "left_semi")  # before texts are shuffled
-    marks = _marks(_segments(firsts.join(shared, "rk"), buckets, length, gram), buckets, groups, length)
-    marks = saved(_by_row(marks, groups, "_spans", _united).withColumnRenamed("rk", "_rk"))
+        firsts = firsts.join(F.broadcast(shared.select(F.col("id").alias("_id"))), "_id", "left_semi")  # before texts are shuffled
+    held = firsts.join(shared, F.col("_id") == F.col("id")).select("rk", "_id", "_text", "_keys")
+    marks = _marks(_segments(held, buckets, length, gram), buckets, groups, length)
+    marks = saved(_by_row(marks, groups, "_spans", _united).withColumnsRenamed({"rk": "_rk", "id": "_mid"}))
     few = (marks.agg(F.coalesce(F.sum(F.octet_length("_spans") + 64), F.lit(0))).first()[0]) <= few_bytes
-    out = d.join(F.broadcast(marks) if few else marks, F.col("rk") == F.col("_rk"), "left").select("doc_id", "_text", "_copy", "_spans")
+    out = d.join(F.broadcast(marks) if few else marks, (F.col("rk") == F.col("_rk")) & (F.col("_id") == F.col("_mid")), "left").select("doc_id", "_text", "_copy", "_spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

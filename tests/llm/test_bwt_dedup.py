@@ -74,3 +74,47 @@ def test_merge_is_the_suffix_order():
     merged = [strings[i] for i in order]
     assert merged == sorted(strings)
     assert [a == b for a, b in zip(interval, interval[1:])] == [a == b for a, b in zip(merged, merged[1:])]
+
+
+def test_keys_sent_do_not_grow_with_buckets():
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 123, 400_000).astype(np.uint8)
+    off = np.arange(0, 400_001, 1000)
+    _, _, row, key = bwt_dedup.string_runs(text, off, 50, 30)
+    sizes = [bwt_dedup._keys_of_batch(bwt_dedup.short(key), row * 7, b).nbytes for b in (8, 64, 512)]
+    assert sizes[0] <= 9 * len(key) and sizes[2] <= 16 * len(key) + 512 * 40  # 6 bytes of key, 2 of place, 8 of id at most
+
+
+def test_hot_key_sends_one_holder_a_batch():
+    key = np.repeat(np.arange(1, 4, dtype=np.uint64), [1000, 1, 500])
+    ids = np.arange(1501)
+    out = bwt_dedup._keys_of_batch(key, ids, 4)
+    sent = [(b, np.frombuffer(h, np.int64)[np.frombuffer(p, np.uint16)].tolist()) for b, p, h in zip(*(out.column(c).to_pylist() for c in ("bucket", "holder", "holders")))]
+    assert sorted(x for b, own in sent if b >= 0 for x in own) == [0, 1000, 1001]
+    assert sorted(x for b, own in sent if b < 0 for x in own) == [*range(1000), *range(1001, 1501)]
+
+
+@pytest.mark.parametrize("rows", [1500, 2500])
+def test_passage_in_every_document(spark, rows, monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "_shared_keys", lambda *a, real=bwt_dedup._shared_keys: real(*a, held_keys=50))
+    passage = "the very same passage of words that each and every document of this table holds, 86 bytes"
+    data = [(i, f"{i * 7919} {passage} {i * 104729}") for i in range(rows)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in bwt_dedup.remove_repeats(df).collect()]
+    assert sorted(got, key=str) == brute(data, 50)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    data = [(1, long[1000:1200] + "!"), (2, long), (3, long[250_000:250_060]), (4, None)]
+    df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, _spans string")
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in bwt_dedup.remove_repeats(df).collect()]
+    assert sorted(got, key=str) == brute(data, 50)
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "hash_words", lambda text, a, b: np.zeros(len(a), np.uint64))
+    text = np.frombuffer(b"abcabdabcxy", np.uint8)
+    part, size, which = bwt_dedup._distinct(text, np.array([3, 3, 3, 2]))
+    assert part.tobytes() == b"abcabdxy" and size.tolist() == [3, 3, 2] and which.tolist() == [0, 1, 0, 2]
