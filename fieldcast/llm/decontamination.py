@@ -9,7 +9,8 @@ Patterns go to the executors as one broadcast per block of items of at most ``bl
 searched in several passes, each with one block, and hits are united per word. No pass shuffles documents.
 
 Defined cases: null or wordless texts have no words and no hits; an item without words is skipped; a null item_id is
-skipped; repeated items count once by item_id; repeated documents each get a row; empty tables give no hits or no rows;
+skipped; item ids may be of any type; repeated items count once by item_id, as do windows that several items have, for each of
+them; very long texts are searched whole; repeated documents each get a row; empty tables give no hits or no rows;
 other columns of the documents are kept only by ``contamination(..., keep=[...])``.
 """
 
@@ -43,7 +44,7 @@ def normal(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Patterns:
     """Windows of item words, with the items of each, in classes of like length."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
+    def __init__(self, items: list[tuple[str, str]], window: int):
         found: dict[bytes, set] = {}
         self.words: dict[bytes, int] = {}
         for item, text in items:
@@ -70,7 +71,7 @@ class WuManber:
         self.words = np.array(words)
         self.text = np.frombuffer(b"".join(patterns), np.uint8)
         self.at = np.concatenate([[0], np.cumsum(self.len)])
-        self.items = [np.array(sorted(x), np.int64) for x in items]
+        self.items = [sorted(x) for x in items]
         starts = self.at[:-1]
         self.shift = np.full(1 << self.BITS, m - b + 1, np.int64)
         padded = np.concatenate([self.text, np.zeros(8, np.uint8)])
@@ -141,20 +142,20 @@ def _search_rows(raw: np.ndarray, off: np.ndarray, patterns: Patterns):
             row = np.searchsorted(feed, at)
             key = np.unique(np.stack([row, which]), axis=1)
             for r, w in key.T:
-                pairs += [(int(r), int(i)) for i in c.items[w]]
+                pairs += [(int(r), i) for i in c.items[w]]
     return np.diff(first), np.cumsum(change[:-1]) > 0, first, pairs, rows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", keep: list[str] | None = None, block_bytes: int = 8 << 20) -> DataFrame:
     """Each document with n_words, n_hit, items (sorted ids), n_items, items_sha256, contaminated."""
     keep = docs.columns if keep is None else keep
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.max(F.octet_length("text")).alias("m")).first()
     blocks = max(1, -(-size["b"] * 2 // block_bytes)) if size["b"] > block_bytes else 1
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "_hit"]
     own = [c for c in keep if c not in added]
     d = docs.select(*own, F.col(text).alias("_text"))
-    schema = with_fields(d, "n_words long, n_hit long, _hit binary, items array<long>")
+    schema = with_fields(d, "n_words long, n_hit long, _hit binary, items array<string>")
     sc = docs.sparkSession.sparkContext
     for k in range(blocks):
         own_items = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -162,15 +163,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
         d = lean(d, _pass(shared, k > 0), schema)
         if k + 1 < blocks:
             d = saved(d)
-    ids = F.transform(F.array_sort(F.transform("items", lambda x: x.cast("string"))), lambda x: x)
+    kind = benchmark.schema["item_id"].dataType
     return d.select(
         *own,
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "items",
+        F.array_sort(F.transform("items", lambda x: x.cast(kind))).alias("items"),
     )
 
 
@@ -203,6 +204,6 @@ def _pass(shared, again: bool):
                     if again:
                         own[r].update(b.column("items")[i + r].as_py())
                 items += [sorted(x) for x in own]
-            yield pa.RecordBatch.from_arrays([*base.columns, pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(flags, pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=[*base.schema.names, "n_words", "n_hit", "_hit", "items"])
+            yield pa.RecordBatch.from_arrays([*base.columns, pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(flags, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*base.schema.names, "n_words", "n_hit", "_hit", "items"])
 
     return run

@@ -6,7 +6,8 @@ histogram of fine prefixes (cells), never from rows gathered in one place; cells
 another round. Rows that agree in key and content can't be parted and stay in one bucket, flagged ``oversized``, as does a
 single row over the limit.
 
-Defined cases: null text is empty (0 bytes); a null key hashes as the empty string; repeated rows each get a row of the
+Defined cases: null text is empty (0 bytes); a very long text is a shard of its own, flagged if it is over the limit; tied
+hashes share a shard; a null key hashes as the empty string; repeated rows each get a row of the
 result; an empty table gives an empty result; other columns pass through unless they clash with the added ones, which win.
 """
 
