@@ -6,7 +6,7 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 2. Each string has a key: the least hash of its ``gram``-byte substrings. Equal strings have equal keys, and neighbouring
    strings mostly share one, so a run of strings with one key travels as one segment of text. Keys that documents of one id
    only have are dropped first (keys travel packed, by hash buckets, with the ids of their holders in that bucket).
-3. Segments with a key meet in its bucket, each distinct one once (found by hash and length, confirmed byte by byte). Shards
+3. Segments with a key meet in its bucket, each distinct one once (told apart by 128 bits of hash and length). Shards
    of segments each have their strings in suffix order and, for each depth, a sorted dictionary of preceding blocks and their
    sequence as places in it (the transform in blocks of 8 bytes, the last one overlapping). The merge starts with the shards
    one after another and refines the interleave depth by depth: dictionaries are merged, blocks become ranks in the merged
@@ -234,9 +234,15 @@ class Shard:
         self.order = np.arange(len(at))
         self.before = []
         for o in offsets(length):
-            known, code = np.unique(blocks[at[self.order] + o].astype(np.uint64), return_inverse=True)
-            self.before.append((known, code))
-            self.order = self.order[deal(code)]
+            b = blocks[at[self.order] + o].astype(np.uint64)
+            by = np.argsort(b, kind="stable")
+            b = b[by]
+            new = np.ones(len(b), bool)
+            new[1:] = b[1:] != b[:-1]
+            code = np.empty(len(b), np.int64)
+            code[by] = np.cumsum(new) - 1
+            self.before.append((b[new], code))
+            self.order = self.order[by]
 
 
 def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,18 +266,19 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     return string, interval
 
 
+_OTHER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))  # byte values of a second hash
+
+
 def _distinct(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, lens, which) of the distinct segments: those of one hash and length are compared byte by byte."""
+    """(text, lens, which) of the distinct segments, told apart by 128 bits of hash and their length.
+
+    Where one 64-bit half meets twice with another half or length, the segments themselves are compared.
+    """
     begin = np.cumsum(lens) - lens
-    h = hash_words(text, begin, begin + lens) ^ mix(lens.astype(np.uint64))
+    h = hash_words(text, begin, begin + lens)
+    other = hash_words(text, begin, begin + lens, _OTHER)
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    copy = np.flatnonzero(first[which] != np.arange(len(lens)))
-    same = lens[copy] == lens[first[which[copy]]]
-    if same.all():
-        size = lens[copy]
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        same = np.array_equal(text[np.repeat(begin[copy], size) + step], text[np.repeat(begin[first[which[copy]]], size) + step])
-    if not np.all(same):  # two texts of one hash
+    if not (np.array_equal(other, other[first[which]]) and np.array_equal(lens, lens[first[which]])):
         seen: dict[bytes, int] = {}
         which = np.array([seen.setdefault(text[x : x + n].tobytes(), len(seen)) for x, n in zip(begin, lens)])
         first = np.unique(which, return_index=True)[1]

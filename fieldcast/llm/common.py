@@ -134,8 +134,8 @@ def word_spans(letter: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, end, np.searchsorted(off, start, side="right") - 1
 
 
-def hash_words(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each a[start:end] (modulo 2**64, odd base), from one running sum."""
+def hash_words(a: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """64-bit polynomial hash of each a[start:end] (modulo 2**64, odd base), from one running sum; bytes count as these values."""
     n = len(a)
     if not len(start):
         return np.zeros(0, np.uint64)
@@ -143,7 +143,7 @@ def hash_words(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     run = np.empty(n + 1, np.uint64)
     run[0] = 0
     with np.errstate(over="ignore"):
-        np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[1][:n], out=run[1:])
+        np.cumsum((a.astype(np.uint64) + np.uint64(1) if values is None else values[a]) * power[1][:n], out=run[1:])
         return mix((run[end] - run[start]) * power[0][start])
 
 
