@@ -39,21 +39,25 @@ def preprocess(satellite: DataFrame, weather: DataFrame, cells: DataFrame | None
     days = days.join(daily_rain.select("site", "day").distinct(), ["site", "day"], "left_semi")
     if cells is not None:
         satellite = satellite.join(cells, cell, "left_semi")
+    places = satellite.select(*cell).join(days.select("site").distinct(), "site", "left_semi").distinct()  # of the raw grid: reading it is cheap
     masked = scalars.cloud_mask(satellite, BANDS)
     filled = series.fill_gaps(masked.select("site", "time", "lat", "lon", *BANDS), cell, "time", BANDS)
     sat = series.first_per_day(filled, cell, "time", BANDS).drop("time").join(days, ["site", "day"], "left_semi")
     rain = daily_rain.join(days, ["site", "day"], "left_semi")
-    return sat, align.regrid(rain, sat, ["site"], "day", RAIN), quality
+    return sat, align.regrid(rain, places, ["site"], "day", RAIN), quality
 
 
-def training_set(labels: DataFrame, satellite: DataFrame, weather: DataFrame, soil: DataFrame, sat_values: list[str], weather_values: list[str], soil_values: list[str], soil_dim: int, window: int = 12, fallback: str = "first", train_fraction: float = 0.8) -> DataFrame:
-    """One row per label with sat, weather and soil inputs, the label and is_train. Labels: site, time, lat, lon, yield."""
+def training_set(labels: DataFrame, satellite: DataFrame, weather: DataFrame, soil: DataFrame, sat_values: list[str], weather_values: list[str], soil_values: list[str], soil_dim: int, window: int = 12, fallback: str = "first", train_fraction: float = 0.8, grid: DataFrame | None = None) -> DataFrame:
+    """One row per label with sat, weather and soil inputs, the label and is_train. Labels: site, time, lat, lon, yield.
+
+    ``grid`` (site, lat, lon) has the cells to choose from, where that is cheaper to read than ``satellite``.
+    """
     ids = ["site", "time"]
-    at = align.nearest_cell(labels, satellite, ids).withColumnsRenamed({"lat": "label_lat", "lon": "label_lon", "cell_lat": "lat", "cell_lon": "lon"})
+    at = align.nearest_cell(labels, satellite if grid is None else grid, ids).withColumnsRenamed({"lat": "label_lat", "lon": "label_lon", "cell_lat": "lat", "cell_lon": "lon"})
     cell = ["site", "lat", "lon"]
     needed = at.select(*cell).distinct()
-    grid = align.stack_features(satellite.join(needed, cell, "left_semi"), weather.join(needed, cell, "left_semi"), [*cell, "day"], sat_values, weather_values)
-    flat = grid.select(*cell, "day", *(F.col("features")[i].alias(f"f{i}") for i in range(len(sat_values) + len(weather_values))))
+    stacked = align.stack_features(satellite.join(needed, cell, "left_semi"), weather.join(needed, cell, "left_semi"), [*cell, "day"], sat_values, weather_values)
+    flat = stacked.select(*cell, "day", *(F.col("features")[i].alias(f"f{i}") for i in range(len(sat_values) + len(weather_values))))
     names = [f"f{i}" for i in range(len(sat_values) + len(weather_values))]
     w = align.history_windows(at, flat, cell, ids, "time", "day", names, [], window, fallback)
     w = align.split_features(w, len(sat_values), "window").drop("window")

@@ -683,7 +683,7 @@ def build_training_set(spark, d):
     raw, weather = line_grids(spark, d)
     sat, rain, _ = jobs.preprocess(raw, weather, jobs.needed_cells(labels, raw))
     soil = t(spark, d, "lineitem").groupBy(c("l_returnflag").alias("site")).agg(F.avg("l_tax").alias("ph"), F.avg("l_discount").alias("soc"))
-    return jobs.training_set(labels, sat, rain, soil, jobs.BANDS, jobs.RAIN, ["ph", "soc"], 4)
+    return jobs.training_set(labels, sat, rain, soil, jobs.BANDS, jobs.RAIN, ["ph", "soc"], 4, grid=raw)
 
 
 @query()
