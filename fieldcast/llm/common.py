@@ -64,8 +64,14 @@ def clear(spark: SparkSession) -> int:
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
-def lean(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow(run, schema)``; batches are cut by rows and bytes, and a worker that has ended its task gives its memory back."""
+KEPT: dict = {}  # what a worker keeps between tasks
+
+
+def lean(df: DataFrame, run: Callable, schema: str | StructType, keep: bool = False) -> DataFrame:
+    """``df.mapInArrow(run, schema)``; batches are cut by rows and bytes, and a worker that has ended its task gives its memory back.
+
+    What a worker has in ``KEPT`` stays for the next task with ``keep``, and goes as a task without it begins.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,6 +80,8 @@ def lean(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
                 yield b.slice(i, step)
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            KEPT.clear()
         try:
             yield from run(cut(batches))
         finally:
