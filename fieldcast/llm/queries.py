@@ -10,8 +10,10 @@ from .bwt_dedup import remove_repeats
 from .chat_format import Template, conversation_digests, format_turns
 from .common import new_folder, table, written
 from .decontamination import contamination
+from .merkle import manifest
 from .ngram_join import jaccard_components
 from .packing import pack
+from .prefix_trie import prefix_trie, shared_heads, turn_rows
 from .secrets import secret_spans, span_text
 from .sharding import extendible_shards
 from .simhash import edited_and_next
@@ -97,6 +99,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_turns(turns.unionByName(extra)))
 
 
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row checked against the manifest after some texts were changed."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    now = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, changed).otherwise(F.col("text"))
+    return manifest(docs, "doc_id", "source", FIELDS, {"text": now}).drop("source")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(shared_heads(turn_rows(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_retrieval_packing": op2_retrieval_packing,
@@ -108,12 +125,52 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _ESCAPED = r"replace(coalesce(text, ''), '\', '\\')"
 for _c in Template().controls:
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a short ASCII string."""
+    step = "list_reduce(list_prepend(xor({x}, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    bytes_ = f"list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: {step.format(x='c')}), 4294967295)"
+
+
+def _reduced(name: str, first: str, levels: int) -> str:
+    """Levels of trees (grp, pos, n, dg) by runs of 16, each with the siblings before and after its nodes."""
+    out = [f"{name}0 AS ({first})"]
+    for k in range(levels):
+        if k:
+            out.append(f"{name}{k} AS (SELECT grp, pos // 16 AS pos, (any_value(n) + 15) // 16 AS n, sha256(string_agg(dg, '' ORDER BY pos)) AS dg FROM {name}{k - 1} WHERE n > 1 GROUP BY grp, pos // 16)")
+        w = "PARTITION BY grp, pos // 16 ORDER BY pos ROWS BETWEEN"
+        out.append(f"{name}s{k} AS (SELECT *, coalesce(string_agg(dg, '') OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, coalesce(string_agg(dg, '') OVER ({w} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}{k} WHERE n > 1)")
+    return ",\n".join(out)
+
+
+def _folded(name: str, node: str, others: str, levels: int) -> list[tuple[str, str]]:
+    """(node, siblings so far) after each level, joined as {name}s{k}."""
+    out = []
+    for k in range(levels):
+        s = f"{name}s{k}"
+        node, others = f"CASE WHEN {s}.n IS NULL THEN {node} ELSE sha256({s}.b || {node} || {s}.a) END", f"{others} || coalesce({s}.b || {s}.a, '')"
+        out.append((node, others))
+    return out
+
+
+def _up(name: str, grp: str, pos: str, levels: int) -> str:
+    return " ".join(f"LEFT JOIN {name}s{k} ON {name}s{k}.grp = {grp} AND {name}s{k}.pos = {pos} // {16**k}" for k in range(levels))
+
+
+_FIELD = "coalesce(strlen({x}) || ':' || {x}, '-')"
+_LEAF = " || ".join(_FIELD.format(x=f"CAST({c} AS VARCHAR)") for c in FIELDS)
+_LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
     "op4_ngram_join": r"""
 WITH RECURSIVE w AS (
@@ -180,4 +237,26 @@ SELECT conv_id, count(*) AS n_turns,
        bool_and(ok) AND arg_max(role, position) = 'assistant' AS valid,
        min(position) FILTER (NOT ok) AS first_bad_turn
 FROM f GROUP BY conv_id""",
+    "op12_merkle_manifest": f"""
+WITH d AS (SELECT doc_id, coalesce('s' || source, '') AS grp, {_LEAF} AS v, CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_LEAF.replace("CAST(text AS VARCHAR)", _LOWER_SQL)} ELSE {_LEAF} END AS t FROM documents),
+e AS (SELECT doc_id, grp, sha256(v) AS dg, sha256(t) AS now, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, sha256(v)) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM d),
+{_reduced("l", "SELECT grp, pos, n, dg FROM e", 5)},
+r AS ({" UNION ALL ".join(f"SELECT grp, dg FROM l{k} WHERE n = 1" for k in range(5))}),
+{_reduced("u", "SELECT 0 AS grp, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n, dg FROM r", 4)},
+g AS (SELECT grp, dg, row_number() OVER (ORDER BY grp) - 1 AS pos FROM r),
+root AS ({" UNION ALL ".join(f"SELECT dg AS root FROM u{k} WHERE n = 1" for k in range(4))}),
+f AS (SELECT e.doc_id, e.dg AS leaf, e.grp, x0, o0 FROM (SELECT e.doc_id, {_folded("l", "e.now", "''", 5)[-1][0]} AS x0, {_folded("l", "e.now", "''", 5)[-1][1]} AS o0, e.dg, e.grp FROM e {_up("l", "e.grp", "e.pos", 5)}) e),
+h AS (SELECT f.doc_id, f.leaf, g.dg AS subroot, {_folded("u", "f.x0", "f.o0", 4)[-1][0]} AS folded_root, sha256({_folded("u", "f.x0", "f.o0", 4)[-1][1]}) AS proof_sha256 FROM f JOIN g USING (grp) {_up("u", "0", "g.pos", 4)})
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM h, root""",
+    "op13_prefix_trie": f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(x ORDER BY pos) AS own FROM t GROUP BY 1),
+h AS (SELECT conv_id, own, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM c),
+s AS (SELECT h.conv_id AS m, coalesce(b.own[1:h], []) || h.own[h + 1:] AS x FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT m, d, x[1:d] AS x, len(x) AS n FROM (SELECT m, x, unnest(range(0, len(x) + 1)) AS d FROM s)),
+k AS (SELECT d, x, min(m) AS conv_id, count(*) AS n_convs, coalesce(length(x[d].t), 0) AS chars, sha256(coalesce(string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY d, x),
+n AS (SELECT k.*, coalesce(j.n, 0) AS n_children FROM k LEFT JOIN (SELECT d - 1 AS d, x[1:d - 1] AS x, count(*) AS n FROM k WHERE d > 0 GROUP BY ALL) j USING (d, x)),
+a AS (SELECT d, x[1:d] AS x, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT x, n_convs, chars, n_children, unnest(range(0, d + 1)) AS d FROM n) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n_convs, n.n_children, a.n_leaves, a.saved_tokens, n.ends_sha256
+FROM n JOIN a USING (d, x) LEFT JOIN n q ON n.d > 0 AND q.d = n.d - 1 AND q.x = n.x[1:n.d - 1]""",
 }
