@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, lean, mix, pieces, saved, utf8
+from .common import hash_words, keyed_words, lean, mix, pieces, saved, utf8
 
 _NULL_ID = -(1 << 63)
 
@@ -266,19 +266,20 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     return string, interval
 
 
-_OTHER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))  # byte values of a second hash
-
-
 def _distinct(text: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, lens, which) of the distinct segments, told apart by 128 bits of hash and their length.
+    """(text, lens, which) of the distinct segments.
 
-    Where one 64-bit half meets twice with another half or length, the segments themselves are compared.
+    Segments of equal hash and length are compared with the first of them, byte by byte, and if any differs all are.
     """
     begin = np.cumsum(lens) - lens
-    h = hash_words(text, begin, begin + lens)
-    other = hash_words(text, begin, begin + lens, _OTHER)
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    if not (np.array_equal(other, other[first[which]]) and np.array_equal(lens, lens[first[which]])):
+    _, first, which = np.unique(keyed_words(text, begin, begin + lens, 0), return_index=True, return_inverse=True)
+    same = np.array_equal(lens, lens[first[which]])
+    if same:
+        later = np.flatnonzero(first[which] != np.arange(len(lens)))
+        size = lens[later]
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        same = np.array_equal(text[step + np.repeat(begin[later], size)], text[step + np.repeat(begin[first[which[later]]], size)])
+    if not same:
         seen: dict[bytes, int] = {}
         which = np.array([seen.setdefault(text[x : x + n].tobytes(), len(seen)) for x, n in zip(begin, lens)])
         first = np.unique(which, return_index=True)[1]

@@ -155,6 +155,35 @@ def hash_words(a: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.nda
         return mix((run[end] - run[start]) * power[0][start])
 
 
+SLOTS = 64
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def keyed_words(a: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hash of each a[start:end] (none empty): a sum of random numbers drawn for each byte at each place.
+
+    Two different strings agree with probability 2**-64 over the tables, whatever their structure; seeds give independent
+    hashes. Strings over 64 bytes are hashed by pieces of 64.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    if seed not in _TABLES:
+        _TABLES[seed] = np.random.Generator(np.random.PCG64(0x5EED + seed)).integers(0, 1 << 64, SLOTS * 256, np.uint64)
+    size = end - start
+    before = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(before, size)
+    byte = a[place + np.repeat(start, size)]
+    slot = place & (SLOTS - 1)
+    number = _TABLES[seed][slot * 256 + byte]
+    with np.errstate(over="ignore"):
+        if int(size.max()) <= SLOTS:
+            return mix(np.add.reduceat(number, before))
+        at = np.flatnonzero(slot == 0)
+        piece = mix(np.add.reduceat(number, at)) + (place[at] // SLOTS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        piece = np.where(place[at] == 0, piece, mix(piece))
+        return np.add.reduceat(piece, np.searchsorted(at, before))
+
+
 _POWERS: list[np.ndarray] = []
 
 

@@ -1,7 +1,9 @@
 """N-gram Jaccard self-join with a count-vector R-tree.
 
-Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets of 5-word shingles (64-bit hashes), which is
-7 * |A & B| >= 3 * (|A| + |B|). Equal sets are one class.
+Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets of 5-word shingles, which is
+7 * |A & B| >= 3 * (|A| + |B|). Words are hashed by tables of random numbers, not by a polynomial, so no structure of a text makes
+its hash meet another's. Equal sets are one class; sets are told apart by 128 bits of two independent hashes, shingles of
+different classes by 64.
 
 1. One pass gives each document its set's size and class.
 2. Linked sets share one of the first |A| - ceil(3|A|/4) + 1 shingles in any common order. The order is by
@@ -17,7 +19,7 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets of 5-word s
 4. Links make components; a document's component is the smallest doc_id.
 
 Defined cases: null, empty and wordless texts have no shingle and link with nothing; very long texts are shingled whole; null ids rank as the smallest and
-give a null component_id if they are the smallest; repeated rows each get a row; an empty table gives an empty result;
+give a null component_id if they are the smallest; ids that aren't integers rank as text; repeated rows each get a row; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -30,48 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, lean, mix, pieces, saved, utf8, word_spans
+from .cells import Cell, class_table, component_rows, verified
+from .common import lean, saved
 from .components import components
+from .shingles import Names, id_key, sets_of, told_apart
 
 GROUPS = 64
-_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_TIMES = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C14, 0xC2B2AE3D27D4EB4E, 0x165667B19E3779F8, 0x27D4EB2F165667C4, 0x85EBCA77C2B2AE62, 0xD6E8FEB86659FD92)]
-_NULL_ID = -(1 << 63)
-
-
-def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row."""
-    a = np.frombuffer(raw.tobytes().translate(_LOWER), np.uint8)
-    start, end, row = word_spans(_WORD[a], off)
-    words = hash_words(a, start, end)
-    rows, n = len(off) - 1, len(words)
-    first = np.searchsorted(row, np.arange(rows + 1))
-    with np.errstate(over="ignore"):
-        long = np.zeros(max(0, n - width + 1), np.uint64)
-        for k in range(width):
-            long += words[k : k + len(long)] * _TIMES[k % 6] if k < 6 else mix(words[k : k + len(long)] + np.uint64(k))
-        long = mix(long)
-        out = []
-        for r in range(rows):
-            i, j = first[r], first[r + 1]
-            if j - i >= width:
-                out.append(np.unique(long[i : j - width + 1]))
-            elif j > i:
-                part = words[i:j]
-                out.append(mix(np.array([sum(int(w) * int(_TIMES[k]) for k, w in enumerate(part)) + int(j - i) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF], np.uint64)))
-            else:
-                out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def class_of(s: np.ndarray) -> int:
-    """64-bit digest of a set of hashes."""
-    with np.errstate(over="ignore"):
-        x = mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
-        y = mix(s + np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)
-        z = mix(np.array([x ^ (y << np.uint64(1)) ^ np.uint64(len(s))], np.uint64))
-    return int(z.view(np.int64)[0])
 
 
 class Heavy:
@@ -103,18 +69,12 @@ def prefix(s: np.ndarray, heavy: Heavy) -> np.ndarray:
     return s[: n - -(-3 * n // 4) + 1]
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    raw, off = utf8(batch.column("_text"))
-    for i, j in pieces(off, 1 << 20):
-        yield from shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], width)
-
-
-def _parts(sets: Iterator[np.ndarray], most: int = 1_000_000) -> Iterator[list[np.ndarray]]:
-    """The sets in lists of about so many shingles."""
+def _parts(sets: Iterator[tuple[np.ndarray, int]], most: int = 1_000_000) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """The (set, name) pairs in lists of about so many shingles."""
     held, size = [], 0
     for s in sets:
         held.append(s)
-        size += len(s)
+        size += len(s[0])
         if size >= most:
             yield held
             held, size = [], 0
@@ -146,8 +106,8 @@ def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, m
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for sets in _parts(_sets(b, width)):
-                keys, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            for sets in _parts(sets_of(b, width, False)):
+                keys, n = np.unique(np.concatenate([*(s for s, _ in sets), np.zeros(0, np.uint64)]), return_counts=True)
                 blob = _blobs(buckets, keys, counts=n.astype(np.int32))
                 high = [np.ascontiguousarray(np.frombuffer(k, np.uint32)[1::2]).tobytes() for k in blob.column("keys").to_pylist()]
                 yield pa.RecordBatch.from_arrays([blob.column("bucket"), pa.array(high, pa.binary()), blob.column("counts")], names=["bucket", "keys", "counts"])
@@ -186,17 +146,16 @@ def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, m
     return Heavy(got["code"].to_numpy(np.int64).view(np.uint64), got["level"].to_numpy(np.int8), buckets)
 
 
-def _ties(texts: DataFrame, heavy: Heavy, buckets: int, width: int, pair_run: int) -> DataFrame:
+def _ties(texts: DataFrame, heavy: Heavy, names: Names, buckets: int, width: int, pair_run: int) -> DataFrame:
     """(a, b, many): classes that share a prefix shingle, as all pairs of few or as ties of many to one of them."""
     shared = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = set()
-            for sets in _parts(_sets(b, width)):
+            for sets in _parts(names.sets(b, width)):
                 keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for s in sets:
-                    c = class_of(s)
+                for s, c in sets:
                     if len(s) and c not in seen:
                         seen.add(c)
                         keys.append(prefix(s, shared.value))
@@ -336,99 +295,22 @@ def count_vector(s: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
-class Cell:
-    """Members of a cell (or of a block of one), their tree, and exact overlaps."""
+class TreeCell(Cell):
+    """A cell whose candidates come from the tree."""
 
     def __init__(self, names: np.ndarray, sets: list[np.ndarray], copies: np.ndarray):
-        self.names, self.sets, self.copies = names, sets, copies
-        self.sizes = np.array([len(s) for s in sets])
+        super().__init__(names, sets, copies)
         self.groups = groups_of(int(np.median(self.sizes)))
         while self.groups > GROUPS and self.groups * len(sets) > 1 << 24:
             self.groups //= 2
         self.tree = RTree(np.stack([count_vector(s, self.groups) for s in sets]), self.sizes)
-        self.label = np.arange(len(sets))
-
-    def links(self, s: np.ndarray, candidates: np.ndarray, every: bool) -> np.ndarray:
-        """Candidates that link with the set: all, or one of each component at least."""
-        found = []
-        order = candidates if every else candidates[np.argsort(-self.sizes[candidates], kind="stable")]
-        while len(order):
-            part, order = order[:64], order[64:]
-            both = np.concatenate([self.sets[i] for i in part])
-            at = np.minimum(np.searchsorted(s, both), len(s) - 1)
-            overlap = np.add.reduceat((s[at] == both).astype(np.int64), np.concatenate([[0], np.cumsum(self.sizes[part])[:-1]]))
-            yes = part[7 * overlap >= 3 * (len(s) + self.sizes[part])]
-            found += yes.tolist()
-            if not every and len(yes) and len(order):
-                order = order[~np.isin(self.label[order], self.label[yes])]
-        return np.array(found, np.int64)
-
-    def own_links(self, every: bool) -> list[tuple[int, int, int]]:
-        """(a, b, 0): a spanning set of the links among the members; with ``every``, (a, a, n) too: documents that a links with here."""
-        out, count = [], np.zeros(len(self.sets), np.int64)
-        for i in range(len(self.sets)):
-            near = self.tree.search(self.tree.points[i], int(self.sizes[i]))
-            near = near[near > i] if every else near[(near != i) & (self.label[near] != self.label[i])]
-            linked = self.links(self.sets[i], near, every) if len(near) else ()
-            if every and len(linked):
-                count[i] += self.copies[linked].sum()
-                count[linked] += self.copies[i]
-            for j in linked:
-                a, b = self.label[i], self.label[j]
-                if a != b:
-                    out.append((int(self.names[i]), int(self.names[j]), 0))
-                    self.label[self.label == b] = a
-        return out + [(int(self.names[i]), int(self.names[i]), int(count[i])) for i in np.flatnonzero(count)]
-
-    def links_of(self, name: int, s: np.ndarray, every: bool) -> list[tuple[int, int, int]]:
-        """Links of a member of another block."""
-        near = self.tree.search(count_vector(s, self.groups), len(s))
-        near = self.links(s, near, every) if len(near) else np.zeros(0, np.int64)
-        _, first = np.unique(self.label[near], return_index=True)
-        out = [(name, int(self.names[j]), 0) for j in near[first]]
-        return out + [(name, name, int(self.copies[near].sum()))] if every and len(near) else out
-
-
-def _link_cells(every: bool):
-    """Rows come sorted by cell, block and role: members (0) first, then queries of other blocks (1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, sets, copies, cell, last = None, [], [], [], None, None
-        out: list = []
 
-        def close() -> None:
-            nonlocal cell
-            if cell is None and names:
-                cell = Cell(np.array(names), sets, np.array(copies))
-                out.extend(cell.own_links(every))
+    def near(self, i: int, every: bool) -> np.ndarray:
+        near = self.tree.search(self.tree.points[i], int(self.sizes[i]))
+        return near[near > i] if every else near[(near != i) & (self.label[near] != self.label[i])]
 
-        for b in batches:
-            for key in zip(*(b.column(c).to_pylist() for c in ("cell", "block", "role", "name", "copies", "shingles"))):
-                s = np.frombuffer(key[5], np.uint64)
-                if key[:2] != now:
-                    close()
-                    now, names, sets, copies, cell, last = key[:2], [], [], [], None, None
-                if key[2:4] == last:  # equal rows of one id
-                    continue
-                last = key[2:4]
-                if key[2] == 0:
-                    names.append(key[3])
-                    copies.append(key[4])
-                    sets.append(s.copy())
-                elif names:
-                    close()
-                    out += cell.links_of(key[3], s, every)
-            if out:
-                yield _rows(out)
-                out.clear()
-        close()
-        yield _rows(out)
-
-    return run
-
-
-def _rows(found: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(3)], names=["a", "b", "n"])
+    def near_set(self, s: np.ndarray) -> np.ndarray:
+        return self.tree.search(count_vector(s, self.groups), len(s))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, bucket_shingles: int = 1_000_000, cell_shingles: int = 2_000_000, few_members: int = 400_000, pair_run: int = 16, links: bool = True) -> DataFrame:
@@ -437,57 +319,31 @@ def jaccard_components(docs: DataFrame, width: int = 5, bucket_shingles: int = 1
     Components need a spanning set of links only; counts need every pair of a group of near copies verified.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), F.col("text").alias("_text"))
+    key, restore = id_key(docs)
+    own = docs.select("doc_id", key.alias("_id"), F.col("text").alias("_text"))
+    id_kind = own.schema["_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = Names()
         for b in batches:
-            n, c, v = [], [], []
-            for s in _sets(b, width):
+            n, c, k, v = [], [], [], []
+            for s, check in sets_of(b, width, True):
                 n.append(len(s))
-                c.append(class_of(s) if len(s) else None)
+                c.append(first.of(s, check) if len(s) else None)
+                k.append(check)
                 v.append(np.minimum(count_vector(s, groups_of(len(s))), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(v, pa.binary())], names=["doc_id", "_id", "n_shingles", "name", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.int64()), pa.array(v, pa.binary())], names=["doc_id", "_id", "n_shingles", "name", "check", "counts"])
 
-    known = saved(lean(own, describe, f"doc_id {kind}, _id long, n_shingles long, name long, counts binary"))
+    known, names = told_apart(saved(lean(own, describe, f"doc_id {kind}, _id {id_kind}, n_shingles long, name long, check long, counts binary")))
     vectors = known.filter("name IS NOT NULL").select("name", "counts").dropDuplicates(["name"])
     known = known.drop("counts")
-    classes = known.filter("name IS NOT NULL").groupBy("name").agg(F.min("_id").alias("_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    classes = class_table(known)
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (3 * bucket_shingles)))
     texts = own.select("_text")
     heavy = heavy_shingles(texts, buckets, width)
-    ties = saved(_ties(texts, heavy, buckets, width, pair_run))
+    ties = saved(_ties(texts, heavy, names, buckets, width, pair_run))
     close = _within_bound(ties.filter("NOT many").select("a", "b").distinct(), vectors)
     cells = components(ties.filter("many").select("a", "b").unionByName(close))
-
-    members = saved(cells.join(classes, F.col("node") == F.col("name")).select("name", "_id", "n", "copies", F.col("root").alias("cell")))
-    few = members.limit(few_members + 1).count() <= few_members
-    sizes = members.groupBy("cell").agg(F.ceil(F.sum("n") / cell_shingles).cast("int").alias("blocks"))
-    members = members.join(sizes, "cell").drop("n")
-    held = own.select("_id", "_text").join(F.broadcast(members) if few else members, "_id")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = list(_sets(b, width))
-            same = [i for i, (s, c) in enumerate(zip(sets, b.column("name").to_pylist())) if len(s) and class_of(s) == c]
-            take = pa.array(same, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("cell", "blocks", "name", "copies")] + [pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["cell", "blocks", "name", "copies", "shingles"])
-
-    points = lean(held, gather, "cell long, blocks int, name long, copies long, shingles binary")
-    block = F.pmod("name", F.col("blocks")).cast("int")
-    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.when(k == block, 0).otherwise(1).alias("role")))
-    dealt = points.withColumn("_p", F.explode(everywhere)).select("cell", "_p.block", "_p.role", "name", "copies", "shingles")
-    found = saved(lean(dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "role", "name"), _link_cells(links), "a long, b long, n long"))
-    roots = components(found.filter("n = 0").select("a", "b"))
-
-    best = classes.join(roots, F.col("name") == F.col("node"), "left").select("name", "_id", "copies", F.coalesce("root", "name").alias("root"))
-    ids = best.groupBy("root").agg(F.min("_id").alias("_least"))
-    to = best.join(ids, "root")
-    if links:
-        count = found.filter("n > 0").groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("_n"))
-        to = to.join(count, F.col("name") == F.col("_a"), "left")
-    to = to.select(F.col("name").alias("_name"), "_least", *([(F.coalesce("_n", F.lit(0)) + F.col("copies") - 1).alias("_links")] if links else []))
-    out = known.join(to, F.col("name") == F.col("_name"), "left")
-    least = F.when(F.col("name").isNull(), F.col("doc_id")).when(F.col("_least") != _NULL_ID, F.col("_least"))
-    more = [F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")] if links else []
-    return out.select("doc_id", "n_shingles", least.cast(kind).alias("component_id"), *more)
+    found = verified(own, cells, classes, names, TreeCell, width, cell_shingles, few_members, links)
+    return component_rows(known, classes, found, restore, links)
