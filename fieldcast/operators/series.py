@@ -1,70 +1,106 @@
 """Operators along time: running sums, SPI, lags, windows, interpolation, gap filling, checks.
 
-Every function takes key columns; all keys run in one job, parted by key.
+Every function takes key columns; all keys run in one job, parted by key. Keys of more than ``hot_rows`` rows are cut into
+ranges (``ranges.by_parts``), with the same results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..functions.numeric import gamma_spi_udf, pchip_fill
+from ..functions.numeric import gamma_spi_udf
+from .ranges import HOT_ROWS, by_parts
 
 
 def _order(key: list[str], time: list[str] | str) -> WindowSpec:
     return Window.partitionBy(*key).orderBy(*([time] if isinstance(time, str) else time))
 
 
-def running_total(df: DataFrame, key: list[str], time, columns: dict[str, str]) -> DataFrame:
+def _past(key: list[str], first: int = Window.unboundedPreceding, last: int = 0) -> WindowSpec:
+    return Window.partitionBy(*key).orderBy("_i").rowsBetween(first, last)
+
+
+def _future(key: list[str], last: int = 0) -> WindowSpec:
+    """From the end backwards: frames that end with the series are quadratic in Spark, frames that begin with it aren't."""
+    return Window.partitionBy(*key).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, last)
+
+
+def running_total(df: DataFrame, key: list[str], time, columns: dict[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """{new: source}: cumulative sums; a NULL row stays NULL and the sum goes on."""
-    w = _order(key, time).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({n: F.when(F.col(c).isNotNull(), F.sum(c).over(w)) for n, c in columns.items()})
 
+    def run(d: DataFrame, by: list[str]) -> DataFrame:
+        return d.withColumns({n: F.when(F.col(c).isNotNull(), F.sum(c).over(_past(by))) for n, c in columns.items()})
 
-def rolling_sum(df: DataFrame, key: list[str], time, column: str, scale: int, name: str) -> DataFrame:
+    return by_parts(df, key, time, run, sums=sorted(set(columns.values())), hot_rows=hot_rows)
+
+
+def rolling_sum(df: DataFrame, key: list[str], time, column: str, scale: int, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Over full windows only; NULL if any value inside is."""
-    w = _order(key, time).rowsBetween(-(scale - 1), 0)
-    return df.withColumn(name, F.when(F.count(column).over(w) == scale, F.sum(column).over(w)))
+
+    def run(d: DataFrame, by: list[str]) -> DataFrame:
+        w = _past(by, -(scale - 1))
+        return d.withColumn(name, F.when(F.count(column).over(w) == scale, F.sum(column).over(w)))
+
+    return by_parts(df, key, time, run, before=scale - 1, hot_rows=hot_rows)
 
 
-def spi(df: DataFrame, key: list[str], time, column: str, scale: int = 3, name: str = "spi", least: int = 10) -> DataFrame:
+def with_key_stats(df: DataFrame, key: list[str], stats: dict[str, Column]) -> DataFrame:
+    """Aggregates of each key beside its rows, by a join, so no key is one task."""
+    own = df.groupBy(*key).agg(*(v.alias(n) for n, v in stats.items())).withColumnsRenamed({k: f"_of_{k}" for k in key})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in key)) if key else F.lit(True)
+    return df.join(own, same).drop(*(f"_of_{k}" for k in key))
+
+
+def spi(df: DataFrame, key: list[str], time, column: str, scale: int = 3, name: str = "spi", least: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Standardized precipitation index: gamma fit to the rolling sums, or z-scores of the raw values below ``least`` sums.
 
     ``{name}_status``: gamma, zscore, or nonpositive (a sum of 0 or less is outside the fit; the series is NULL).
     """
-    every = Window.partitionBy(*key)
     c, s = F.col(column), F.col("_sum")
-    d = rolling_sum(df, key, time, column, scale, "_sum")
-    d = d.withColumns({"_n": F.count("_sum").over(every), "_bad": F.max((s <= 0).cast("int")).over(every), "_m": F.avg("_sum").over(every), "_g": F.avg(F.when(s > 0, F.ln(s))).over(every)})
-    d = d.withColumns({"_z": F.try_divide(c - F.avg(column).over(every), F.stddev_samp(column).over(every) + 1e-10)})
+    d = rolling_sum(df, key, time, column, scale, "_sum", hot_rows)
+    d = with_key_stats(d, key, {"_n": F.count("_sum"), "_bad": F.max((s <= 0).cast("int")), "_m": F.avg("_sum"), "_g": F.avg(F.when(s > 0, F.ln(s))), "_avg": F.avg(column), "_std": F.stddev_samp(column)})
+    z = F.try_divide(c - F.col("_avg"), F.col("_std") + 1e-10)
     d = d.withColumn("_q", gamma_spi_udf("_sum", "_m", "_g"))
-    raw = F.when(F.col("_n") < least, F.col("_z")).when(F.coalesce("_bad", F.lit(0)) == 0, F.col("_q"))
-    d = d.withColumn("_r", raw)
-    o = _order(key, time)
-    before = F.last("_r", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(o.rowsBetween(0, Window.unboundedFollowing))
+    d = d.withColumn("_r", F.when(F.col("_n") < least, z).when(F.coalesce("_bad", F.lit(0)) == 0, F.col("_q")))
+
+    def run(x: DataFrame, by: list[str]) -> DataFrame:
+        return x.withColumn(name, F.coalesce(F.last("_r", ignorenulls=True).over(_past(by)), F.last("_r", ignorenulls=True).over(_future(by))))
+
+    d = by_parts(d, key, time, run, ends=["_r"], hot_rows=hot_rows)
     status = F.when(F.col("_n") < least, "zscore").when(F.coalesce("_bad", F.lit(0)) == 1, "nonpositive").otherwise("gamma")
-    return d.withColumns({name: F.coalesce(before, after), f"{name}_status": status}).drop("_sum", "_n", "_bad", "_m", "_g", "_z", "_q", "_r")
+    return d.withColumn(f"{name}_status", status).drop("_sum", "_n", "_bad", "_m", "_g", "_avg", "_std", "_q", "_r")
 
 
-def lags(df: DataFrame, key: list[str], time, column: str, steps: list[int]) -> DataFrame:
-    return df.withColumns({f"{column}_lag_{k}": F.lag(column, k).over(_order(key, time)) for k in steps})
+def lags(df: DataFrame, key: list[str], time, column: str, steps: list[int], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """{column}_lag_{k}: the value k rows before (of a negative k: after)."""
 
+    def run(d: DataFrame, by: list[str]) -> DataFrame:
+        o = Window.partitionBy(*by).orderBy("_i")
+        return d.withColumns({f"{column}_lag_{k}": F.lag(column, k).over(o) for k in steps})
 
-def sequences(df: DataFrame, key: list[str], time, features: list[str], target: str, window: int, step: int = 1) -> DataFrame:
+    return by_parts(df, key, time, run, before=max([0, *steps]), after=max([0, *(-k for k in steps)]), hot_rows=hot_rows)
+
+
+def sequences(df: DataFrame, key: list[str], time, features: list[str], target: str, window: int, step: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Windows of ``window`` rows and the target of the next row: key, start, features (matrix), label.
 
     Starts are 0, step, 2 * step ...; a window without a next row or with a NULL label is left out; NULL features stay.
     """
-    o = _order(key, time)
-    row = F.array(*(F.col(c).cast("double") for c in features))
-    d = df.select(*key, (F.row_number().over(o) - 1).cast("long").alias("start"), F.collect_list(row).over(o.rowsBetween(0, window - 1)).alias("features"), F.lead(target, window).over(o).cast("double").alias("label"))
-    return d.filter((F.col("start") % step == 0) & F.col("label").isNotNull() & (F.size("features") == window))
+    order = [time] if isinstance(time, str) else list(time)
+
+    def run(d: DataFrame, by: list[str]) -> DataFrame:
+        o = Window.partitionBy(*by).orderBy("_i")
+        row = F.array(*(F.col(c).cast("double") for c in features))
+        return d.withColumns({"_start": F.col("_i") - 1, "_rows": F.collect_list(row).over(o.rowsBetween(0, window - 1)), "_label": F.lead(target, window).over(o).cast("double")})
+
+    d = df.select(*dict.fromkeys([*key, *order, *features, target]))
+    d = by_parts(d, key, order, run, after=window, hot_rows=hot_rows)
+    d = d.filter((F.col("_start") % step == 0) & F.col("_label").isNotNull() & (F.size("_rows") == window))
+    return d.select(*key, F.col("_start").alias("start"), F.col("_rows").alias("features"), F.col("_label").alias("label"))
 
 
 def last_of_year(df: DataFrame, key: list[str], time: str, values: list[str], year: Column | str, window: int) -> DataFrame:
@@ -96,54 +132,85 @@ def daily_mean(df: DataFrame, key: list[str], time: str, values: list[str], spin
     return days.join(out, [*key, "day"], "left")
 
 
-def interpolate(df: DataFrame, key: list[str], time, columns: list[str]) -> DataFrame:
+def interpolate(df: DataFrame, key: list[str], time, columns: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Linear by row position; gaps at the ends take the nearest value; all NULL stays."""
-    o = _order(key, time)
-    past, future = o.rowsBetween(Window.unboundedPreceding, 0), o.rowsBetween(0, Window.unboundedFollowing)
-    d = df.withColumn("_i", F.row_number().over(o))
-    for c in columns:
-        at = F.when(F.col(c).isNotNull(), F.col("_i"))
-        a, b = F.last(c, True).over(past), F.first(c, True).over(future)
-        i, j = F.last(at, True).over(past), F.first(at, True).over(future)
-        between = a + (b - a) * F.try_divide(F.col("_i") - i, (j - i).cast("double"))
-        d = d.withColumn(f"_{c}", F.when(F.col(c).isNotNull(), F.col(c).cast("double")).when(a.isNull(), b).when(b.isNull(), a).otherwise(between))
-    return d.withColumns({c: F.col(f"_{c}") for c in columns}).drop("_i", *(f"_{c}" for c in columns))
-
-
-def fill_gaps(df: DataFrame, key: list[str], time: str, columns: list[str], limit: int = 5) -> DataFrame:
+
+    def run(d: DataFrame, by: list[str]) -> DataFrame:
+        near = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).cast("double").alias("v"))) for c in columns}
+        d = d.withColumns({f"_a_{c}": F.last(x, True).over(_past(by)) for c, x in near.items()})
+        d = d.withColumns({f"_b_{c}": F.last(x, True).over(_future(by)) for c, x in near.items()})
+        for c in columns:
+            a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+            between = a["v"] + (b["v"] - a["v"]) * F.try_divide(F.col("_i") - a["i"], (b["i"] - a["i"]).cast("double"))
+            d = d.withColumn(f"_v_{c}", F.when(F.col(c).isNotNull(), F.col(c).cast("double")).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(between))
+        return d.drop(*(f"_{s}_{c}" for c in columns for s in "ab"))
+
+    d = by_parts(df, key, time, run, ends=columns, hot_rows=hot_rows)
+    return d.withColumns({c: F.col(f"_v_{c}") for c in columns}).drop(*(f"_v_{c}" for c in columns))
+
+
+def _seconds(df: DataFrame, time: str) -> Column:
+    """Time as a number whose differences are exact."""
+    kind = dict(df.dtypes)[time]
+    if kind.startswith("timestamp") or kind == "date":
+        return F.unix_micros(F.col(time).cast("timestamp"))
+    return F.col(time).cast("double")
+
+
+def _end_slope(h0: Column, h1: Column, s0: Column, s1: Column) -> Column:
+    """Slope at an end from two steps: three-point, not against the first step, and at most three times it where they differ in sign."""
+    e = F.try_divide((2 * h0 + h1) * s0 - h0 * s1, h0 + h1)
+    return F.when(e * s0 <= 0, 0.0).when((s0 * s1 <= 0) & (F.abs(e) > 3 * F.abs(s0)), 3 * s0).otherwise(e)
+
+
+def _inner_slope(h0: Column, s0: Column, h1: Column, s1: Column) -> Column:
+    """Weighted harmonic mean of the steps at a point, 0 where they differ in sign."""
+    w0, w1 = 2 * h1 + h0, h1 + 2 * h0
+    return F.when(s0 * s1 > 0, F.try_divide(w0 + w1, F.try_divide(w0, s0) + F.try_divide(w1, s1))).otherwise(0.0)
+
+
+def fill_gaps(df: DataFrame, key: list[str], time: str, columns: list[str], limit: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Monotone cubic (PCHIP) over real time, at most ``limit`` rows into each inner gap; what is left becomes 0.
 
-    Series are dealt by key and streamed in order of time, so a task holds one series at a time.
+    All by window expressions: a row sees the two valid values on each side, which fix the cubic between the inner two. Of
+    rows with equal times the first counts.
     """
-    kinds = df.withColumns({c: F.col(c).cast("double") for c in columns})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, now = [], None
-        for b in batches:
-            if not len(b):
-                continue
-            for k, part in b.groupby(key, sort=False, dropna=False):
-                k = tuple(None if x != x else x for x in k)
-                if now is not None and k != now:
-                    yield fill(pd.concat(held))
-                    held = []
-                now = k
-                held.append(part)
-        if held:
-            yield fill(pd.concat(held))
-
-    def fill(s: pd.DataFrame) -> pd.DataFrame:
-        t = s[time]
-        x = (t - t.iloc[0]).dt.total_seconds().to_numpy() if str(t.dtype).startswith("datetime") else t.to_numpy(float)
-        out = s.copy()
-        for c in columns:
-            v = s[c].to_numpy(float)
-            one = np.concatenate([[True], x[1:] > x[:-1]])  # of equal times the first counts
-            good = pchip_fill(x[one], v[one], limit)
-            out[c] = np.where(np.isnan(v), good[np.cumsum(one) - 1], v)
-        return out
 
-    return kinds.repartition(*key).sortWithinPartitions(*key, time).mapInPandas(run, kinds.schema)
+    def first(d: DataFrame, by: list[str]) -> DataFrame:
+        new = ~F.col(time).eqNullSafe(F.lag(time).over(Window.partitionBy(*by).orderBy("_i"))) | (F.row_number().over(Window.partitionBy(*by).orderBy("_i")) == 1)
+        d = d.withColumn("_new", new)
+        return d.withColumns({f"_k_{c}": F.when(F.col("_new"), F.col(c)) for c in columns}).drop("_new")
+
+    def run(d: DataFrame, by: list[str]) -> DataFrame:
+        x = _seconds(d, time)
+        point = {c: F.when(F.col(f"_k_{c}").isNotNull(), F.struct("_i", x.alias("x"), F.col(f"_k_{c}").alias("y"))) for c in columns}
+        for side, w in (("p", _past), ("n", _future)):
+            beyond = w(by, last=-1)
+            d = d.withColumns({f"_{side}q_{c}": F.when(v.isNotNull(), F.struct(F.last(v, True).over(beyond).alias("q"))) for c, v in point.items()})
+            d = d.withColumns({f"_{side}_{c}": F.last(v, True).over(w(by)) for c, v in point.items()} | {f"_{side}r_{c}": F.last(f"_{side}q_{c}", True).over(w(by)) for c in columns})
+        for c in columns:
+            p, n, pp, nn = F.col(f"_p_{c}"), F.col(f"_n_{c}"), F.col(f"_pr_{c}")["q"], F.col(f"_nr_{c}")["q"]
+            wide = lambda a, b: (b["x"] - a["x"]).cast("double") / (1e6 if dict(d.dtypes)[time] in ("timestamp", "timestamp_ntz", "date") else 1.0)
+            step = lambda a, b: F.try_divide(b["y"] - a["y"], wide(a, b))
+            h, s, hp, sp, hn, sn = wide(p, n), step(p, n), wide(pp, p), step(pp, p), wide(n, nn), step(n, nn)
+            left = F.when(pp.isNull() & nn.isNull(), s).when(pp.isNull(), _end_slope(h, hn, s, sn)).otherwise(_inner_slope(hp, sp, h, s))
+            right = F.when(pp.isNull() & nn.isNull(), s).when(nn.isNull(), _end_slope(h, hp, s, sp)).otherwise(_inner_slope(h, s, hn, sn))
+            here = F.struct(x.alias("x"))
+            u = F.try_divide(wide(p, here), h)
+            cubic = (1 + 2 * u) * (1 - u) * (1 - u) * p["y"] + u * (1 - u) * (1 - u) * h * left + u * u * (3 - 2 * u) * n["y"] + u * u * (u - 1) * h * right
+            inside = p.isNotNull() & n.isNotNull() & (F.col("_i") - p["_i"] <= limit)
+            same = p.isNotNull() & (p["x"] == x)  # a later row of a time that has a value
+            d = d.withColumn(f"_v_{c}", F.when(F.col(c).isNotNull(), F.col(c)).when(same, p["y"]).when(inside, cubic).otherwise(0.0))
+        return d.drop(*(f"_{s}_{c}" for c in columns for s in ("p", "n", "pq", "nq", "pr", "nr")))
+
+    d = df.withColumns({c: nan_to_null_column(c) for c in columns})
+    d = by_parts(d, key, time, run, ends=[f"_k_{c}" for c in columns], valid=2, hot_rows=hot_rows, prepare=first)
+    return d.withColumns({c: F.coalesce(f"_v_{c}", F.lit(0.0)) for c in columns}).drop(*(f"_{s}_{c}" for c in columns for s in "vk"))
+
+
+def nan_to_null_column(name: str) -> Column:
+    v = F.col(name).cast("double")
+    return F.when(~F.isnan(v), v)
 
 
 def integrity(df: DataFrame, key: list[str], order: str, time: str) -> DataFrame:

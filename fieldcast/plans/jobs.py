@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mixture, risk, scalars
 from ..operators import align, bias, drift, impute, metrics, score, series, tables
+from ..sources.io import scratch
 
 # The status sentences of a region's context.
 READY = "Ready for live inference"
@@ -61,8 +62,9 @@ def training_set(labels: DataFrame, satellite: DataFrame, weather: DataFrame, so
     names = [f"f{i}" for i in range(len(sat_values) + len(weather_values))]
     w = align.history_windows(at, flat, cell, ids, "time", "day", names, [], window, fallback)
     w = align.split_features(w, len(sat_values), "window").drop("window")
-    w = tables.soil_vectors(w, soil, "site", soil_values, soil_dim).persist()  # the split counts it several times
-    return bias.split(w, ids, train_fraction)
+    path = scratch(labels.sparkSession, "training")  # the split counts it several times
+    tables.soil_vectors(w, soil, "site", soil_values, soil_dim).write.parquet(path)
+    return bias.split(labels.sparkSession.read.parquet(path), ids, train_fraction)
 
 
 def weather_features(weather: DataFrame, key: list[str], time: str = "time", scale: int = 3) -> DataFrame:
@@ -95,31 +97,54 @@ def drift_check(reference_sat: DataFrame, current_sat: DataFrame, reference_weat
     return out.select(region, "ndvi_psi", "ndvi_status", "ks_pvalue", "ks_status", "overall_status", "reference_missing")
 
 
-def forecast(inputs: DataFrame, history: DataFrame, load: Callable, shares: tuple[str, str, str] | None = None) -> DataFrame:
-    """A forecast per (site, year) row of ``inputs`` (sat, weather, soil): estimate, bounds, risk, advice, status.
+def forecast(inputs: DataFrame, history: DataFrame, load: Callable, shares: tuple[str, str, str] | None = None, explain: bool = False) -> DataFrame:
+    """A forecast per (site, year) row of ``inputs`` (sat, weather, soil, and any columns that travel along): estimate, bounds,
+    risk, advice, bimodality report, status.
 
-    ``history`` is ``tables.site_history``'s result; ``shares`` names attribution columns of satellite, weather and soil.
-    An implausible estimate keeps its row, with status "implausible" and no forecast or risk; a site without history (or with
-    an average of 0) has the risk "Unknown".
+    ``history`` is ``tables.site_history``'s result. ``shares`` names attribution columns of satellite, weather and soil; with
+    ``explain`` they are computed instead, as ``attribution``: how far the estimate moves when a modality is put to its mean over
+    the inputs. A row without whole inputs has the status "no input" (``input_status``, if there, says why); an implausible
+    estimate has the status "implausible". Both have no forecast and no risk; a site without history (or with an average of 0)
+    has the risk "Unknown".
     """
     c = F.col
-    d = score.score(inputs, load)
-    d = d.withColumn("report", mixture.bimodality(c("pi"), c("sigma"), c("mu")))
+    if explain:
+        whole = inputs.filter("sat IS NOT NULL AND weather IS NOT NULL AND soil IS NOT NULL")
+        d = score.score(inputs, load, means=score.feature_means(whole))
+        d = d.withColumn("attribution", F.when(c("shares").isNotNull(), F.struct(*(F.round(c("shares")[i], 4).alias(m) for i, m in enumerate(score.MODALITIES))))).drop("shares")
+        shares = tuple(f"attribution.{m}" for m in score.MODALITIES)
+    else:
+        d = score.score(inputs, load)
+    d = d.withColumn("report", F.when(c("pi").isNotNull(), mixture.bimodality(c("pi"), c("sigma"), c("mu"))))
     estimate, warning = mixture.safe_estimate(c("report"))
-    d = d.withColumns({"_p": estimate, "warning": warning, "std": mixture.std(c("pi"), c("sigma"), c("mu"))})
+    d = d.withColumns({"_p": estimate, "warning": warning, "std": F.when(c("pi").isNotNull(), mixture.std(c("pi"), c("sigma"), c("mu")))})
     average = history.select("site", "historical_avg").distinct()
     observed = history.select("site", "year", "observed_yield")
     d = d.join(average, "site", "left").join(observed, ["site", "year"], "left")
     ok = risk.plausible(c("_p"))
-    d = d.withColumns({"status": F.when(ok, "ok").otherwise("implausible"), "predicted_yield": F.when(ok, c("_p"))}).drop("_p")
+    status = F.when(c("pi").isNull(), "no input").when(ok, "ok").otherwise("implausible")
+    d = d.withColumns({"status": status, "predicted_yield": F.when(ok, c("_p"))}).drop("_p")
     low, high = risk.bounds_95(c("predicted_yield"), c("std"))
     tier = risk.risk_tier(c("predicted_yield"), c("historical_avg"))
     d = d.withColumns({"lower_bound": low, "upper_bound": high, "risk": risk.calibrated_risk(tier, c("predicted_yield"), c("std"))})
     if shares:
-        d = d.withColumn("advice", risk.forecast_advice(*map(c, shares), c("risk"), c("lower_bound"), c("upper_bound"), c("predicted_yield")))
+        advice = risk.forecast_advice(*map(c, shares), c("risk"), c("lower_bound"), c("upper_bound"), c("predicted_yield"))
+        d = d.withColumn("advice", F.when(c("pi").isNotNull(), advice))
     return d
 
 
+def store_forecast(areas: DataFrame, years: DataFrame, satellite: DataFrame, weather: DataFrame, soil: DataFrame, yields: DataFrame, load: Callable, sat_values: list[str], weather_values: list[str], soil_values: list[str], soil_dim: int, window: int = 12) -> DataFrame:
+    """From the feature store to the answer: a row per (site, year) of ``years``, with all that ``live_inputs`` and ``forecast`` add.
+
+    ``yields``: site, year, time, yield. Inputs are stored once before they are scored, as their means are needed first.
+    """
+    inputs = live_inputs(areas, years, satellite, weather, soil, sat_values, weather_values, soil_values, soil_dim, window)
+    path = scratch(areas.sparkSession, "inputs")
+    inputs.write.parquet(path)
+    history = tables.site_history(yields, "site", "year", "time", "yield")
+    return forecast(areas.sparkSession.read.parquet(path), history, load, explain=True)
+
+
 def live_inputs(areas: DataFrame, years: DataFrame, satellite: DataFrame, weather: DataFrame, soil: DataFrame, sat_values: list[str], weather_values: list[str], soil_values: list[str], soil_dim: int, window: int = 12) -> DataFrame:
     """Inputs of ``forecast`` per (site, year) of ``years``, from feature tables: the last ``window`` rows of the year at the
     cell nearest to the area (site, lat, lon), and the soil vector with its source and warnings. ``input_status`` is "ok" or says

@@ -621,6 +621,51 @@ def live_inputs(spark, d):
     return x.select(c("site").alias("user_id"), c("year").cast("long").alias("year"), "input_status", F.round(mixture.total(c("ndvi_series")), 6).alias("ndvi"), "soil_source")
 
 
+def _estimate(sat: str, wea: str, soil: str) -> str:
+    """The stand-in model's mean."""
+    parts = [(sat, sat), (f"{wea} / 100", f"{wea} / 50"), (f"{soil} / 10", f"{soil} / 5")]
+    return f"(({' + '.join(f'exp({z}) * (3 + tanh({m}))' for z, m in parts)}) / ({' + '.join(f'exp({z})' for z, _ in parts)}))"
+
+
+_SHARES = {"Satellite": "a1", "Weather": "a2", "Soil": "a3"}
+
+
+@query(f"""WITH e AS (SELECT user_id, ts, value / 400 + CASE WHEN user_id % 3 = 0 THEN 1.5 ELSE 0 END AS r, value / 200 AS n, value / 10 + CASE WHEN user_id % 3 = 1 THEN 90 ELSE 0 END AS rain,
+row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS i, count(*) OVER (PARTITION BY user_id) AS k FROM events),
+w AS (SELECT user_id, any_value(k) AS k, avg((r + n) / 2) AS s, avg(rain) AS w, CASE WHEN user_id % 5 = 0 THEN 0 WHEN user_id % 3 = 2 THEN 20 ELSE 4 END / 2 AS g, sum((n - r) / CASE WHEN n + r = 0 THEN 1e-6 ELSE n + r END) AS ndvi FROM e WHERE i <= 60 GROUP BY 1),
+i AS (SELECT user_id, 2024 AS year, s, w, g, ndvi FROM w WHERE k >= 60), b AS (SELECT avg(s) AS s0, avg(w) AS w0, avg(g) AS g0 FROM i),
+v AS (SELECT i.*, abs({_estimate("s", "w", "g")} - {_estimate("s0", "w", "g")}) AS d1, abs({_estimate("s", "w", "g")} - {_estimate("s", "w0", "g")}) AS d2, abs({_estimate("s", "w", "g")} - {_estimate("s", "w", "g0")}) AS d3 FROM i, b),
+u AS (SELECT *, round(d1 / (d1 + d2 + d3), 4) AS a1, round(d2 / (d1 + d2 + d3), 4) AS a2, round(d3 / (d1 + d2 + d3), 4) AS a3 FROM v),
+z AS (SELECT user_id, unnest([s, w / 100, g / 10]) AS z, unnest([3 + tanh(s), 3 + tanh(w / 50), 3 + tanh(g / 5)]) AS mu, unnest([1, 2, 3]) AS k FROM u),
+p AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY user_id) AS pi, 0.2 + 0.1 * abs(tanh(z)) AS sigma FROM z),
+g AS (SELECT user_id, sum(pi * mu) AS mean, sqrt(greatest(sum(pi * (sigma * sigma + mu * mu)) - sum(pi * mu) ** 2, 1e-6)) AS s, sum(pi * sigma) AS spread, list(struct_pack(x := -pi, k := k, mu := mu) ORDER BY pi DESC, k) FILTER (pi >= 0.2) AS modes FROM p GROUP BY 1),
+f AS (SELECT user_id, s, len(modes) >= 2 AND abs(modes[1].mu - modes[2].mu) / (spread + 1e-8) >= 1.5 AS two, CASE WHEN len(modes) >= 2 AND abs(modes[1].mu - modes[2].mu) / (spread + 1e-8) >= 1.5 THEN modes[1].mu ELSE mean END AS p FROM g),
+h AS (SELECT user_id, avg(value / 50) AS a, arg_max(value / 50, (ts, value)) AS y FROM events WHERE user_id % 7 <> 0 GROUP BY 1),
+q AS (SELECT w.user_id, years.year, w.k, h.a, CASE WHEN years.year = 2024 THEN h.y END AS y, f.s, f.p, f.two, u.a1, u.a2, u.a3, u.ndvi FROM w CROSS JOIN (SELECT unnest([2023, 2024]) AS year) years LEFT JOIN u ON u.user_id = w.user_id AND u.year = years.year LEFT JOIN f ON f.user_id = u.user_id LEFT JOIN h ON h.user_id = w.user_id),
+x AS (SELECT *, CASE WHEN p IS NULL THEN NULL WHEN a IS NULL OR a = 0 THEN 'Unknown' ELSE {TIER_SQL} END AS tier FROM q)
+SELECT user_id, year::BIGINT AS year, CASE WHEN p IS NULL THEN 'no input' ELSE 'ok' END AS status, CASE WHEN year = 2023 THEN 'no satellite features' WHEN k < 60 THEN 'satellite: ' || k || ' rows, need at least 60' ELSE 'ok' END AS input_status,
+CASE WHEN user_id % 5 = 0 THEN 'MISSING → zero-vector' ELSE 'file:' || user_id || '_soil.csv' END AS soil_source, CASE WHEN user_id % 5 = 0 THEN 'no soil row' ELSE '' END AS soil_warnings, round(CASE WHEN p IS NOT NULL THEN ndvi END, 6) AS ndvi,
+round(p, 6) AS predicted_yield, round(CASE WHEN p IS NOT NULL THEN greatest(0, p - 1.96 * s) END, 6) AS lower_bound, round(p + 1.96 * s, 6) AS upper_bound, round(s, 6) AS std, {UP_SQL} AS risk, two AS is_bimodal, a1 AS satellite, a2 AS weather, a3 AS soil_share,
+CASE WHEN p IS NOT NULL THEN array_to_string(list_filter([CASE WHEN a1 >= a2 AND a1 >= a3 THEN format('{_QUOTED["Satellite"]}', CAST(round_even(a1 * 100, 0) AS INT)) WHEN a2 >= a3 THEN format('{_QUOTED["Weather"]}', CAST(round_even(a2 * 100, 0) AS INT)) ELSE format('{_QUOTED["Soil"]}', CAST(round_even(a3 * 100, 0) AS INT)) END,
+CASE WHEN (p + 1.96 * s - greatest(0, p - 1.96 * s)) / p > 0.4 THEN '{risk.VOLATILE_ADVICE}' END], lambda l: l IS NOT NULL), '|') END AS advice, round(y, 6) AS observed_yield, round(a, 6) AS historical_avg FROM x""")
+def store_forecast(spark, d):
+    """From features to answers: ready, short and absent inputs, soil of four in five sites, yields of six in seven."""
+    e = t(spark, d, "events").select(c("user_id").alias("site"), c("ts").alias("time"), lit(1.0).alias("lat"), lit(2.0).alias("lon"), "value")
+    sat = e.select("site", "time", "lat", "lon", (c("value") / 400 + F.when(c("site") % 3 == 0, 1.5).otherwise(0.0)).alias("B04"), (c("value") / 200).alias("B08"))
+    rain = e.select("site", "time", "lat", "lon", (c("value") / 10 + F.when(c("site") % 3 == 1, 90.0).otherwise(0.0)).alias("rain"))
+    areas = e.select("site", lit(1.2).alias("lat"), lit(1.9).alias("lon")).distinct()
+    years = areas.select("site", F.explode(F.array(lit(2023), lit(2024))).alias("year"))
+    soil = areas.filter("site % 5 <> 0").select("site", F.when(c("site") % 3 == 2, 20.0).otherwise(4.0).alias("ph"))
+    yields = e.filter("site % 7 <> 0").select("site", F.year("time").alias("year"), "time", (c("value") / 50).alias("yield"))
+    x = jobs.store_forecast(areas, years, sat, rain, soil, yields, score.stand_in_scorer, ["B04", "B08"], ["rain"], ["ph"], 2, 60)
+    n = ["predicted_yield", "lower_bound", "upper_bound", "std", "observed_yield", "historical_avg"]
+    shares = [c(f"attribution.{k}").alias(v) for k, v in (("Satellite", "satellite"), ("Weather", "weather"), ("Soil", "soil_share"))]
+    return x.select(
+        c("site").alias("user_id"), c("year").cast("long").alias("year"), "status", "input_status", "soil_source", F.array_join("soil_warnings", ",").alias("soil_warnings"), F.round(F.when(c("pi").isNotNull(), mixture.total(c("ndvi_series"))), 6).alias("ndvi"),
+        *(F.round(k, 6).alias(k) for k in n), "risk", c("report.is_bimodal").alias("is_bimodal"), *shares, F.array_join("advice", "|").alias("advice"),
+    )
+
+
 @query()
 def evaluate_mixtures(spark, d):
     return jobs.evaluate(mixtures(spark, d))
