@@ -6,19 +6,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import in_bbox
+from .ranges import HOT_ROWS, by_parts
 
-def nearest_on_axis(points: DataFrame, axis: DataFrame, key: list[str], point: str, coord: str, ids: list[str], name: str) -> DataFrame:
-    """Nearest axis value of each point within its key; of two equally near the larger. Axis values are made distinct."""
-    a = axis.select(*key, F.col(coord).alias("_c")).filter("_c IS NOT NULL").distinct()
-    near = points.select(*key, *ids, F.col(point).alias("_p")).join(a, key)
-    best = near.groupBy(*key, *ids).agg(F.min_by("_c", F.struct(F.abs(F.col("_c") - F.col("_p")), -F.col("_c"))).alias(name))
-    return points.join(best, [*key, *ids], "left")
 
+def nearest_on_axis(points: DataFrame, axis: DataFrame, key: list[str], point: str, coord: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Nearest axis value of each point within its key; of two equally near the larger. NULL points or keys have none.
 
-def nearest_cell(points: DataFrame, grid: DataFrame, ids: list[str], key: list[str] = ["site"], lat: str = "lat", lon: str = "lon") -> DataFrame:  # noqa: B006
+    Points and distinct axis values are sorted together; a point takes the last axis value before it or the next one after it,
+    so work is linear in both, and hot keys are cut into ranges.
+    """
+    a = axis.select(*key, F.col(coord).cast("double").alias("_a")).filter("_a IS NOT NULL").dropna(subset=key).distinct()
+    own = points.withColumn("_x", F.col(point).cast("double")).withColumn("_kind", F.lit(1))
+    both = own.unionByName(a.withColumn("_x", F.col("_a")).withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+
+    def run(d: DataFrame, by: list[str]) -> DataFrame:
+        near = F.last("_a", ignorenulls=True)
+        below = near.over(Window.partitionBy(*by).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+        above = near.over(Window.partitionBy(*by).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0))
+        return d.withColumns({"_lo": below, "_hi": above})
+
+    d = by_parts(both, key, ["_x", "_kind"], run, ends=["_a"], hot_rows=hot_rows).filter("_kind = 1")
+    lo, hi, x = F.col("_lo"), F.col("_hi"), F.col("_x")
+    best = F.when(x.isNull(), None).when(lo.isNull() | (hi - x <= x - lo), hi).otherwise(lo)
+    return d.withColumn(name, F.coalesce(best, F.when(x.isNotNull(), lo))).select(*points.columns, name)
+
+
+def nearest_cell(points: DataFrame, grid: DataFrame, key: list[str] = ["site"], lat: str = "lat", lon: str = "lon", hot_rows: int = HOT_ROWS) -> DataFrame:  # noqa: B006
     """Adds cell_lat and cell_lon: each axis on its own, without a greatest distance."""
-    out = nearest_on_axis(points, grid, key, lat, lat, ids, "cell_lat")
-    return nearest_on_axis(out, grid, key, lon, lon, ids, "cell_lon")
+    out = nearest_on_axis(points, grid, key, lat, lat, "cell_lat", hot_rows)
+    return nearest_on_axis(out, grid, key, lon, lon, "cell_lon", hot_rows)
+
+
+FINE = 2  # a tile's side is between a quarter and a half of the box's
+MOST_LEVELS = 1000
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, key: list[str], lat: str, lon: str, box: str, hot_points: int = 1_000_000) -> DataFrame:
+    """Inner join of points with the boxes (min_lon, min_lat, max_lon, max_lat, ends included) of their key that hold them.
+
+    A spatial hash join: each side of a box fixes the side of its tiles, a power of two, so a box lies on at most six tiles an
+    axis, whatever its size; points are hashed once for each pair of sides that occurs. A tile with more than ``hot_points``
+    points is dealt by salts, with its boxes beside each. The columns of both tables must differ, but for ``key``.
+    """
+    b = boxes.dropna(subset=[*key, box]).filter((F.col(box)[0] <= F.col(box)[2]) & (F.col(box)[1] <= F.col(box)[3]))
+    level = lambda lo, hi: F.when(hi > lo, F.floor(F.log2(hi - lo)) - FINE + 1).otherwise(F.lit(0)).cast("int")
+    b = b.withColumn("_u", level(F.col(box)[0], F.col(box)[2])).withColumn("_w", level(F.col(box)[1], F.col(box)[3]))
+    levels = [(r["_u"], r["_w"]) for r in b.select("_u", "_w").distinct().limit(MOST_LEVELS + 1).collect()]  # a pair for each two orders of magnitude
+    if len(levels) > MOST_LEVELS:
+        raise ValueError("boxes of too many sizes; scale the coordinates")
+    tile = lambda x, k: F.floor(x / F.pow(F.lit(2.0), k)).cast("long")
+    p = points.dropna(subset=[*key, lat, lon])
+    sides = F.array(*(F.struct(F.lit(u).alias("_u"), F.lit(w).alias("_w")) for u, w in levels)) if levels else F.array().cast("array<struct<_u:int,_w:int>>")
+    p = p.withColumn("_s", F.explode(sides)).select("*", "_s.*").drop("_s")
+    p = p.withColumns({"_tx": tile(F.col(lon), F.col("_u")), "_ty": tile(F.col(lat), F.col("_w"))})
+    span = lambda lo, hi, k: F.explode(F.sequence(tile(F.col(box)[lo], F.col(k)), tile(F.col(box)[hi], F.col(k))))
+    b = b.withColumn("_tx", span(0, 2, "_u")).withColumn("_ty", span(1, 3, "_w"))
+    at = [*key, "_u", "_w", "_tx", "_ty"]
+    hot = p.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / hot_points).cast("int").alias("_n")).filter("_n > 1")
+    few = hot.limit(100_001).count()
+    if few:
+        hot = F.broadcast(hot) if few <= 100_000 else hot
+        p = p.join(hot, at, "left").withColumn("_salt", F.pmod(F.xxhash64(lat, lon, F.monotonically_increasing_id()), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+        b = b.join(hot, at, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+        at = [*at, "_salt"]
+    found = p.join(b, at).filter(in_bbox(F.col(lat), F.col(lon), F.col(box)))
+    return found.drop("_u", "_w", "_tx", "_ty", "_salt")
 
 
 def history_windows(labels: DataFrame, history: DataFrame, on: list[str], label_id: list[str], label_time: str, time: str, values: list[str], ties: list[str], window: int = 12, fallback: str = "first") -> DataFrame:

@@ -4,67 +4,219 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch
+from .ranges import HOT_ROWS, by_parts
 from .series import interpolate
 
+LEAF = 64
+_SLACK = 1 - 1e-9  # bounds and distances round differently
 
-def knn_impute(df: DataFrame, columns: list[str], row_id: str, block: str | None = None, k: int = 5, query_rows: int = 1_000, donor_rows: int = 20_000, most_pairs: int = 10**11) -> DataFrame:
-    """Fill NULLs by the inverse-distance mean of the k nearest rows that have the column.
 
-    Distances are Euclidean over the columns both rows have, scaled up by all over shared columns. Donors at distance 0 win
-    alone; ties go to the lower row id; a cell without donors gets the column mean. Rows with NULLs are the query set. Without
-    NULLs the table comes back as it is.
+class BoxTree:
+    """Rows of one set of present columns in leaves of near rows, each with its bounding box."""
 
-    Rows with NULLs meet the rows of their ``block`` in tiles of about ``query_rows`` by ``donor_rows``, so neither a block nor
-    its queries are one task, and each tile keeps its k best per cell. Work is rows with NULLs times rows, block by block;
-    over ``most_pairs`` of them it is refused, and a finer block is needed.
-    """
+    def __init__(self, x: np.ndarray, columns: np.ndarray):
+        self.columns, self.leaves = columns, []
+        stack = [np.arange(len(x))]
+        while stack:
+            own = stack.pop()
+            if len(own) <= LEAF:
+                self.leaves.append(own)
+                continue
+            part = x[np.ix_(own, columns)]
+            widest = columns[int((part.max(0) - part.min(0)).argmax())]
+            order = own[np.argsort(x[own, widest], kind="stable")]
+            stack += [order[len(own) // 2 :], order[: len(own) // 2]]
+        self.low = np.stack([x[i].min(0) for i in self.leaves])
+        self.high = np.stack([x[i].max(0) for i in self.leaves])
+
+
+def bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Least scaled distance of a row from each box, over the columns that both have."""
+    gap = np.maximum(np.maximum(low[:, shared] - q[shared], q[shared] - high[:, shared]), 0)
+    return np.sqrt(len(q) / len(shared) * (gap * gap).sum(1)) * _SLACK
+
+
+class Tile:
+    """Donors of one tile, a tree for each set of present columns; finds the k nearest rows that have a column."""
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray):
+        self.ids, self.y, self.seen = ids, y, 0
+        there = ~np.isnan(y)
+        self.trees = []
+        for mask in np.unique(there, axis=0):
+            columns = np.flatnonzero(mask)
+            rows = np.flatnonzero((there == mask).all(1))
+            if len(columns):
+                self.trees.append((rows, BoxTree(y[rows], columns)))
+
+    def nearest(self, own: object, q: np.ndarray, c: int, k: int, within: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, distances) of the k nearest at most ``within`` away, ties by id; ``own`` is the row's own id."""
+        present = np.flatnonzero(~np.isnan(q))
+        boxes, leaves = [np.zeros(0)], []
+        for rows, tree in self.trees:
+            shared = np.intersect1d(present, tree.columns)
+            if c in tree.columns and len(shared):
+                boxes.append(bounds(q, tree.low, tree.high, shared))
+                leaves += [(rows, leaf) for leaf in tree.leaves]
+        bound = np.concatenate(boxes)
+        order = np.argsort(bound, kind="stable")
+        order = order[bound[order] <= within]
+        at, d = np.zeros(0, np.int64), np.zeros(0)
+        done = 0
+        while done < len(order) and (len(d) < k or bound[order[done]] <= within):
+            upto = done  # enough leaves for k rows, then all that may still hold a nearer one
+            if len(d) < k:
+                need = k + 1 - len(d)
+                while upto < len(order) and need > 0:
+                    need -= len(leaves[order[upto]][1])
+                    upto += 1
+            else:
+                upto = int(np.searchsorted(bound[order], within, side="right"))
+            found = np.concatenate([leaves[i][0][leaves[i][1]] for i in order[done:upto]])
+            done = max(upto, done + 1)
+            self.seen += len(found)
+            gap = self.y[found] - q
+            n = (~np.isnan(gap)).sum(1)
+            far = np.sqrt(len(q) / n * np.nansum(gap * gap, axis=1))
+            keep = self.ids[found] != own
+            at, d = np.concatenate([at, found[keep]]), np.concatenate([d, far[keep]])
+            best = np.lexsort((self.ids[at], d))[:k]
+            at, d = at[best], d[best]
+            if len(d) == k:
+                within = min(within, d[-1])
+        return at, d
+
+
+def _blocks(df: DataFrame, columns: list[str], row_id: str, block: str | None) -> tuple[DataFrame, list[str]]:
     names = [f"_{i}" for i in range(len(columns))]
     b = F.coalesce(F.col(block).cast("string"), F.lit("\0")) if block else F.lit("")
     cols = df.select(F.col(row_id).alias("_id"), b.alias("_b"), *(F.col(c).cast("double").alias(n) for n, c in zip(names, columns)))
-    cols = cols.withColumn("_ask", F.greatest(*(F.col(n).isNull() for n in names)) if len(names) > 1 else F.col(names[0]).isNull())
-    sizes = cols.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("_ask"), 1)).alias("_nq")).filter("_nq > 0")
-    pairs = sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_nq"))).first()[0]
-    if pairs is None:
-        return df
-    if pairs > most_pairs:
-        raise ValueError(f"{pairs:.0f} pairs of rows to compare; give a finer block")
-    tiles = sizes.select("_b", F.ceil(F.col("_n") / donor_rows).alias("_nd"), F.ceil(F.col("_nq") / query_rows).alias("_nt"))
-    placed = cols.join(tiles, "_b")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n, salt: F.pmod(F.xxhash64("_id", F.lit(salt)), F.col(n))
-    keep = ["_b", "_id", *names]
-    donors = placed.select(*keep, own("_nd", 0).alias("_d"), every("_nt").alias("_t"), F.lit(False).alias("_asks"))
-    asking = placed.filter("_ask").select(*keep, own("_nt", 1).alias("_t"), every("_nd").alias("_d"), F.lit(True).alias("_asks"))
+    return cols.withColumn("_ask", F.greatest(F.lit(False), *(F.col(n).isNull() for n in names))), names
+
+
+def _z_order(cols: DataFrame, names: list[str], bits: int = 4) -> DataFrame:
+    """``_z``: interleaved bits of each column's place among 16 quantiles of its block, so that near rows get near numbers."""
+    used = names[:15]
+    shares = F.array(*(F.lit(i / (1 << bits)) for i in range(1, 1 << bits)))
+    cuts = cols.groupBy("_b").agg(*(F.percentile_approx(n, shares, 1000).alias(f"_q{n}") for n in used))
+    d = cols.join(cuts.withColumnRenamed("_b", "_bq"), F.col("_b") == F.col("_bq"))
+
+    def below(n: str) -> Column:
+        return F.size(F.filter(f"_q{n}", lambda x: x <= F.col(n)))
+
+    place = {n: F.coalesce(below(n), F.lit(1 << (bits - 1))) for n in used}
+    d = d.withColumns({f"_p{n}": F.when(F.col(n).isNull(), 1 << (bits - 1)).otherwise(v).cast("long") for n, v in place.items()})
+    z = F.lit(0).cast("long")
+    for bit in reversed(range(bits)):
+        for n in used:
+            z = F.shiftleft(z, 1) + F.shiftright(F.col(f"_p{n}"), bit).bitwiseAND(F.lit(1).cast("long"))
+    return d.withColumn("_z", z).drop("_bq", *(f"{s}{n}" for n in used for s in ("_q", "_p")))
+
+
+def neighbours(df: DataFrame, columns: list[str], row_id: str, block: str | None = None, k: int = 5, query_rows: int = 5_000, donor_rows: int = 20_000, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """(_id, _c, _d, _o, _v) of at least the k nearest rows for each NULL cell; rows with _c = -1 count the rows compared, as _d.
+
+    Rows of a block are laid in tiles of near rows. A row with NULLs is first compared within its own tile; with the k-th
+    distance found there it goes to the other tiles whose bounding boxes lie nearer, and nowhere else. None without NULLs.
+    """
+    cols, names = _blocks(df, columns, row_id, block)
+    asked = cols.filter("_ask").select("_b").distinct()
     kind = dict(cols.dtypes)["_id"]
+    path = scratch(df.sparkSession, "tiles")
+    placed = by_parts(_z_order(cols.join(asked, "_b", "left_semi"), names), ["_b"], ["_z", "_id"], lambda d, _: d.withColumn("_tile", F.expr(f"(_i - 1) DIV {donor_rows}")), hot_rows=hot_rows)
+    placed.drop("_z").write.parquet(path)
+    placed, donors = (df.sparkSession.read.parquet(path) for _ in range(2))  # apart, so that they can be cogrouped
+    if placed.isEmpty():
+        return None
+    kth = [f"_k{i}" for i in range(len(names))]
+    schema = f"_id {kind}, _c int, _d double, _o {kind}, _v double"
 
-    def nearest(rows: pd.DataFrame) -> pd.DataFrame:
-        asks = rows["_asks"].to_numpy(bool)
-        ids, x = rows["_id"].to_numpy()[asks], rows[names].to_numpy(float)[asks]
-        others, y = rows["_id"].to_numpy()[~asks], rows[names].to_numpy(float)[~asks]
-        out = []
-        for i in range(len(ids)):
-            gap = y - x[i]
-            n = (~np.isnan(gap)).sum(1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                d = np.where((n > 0) & (others != ids[i]), np.sqrt(len(names) / n * np.nansum(gap * gap, axis=1)), np.nan)
+    def search(others: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if not len(others) or not len(asks):
+            return pd.DataFrame(columns=["_id", "_c", "_d", "_o", "_v"])
+        tile = Tile(others["_id"].to_numpy(), others[names].to_numpy(float))
+        out, x, limit = [], asks[names].to_numpy(float), asks[kth].to_numpy(float)
+        for i, own in enumerate(asks["_id"].to_numpy()):
+            before = tile.seen
             for c in np.flatnonzero(np.isnan(x[i])):
-                at = np.flatnonzero(~np.isnan(y[:, c]) & ~np.isnan(d))
-                if len(at) > k:
-                    at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
-                at = at[np.lexsort((others[at], d[at]))[:k]]
-                out += [(ids[i], int(c), d[j], others[j], y[j, c]) for j in at]
+                at, d = tile.nearest(own, x[i], c, k, limit[i, c])
+                out += [(own, int(c), far, tile.ids[j], tile.y[j, c]) for j, far in zip(at, d)]
+            out.append((own, -1, float(tile.seen - before), own, 0.0))
         return pd.DataFrame(out, columns=["_id", "_c", "_d", "_o", "_v"])
 
-    tiled = donors.unionByName(asking).groupBy("_b", "_d", "_t")
-    found = tiled.applyInPandas(nearest, f"_id {kind}, _c int, _d double, _o {kind}, _v double")
-    top = found.groupBy("_id", "_c").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_o", "_v"))), 1, k).alias("_n"))
+    def dealt(asks: DataFrame) -> DataFrame:
+        """Queries meet the donors of their tile, many queries in several groups."""
+        groups = asks.groupBy("_b", "_tile").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("_n"))
+        own = asks.join(groups, ["_b", "_tile"]).withColumn("_g", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+        others = donors.select("_b", "_tile", "_id", *names).join(groups, ["_b", "_tile"]).withColumn("_g", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        by = ["_b", "_tile", "_g"]
+        return others.drop("_n").groupBy(*by).cogroup(own.drop("_n").groupBy(*by)).applyInPandas(search, schema)
+
+    asks = placed.filter("_ask").select("_b", "_tile", "_id", *names)
+    path = scratch(df.sparkSession, "near")
+    dealt(asks.withColumns({c: F.lit(float("inf")) for c in kth})).write.parquet(path)
+    first = df.sparkSession.read.parquet(path)
+    box = [F.min(n).alias(f"_lo{n}") for n in names] + [F.max(n).alias(f"_hi{n}") for n in names]
+    cells = donors.groupBy("_b", "_tile", *(F.col(n).isNotNull().alias(f"_has{n}") for n in names)).agg(*box)
+    several = placed.groupBy("_b").agg(F.max("_tile").alias("_m")).filter("_m > 0").select("_b")
+    if several.isEmpty():
+        return first
+    reach = first.filter("_c >= 0").groupBy("_id").agg(*(F.when(F.count(F.when(F.col("_c") == i, 1)) >= k, F.max(F.when(F.col("_c") == i, F.col("_d")))).alias(n) for i, n in enumerate(kth)))
+    far = asks.join(several, "_b", "left_semi").join(reach, "_id", "left").withColumns({n: F.coalesce(n, F.lit(float("inf"))) for n in kth})
+    chunks = far.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / (10 * query_rows)).cast("int").alias("_n"))
+
+    def route(_: tuple, own: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(boxes):
+            return own.iloc[:0][["_b", "_tile", "_id", *names, *kth]]
+        has = boxes[[f"_has{n}" for n in names]].to_numpy(bool)
+        low, high, tile = boxes[[f"_lo{n}" for n in names]].to_numpy(float), boxes[[f"_hi{n}" for n in names]].to_numpy(float), boxes["_tile"].to_numpy()
+        x, limit, home = own[names].to_numpy(float), own[kth].to_numpy(float), own["_tile"].to_numpy()
+        rows, to = [], []
+        masks = [(m, np.flatnonzero((has == m).all(1))) for m in np.unique(has, axis=0)]
+        for i in range(len(own)):
+            present, hit = ~np.isnan(x[i]), []
+            for m, at in masks:
+                shared = np.flatnonzero(present & m)
+                wanted = limit[i][~present & m]
+                if len(shared) and len(wanted):
+                    hit.append(at[bounds(x[i], low[at], high[at], shared) <= wanted.max()])
+            near = np.unique(tile[np.concatenate(hit)]) if hit else np.zeros(0, np.int64)
+            near = near[near != home[i]]
+            rows.append(np.full(len(near), i))
+            to.append(near)
+        return own.iloc[np.concatenate(rows)].assign(_tile=np.concatenate(to))[["_b", "_tile", "_id", *names, *kth]]
+
+    own = far.join(chunks, "_b").withColumn("_g", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+    every = cells.join(chunks, "_b").withColumn("_g", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    doubles = "".join(f", {n} double" for n in [*names, *kth])
+    routed = own.drop("_n").groupBy("_b", "_g").cogroup(every.drop("_n").groupBy("_b", "_g")).applyInPandas(route, f"_b string, _tile long, _id {kind}{doubles}")
+    path = scratch(df.sparkSession, "routes")
+    routed.write.parquet(path)
+    return first.unionByName(dealt(df.sparkSession.read.parquet(path)))
+
+
+def knn_impute(df: DataFrame, columns: list[str], row_id: str, block: str | None = None, k: int = 5, query_rows: int = 5_000, donor_rows: int = 20_000, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Fill NULLs by the inverse-distance mean of the k nearest rows of the block that have the column.
+
+    Distances are Euclidean over the columns both rows have, scaled up by all over shared columns. Donors at distance 0 win
+    alone; ties go to the lower row id; a cell without donors gets the column mean. Rows with NULLs are the query set. Without
+    NULLs the table comes back as it is. Rows are found through ``neighbours``, so a block may be of any size.
+    """
+    found = neighbours(df, columns, row_id, block, k, query_rows, donor_rows, hot_rows)
+    if found is None:
+        return df
+    near = found.filter("_c >= 0").groupBy("_id", "_c").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_o", "_v"))), 1, k).alias("_n"))
     zero = F.filter("_n", lambda x: x["_d"] == 0)
-    mean = lambda a, w: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + w(x) * x["_v"]), F.aggregate(a, F.lit(0.0), lambda s, x: s + w(x)))
+
+    def mean(a: Column, w) -> Column:
+        return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + w(x) * x["_v"]), F.aggregate(a, F.lit(0.0), lambda s, x: s + w(x)))
+
     value = F.when(F.size(zero) > 0, mean(zero, lambda x: F.lit(1.0))).otherwise(mean(F.col("_n"), lambda x: F.try_divide(F.lit(1.0), x["_d"])))
-    cells = top.select("_id", "_c", value.alias("_f")).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_f"))).alias("_m"))
+    cells = near.select("_id", "_c", value.alias("_f")).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_f"))).alias("_m"))
     means = df.agg(*(F.avg(c).alias(f"_a{i}") for i, c in enumerate(columns)))
     d = df.join(cells.withColumnRenamed("_id", "_key"), F.col(row_id) == F.col("_key"), "left").crossJoin(F.broadcast(means))
     return d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col("_m")[i], F.col(f"_a{i}")) for i, c in enumerate(columns)}).select(*df.columns)

@@ -24,7 +24,7 @@ RAIN = ["t_max", "t_min", "precip"]
 
 def needed_cells(points: DataFrame, satellite: DataFrame) -> DataFrame:
     """Distinct (site, lat, lon) of the satellite cells nearest to the points (site, lat, lon)."""
-    at = align.nearest_cell(points.select("site", "lat", "lon").distinct(), satellite, ["lat", "lon"])
+    at = align.nearest_cell(points.select("site", "lat", "lon").distinct(), satellite)
     return at.filter("cell_lat IS NOT NULL").select("site", F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon")).distinct()
 
 
@@ -54,7 +54,7 @@ def training_set(labels: DataFrame, satellite: DataFrame, weather: DataFrame, so
     ``grid`` (site, lat, lon) has the cells to choose from, where that is cheaper to read than ``satellite``.
     """
     ids = ["site", "time"]
-    at = align.nearest_cell(labels, satellite if grid is None else grid, ids).withColumnsRenamed({"lat": "label_lat", "lon": "label_lon", "cell_lat": "lat", "cell_lon": "lon"})
+    at = align.nearest_cell(labels, satellite if grid is None else grid).withColumnsRenamed({"lat": "label_lat", "lon": "label_lon", "cell_lat": "lat", "cell_lon": "lon"})
     cell = ["site", "lat", "lon"]
     needed = at.select(*cell).distinct()
     stacked = align.stack_features(satellite.join(needed, cell, "left_semi"), weather.join(needed, cell, "left_semi"), [*cell, "day"], sat_values, weather_values)

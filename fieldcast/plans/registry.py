@@ -88,9 +88,9 @@ def scalar_weather_soil(spark, d):
 ON k.c_acctbal / 20 BETWEEN s.s_acctbal / 20 - 100 AND s.s_acctbal / 20 + 100 AND k.c_nationkey = s.s_nationkey AND k.c_custkey BETWEEN s.s_suppkey - 500 AND s.s_suppkey + 500 GROUP BY 1""")
 def bbox_filter(spark, d):
     s = t(spark, d, "supplier").select("s_suppkey", c("s_nationkey").alias("n"), scalars.bbox_of_point(c("s_acctbal") / 20, c("s_suppkey").cast("double"), 100.0).alias("b"))
-    box = F.array(c("b")[0] - 400, c("b")[1], c("b")[2] + 400, c("b")[3])
-    k = t(spark, d, "customer").select(c("c_nationkey").alias("n"), "c_acctbal", c("c_custkey").cast("double").alias("x"))
-    return s.join(k, "n").filter(scalars.in_bbox(c("c_acctbal") / 20, c("x"), box)).groupBy("s_suppkey").agg(F.count(lit(1)).alias("customers"))
+    s = s.select("s_suppkey", "n", F.array(c("b")[0] - 400, c("b")[1], c("b")[2] + 400, c("b")[3]).alias("box"))
+    k = t(spark, d, "customer").select(c("c_nationkey").alias("n"), (c("c_acctbal") / 20).alias("lat"), c("c_custkey").cast("double").alias("lon"))
+    return align.in_boxes(k, s, ["n"], "lat", "lon", "box").groupBy("s_suppkey").agg(F.count(lit(1)).alias("customers"))
 
 
 @query("""SELECT c_custkey, p.lat, p.lon FROM customer LEFT JOIN (SELECT 'BUILD' AS place, 23.2324 AS lat, 87.8615 AS lon UNION ALL SELECT 'AUTO', 10.5, 20.25) p ON contains(c_mktsegment, p.place)""")
@@ -236,7 +236,23 @@ def nearest_axis_value(spark, d):
     n = t(spark, d, "nation").select("n_nationkey", c("n_regionkey").alias("r"))
     axis = t(spark, d, "customer").join(n, c("c_nationkey") == c("n_nationkey")).select("r", F.round("c_acctbal", -2).alias("x"))
     points = t(spark, d, "supplier").join(n, c("s_nationkey") == c("n_nationkey")).select("s_suppkey", "r", "s_acctbal")
-    return align.nearest_on_axis(points, axis, ["r"], "s_acctbal", "x", ["s_suppkey"], "nearest").select("s_suppkey", "nearest")
+    return align.nearest_on_axis(points, axis, ["r"], "s_acctbal", "x", "nearest").select("s_suppkey", "nearest")
+
+
+@query("""WITH g AS (SELECT DISTINCT n_regionkey AS r, round(c_acctbal / 50, 1) AS lat, c_custkey % 997 / 7.0 AS lon FROM customer JOIN nation ON c_nationkey = n_nationkey),
+p AS (SELECT o_orderkey, n_regionkey AS r, o_totalprice / 2500 AS lat, o_orderkey % 10007 / 70.0 AS lon FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+la AS (SELECT r, lat AS a, lead(lat) OVER (PARTITION BY r ORDER BY lat) AS b, lag(lat) OVER (PARTITION BY r ORDER BY lat) IS NULL AS first FROM (SELECT DISTINCT r, lat FROM g)),
+lo AS (SELECT r, lon AS a, lead(lon) OVER (PARTITION BY r ORDER BY lon) AS b, lag(lon) OVER (PARTITION BY r ORDER BY lon) IS NULL AS first FROM (SELECT DISTINCT r, lon FROM g))
+SELECT o_orderkey, CASE WHEN p.lat < x.a OR x.b IS NULL THEN x.a WHEN x.b - p.lat <= p.lat - x.a THEN x.b ELSE x.a END AS cell_lat, round(CASE WHEN p.lon < y.a OR y.b IS NULL THEN y.a WHEN y.b - p.lon <= p.lon - y.a THEN y.b ELSE y.a END, 6) AS cell_lon
+FROM p JOIN la x ON x.r = p.r AND (p.lat >= x.a OR x.first) AND (p.lat < x.b OR x.b IS NULL) JOIN lo y ON y.r = p.r AND (p.lon >= y.a OR y.first) AND (p.lon < y.b OR y.b IS NULL)""")
+def nearest_cells(spark, d):
+    """Cells of customers near orders, both axes, five sites of all rows: each is a hot key."""
+    n = t(spark, d, "nation").select(c("n_nationkey").alias("c_nationkey"), c("n_regionkey").alias("r"))
+    k = t(spark, d, "customer").join(n, "c_nationkey")
+    grid = k.select("r", F.round(c("c_acctbal") / 50, 1).alias("lat"), (c("c_custkey") % 997 / 7).alias("lon"))
+    o = t(spark, d, "orders").join(k.select(c("c_custkey").alias("o_custkey"), "r"), "o_custkey")
+    points = o.select("o_orderkey", "r", (c("o_totalprice") / 2500).alias("lat"), (c("o_orderkey") % 10007 / 70).alias("lon"))
+    return align.nearest_cell(points, grid, ["r"], hot_rows=2000).select("o_orderkey", "cell_lat", F.round("cell_lon", 6).alias("cell_lon"))
 
 
 @query("""WITH l AS (SELECT DISTINCT user_id, date_trunc('week', ts)::TIMESTAMP AS week FROM events),

@@ -92,7 +92,7 @@ def test_integrity(spark):
 def test_nearest_and_windows(spark):
     p = spark.createDataFrame([("s", 1, 2.5, 0.0), ("t", 2, 0.0, 0.0)], "site string, id int, lat double, lon double")
     g = spark.createDataFrame([("s", 2.0, 0.0), ("s", 3.0, 1.0)], "site string, lat double, lon double")
-    got = {r["id"]: (r["cell_lat"], r["cell_lon"]) for r in align.nearest_cell(p, g, ["id"]).collect()}
+    got = {r["id"]: (r["cell_lat"], r["cell_lon"]) for r in align.nearest_cell(p, g).collect()}
     assert got == {1: (3.0, 0.0), 2: (None, None)}
     day = lambda m, d: dt.datetime(2024, m, d)
     h = spark.createDataFrame([("s", day(1, 1), 1.0), ("s", day(1, 16), 2.0), ("s", day(1, 31), 3.0), ("s", day(2, 15), 4.0)], "k string, time timestamp, v double")
@@ -301,8 +301,32 @@ def test_knn_in_tiles_is_the_same(spark):
     one = sorted(map(tuple, impute.knn_impute(df, ["p", "q", "r"], "i", "b").collect()))
     tiled = sorted(map(tuple, impute.knn_impute(df, ["p", "q", "r"], "i", "b", query_rows=4, donor_rows=10).collect()))
     assert np.allclose([r[2:] for r in one], [r[2:] for r in tiled])
-    with pytest.raises(ValueError):
-        impute.knn_impute(df, ["p", "q", "r"], "i", most_pairs=100)
+
+
+def test_knn_compares_few_rows_on_clustered_data(spark):
+    """Against all pairs, over tiles and box trees; under a tenth of the pairs are compared."""
+    rng = np.random.default_rng(6)
+    n, k = 3000, 5
+    x = (rng.integers(0, 40, (n, 1)) * np.array([7.0, 11.0, 5.0, 3.0]) % 97 + rng.normal(size=(n, 4))).round(3)
+    x[::50, rng.integers(0, 4)] = np.nan
+    x[7, [0, 2]] = np.nan
+    df = spark.createDataFrame([(i, *(None if v != v else float(v) for v in r)) for i, r in enumerate(x)], "i int, a double, b double, c double, d double")
+    found = impute.neighbours(df, ["a", "b", "c", "d"], "i", donor_rows=500, query_rows=20).collect()
+    seen = sum(r["_d"] for r in found if r["_c"] < 0)
+    cells = [(i, c) for i, c in zip(*np.nonzero(np.isnan(x)))]
+    assert seen < 0.1 * len({i for i, _ in cells}) * n
+    got = {}
+    for r in found:
+        if r["_c"] >= 0:
+            got.setdefault((r["_id"], r["_c"]), []).append((r["_d"], r["_o"]))
+    for i, c in cells:
+        gap = x - x[i]
+        both = (~np.isnan(gap)).sum(1)
+        far = np.sqrt(4 / np.maximum(both, 1) * np.nansum(gap * gap, axis=1))
+        far[(both == 0) | np.isnan(x[:, c])] = np.inf
+        far[i] = np.inf
+        want = sorted(zip(far, range(n)))[:k]
+        assert [o for _, o in sorted(got[i, c])[:k]] == [o for _, o in want]
 
 
 def test_balance_takes_drawn_rows_in_parts(spark):
