@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import mixture, risk, scalars
 from ..operators import align, bias, drift, impute, metrics, score, series, tables
@@ -767,6 +769,36 @@ def io_feature_store(spark, d):
     return io.read_grid(spark, path).select("site", c("lat").alias("v"), "event_id")
 
 
+@query("""WITH m AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, avg(value) AS v, max(hour(ts)) AS h FROM events GROUP BY ALL)
+SELECT user_id, day, round(v, 6) AS sat, h::DOUBLE AS rain, round(avg(v) OVER (PARTITION BY user_id ORDER BY day ROWS 2 PRECEDING), 6) AS mean3 FROM m WHERE year(day) = 2024""")
+def feature_store_join(spark, d):
+    """Two bucketed feature tables, joined by cell and day and windowed by cell without a shuffle; one year's folders are read."""
+    e = t(spark, d, "events").withColumn("day", F.date_trunc("day", "ts"))
+    m = e.groupBy(c("user_id").alias("site"), lit(1.0).alias("lat"), lit(2.0).alias("lon"), "day").agg(F.avg("value").alias("v"), F.max(F.hour("ts")).cast("double").alias("h"))
+    names = [f"features_{uuid.uuid4().hex}" for _ in range(2)]
+    for name, column in zip(names, ("v", "h")):
+        io.save_features(m.select("site", "lat", "lon", "day", column), name, io.scratch(spark, "bucketed"), "day", 8)
+    io.co_located(spark)
+    a, b = (spark.table(n).filter("year = 2024").drop("year") for n in names)
+    x = align.stack_features(a, b, ["site", "lat", "lon", "day"], ["v"], ["h"])
+    w = Window.partitionBy("site", "lat", "lon").orderBy("day").rowsBetween(-2, 0)
+    f = c("features")
+    return x.withColumn("mean3", F.avg(f[0]).over(w)).select(c("site").alias("user_id"), "day", r6(f[0], "sat"), f[1].alias("rain"), r6(c("mean3"), "mean3"))
+
+
+@query("""SELECT 'r' || (user_id % 40) AS record, round(sum(CASE WHEN user_id % 3 <> 0 THEN value END), 4) AS sat, round(sum(CASE WHEN user_id % 5 <> 0 THEN value * 2 END), 4) AS weather,
+round(arg_min(value, event_id) FILTER (user_id % 7 <> 0), 4) AS soil FROM events WHERE user_id % 3 <> 0 OR user_id % 5 <> 0 OR user_id % 7 <> 0 GROUP BY 1""")
+def io_record_folders(spark, d):
+    """Triples of files for each record; some files of a record lack rows."""
+    path = io.scratch(spark, "records")
+    e = t(spark, d, "events").select("event_id", "value", "user_id", F.concat(lit("r"), c("user_id") % 40).alias("record"))
+    for name, keep, value in (("satellite", 3, c("value")), ("weather", 5, c("value") * 2), ("soil", 7, c("value"))):
+        io.write_record_files(e.filter(c("user_id") % keep != 0).select("record", c("event_id").alias("step"), value.alias("x")), path, name, "step")
+    x = io.read_record_files(spark, path, ["x"], ["x"], ["x"], "step")
+    total = lambda n: F.round(mixture.total(F.flatten(n)), 4).alias(n)
+    return x.select("record", total("sat"), total("weather"), F.round(c("soil")[0], 4).alias("soil"))
+
+
 @query("""SELECT o_custkey::VARCHAR AS site_id, o_orderdate::TIMESTAMP AS time, round(o_totalprice, 2) AS yield, year(o_orderdate)::INT AS year FROM orders""")
 def io_yields_csv(spark, d):
     path = io.scratch(spark, "yields")

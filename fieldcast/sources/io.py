@@ -46,9 +46,59 @@ def read_grid(spark: SparkSession, path: str, site: str | None = None) -> DataFr
     return d if site is None else d.filter(F.col("site") == site)
 
 
-def write_features(df: DataFrame, path: str, site: str = "site") -> None:
-    """One folder per site; a write replaces only the sites that it holds."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(site).parquet(path)
+def write_features(df: DataFrame, path: str, site: str = "site", rows_per_file: int = 5_000_000) -> None:
+    """One folder per site; a write replaces only the sites that it holds.
+
+    Rows are dealt by site, and a site of more than ``rows_per_file`` rows by a hash of the row too, so a site has as many files
+    as its rows need, whatever the number of tasks.
+    """
+    files = df.groupBy(site).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files")).filter("_files > 1").withColumnRenamed(site, "_of")
+    dealt = df.join(files, F.col(site).eqNullSafe(F.col("_of")), "left").withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.coalesce("_files", F.lit(1))))
+    dealt = dealt.repartition(site, "_file").select(*df.columns)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(site).parquet(path)
+
+
+CELL = ["site", "lat", "lon"]
+
+
+def save_features(df: DataFrame, table: str, path: str, time: str, buckets: int, key: list[str] = CELL) -> None:
+    """A feature table of the catalog, with a folder per ``year`` and in it a file per bucket of the key, sorted by key and time.
+
+    Tables of equal keys and buckets are joined and windowed by the key without a shuffle (``co_located``), and a filter on
+    ``year`` reads its folders only.
+    """
+    d = df.withColumn("year", F.year(time)).repartition(buckets, *key)
+    d.write.mode("overwrite").partitionBy("year").bucketBy(buckets, *key).sortBy(*key, time).option("path", path).saveAsTable(table)
+
+
+def co_located(spark: SparkSession) -> None:
+    """Let joins on more than the bucketed key, such as key and day, use the buckets as they are."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def write_record_files(df: DataFrame, folder: str, name: str, step: str, record: str = "record") -> None:
+    """One input (satellite, weather or soil) of many scoring records: ``{folder}/{name}/{record}=.../`` with one CSV file each."""
+    df.repartition(record).sortWithinPartitions(record, step).write.partitionBy(record).option("header", True).csv(f"{folder}/{name}")
+
+
+def read_record_files(spark: SparkSession, folder: str, sat: list[str], weather: list[str], soil: list[str], step: str | None = None, record: str = "record") -> DataFrame:
+    """Scoring records in bulk: record (as text), sat, weather, soil of the files below ``{folder}/satellite``, ``weather`` and ``soil``.
+
+    Rows stand in file order, or by a ``step`` column; a record's soil is its first row. What a record lacks is NULL.
+    """
+
+    def rows(name: str, columns: list[str]) -> DataFrame:
+        raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("multiLine", True).csv(f"{folder}/{name}")
+        own = F.url_decode(F.regexp_extract("_metadata.file_path", f"{record}=([^/]+)/", 1))
+        order = F.col(step).try_cast("double") if step else F.monotonically_increasing_id()
+        return raw.select(own.alias(record), order.alias("_o"), F.array(*(F.col(c).try_cast("double") for c in columns)).alias("_v"))
+
+    def matrix(name: str, columns: list[str], out: str) -> DataFrame:
+        packed = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))), lambda x: x["_v"])
+        return rows(name, columns).groupBy(record).agg(packed.alias(out))
+
+    first = rows("soil", soil).groupBy(record).agg(F.min_by("_v", "_o").alias("soil"))
+    return matrix("satellite", sat, "sat").join(matrix("weather", weather, "weather"), record, "full").join(first, record, "full")
 
 
 def read_records_csv(spark: SparkSession, satellite: str, weather: str, soil: str, step: str | None = None) -> DataFrame:
