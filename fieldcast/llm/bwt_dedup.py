@@ -6,7 +6,7 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 2. Each string has a key: the least hash of its ``gram``-byte substrings. Equal strings have equal keys, and neighbouring
    strings mostly share one, so a run of strings with one key travels as one segment of text. Keys that documents of one id
    only have are dropped first (keys travel packed, by hash buckets, with the ids of their holders in that bucket).
-3. Segments with a key meet in its bucket, each distinct one once (told apart by 128 bits of hash and length). Shards
+3. Segments with a key meet in its bucket, each distinct one once (compared where hashes are equal). Shards
    of segments each have their strings in suffix order and, for each depth, a sorted dictionary of preceding blocks and their
    sequence as places in it (the transform in blocks of 8 bytes, the last one overlapping). The merge starts with the shards
    one after another and refines the interleave depth by depth: dictionaries are merged, blocks become ranks in the merged
@@ -19,7 +19,7 @@ batch have, only the least holder is sent there; the others are known to share i
 the batch lose it whole, whoever is first elsewhere. So a passage that all documents share sends one reference a batch, and a
 bucket gives out keys as soon as they are known to be shared, and keeps one holder of each.
 
-Defined cases: null text is empty; very long texts are cut into their runs like all others; a null id is the smallest; rows
+Defined cases: null text is empty; very long texts are cut into their runs like all others; a null id is the smallest, and ids must be integers; rows
 with equal ids don't remove each other's bytes; repeated rows each get a row; an empty table gives an empty result; other
 columns are ignored, whatever their names.
 """

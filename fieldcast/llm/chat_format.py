@@ -59,13 +59,13 @@ class Template:
 
 
 class Reader:
-    """Parses formatted text, fed in any cuts, into (role, text, loss) turns."""
+    """Parses formatted text, fed in any cuts, into (role, text) turns."""
 
     def __init__(self, template: Template):
         self.t, self.rest = template, ""
         self.open = {a: (role, b) for role, (a, b) in template.marks.items()}
 
-    def feed(self, text: str) -> Iterator[tuple[str, str, bool]]:
+    def feed(self, text: str) -> Iterator[tuple[str, str]]:
         self.rest += text
         while self.rest:
             mark = next((m for m in [*self.open, self.t.other[0]] if self.rest.startswith(m)), None)
@@ -81,9 +81,9 @@ class Reader:
             self.rest = self.rest[at + len(close) :]
             if role is None:
                 name, _, body = body.partition(self.t.other[1])
-                yield self.t.unescape(name), self.t.unescape(body), False
+                yield self.t.unescape(name), self.t.unescape(body)
             else:
-                yield role, self.t.unescape(body), role in self.t.loss
+                yield role, self.t.unescape(body)
 
 
 _SEGMENTS = "conv_id {key}, turn {turn}, position long, segments array<struct<text:string,loss:boolean>>, in_order boolean"
@@ -118,7 +118,7 @@ def format_turns(turns: DataFrame, template: Template | None = None) -> DataFram
 
 
 def conversation_digests(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """One row per conversation of ``format_turns``' result: what is read back from the text, and FSM validity."""
+    """One row per conversation of ``format_turns``' result: turns read back from the text, what its loss flags cover, FSM validity."""
     template = template or Template()
     kind = formatted.schema["conv_id"].dataType
     key = to_arrow_type(kind)
@@ -144,13 +144,14 @@ def conversation_digests(formatted: DataFrame, template: Template | None = None)
                     s["bad"] = x["position"]
                 for seg in x["segments"]:
                     s["chars"] += len(seg["text"])
-                    for role, text, loss in s["reader"].feed(seg["text"]):
+                    if seg["loss"]:  # the mask is of segments, whatever their role
+                        text = template.unescape(seg["text"])
+                        s["loss"].update(text.encode())
+                        s["loss_n"] += len(text)
+                    for role, text in s["reader"].feed(seg["text"]):
                         s["n"] += 1
                         s["role"] = role
                         s["turns"].update(f"{role}\n{text}\n".encode())
-                        if loss:
-                            s["loss"].update(text.encode())
-                            s["loss_n"] += len(text)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
         if s is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(done(), schema)], schema=schema)

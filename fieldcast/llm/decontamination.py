@@ -5,8 +5,10 @@ are windows of item words with a space on either side. Patterns of like length s
 hashed blocks says how far the search may jump, a zero shift leads to the bucket of patterns whose prefix ends in that
 block, and direct comparison confirms each occurrence. Many stretches of a batch are searched in step with NumPy.
 
-Patterns go to the executors as one broadcast per block of items of at most ``block_bytes`` text; a larger benchmark is
-searched in several passes, each with one block, and hits are united per word. No pass shuffles documents.
+Patterns are slices of the items' text, held as arrays, and go to the executors as one broadcast per block of items of about
+``block_bytes`` text (an item isn't cut: a longer one is a block of its own size); a larger benchmark is searched in several
+passes, each with one block, and hits are united per word. No pass shuffles documents. Tables have four slots or more for each
+block of the patterns, up to 2**24.
 
 Defined cases: null or wordless texts have no words and no hits; an item without words is skipped; a null item_id is
 skipped; item ids may be of any type; repeated items count once by item_id, as do windows that several items have, for each of
@@ -42,51 +44,60 @@ def normal(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Patterns:
-    """Windows of item words, with the items of each, in classes of like length."""
+    """Windows of item words as slices of one text, in classes of like length; ``item`` numbers the items' ids in ``names``."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        found: dict[bytes, set] = {}
-        self.words: dict[bytes, int] = {}
-        for item, text in items:
-            w = (text or "").encode().translate(_NORMAL).split()
-            k = min(window, len(w))
-            for i in range(len(w) - k + 1 if k else 0):
-                p = b" " + b" ".join(w[i : i + k]) + b" "
-                found.setdefault(p, set()).add(item)
-                self.words[p] = k
+        self.names = [i for i, _ in items]
+        texts = [(t or "").encode() for _, t in items]
+        text = normal(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]))
+        self.text = np.concatenate([text, np.zeros(8, np.uint8)])
+        space = np.flatnonzero((text[:-1] == 32) & (text[1:] > 32))  # before each word
+        after = np.flatnonzero((text[1:] == 32) & (text[:-1] > 32)) + 1  # and behind it
+        feed = np.flatnonzero(text == 10)
+        first = np.searchsorted(space, np.concatenate([[0], feed, [len(text)]]))[: len(items) + 1]
+        count = np.diff(first)
+        k = np.minimum(window, count)
+        number = np.where(count > 0, count - k + 1, 0)
+        item = np.repeat(np.arange(len(items)), number)
+        word = np.arange(len(item)) - np.repeat(np.cumsum(number) - number, number) + first[item]
+        at, size = space[word], after[word + k[item] - 1] + 1 - space[word]
         self.classes = []
         for lo, hi in zip(CLASSES, (*CLASSES[1:], 1 << 60)):
-            own = sorted(p for p in found if lo <= len(p) < hi)
-            if own:
-                self.classes.append(WuManber(own, [found[p] for p in own], [self.words[p] for p in own]))
+            own = (lo <= size) & (size < hi)
+            if own.any():
+                self.classes.append(WuManber(self.text, at[own], size[own], k[item[own]], item[own]))
 
 
 class WuManber:
-    BITS = 18
+    """Tables over patterns text[at : at + size]; there are some slots for each block of the patterns, so that most others skip."""
 
-    def __init__(self, patterns: list[bytes], items: list[set], words: list[int]):
-        self.m = m = min(map(len, patterns))
+    LEAST_BITS, MOST_BITS = 18, 24
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, size: np.ndarray, words: np.ndarray, item: np.ndarray):
+        self.m = m = int(size.min())
         self.block = b = min(8, max(2, m // 3))
-        self.len = np.array([len(p) for p in patterns])
-        self.words = np.array(words)
-        self.text = np.frombuffer(b"".join(patterns), np.uint8)
-        self.at = np.concatenate([[0], np.cumsum(self.len)])
-        self.items = [sorted(x) for x in items]
-        starts = self.at[:-1]
-        self.shift = np.full(1 << self.BITS, m - b + 1, np.int64)
-        padded = np.concatenate([self.text, np.zeros(8, np.uint8)])
+        self.text, self.at, self.len, self.words, self.item = text, at.astype(np.int64), size.astype(np.int32), words.astype(np.int32), item.astype(np.int32)
+        self.bits = min(self.MOST_BITS, max(self.LEAST_BITS, int(self.covered()).bit_length() + 2))
+        self.shift = np.full(1 << self.bits, m - b + 1, np.int16 if m < 1 << 15 else np.int32)
         for j in range(b, m + 1):  # blocks that end after j bytes of the prefix
-            np.minimum.at(self.shift, self.hash(padded, starts + j - b), m - j)
-        last = self.hash(padded, starts + m - b)
-        self.order = np.argsort(last, kind="stable")
-        self.bucket = np.searchsorted(last[self.order], np.arange((1 << self.BITS) + 1))
+            np.minimum.at(self.shift, self.hash(text, self.at + j - b), m - j)
+        last = self.hash(text, self.at + m - b)
+        self.order = np.argsort(last, kind="stable").astype(np.int32)
+        self.bucket = np.searchsorted(last[self.order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def covered(self) -> int:
+        """Bytes of text on which a block of a pattern's prefix starts: at least as many as there are different blocks."""
+        change = np.zeros(len(self.text) + 1, np.int64)
+        np.add.at(change, self.at, 1)
+        np.add.at(change, self.at + self.m - self.block + 1, -1)
+        return int((np.cumsum(change) > 0).sum())
 
     def hash(self, a: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Of the block of bytes from each start; a has 8 bytes to spare."""
         words = np.ndarray((len(a) - 7,), "<u8", a, strides=(1,))
         with np.errstate(over="ignore"):
             x = (words[start] << np.uint64(64 - 8 * self.block)) * np.uint64(0x9E3779B97F4A7C15)
-        return (x >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def search(self, a: np.ndarray, n: int, lane: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """(position, pattern) of all occurrences in a[:n]; a has 8 bytes to spare."""
@@ -97,7 +108,7 @@ class WuManber:
         hits = []
         while len(pos):
             h = self.hash(a, pos - self.block)
-            s = self.shift[h]
+            s = self.shift[h].astype(np.int64)
             zero = s == 0
             if zero.any():
                 hits.append(np.stack([pos[zero] - self.m, h[zero]]))
@@ -107,7 +118,7 @@ class WuManber:
         if not hits:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, h = np.concatenate(hits, axis=1)
-        count = self.bucket[h + 1] - self.bucket[h]
+        count = (self.bucket[h + 1] - self.bucket[h]).astype(np.int64)
         at = np.repeat(at, count)
         slot = np.repeat(self.bucket[h] - (np.cumsum(count) - count), count) + np.arange(len(at))
         which = self.order[slot]
@@ -140,9 +151,8 @@ def _search_rows(raw: np.ndarray, off: np.ndarray, patterns: Patterns):
             np.add.at(change, word, 1)
             np.add.at(change, word + c.words[which], -1)
             row = np.searchsorted(feed, at)
-            key = np.unique(np.stack([row, which]), axis=1)
-            for r, w in key.T:
-                pairs += [(int(r), i) for i in c.items[w]]
+            key = np.unique(np.stack([row, c.item[which].astype(np.int64)]), axis=1)
+            pairs += [(int(r), patterns.names[i]) for r, i in key.T]
     return np.diff(first), np.cumsum(change[:-1]) > 0, first, pairs, rows
 
 
@@ -150,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     """Each document with n_words, n_hit, items (sorted ids), n_items, items_sha256, contaminated."""
     keep = docs.columns if keep is None else keep
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.max(F.octet_length("text")).alias("m")).first()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-size["b"] * 2 // block_bytes)) if size["b"] > block_bytes else 1
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "_hit"]
     own = [c for c in keep if c not in added]

@@ -7,7 +7,8 @@ what a base span covers is not given again. Byte-level NumPy tests over whole Ar
 the texts that can match at all; only these are decoded and searched. Nothing is shuffled.
 
 Defined cases: null text is empty and has no spans; very long texts are searched whole, very long runs in pieces; ties can't occur, as spans of a kind don't overlap; repeated rows each
-get a row; an empty table gives an empty result; other columns are kept only by ``keep``.
+get a row; an empty table gives an empty result; other columns are kept only by ``keep``, but for those named ``_text``,
+``spans`` or ``redacted``, which the result's own replace.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ single row over the limit.
 
 Defined cases: null text is empty (0 bytes); a very long text is a shard of its own, flagged if it is over the limit; tied
 hashes share a shard; a null key hashes as the empty string; repeated rows each get a row of the
-result; an empty table gives an empty result; other columns pass through unless they clash with the added ones, which win.
+result; an empty table gives an empty result; other columns travel in one struct, so their names meet
+none of this module's; of those named like an added column the added one wins.
 """
 
 from __future__ import annotations
@@ -28,10 +29,9 @@ def _bits(c, digits: int):
 
 def extendible_shards(df: DataFrame, key: str, content: str, limit: int) -> DataFrame:
     """Add the shard of each row: ``depth`` bits of the hash, as ``shard_id`` "depth:prefix"."""
-    kept = [c for c in df.columns if c not in ADDED and c != "_h"]
     text = F.coalesce(F.col(content).cast("string"), F.lit(""))
     rows = df.select(
-        *kept,
+        F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("_row"),
         F.octet_length(text).cast("long").alias("n_bytes"),
         (F.shiftleft(_bits(F.coalesce(F.col(key).cast("string"), F.lit("")), 8), 28) + _bits(text, 7)).alias("_h"),
     )
@@ -49,7 +49,7 @@ def extendible_shards(df: DataFrame, key: str, content: str, limit: int) -> Data
         found = levels.select("_cell", "depth", "_prefix").join(sums.filter(fits), ["depth", "_prefix"])
         directory = found.groupBy("_cell").agg(F.min_by(F.struct("depth", "_prefix", "shard_bytes", "shard_rows"), "depth").alias("_d"))
         part = at.join(directory, "_cell").select(
-            *kept,
+            "_row",
             "n_bytes",
             F.col("_d.depth").alias("depth"),
             F.concat_ws(":", F.col("_d.depth").cast("string"), F.col("_d._prefix").cast("string")).alias("shard_id"),
@@ -59,12 +59,13 @@ def extendible_shards(df: DataFrame, key: str, content: str, limit: int) -> Data
         )
         out = part if out is None else out.unionByName(part)
         if deep == BITS:
-            return out
+            break
         large = cells.filter((F.col("b") > limit) & (F.col("n") > 1)).select("_cell")
         if large.isEmpty():
-            return out
+            break
         rest = at.join(large, "_cell", "left_semi").drop("_cell")
         low, deep = deep + 1, min(BITS, deep + 12)
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in ADDED), *ADDED)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ Documents are dealt once, to ranges of ids; order, votes and the next document's
 blocks at least. Equal fingerprints are one entry; a block value that many share is parted again by blocks of its other bits.
 
 Defined cases: null text is empty; texts without words have one empty term, so they share a fingerprint; very long texts are
-counted in chunks like all others; null ids come first in order; equal ids are ordered by a hash of their text, then by text;
+counted in chunks like all others; null ids come first in order, and ids must be integers; equal ids are ordered by a hash of their text, then by text;
 repeated rows each get a row; the only document is its own next; an empty table gives an empty result; other columns are
 ignored.
 """

@@ -8,7 +8,7 @@ terms whose log-odds differ from 0 by ``least_z`` standard errors, with the bias
 Defined cases: null or wordless texts score the bias; very long texts are scored whole, as sets of terms; null labels, labels
 of a null doc_id and labels without a document are ignored; of repeated labels of a document the largest counts; with one
 class or no labels the score is the smoothed share; repeated documents each get a row; an empty table gives an empty result;
-other columns are kept only by ``keep``, but for one named score, which the score replaces.
+other columns are kept, but for those named ``score``, which the score replaces, and ``_text``, which is dropped.
 """
 
 from __future__ import annotations

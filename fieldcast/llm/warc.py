@@ -7,7 +7,7 @@ task's attempt, and the returned table lists the files of the attempts that coun
 zlib decompression in small chunks, framing by Content-Length, digest verification. Files are cut at ``file_bytes``, which
 bounds a reader task's memory.
 
-Defined cases: null html is an empty payload, null url an empty target; a null page_id is never the target of a revisit
+Defined cases: null html is an empty payload, null url an empty target; page ids must be integers; a null page_id is never the target of a revisit
 unless all of its group are null; of tied payloads the smallest page_id is the response, and equal page_ids with equal
 payloads are all responses; very long payloads are records of their own size; repeated rows are a record each; an empty table
 gives no file and an empty result; other columns are ignored, whatever their names.
@@ -16,6 +16,7 @@ gives no file and an empty result; other columns are ignored, whatever their nam
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -70,7 +71,7 @@ def write_warc(pages: DataFrame, folder: str, smallest: int = 100, file_bytes: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))  # Spark's names of the scheme
         task, k, out, n, size, path = TaskContext.get(), 0, None, 0, 0, ""
         done = []
 

@@ -55,3 +55,39 @@ def test_conversations_with_text_keys_repeats_and_long_texts(spark):
 
     assert got["a"]["turns_sha256"] == hashlib.sha256(f"user\n{long}\nassistant\nyes\nassistant\nyes\n".encode()).hexdigest()
     assert chat_format.conversation_digests(chat_format.format_turns(df.filter(F.lit(False)))).count() == 0
+
+
+def test_sharding_keeps_columns_named_like_its_own(spark):
+    df = spark.createDataFrame([(k, "x" * 40, f"c{k}", f"d{k}", "r", "h", "p") for k in range(60)], "doc_id long, text string, _cell string, _d string, _row string, _h string, _prefix string")
+    got = sharding.extendible_shards(df, "doc_id", "text", 100).collect()
+    assert {(r["_cell"], r["_d"], r["_row"], r["_h"], r["_prefix"]) for r in got} == {(f"c{k}", f"d{k}", "r", "h", "p") for k in range(60)}
+
+
+def test_loss_comes_from_the_flags(spark):
+    """A template whose flags aren't those of its roles: marks and user texts carry loss."""
+
+    class Flipped(chat_format.Template):
+        def segments(self, role, text):
+            return [(s, not loss) for s, loss in super().segments(role, text)]
+
+    import hashlib
+
+    df = spark.createDataFrame([(1, 0, "user", "a\\[INST]"), (1, 1, "assistant", "yes")], "conv_id long, turn int, role string, text string")
+    plain, flipped = (chat_format.conversation_digests(chat_format.format_turns(df, t), chat_format.Template()).first() for t in (chat_format.Template(), Flipped()))
+    assert (plain["loss_chars"], plain["loss_sha256"]) == (3, hashlib.sha256(b"yes").hexdigest())
+    assert flipped["loss_sha256"] == hashlib.sha256(b"[INST]a\\[INST][/INST]<s></s>").hexdigest() and flipped["turns_sha256"] == plain["turns_sha256"]
+
+
+def test_shift_tables_grow_with_the_patterns():
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+
+    def words(n):
+        return " ".join(letters[rng.integers(0, 26, k)].tobytes().decode() for k in rng.integers(2, 9, n))
+
+    small, large = (decontamination.Patterns([("i", words(n))], 10).classes[-1] for n in (3_000, 400_000))
+    text = np.concatenate([decontamination.normal(np.frombuffer(words(20_000).encode(), np.uint8), np.array([0, 0]))[:0], np.frombuffer((" " + words(20_000) + " ").encode(), np.uint8), np.zeros(8, np.uint8)])
+    for c in (small, large):
+        mean = c.shift[c.hash(text, np.arange(len(text) - 16))].mean()
+        assert mean > 0.5 * (c.m - c.block + 1)
+    assert small.bits == 18 < large.bits
