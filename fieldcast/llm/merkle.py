@@ -120,7 +120,7 @@ def manifest(docs: DataFrame, key: str, group: str, fields: list[str], present:
     leaf = leaf_digest([F.col(f"`{f}`") for f in fields])
     grp = F.coalesce(F.concat(F.lit("s"), F.col(f"`{group}`").cast("string")), F.lit(""))  # the null group first
     leaves = docs.select(F.col(f"`{key}`").alias("_key"), grp.alias("grp"), leaf.alias("digest"), leaf_digest(now).alias("now"))
-    leaves = leaves.withColumn("now", F.when(F.col("now") != F.col("digest"), F.col("now")))  # null: unchanged
+    leaves = written(leaves.withColumn("now", F.when(F.col("now") != F.col("digest"), F.col("now"))), "merkle-digests")  # null: unchanged
     rows, sizes = numbered(leaves, ["grp"], ["_key", "digest"], "merkle-leaves")
     rows = rows.join(sizes.hint("broadcast") if sizes.limit(100_001).count() <= 100_000 else sizes, "grp")
     block = rows.withColumn("block", F.expr(f"pos DIV {FANOUT**levels}")).withColumn("_key", F.col("_key").cast("string"))  # pandas has no null integers
