@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import mixture
-from ..functions.numeric import ks_one_sample_p_udf, pit_udf
+from ..functions import laws
+from ..functions.numeric import ks_one_sample_p_udf
 
 
 def point_metrics(df: DataFrame, y: str, p: str, key: list[str] | None = None) -> DataFrame:
@@ -46,7 +47,7 @@ def benchmark_report(df: DataFrame, y: str, p: str, std: str) -> DataFrame:
 
 
 def pit(df: DataFrame, name: str = "pit", pi="pi", sigma="sigma", mu="mu", y="y") -> DataFrame:
-    return df.withColumn(name, pit_udf(pi, sigma, mu, y))
+    return df.withColumn(name, laws.pit(*map(F.col, (pi, sigma, mu, y))))
 
 
 def calibration(df: DataFrame, column: str = "pit", parts: int = 256) -> DataFrame:

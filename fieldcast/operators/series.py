@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..functions.numeric import gamma_spi_udf
+from ..functions import laws
 from .ranges import HOT_ROWS, by_parts
 
 
@@ -48,9 +48,9 @@ def rolling_sum(df: DataFrame, key: list[str], time, column: str, scale: int, na
     return by_parts(df, key, time, run, before=scale - 1, hot_rows=hot_rows)
 
 
-def with_key_stats(df: DataFrame, key: list[str], stats: dict[str, Column]) -> DataFrame:
-    """Aggregates of each key beside its rows, by a join, so no key is one task."""
-    own = df.groupBy(*key).agg(*(v.alias(n) for n, v in stats.items())).withColumnsRenamed({k: f"_of_{k}" for k in key})
+def with_key_stats(df: DataFrame, key: list[str], stats: dict[str, Column], derived: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
+    """Aggregates of each key, and what derives from them, beside its rows: by a join, so no key is one task."""
+    own = df.groupBy(*key).agg(*(v.alias(n) for n, v in stats.items())).withColumns(derived).withColumnsRenamed({k: f"_of_{k}" for k in key})
     same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in key)) if key else F.lit(True)
     return df.join(own, same).drop(*(f"_of_{k}" for k in key))
 
@@ -62,9 +62,10 @@ def spi(df: DataFrame, key: list[str], time, column: str, scale: int = 3, name:
     """
     c, s = F.col(column), F.col("_sum")
     d = rolling_sum(df, key, time, column, scale, "_sum", hot_rows)
-    d = with_key_stats(d, key, {"_n": F.count("_sum"), "_bad": F.max((s <= 0).cast("int")), "_m": F.avg("_sum"), "_g": F.avg(F.when(s > 0, F.ln(s))), "_avg": F.avg(column), "_std": F.stddev_samp(column)})
+    stats = {"_n": F.count("_sum"), "_bad": F.max((s <= 0).cast("int")), "_m": F.avg("_sum"), "_g": F.avg(F.when(s > 0, F.ln(s))), "_avg": F.avg(column), "_std": F.stddev_samp(column)}
+    d = with_key_stats(d, key, stats, {"_a": F.when(F.col("_m") > 0, laws.gamma_shape(F.col("_m"), F.col("_g")))})
     z = F.try_divide(c - F.col("_avg"), F.col("_std") + 1e-10)
-    d = d.withColumn("_q", gamma_spi_udf("_sum", "_m", "_g"))
+    d = d.withColumn("_q", F.when((s > 0) & F.col("_a").isNotNull(), laws.normal_quantile(laws.gamma_cdf(s * F.col("_a") / F.col("_m"), F.col("_a")))))
     d = d.withColumn("_r", F.when(F.col("_n") < least, z).when(F.coalesce("_bad", F.lit(0)) == 0, F.col("_q")))
 
     def run(x: DataFrame, by: list[str]) -> DataFrame:
@@ -72,7 +73,7 @@ def spi(df: DataFrame, key: list[str], time, column: str, scale: int = 3, name:
 
     d = by_parts(d, key, time, run, ends=["_r"], hot_rows=hot_rows)
     status = F.when(F.col("_n") < least, "zscore").when(F.coalesce("_bad", F.lit(0)) == 1, "nonpositive").otherwise("gamma")
-    return d.withColumn(f"{name}_status", status).drop("_sum", "_n", "_bad", "_m", "_g", "_avg", "_std", "_q", "_r")
+    return d.withColumn(f"{name}_status", status).drop("_sum", "_n", "_bad", "_m", "_g", "_a", "_avg", "_std", "_q", "_r")
 
 
 def lags(df: DataFrame, key: list[str], time, column: str, steps: list[int], hot_rows: int = HOT_ROWS) -> DataFrame:
