@@ -36,8 +36,7 @@ def _sorted_ranges(df: DataFrame, key: list[str], order: list[str]) -> tuple[Dat
     """Rows with ``_part`` and ``_i`` (from 1 within the key), and per key and part the rows before it and its own."""
     part = F.spark_partition_id()
     path = scratch(df.sparkSession, "ranges")
-    by = [*key, *order]
-    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = df.repartitionByRange(*key, order[0]).sortWithinPartitions(*key, *order)
     rows.withColumn("_part", part).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
     parts = rows.groupBy(*key, "_part").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
@@ -75,7 +74,7 @@ def by_parts(df: DataFrame, key: list[str], order: list[str] | str, run: Part, s
 
     What the windows need from outside a range: running sums of ``sums``, the ``valid`` nearest values of ``ends`` on both
     sides, ``before`` rows before and ``after`` rows after it. ``prepare`` comes first and sees only rows of its range, in which
-    rows that agree in the order stand together.
+    rows that agree in the first column of the order stand together.
     """
     order = [order] if isinstance(order, str) else list(order)
     cold, hot = split_hot(df, key, hot_rows)

@@ -170,17 +170,18 @@ def _inner_slope(h0: Column, s0: Column, h1: Column, s1: Column) -> Column:
     return F.when(s0 * s1 > 0, F.try_divide(w0 + w1, F.try_divide(w0, s0) + F.try_divide(w1, s1))).otherwise(0.0)
 
 
-def fill_gaps(df: DataFrame, key: list[str], time: str, columns: list[str], limit: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fill_gaps(df: DataFrame, key: list[str], time: str, columns: list[str], limit: int = 5, hot_rows: int = HOT_ROWS, ties: list[str] = []) -> DataFrame:  # noqa: B006
     """Monotone cubic (PCHIP) over real time, at most ``limit`` rows into each inner gap; what is left becomes 0.
 
     All by window expressions: a row sees the two valid values on each side, which fix the cubic between the inner two. Of
-    rows with equal times the first counts.
+    rows with equal times, ordered by ``ties``, the first valid value counts.
     """
 
     def first(d: DataFrame, by: list[str]) -> DataFrame:
         new = ~F.col(time).eqNullSafe(F.lag(time).over(Window.partitionBy(*by).orderBy("_i"))) | (F.row_number().over(Window.partitionBy(*by).orderBy("_i")) == 1)
-        d = d.withColumn("_new", new)
-        return d.withColumns({f"_k_{c}": F.when(F.col("_new"), F.col(c)) for c in columns}).drop("_new")
+        here = Window.partitionBy(*by, time).orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        d = d.withColumns({"_new": new, **{f"_k_{c}": F.first(c, ignorenulls=True).over(here) for c in columns}})
+        return d.withColumns({f"_k_{c}": F.when(F.col("_new"), F.col(f"_k_{c}")) for c in columns}).drop("_new")
 
     def run(d: DataFrame, by: list[str]) -> DataFrame:
         x = _seconds(d, time)
@@ -189,23 +190,33 @@ def fill_gaps(df: DataFrame, key: list[str], time: str, columns: list[str], limi
             beyond = w(by, last=-1)
             d = d.withColumns({f"_{side}q_{c}": F.when(v.isNotNull(), F.struct(F.last(v, True).over(beyond).alias("q"))) for c, v in point.items()})
             d = d.withColumns({f"_{side}_{c}": F.last(v, True).over(w(by)) for c, v in point.items()} | {f"_{side}r_{c}": F.last(f"_{side}q_{c}", True).over(w(by)) for c in columns})
+        scale = 1e6 if dict(d.dtypes)[time] in ("timestamp", "timestamp_ntz", "date") else 1.0
+        col = lambda name, c: F.col(f"_{name}_{c}")
+        steps: dict[str, Column] = {}
+        for c in columns:  # in stages, so that nothing is worked out twice
+            p, n, pp, nn = col("p", c), col("n", c), col("pr", c)["q"], col("nr", c)["q"]
+            for name, u, v in (("", p, n), ("l", pp, p), ("r", n, nn)):
+                steps[f"_h{name}_{c}"] = (v["x"] - u["x"]).cast("double") / scale
+                steps[f"_s{name}_{c}"] = F.try_divide((v["y"] - u["y"]) * scale, (v["x"] - u["x"]).cast("double"))
+            steps[f"_u_{c}"] = F.try_divide((x - p["x"]).cast("double"), (n["x"] - p["x"]).cast("double"))
+        d = d.withColumns(steps)
+        slopes: dict[str, Column] = {}
         for c in columns:
-            p, n, pp, nn = F.col(f"_p_{c}"), F.col(f"_n_{c}"), F.col(f"_pr_{c}")["q"], F.col(f"_nr_{c}")["q"]
-            wide = lambda a, b: (b["x"] - a["x"]).cast("double") / (1e6 if dict(d.dtypes)[time] in ("timestamp", "timestamp_ntz", "date") else 1.0)
-            step = lambda a, b: F.try_divide(b["y"] - a["y"], wide(a, b))
-            h, s, hp, sp, hn, sn = wide(p, n), step(p, n), wide(pp, p), step(pp, p), wide(n, nn), step(n, nn)
-            left = F.when(pp.isNull() & nn.isNull(), s).when(pp.isNull(), _end_slope(h, hn, s, sn)).otherwise(_inner_slope(hp, sp, h, s))
-            right = F.when(pp.isNull() & nn.isNull(), s).when(nn.isNull(), _end_slope(h, hp, s, sp)).otherwise(_inner_slope(h, s, hn, sn))
-            here = F.struct(x.alias("x"))
-            u = F.try_divide(wide(p, here), h)
-            cubic = (1 + 2 * u) * (1 - u) * (1 - u) * p["y"] + u * (1 - u) * (1 - u) * h * left + u * u * (3 - 2 * u) * n["y"] + u * u * (u - 1) * h * right
+            h, s, hl, sl, hr, sr = (col(k, c) for k in ("h", "s", "hl", "sl", "hr", "sr"))
+            alone = hl.isNull() & hr.isNull()
+            slopes[f"_a_{c}"] = F.when(alone, s).when(hl.isNull(), _end_slope(h, hr, s, sr)).otherwise(_inner_slope(hl, sl, h, s))
+            slopes[f"_b_{c}"] = F.when(alone, s).when(hr.isNull(), _end_slope(h, hl, s, sl)).otherwise(_inner_slope(h, s, hr, sr))
+        d = d.withColumns(slopes)
+        for c in columns:
+            p, n, u, h = col("p", c), col("n", c), col("u", c), col("h", c)
+            cubic = (1 + 2 * u) * (1 - u) * (1 - u) * p["y"] + u * (1 - u) * (1 - u) * h * col("a", c) + u * u * (3 - 2 * u) * n["y"] + u * u * (u - 1) * h * col("b", c)
             inside = p.isNotNull() & n.isNotNull() & (F.col("_i") - p["_i"] <= limit)
             same = p.isNotNull() & (p["x"] == x)  # a later row of a time that has a value
             d = d.withColumn(f"_v_{c}", F.when(F.col(c).isNotNull(), F.col(c)).when(same, p["y"]).when(inside, cubic).otherwise(0.0))
-        return d.drop(*(f"_{s}_{c}" for c in columns for s in ("p", "n", "pq", "nq", "pr", "nr")))
+        return d.drop(*(f"_{s}_{c}" for c in columns for s in ("p", "n", "pq", "nq", "pr", "nr", "h", "hl", "hr", "s", "sl", "sr", "u", "a", "b")))
 
     d = df.withColumns({c: nan_to_null_column(c) for c in columns})
-    d = by_parts(d, key, time, run, ends=[f"_k_{c}" for c in columns], valid=2, hot_rows=hot_rows, prepare=first)
+    d = by_parts(d, key, [time, *ties], run, ends=[f"_k_{c}" for c in columns], valid=2, hot_rows=hot_rows, prepare=first)
     return d.withColumns({c: F.coalesce(f"_v_{c}", F.lit(0.0)) for c in columns}).drop(*(f"_{s}_{c}" for c in columns for s in "vk"))
 
 

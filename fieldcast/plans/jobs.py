@@ -42,7 +42,7 @@ def preprocess(satellite: DataFrame, weather: DataFrame, cells: DataFrame | None
         satellite = satellite.join(cells, cell, "left_semi")
     places = satellite.select(*cell).join(days.select("site").distinct(), "site", "left_semi").distinct()  # of the raw grid: reading it is cheap
     masked = scalars.cloud_mask(satellite, BANDS)
-    filled = series.fill_gaps(masked.select("site", "time", "lat", "lon", *BANDS), cell, "time", BANDS)
+    filled = series.fill_gaps(masked.select("site", "time", "lat", "lon", *BANDS), cell, "time", BANDS, ties=BANDS)
     sat = series.first_per_day(filled, cell, "time", BANDS).drop("time").join(days, ["site", "day"], "left_semi")
     rain = daily_rain.join(days, ["site", "day"], "left_semi")
     return sat, align.regrid(rain, places, ["site"], "day", RAIN), quality

@@ -765,27 +765,80 @@ def region_context(spark, d):
     return jobs.region_context(areas, years, h, live).select("site", "year", F.round("observed_yield", 4).alias("observed_yield"), r6(c("historical_avg"), "historical_avg"), "live_ready", "status")
 
 
+SIXTH = 0.5235987755982988  # a factor without a short decimal form: rounded results have no ties
+
+
 def line_grids(spark, d):
     x = t(spark, d, "lineitem")
+    red = c("l_discount") * SIXTH
     place = [c("l_returnflag").alias("site"), c("l_shipdate").alias("time")]
-    sat = x.select(*place, c("l_linenumber").cast("double").alias("lat"), (c("l_suppkey") % 5).cast("double").alias("lon"), (c("l_discount") / 2).alias("B02"), c("l_discount").alias("B03"), c("l_discount").alias("B04"), (c("l_tax") + 0.2).alias("B08"), (c("l_orderkey") % 6 + 3).cast("int").alias("SCL"))
+    sat = x.select(*place, c("l_linenumber").cast("double").alias("lat"), (c("l_suppkey") % 5).cast("double").alias("lon"), (red / 2).alias("B02"), red.alias("B03"), red.alias("B04"), ((c("l_tax") + 0.2) * SIXTH).alias("B08"), (c("l_orderkey") % 6 + 3).cast("int").alias("SCL"))
     rain = x.select(*place, (c("l_linenumber") % 3 * 3 + 1).cast("double").alias("lat"), (c("l_suppkey") % 3 * 2).cast("double").alias("lon"), c("l_quantity").alias("t_max"), (c("l_quantity") - 8).alias("t_min"), (c("l_tax") * 100).alias("precip"))
     return sat, rain
 
 
-@query()
+def _hermite(c: str) -> str:
+    """CTEs that fill column {c} of x (cell, t, i, {c}) by PCHIP, at most five rows into a gap, as f_{c} (cell, i, v)."""
+    w = "WINDOW w AS (PARTITION BY cell ORDER BY t)"
+    return f"""g_{c} AS (SELECT cell, t, min(i) AS i, arg_min({c}, i) FILTER ({c} IS NOT NULL) AS y FROM x GROUP BY ALL),
+k_{c} AS (SELECT cell, t, i, t AS x0, y AS y0, lead(t) OVER w AS x1, lead(y) OVER w AS y1, lag(t) OVER w AS xp, lag(y) OVER w AS yp FROM g_{c} WHERE y IS NOT NULL {w}),
+s_{c} AS (SELECT *, x1 - x0 AS h, (y1 - y0) / (x1 - x0) AS s, x0 - xp AS hp, (y0 - yp) / (x0 - xp) AS sp FROM k_{c}),
+n_{c} AS (SELECT *, lead(h) OVER w AS hn, lead(s) OVER w AS sn, lag(hp) OVER w AS hq, lag(sp) OVER w AS sq FROM s_{c} {w}),
+d_{c} AS (SELECT *, CASE WHEN hp IS NULL THEN CASE WHEN hn IS NULL THEN s ELSE {_end_slope("h", "hn", "s", "sn")} END WHEN h IS NULL THEN CASE WHEN hq IS NULL THEN sp ELSE {_end_slope("hp", "hq", "sp", "sq")} END
+WHEN s * sp > 0 THEN (3 * h + 3 * hp) / ((2 * h + hp) / sp + (h + 2 * hp) / s) ELSE 0 END AS d FROM n_{c}),
+e_{c} AS (SELECT *, lead(d) OVER (PARTITION BY cell ORDER BY t) AS d1 FROM d_{c}),
+f_{c} AS (SELECT x.cell, x.i, CASE WHEN x.{c} IS NOT NULL THEN x.{c} WHEN e.t = x.t THEN e.y0 WHEN e.t IS NOT NULL AND x1 IS NOT NULL AND x.i - e.i <= 5 THEN
+(1 + 2 * u(x.t)) * (1 - u(x.t)) ** 2 * y0 + u(x.t) * (1 - u(x.t)) ** 2 * h * d + u(x.t) ** 2 * (3 - 2 * u(x.t)) * y1 + u(x.t) ** 2 * (u(x.t) - 1) * h * d1 ELSE 0 END AS v
+FROM x ASOF LEFT JOIN e_{c} e ON x.cell = e.cell AND x.t >= e.t)""".replace("u(x.t)", "((x.t - x0) / h)")
+
+
+def _axis(c: str) -> str:
+    """Corners and shares of the fine values of an axis between the coarse ones."""
+    return f"""c_{c} AS (SELECT site, a, lead(a) OVER (PARTITION BY site ORDER BY a) AS b FROM (SELECT DISTINCT site, {c} AS a FROM rain)),
+w_{c} AS (SELECT site, {c}, a AS corner, CASE WHEN b IS NULL THEN 1 ELSE 1 - ({c} - a) / (b - a) END AS w FROM (SELECT DISTINCT site, {c} FROM sat) JOIN c_{c} USING (site) WHERE {c} >= a AND ({c} < b OR (b IS NULL AND {c} = a))
+UNION ALL SELECT site, {c}, b, ({c} - a) / (b - a) FROM (SELECT DISTINCT site, {c} FROM sat) JOIN c_{c} USING (site) WHERE {c} > a AND {c} < b)"""
+
+
+_GRIDS = f"""WITH raw AS (SELECT l_returnflag AS site, l_linenumber::DOUBLE AS lat, (l_suppkey % 5)::DOUBLE AS lon, l_shipdate::TIMESTAMP AS day, l_discount * {SIXTH} AS p, (l_tax + 0.2) * {SIXTH} AS q, l_orderkey % 6 + 3 IN (4, 5, 6) AS clear FROM lineitem),
+x AS (SELECT {{'s': site, 'a': lat, 'o': lon}} AS cell, day, epoch(day) AS t, CASE WHEN clear THEN p END AS p, CASE WHEN clear THEN q END AS q,
+row_number() OVER (PARTITION BY site, lat, lon ORDER BY day, CASE WHEN clear THEN p END NULLS FIRST, CASE WHEN clear THEN q END NULLS FIRST) AS i FROM raw),
+{_hermite("p")},
+{_hermite("q")},
+sat AS (SELECT x.cell.s AS site, x.cell.a AS lat, x.cell.o AS lon, day, arg_min({{'p': fp.v, 'q': fq.v}}, {{'p': fp.v, 'q': fq.v}}) AS v FROM x JOIN f_p fp USING (cell, i) JOIN f_q fq USING (cell, i) GROUP BY ALL),
+rain AS (SELECT l_returnflag AS site, l_shipdate::TIMESTAMP AS day, (l_linenumber % 3 * 3 + 1)::DOUBLE AS lat, (l_suppkey % 3 * 2)::DOUBLE AS lon, avg(l_quantity) AS t_max, avg(l_quantity - 8) AS t_min, avg(l_tax * 100) AS precip FROM lineitem GROUP BY ALL),
+{_axis("lat")},
+{_axis("lon")},
+parts AS (SELECT y.site, y.lat, z.lon, r.day, y.w * z.w AS w, t_max, t_min, precip FROM w_lat y JOIN w_lon z ON z.site = y.site JOIN rain r ON r.site = y.site AND r.lat = y.corner AND r.lon = z.corner WHERE y.w > 0 AND z.w > 0),
+wet AS (SELECT site, lat, lon, day, sum(w * t_max) AS t_max, sum(w * t_min) AS t_min, sum(w * precip) AS precip FROM parts GROUP BY ALL HAVING abs(sum(w) - 1) < 1e-9),
+quality AS (SELECT site, avg(clear::INT) AS valid_ratio FROM raw GROUP BY 1),
+grids AS (SELECT site, lat, lon, day, sat.v.p AS p, sat.v.q AS q, coalesce(t_max, 0) AS t_max, coalesce(t_min, 0) AS t_min, coalesce(precip, 0) AS precip FROM sat LEFT JOIN wet USING (site, lat, lon, day))"""
+
+
+@query(_GRIDS + """ SELECT site, day, lat, lon, round(p / 2, 8) AS "B02", round(p, 8) AS "B03", round(p, 8) AS "B04", round(q, 8) AS "B08", round(t_max, 8) AS t_max, round(t_min, 8) AS t_min, round(precip, 8) AS precip,
+round(valid_ratio, 9) AS valid_ratio, valid_ratio < 0.1 AS is_unreliable FROM grids JOIN quality USING (site)""")
 def preprocess_grids(spark, d):
     sat, rain, quality = jobs.preprocess(*line_grids(spark, d))
-    return sat.join(rain, ["site", "day", "lat", "lon"]).join(quality, "site")
-
-
-@query()
+    x = sat.join(rain, ["site", "day", "lat", "lon"]).join(quality, "site")
+    values = [F.round(n, 8).alias(n) for n in (*jobs.BANDS, *jobs.RAIN)]
+    return x.select("site", "day", "lat", "lon", *values, F.round("valid_ratio", 9).alias("valid_ratio"), "is_unreliable")
+
+
+@query(_GRIDS + f""", lab AS (SELECT l_returnflag AS site, date_trunc('year', l_shipdate)::TIMESTAMP AS time, avg(l_extendedprice) AS y, count(*) OVER () AS n FROM lineitem GROUP BY ALL),
+h AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY day) AS i, count(*) OVER (PARTITION BY site) AS size FROM grids WHERE lat = 3 AND lon = 2),
+j AS (SELECT lab.site, lab.time, any_value(y) AS y, any_value(n) AS n, count(*) FILTER (h.day <= lab.time) AS past, max(size) AS size FROM lab JOIN h USING (site) GROUP BY ALL),
+w AS (SELECT j.site, j.time, any_value(y) AS y, any_value(n) AS n, any_value(past) AS past, sum(2.5 * p + q) AS sat, sum(t_max + t_min + precip) AS weather FROM j JOIN h ON h.site = j.site AND j.size >= 12
+AND CASE WHEN past >= 12 THEN i > past - 12 AND i <= past ELSE i <= 12 END GROUP BY ALL),
+soil AS (SELECT l_returnflag AS site, avg(l_tax) AS ph, avg(l_discount) AS soc FROM lineitem GROUP BY 1)
+SELECT site, time, round(y, 4) AS "yield", CASE WHEN past >= 12 THEN 'recent' ELSE 'first' END AS window_source, round(sat, 4) AS sat, round(weather, 4) AS weather, round(ph + soc, 6) AS soil, 'file:' || site || '_soil.csv' AS soil_source,
+row_number() OVER (ORDER BY {_HASH.format("'42:' || site || ':' || strftime(time, '%Y-%m-%d %H:%M:%S')")}) <= floor(count(*) OVER () * 0.8) AS is_train FROM w JOIN soil USING (site)""")
 def build_training_set(spark, d):
     labels = t(spark, d, "lineitem").groupBy(c("l_returnflag").alias("site"), F.date_trunc("year", "l_shipdate").alias("time")).agg(lit(3.2).alias("lat"), lit(1.6).alias("lon"), F.avg("l_extendedprice").alias("yield"))
     raw, weather = line_grids(spark, d)
     sat, rain, _ = jobs.preprocess(raw, weather, jobs.needed_cells(labels, raw))
     soil = t(spark, d, "lineitem").groupBy(c("l_returnflag").alias("site")).agg(F.avg("l_tax").alias("ph"), F.avg("l_discount").alias("soc"))
-    return jobs.training_set(labels, sat, rain, soil, jobs.BANDS, jobs.RAIN, ["ph", "soc"], 4, grid=raw)
+    x = jobs.training_set(labels, sat, rain, soil, jobs.BANDS, jobs.RAIN, ["ph", "soc"], 4, grid=raw)
+    sums = {"sat": mixture.total(F.flatten("sat")), "weather": mixture.total(F.flatten("weather"))}
+    return x.select("site", "time", F.round("yield", 4).alias("yield"), "window_source", *(F.round(v, 4).alias(k) for k, v in sums.items()), F.round(mixture.total(c("soil")), 6).alias("soil"), "soil_source", "is_train")
 
 
 @query()
