@@ -22,52 +22,67 @@ def iqr_bounds(df: DataFrame, column: str, factor: float = 1.5, approx: bool = F
     return d.groupBy("q1", "q3", "lower", "upper").agg(F.count(F.when((F.col(column) < F.col("lower")) | (F.col(column) > F.col("upper")), 1)).alias("outliers"))
 
 
-def box_cox(df: DataFrame, column: str, name: str | None = None) -> tuple[DataFrame, float | None, float]:
-    """(table, lambda, shift): the transform of greatest profile likelihood; each search pass is one aggregation.
+def box_cox_all(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float]]:
+    """{column: (lambda, shift)} of greatest profile likelihood. Each search pass is one aggregation for all columns together.
 
-    Values are shifted to be positive if any isn't. A constant or empty column stays as it is, with lambda None.
+    Values are shifted to be positive if any isn't. A constant or empty column has lambda None.
     """
-    name = name or column
-    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
-    shift = 0.0 if low is None or low > 0 else abs(low) + 1e-6
-    if n < 2 or low == high:
-        return df.withColumn(name, F.col(column).cast("double")), None, shift
+    if not columns:
+        return {}
+    row = df.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max), ("n", F.count)))).first()
+    shift = {c: 0.0 if row[f"low{i}"] is None or row[f"low{i}"] > 0 else abs(float(row[f"low{i}"])) + 1e-6 for i, c in enumerate(columns)}
+    open_ = [c for i, c in enumerate(columns) if row[f"n{i}"] > 1 and row[f"low{i}"] != row[f"high{i}"]]
+    found: dict[str, float] = {}
+    if open_:
+        centers = df.agg(*(F.avg(F.ln(F.col(c) + shift[c])) for c in open_)).first()
+        logs = {c: F.ln(F.col(c) + shift[c]) - m for c, m in zip(open_, centers)}  # around 0, so that powers stay near 1
+
+        def spreads(lambdas: dict[str, list[float]]) -> dict[str, list[float]]:
+            wanted = [F.var_pop(logs[c] if abs(k) < 1e-12 else F.exp(k * logs[c]) / k) for c, ks in lambdas.items() for k in ks]
+            got = iter(df.agg(*(v.alias(f"v{i}") for i, v in enumerate(wanted))).first())
+            return {c: [math.inf if v is None or v != v or v <= 0 else v for v in (next(got) for _ in ks)] for c, ks in lambdas.items()}
+
+        ends = {c: (-2.0, 2.0) for c in open_}
+        while ends:
+            grids = {c: [a + (b - a) * i / 16 for i in range(17)] for c, (a, b) in ends.items()}
+            tried, after = spreads(grids), {}
+            for c, (a, b) in ends.items():
+                best = min(range(17), key=tried[c].__getitem__)
+                step = (b - a) / 16
+                if best in (0, 16) and b - a < 1e3:
+                    after[c] = (a - 2 * (b - a), b) if best == 0 else (a, b + 2 * (b - a))
+                elif step < 1e-3:
+                    found[c] = grids[c][best]
+                else:
+                    after[c] = (grids[c][best] - step, grids[c][best] + step)
+            ends = after
+        step = 1e-3
+        last = spreads({c: [k - step, k, k + step] for c, k in found.items()})
+        for c, v in last.items():
+            x, y, z = map(math.log, v)
+            if x - 2 * y + z > 0:
+                found[c] += 0.5 * step * (x - z) / (x - 2 * y + z)
+    return {c: (found.get(c), shift[c]) for c in columns}
+
+
+def _powered(column: str, k: float | None, shift: float) -> Column:
     x = F.col(column) + shift
-    center = df.agg(F.avg(F.ln(x))).first()[0]
-    u = F.ln(x) - center  # logs around 0 keep the powers near 1
-
-    def spread(lambdas: list[float]) -> list[float]:
-        row = df.agg(*(F.var_pop(u if abs(k) < 1e-12 else F.exp(k * u) / k).alias(f"v{i}") for i, k in enumerate(lambdas))).first()
-        return [math.inf if v is None or v != v or v <= 0 else v for v in row]
-
-    a, b = -2.0, 2.0
-    while True:
-        grid = [a + (b - a) * i / 16 for i in range(17)]
-        best = min(range(17), key=spread(grid).__getitem__)
-        if best in (0, 16) and b - a < 1e3:
-            a, b = (a - 2 * (b - a), b) if best == 0 else (a, b + 2 * (b - a))
-            continue
-        step = (b - a) / 16
-        a, b = grid[best] - step, grid[best] + step
-        if step < 1e-3:
-            break
-    mid, step = (a + b) / 2, (b - a) / 2
-    v = [math.log(t) for t in spread([mid - step, mid, mid + step])]
-    bend = v[0] - 2 * v[1] + v[2]
-    k = mid + 0.5 * step * (v[0] - v[2]) / bend if bend > 0 else mid
-    y = F.ln(x) if abs(k) < 1e-8 else (F.pow(x, F.lit(k)) - 1) / k
-    return df.withColumn(name, y), k, shift
+    return F.col(column).cast("double") if k is None else F.ln(x) if abs(k) < 1e-8 else (F.pow(x, F.lit(k)) - 1) / k
+
+
+def box_cox(df: DataFrame, column: str, name: str | None = None) -> tuple[DataFrame, float | None, float]:
+    """(table, lambda, shift) of one column; a constant or empty one stays as it is."""
+    k, shift = box_cox_all(df, [column])[column]
+    return df.withColumn(name or column, _powered(column, k, shift)), k, shift
 
 
 def correct_bias(df: DataFrame, columns: list[str], fix_skew: bool = True, factor: float = 1.5) -> DataFrame:
     """Clip each column to its bounds, then correct its skew."""
-    for c in columns:
-        r = iqr_bounds(df, c, factor).first()
-        if r is None or r["lower"] is None:
-            continue
-        df = df.withColumn(c, clip(F.col(c), F.lit(r["lower"]), F.lit(r["upper"])))
-        if fix_skew:
-            df = box_cox(df, c)[0]
+    bounds = {c: iqr_bounds(df, c, factor).first() for c in columns}
+    df = df.withColumns({c: clip(F.col(c), F.lit(r["lower"]), F.lit(r["upper"])) for c, r in bounds.items() if r is not None and r["lower"] is not None})
+    if fix_skew:
+        fits = box_cox_all(df, [c for c, r in bounds.items() if r is not None and r["lower"] is not None])
+        df = df.withColumns({c: _powered(c, k, shift) for c, (k, shift) in fits.items()})
     return df
 
 

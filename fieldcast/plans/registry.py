@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import mixture, risk, scalars
 from ..operators import align, bias, drift, impute, metrics, score, series, tables
-from ..schema import REQUEST
+from ..schema import numeric_columns
 from ..sources import io
 from . import jobs
 
@@ -404,6 +404,22 @@ def bias_clip(spark, d):
     return bias.correct_bias(t(spark, d, "lineitem"), ["l_extendedprice"], fix_skew=False).agg(F.count(lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
+def _box_cox_sql(table: str, column: str) -> str:
+    """lambda_{column}: the best of a fine grid of powers, by the profile likelihood of the centred logs."""
+    u = f"ln({column}) - (SELECT avg(ln({column})) FROM {table})"
+    return f"""SELECT k / 1000.0 FROM (SELECT k, var_pop(CASE WHEN k = 0 THEN u ELSE exp(k / 1000.0 * u) / (k / 1000.0) END) AS v FROM (SELECT {u} AS u FROM {table}) t, (SELECT unnest(range(-3000, 3001)) AS k) g GROUP BY k) ORDER BY v, k LIMIT 1"""
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_retailprice AS price, p_size::DOUBLE AS size, (p_partkey % 13 + 1)::DOUBLE ** 3 AS cube FROM part),
+k AS (SELECT ({_box_cox_sql("p", "price")}) AS a, ({_box_cox_sql("p", "size")}) AS b, ({_box_cox_sql("p", "cube")}) AS c)
+SELECT count(*) AS n, round(any_value(a), 2) AS lambda_price, round(any_value(b), 2) AS lambda_size, round(any_value(c), 2) AS lambda_cube FROM p, k""")
+def box_cox_powers(spark, d):
+    """Three columns in the same passes; powers to two digits, which a grid of thousandths can tell."""
+    p = t(spark, d, "part").select(c("p_retailprice").alias("price"), c("p_size").cast("double").alias("size"), F.pow((c("p_partkey") % 13 + 1).cast("double"), lit(3.0)).alias("cube"))
+    k = {n: v for n, (v, _) in bias.box_cox_all(p, ["price", "size", "cube"]).items()}
+    return p.agg(F.count(lit(1)).alias("n")).select("n", *(F.round(lit(v), 2).alias(f"lambda_{n}") for n, v in k.items()))
+
+
 @query()
 def box_cox(spark, d):
     x, k, shift = bias.box_cox(t(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "price_bc")
@@ -450,6 +466,40 @@ def ks_distance(spark, d):
     return x.select("region", "n_ref", "n_cur", F.round("ks_d", 9).alias("ks_d"))
 
 
+@query(f"""WITH s AS ({_SIDES}), b AS (SELECT region, side, x, least(greatest(floor(x / 120000 * 3000), 0), 2999)::INT AS bin FROM s WHERE x IS NOT NULL),
+g AS (SELECT region, bin, count(*) FILTER (side = 'ref') AS r, count(*) FILTER (side = 'cur') AS c, min(x) AS lo, max(x) AS hi FROM b GROUP BY ALL),
+e AS (SELECT region, min(lo) AS a, max(hi) AS z, sum(r) AS nr, sum(c) AS nc FROM g GROUP BY 1),
+p AS (SELECT g.*, a, z, nr, nc, least(floor((lo - a) / (z - a) * 10), 9) AS f, least(floor((hi - a) / (z - a) * 10), 9) AS l, abs(sum(r) OVER w / nr - sum(c) OVER w / nc) AS gap FROM g JOIN e USING (region) WINDOW w AS (PARTITION BY region ORDER BY bin)),
+k AS (SELECT region, max(gap) AS ks_d, max(greatest(r / nr, c / nc)) AS ks_off, sum(CASE WHEN f <> l THEN r + c ELSE 0 END) / sum(r + c) AS psi_off FROM p GROUP BY 1),
+q AS (SELECT region, f, sum(r) / any_value(nr) AS r, sum(c) / any_value(nc) AS c FROM p GROUP BY ALL),
+h AS (SELECT region, sum((CASE WHEN coalesce(c, 0) = 0 THEN 1e-4 ELSE c END - CASE WHEN coalesce(r, 0) = 0 THEN 1e-4 ELSE r END) * ln(CASE WHEN coalesce(c, 0) = 0 THEN 1e-4 ELSE c END / CASE WHEN coalesce(r, 0) = 0 THEN 1e-4 ELSE r END)) AS psi
+FROM (SELECT region, unnest(range(0, 10)) AS f FROM e) LEFT JOIN q USING (region, f) GROUP BY 1)
+SELECT region, nr::BIGINT AS n_ref, nc::BIGINT AS n_cur, round(psi, 6) AS psi, round(psi_off, 9) AS psi_off, round(ks_d, 9) AS ks_d, round(ks_off, 9) AS ks_off FROM h JOIN k USING (region) JOIN e USING (region)""")
+def drift_histograms(spark, d):
+    """Drift from a stored sketch by month: any two periods can be compared without the values."""
+    x = sides(spark, d)
+    path = io.scratch(spark, "histograms")
+    drift.histograms(x, "region", "side", "x", 0.0, 120000.0, 3000).write.parquet(path)
+    p = drift.drift_of_histograms(spark.read.parquet(path), "region", c("side"))
+    return p.select("region", "n_ref", "n_cur", r6(c("psi"), "psi"), *(F.round(n, 9).alias(n) for n in ("psi_off", "ks_d", "ks_off")))
+
+
+@query("""WITH x AS (SELECT l_returnflag AS site, year(l_shipdate) <= 1997 AS ref, CASE WHEN (l_tax + 0.2) + l_discount = 0 THEN 1e-6 ELSE (l_tax + 0.2) + l_discount END AS u, (l_tax + 0.2) - l_discount AS w, l_quantity AS q FROM lineitem),
+v AS (SELECT site, ref, w / u AS v, q FROM x), m AS (SELECT site, min(v) AS a, max(v) AS b, count(*) FILTER (ref) AS nr, count(*) FILTER (NOT ref) AS nc FROM v GROUP BY 1),
+k AS (SELECT v.site, ref, list_sum(list_transform(range(1, 10), lambda i: (v.v >= m.a + (m.b - m.a) * i / 10)::INT)) AS bin FROM v JOIN m USING (site)),
+g AS (SELECT s.site, s.bin, nr, nc, count(*) FILTER (k.ref) AS r, count(*) FILTER (NOT k.ref) AS c FROM (SELECT site, nr, nc, unnest(range(0, 10)) AS bin FROM m) s LEFT JOIN k ON k.site = s.site AND k.bin = s.bin GROUP BY ALL),
+p AS (SELECT site, sum((pc - pr) * ln(pc / pr)) AS psi FROM (SELECT site, CASE WHEN r = 0 THEN 1e-4 ELSE r / nr END AS pr, CASE WHEN c = 0 THEN 1e-4 ELSE c / nc END AS pc FROM g) GROUP BY 1),
+d AS (SELECT site, any_value(nr) * any_value(nc) / (any_value(nr) + any_value(nc)) AS n, max(abs(r / nr - c / nc)) AS d FROM
+(SELECT site, q, nr, nc, sum(r) OVER (PARTITION BY site ORDER BY q) AS r, sum(c) OVER (PARTITION BY site ORDER BY q) AS c FROM (SELECT site, q, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS c FROM v GROUP BY ALL) JOIN m USING (site)) GROUP BY 1),
+t AS (SELECT site, CASE WHEN psi >= 0.25 THEN 'BLOCK' WHEN psi >= 0.1 THEN 'WARN' ELSE 'OK' END AS ndvi_status, round(psi, 4) AS ndvi_psi,
+CASE WHEN z < 0.3 THEN 1 ELSE 2 * list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * j * j * z * z))) END AS pv FROM p JOIN (SELECT site, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS z FROM d) USING (site))
+SELECT site, ndvi_psi, ndvi_status, CASE WHEN pv < 0.001 THEN 'BLOCK' WHEN pv < 0.05 THEN 'WARN' ELSE 'OK' END AS ks_status,
+CASE WHEN ndvi_status = 'BLOCK' OR pv < 0.001 THEN 'BLOCK' WHEN ndvi_status = 'WARN' OR pv < 0.05 THEN 'WARN' ELSE 'OK' END AS overall_status, false AS reference_missing FROM t""")
+def drift_verdicts(spark, d):
+    """The drift report without the digits of p, which SQL has by a series only."""
+    return drift_report(spark, d).drop("ks_pvalue")
+
+
 @query()
 def drift_report(spark, d):
     x = t(spark, d, "lineitem").select(c("l_returnflag").alias("site"), F.year("l_shipdate").alias("y"), c("l_discount").alias("B04"), (c("l_tax") + 0.2).alias("B08"), c("l_quantity").alias("t_max"))
@@ -904,23 +954,54 @@ def io_requests_json(spark, d):
     path = io.scratch(spark, "requests")
     attributions(spark, d).select("sat", "weather", F.concat("soil", F.array(c("vec_id").cast("double"))).alias("soil")).write.json(path)
     first = lambda n: F.round(mixture.total(c(n)[0]), 5).alias(n)
-    r = spark.read.schema(REQUEST).json(path)
+    r = io.read_requests(spark, path, multi_line=False)
     return r.select(c("soil")[4].cast("long").alias("vec_id"), first("sat"), first("weather"), F.round(mixture.total(F.slice("soil", 1, 4)), 5).alias("soil"))
 
 
-@query("""SELECT 'csv' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'json', count(*) FROM orders UNION ALL SELECT 'drift', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'summary', count(*) FROM orders""")
+@query("""WITH r AS (SELECT o_orderpriority AS p, count(*) AS n, round(avg(o_totalprice), 2) AS m FROM orders GROUP BY 1)
+SELECT 'csv' AS kind, 'all' AS region, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders UNION ALL SELECT 'json', 'all', count(*), round(avg(o_totalprice), 2) FROM orders
+UNION ALL SELECT 'drift', p, n, m FROM r UNION ALL SELECT 'summary p', p, (SELECT count(*) FROM orders), NULL FROM r""")
 def io_reports(spark, d):
-    """A one-row report as CSV and JSON, a report of one object a region, and a training summary, read back."""
+    """A one-row report as CSV and JSON, a report of one object a region, and a training summary, all read back."""
     path = io.scratch(spark, "reports")
     o = t(spark, d, "orders")
-    io.write_report(o.agg(F.count(lit(1)).alias("n")), path)
-    io.write_drift(o.select(c("o_orderpriority").alias("region")).distinct(), f"{path}/drift")
+    facts = [F.count(lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean")]
+    io.write_report(o.agg(*facts), path)
+    io.write_drift(o.groupBy(c("o_orderpriority").alias("region")).agg(*facts), f"{path}/drift")
     io.write_training_summary(o, "o_orderpriority", f"{path}/summary", "p")
-    n = c("n").cast("long").alias("n")
-    out = spark.read.option("header", True).csv(f"{path}/csv").select(lit("csv").alias("kind"), n)
-    out = out.unionByName(spark.read.json(f"{path}/json").select(lit("json").alias("kind"), n))
-    out = out.unionByName(spark.read.json(f"{path}/drift").agg(F.count("region").alias("n")).select(lit("drift").alias("kind"), n))
-    return out.unionByName(spark.read.json(f"{path}/summary").select(lit("summary").alias("kind"), c("num_sequences").cast("long").alias("n")))
+    row = lambda kind, region, n, mean: [kind.alias("kind"), region.alias("region"), n.cast("long").alias("n"), mean.cast("double").alias("mean")]
+    out = spark.read.option("header", True).csv(f"{path}/csv").select(row(lit("csv"), lit("all"), c("n"), c("mean")))
+    out = out.unionByName(spark.read.json(f"{path}/json").select(row(lit("json"), lit("all"), c("n"), c("mean"))))
+    out = out.unionByName(spark.read.json(f"{path}/drift").select(row(lit("drift"), c("region"), c("n"), c("mean"))))
+    told = spark.read.json(f"{path}/summary").withColumn("r", F.explode("trained_regions"))
+    return out.unionByName(told.select(row(F.concat(lit("summary "), c("project_name")), c("r"), c("num_sequences"), lit(None))))
+
+
+@query("""SELECT n_name AS site, n_nationkey + 0.5 AS ph, CASE WHEN n_nationkey % 3 > 0 THEN n_regionkey::DOUBLE END AS soc, n_name || '_soil.csv' AS file FROM nation""")
+def io_soil_files(spark, d):
+    """A soil file for each site, of which the first row counts; a text in place of a number is NULL."""
+    path = io.scratch(spark, "soil")
+    n = t(spark, d, "nation").select(c("n_name").alias("site"), "n_nationkey", F.when(c("n_nationkey") % 3 > 0, c("n_regionkey").cast("string")).otherwise("none").alias("soc"))
+    rows = n.select("site", F.posexplode(F.array(c("n_nationkey") + 0.5, lit(99.0))).alias("_k", "ph"), "soc").repartition("site").sortWithinPartitions("site", "_k")
+    io.write_soil(rows.drop("_k"), path)
+    return io.read_soil(spark, path, ["ph", "soc"]).select("site", "ph", "soc", "file")
+
+
+@query("""SELECT c_name AS name, round(c_acctbal / 100, 4) AS lat, c_custkey % 180 + 0.25 AS lon, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 180 + 0.75 END AS east FROM customer""")
+def io_study_areas(spark, d):
+    path = io.scratch(spark, "areas")
+    lat, lon = F.round(c("c_acctbal") / 100, 4), c("c_custkey") % 180 + 0.25
+    box = F.when(c("c_custkey") % 2 == 0, scalars.bbox_of_point(lat, lon, 0.5))
+    t(spark, d, "customer").select(c("c_name").alias("name"), lat.alias("lat"), lon.alias("lon"), box.alias("bbox")).write.json(path)
+    return io.read_study_areas(spark, path).select("name", "lat", "lon", c("bbox")[2].alias("east"))
+
+
+@query("""SELECT p_name, round((p_partkey - (SELECT avg(p_partkey) FROM part)) / (SELECT stddev_samp(p_partkey) FROM part), 6) AS p_partkey, round((p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_samp(p_size) FROM part), 6) AS p_size,
+round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_samp(p_retailprice) FROM part), 6) AS p_retailprice FROM part""")
+def z_scores_of_all_numbers(spark, d):
+    """The number columns are found by their types."""
+    z = tables.z_scores(t(spark, d, "part"))
+    return z.select("p_name", *(r6(c(n), n) for n in numeric_columns(t(spark, d, "part"))))
 
 
 @query("""SELECT o_custkey AS site, year(o_orderdate) AS year, o_totalprice AS v FROM orders""")

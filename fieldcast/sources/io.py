@@ -40,6 +40,24 @@ def read_soil(spark: SparkSession, folder: str, values: list[str]) -> DataFrame:
     return first.select(F.regexp_replace("file", "_soil\\.csv$", "").alias("site"), *(F.col(f"_r.{c}").alias(c) for c in values), "file")
 
 
+def write_soil(df: DataFrame, folder: str, site: str = "site") -> None:
+    """One file ``{site}_soil.csv`` for each site, with its rows; sites are as many as files that a folder should have."""
+    spark = df.sparkSession
+    parts = f"{folder}/_parts"
+    df.repartition(site).write.partitionBy(site).option("header", True).csv(parts)
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(parts)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for own in fs.listStatus(top):
+        name = own.getPath().getName()
+        if not name.startswith(f"{site}="):
+            continue
+        files = [f.getPath() for f in fs.listStatus(own.getPath()) if f.getPath().getName().startswith("part-")]
+        for k, file in enumerate(sorted(files, key=str)):  # a site is one task's, so one file, unless it is very large
+            fs.rename(file, jvm.org.apache.hadoop.fs.Path(f"{folder}/{name.removeprefix(f'{site}=')}{f'.{k}' if k else ''}_soil.csv"))
+    fs.delete(top, True)
+
+
 def read_grid(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
     """Long-form Parquet; latitude and longitude may have their long names; one site's read is pruned."""
     d = spark.read.parquet(path).withColumnsRenamed({"latitude": "lat", "longitude": "lon"})
@@ -115,8 +133,9 @@ def read_records_csv(spark: SparkSession, satellite: str, weather: str, soil: st
     return matrix(satellite, "sat").crossJoin(matrix(weather, "weather")).crossJoin(rows(soil).agg(F.min_by("v", "_o").alias("soil")))  # one row each
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REQUEST).option("multiLine", True).json(path)
+def read_requests(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Scoring requests: JSON objects or arrays of a file each, or with ``multi_line=False`` one object a line."""
+    return spark.read.schema(REQUEST).option("multiLine", multi_line).json(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -150,5 +169,10 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{found.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def read_study_areas(spark: SparkSession, path: str) -> DataFrame:
+    """Areas (name, lat, lon, bbox or NULL) of JSON objects, one a line."""
+    return spark.read.schema(STUDY_AREAS).json(path)
+
+
 def study_areas(spark: SparkSession, areas: list[dict]) -> DataFrame:
     return spark.createDataFrame([(a["name"], float(a["lat"]), float(a["lon"]), [float(x) for x in a["bbox"]] if a.get("bbox") else None) for a in areas], STUDY_AREAS)
