@@ -922,8 +922,8 @@ def feature_store_join(spark, d):
         io.save_features(m.select("site", "lat", "lon", "day", column), name, io.scratch(spark, "bucketed"), "day", 8)
     io.co_located(spark)
     a, b = (spark.table(n).filter("year = 2024").drop("year") for n in names)
-    x = align.stack_features(a, b, ["site", "lat", "lon", "day"], ["v"], ["h"])
-    w = Window.partitionBy("site", "lat", "lon").orderBy("day").rowsBetween(-2, 0)
+    x = align.stack_features(a, b, ["site", "cell", "day"], ["v"], ["h"])
+    w = Window.partitionBy("site", "cell").orderBy("day").rowsBetween(-2, 0)
     f = c("features")
     return x.withColumn("mean3", F.avg(f[0]).over(w)).select(c("site").alias("user_id"), "day", r6(f[0], "sat"), f[1].alias("rain"), r6(c("mean3"), "mean3"))
 

@@ -76,17 +76,18 @@ def write_features(df: DataFrame, path: str, site: str = "site", rows_per_file:
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(site).parquet(path)
 
 
-CELL = ["site", "lat", "lon"]
+CELL = ["site", "cell"]
 
 
-def save_features(df: DataFrame, table: str, path: str, time: str, buckets: int, key: list[str] = CELL) -> None:
-    """A feature table of the catalog, with a folder per ``year`` and in it a file per bucket of the key, sorted by key and time.
+def save_features(df: DataFrame, table: str, path: str, time: str, buckets: int) -> None:
+    """A feature table of the catalog, with a folder per ``year`` and in it a file per bucket of (site, cell), sorted by them and time.
 
-    Tables of equal keys and buckets are joined and windowed by the key without a shuffle (``co_located``), and a filter on
-    ``year`` reads its folders only.
+    ``cell`` is the text of lat and lon: Spark normalizes floating keys before it compares them, which undoes buckets. Tables of
+    equal buckets are joined and windowed by (site, cell) without a shuffle (``co_located``), and a filter on ``year`` reads
+    its folders only.
     """
-    d = df.withColumn("year", F.year(time)).repartition(buckets, *key)
-    d.write.mode("overwrite").partitionBy("year").bucketBy(buckets, *key).sortBy(*key, time).option("path", path).saveAsTable(table)
+    d = df.withColumns({"cell": F.concat_ws(",", "lat", "lon"), "year": F.year(time)}).repartition(buckets, *CELL)
+    d.write.mode("overwrite").partitionBy("year").bucketBy(buckets, *CELL).sortBy(*CELL, time).option("path", path).saveAsTable(table)
 
 
 def co_located(spark: SparkSession) -> None:
