@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import mixture, risk, scalars
 from ..operators import align, bias, drift, impute, metrics, score, series, tables
 from ..schema import numeric_columns
-from ..sources import io
+from ..sources import io, synth
 from . import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -656,6 +656,17 @@ def time_series_imputation(spark, d):
     return impute.impute(e, ["v"], "event_id", ["user_id"], ["ts", "event_id"]).withColumn("v", F.round("v", 6))
 
 
+@query(f"""WITH l AS ({ORACLES["linear_interpolation"].replace("FROM events),", "FROM events WHERE user_id % 25 <> 0),").replace("SELECT event_id, round(", "SELECT event_id, (").replace(", 6) AS v FROM y", ") AS v FROM y")}),
+e AS (SELECT event_id, hour(ts) AS h, v FROM events LEFT JOIN l USING (event_id)),
+d AS (SELECT h, avg(v) AS m FROM (SELECT h, v, row_number() OVER (PARTITION BY h ORDER BY event_id) AS r FROM e WHERE v IS NOT NULL) WHERE r <= 5 GROUP BY 1)
+SELECT event_id, round(coalesce(v, m), 6) AS v FROM e LEFT JOIN d USING (h)""")
+def series_then_neighbours(spark, d):
+    """Every 25th series has no value at all, so its rows take the nearest rows' by hour; of equal distances the lowest ids'."""
+    e = gappy(spark, d).select("event_id", "user_id", "ts", F.when(c("user_id") % 25 != 0, c("v")).alias("v"), F.hour("ts").cast("double").alias("h"))
+    x = impute.interpolate(e, ["user_id"], ["ts", "event_id"], ["v"])
+    return impute.knn_impute(x, ["v", "h"], "event_id").select("event_id", r6(c("v"), "v"))
+
+
 @query("""WITH x AS (SELECT event_id, user_id, ts, value + 1 AS precip, greatest((least(greatest(value / 10 + 20, 10), 35) + least(greatest(value / 10, 10), 35)) / 2 - 10, 0) AS gdd FROM events)
 SELECT event_id, round(gdd, 6) AS gdd, round(sum(precip) OVER w, 4) AS accumulated_precip, round(sum(gdd) OVER w, 4) AS accumulated_gdd FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
 def weather_totals(spark, d):
@@ -1004,6 +1015,40 @@ def z_scores_of_all_numbers(spark, d):
     return z.select("p_name", *(r6(c(n), n) for n in numeric_columns(t(spark, d, "part"))))
 
 
+def _uniform(seed: str, *key: str) -> str:
+    return f"((('0x' || substr(md5('{seed}:' || {" || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in key)}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)"
+
+
+def _normal(seed: str, *key: str) -> str:
+    return f"(sqrt(-2 * ln({_uniform(seed + 'r', *key)})) * cos(2 * pi() * {_uniform(seed + 'a', *key)}))"
+
+
+def customer_areas(spark, d):
+    lat, lon = (20 + c("c_custkey") % 15).cast("double"), (75 + c("c_custkey") % 11).cast("double")
+    return t(spark, d, "customer").select(c("c_name").alias("site"), lat.alias("lat"), lon.alias("lon"), scalars.bbox_of_point(lat, lon, 0.25).alias("bbox"), "c_custkey")
+
+
+@query(f"""WITH a AS (SELECT c_name AS site, unnest(range(2018, 2021))::INT AS year FROM customer)
+SELECT a.site, a.year, make_timestamp(a.year, 12, 31, 0, 0, 0) AS time, round(3.5 + 0.5 * {_normal("yield", "a.site", "a.year")}, 6) AS "yield", round(6.5 + 0.1 * {_normal("ph", "a.site")}, 6) AS ph, round(12.5 + 0.5 * {_normal("soc", "a.site")}, 6) AS soc FROM a""")
+def synthetic_yields(spark, d):
+    """Made yields and soil of the given areas; every draw follows from its key."""
+    areas = customer_areas(spark, d)
+    y = synth.yields(areas, 2018, 2020).withColumnRenamed("site_id", "site")
+    return y.join(synth.soil(areas), "site").select("site", "year", "time", *(r6(c(n), n) for n in ("yield", "ph", "soc")))
+
+
+@query(f"""WITH g AS (SELECT c_name AS site, t AS time, 20 + c_custkey % 15 - 0.25 + 0.5 * i / 2.0 AS lat, 75 + c_custkey % 11 - 0.25 + 0.5 * j / 2.0 AS lon
+FROM customer, (SELECT unnest([TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-16', TIMESTAMP '2024-01-31']) AS t), range(3) a(i), range(3) b(j) WHERE c_custkey % 10 = 0),
+k AS (SELECT site, time, lat::DOUBLE AS lat, lon::DOUBLE AS lon FROM g)
+SELECT site, time, round(lat, 6) AS lat, round(lon, 6) AS lon, round(0.01 + 0.09 * {_uniform("B04", "site", "time", "lat", "lon")}, 6) AS "B04", round(0.2 + 0.4 * {_uniform("B08", "site", "time", "lat", "lon")}, 6) AS "B08",
+[4, 5, 6, 8, 9][1 + floor({_uniform("SCL", "site", "time", "lat", "lon")} * 5)::INT] AS "SCL" FROM k""")
+def synthetic_grids(spark, d):
+    """Made satellite bands on the grids of every tenth area (the others have no box)."""
+    areas = customer_areas(spark, d).withColumn("bbox", F.when(c("c_custkey") % 10 == 0, c("bbox")))
+    s = synth.satellite(areas, "2024-01-01", "2024-02-10", n=3)
+    return s.select("site", "time", *(r6(c(n), n) for n in ("lat", "lon", "B04", "B08")), "SCL")
+
+
 @query("""SELECT o_custkey AS site, year(o_orderdate) AS year, o_totalprice AS v FROM orders""")
 def yield_trend(spark, d):
     """The halves of two regions' tables as one, by site and year."""

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: str, *key: Column) -> Column:
-    """In (0, 1)."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") + 0.5) / float(1 << 53)
+    """In (0, 1): 52 bits of the MD5 of the seed and the key's text, which any engine can work out."""
+    text = F.concat_ws(":", F.lit(seed), *(k.cast("string") for k in key))
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def normal(seed: str, *key: Column) -> Column:
