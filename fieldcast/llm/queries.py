@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +27,15 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", SHARD_BYTES).drop("text")
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary; only the queries that need one import the package that knows it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def packed(docs: DataFrame) -> DataFrame:
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_spans(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=["doc_id"])
+    found = secret_spans(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), keep=["doc_id"])
     base = F.filter("spans", lambda s: s["kind"] != "random")
 
     def count(kind: str) -> F.Column:
