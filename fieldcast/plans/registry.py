@@ -602,7 +602,8 @@ def mixture_metrics(spark, d):
 
 @query()
 def pit_calibration(spark, d):
-    return metrics.calibration(metrics.pit(mixtures(spark, d)))
+    x = metrics.calibration(metrics.pit(mixtures(spark, d)))
+    return x.select("n", "is_calibrated", *(r6(c(n), n) for n in ("ks_d", "p_value", "sharpness_residual")))
 
 
 _ATT = "SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)"
@@ -786,10 +787,13 @@ def pit_values(spark, d):
     return metrics.pit(mixtures(spark, d)).select("vec_id", r6(c("pit"), "pit"))
 
 
-@query(_PIT + """, r AS (SELECT pit, row_number() OVER (ORDER BY pit) AS i, count(*) OVER () AS n FROM pit),
+_CALIBRATED = _PIT + """, r AS (SELECT pit, row_number() OVER (ORDER BY pit) AS i, count(*) OVER () AS n FROM pit),
 k AS (SELECT greatest(max(i / n - pit), max(pit - (i - 1) / n)) AS ks_d, abs(stddev_pop(pit) - 0.288) AS sharpness_residual FROM r),
-h AS (SELECT *, round(2 * list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * j * j * ks_d * ks_d * n))), 6) AS p_value FROM k, (SELECT count(*) AS n FROM pit))
-SELECT round(avg(abs(mean - y)), 4) AS mae, round(sqrt(avg((mean - y) ** 2)), 4) AS rmse, round(1 - sum((mean - y) ** 2) / (var_pop(y) * count(*)), 4) AS r2, round(avg(abs((y - mean) / (y + 1e-10))) * 100, 2) AS mape, round(avg(mean - y), 4) AS mean_bias,
+h AS (SELECT *, round(2 * list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * j * j * ks_d * ks_d * n))), 6) AS p_value FROM k, (SELECT count(*) AS n FROM pit))"""
+ORACLES["pit_calibration"] = _CALIBRATED + " SELECT n, p_value > 0.05 AS is_calibrated, round(ks_d, 6) AS ks_d, p_value, round(sharpness_residual, 6) AS sharpness_residual FROM h"
+
+
+@query(_CALIBRATED + """ SELECT round(avg(abs(mean - y)), 4) AS mae, round(sqrt(avg((mean - y) ** 2)), 4) AS rmse, round(1 - sum((mean - y) ** 2) / (var_pop(y) * count(*)), 4) AS r2, round(avg(abs((y - mean) / (y + 1e-10))) * 100, 2) AS mape, round(avg(mean - y), 4) AS mean_bias,
 round(avg(CASE WHEN abs(y - mean) <= 1.96 * std THEN 1.0 ELSE 0 END), 6) AS calibration_95, count(*) AS num_samples, round(-avg(wl), 6) AS diagnostic_nll, round(avg(abs(y - mean)) + 0.1 * avg(spread), 6) AS crps_approximation, round(avg(nll), 6) AS nll,
 round(any_value(ks_d), 6) AS ks_d, any_value(p_value) AS p_value, any_value(p_value) > 0.05 AS is_calibrated, round(any_value(sharpness_residual), 6) AS sharpness_residual FROM f, h""")
 def evaluate_mixtures(spark, d):
