@@ -60,17 +60,12 @@ def gamma_shape(mean: Column, mean_log: Column, steps: int = 12) -> Column:
 
 
 def gamma_cdf(x: Column, a: Column) -> Column:
-    """Regularised lower incomplete gamma function, by its power series; as many terms as x and a need."""
+    """Regularised lower incomplete gamma function, by its power series from the last term back; as many terms as x and a need."""
 
     def series(x: Column, a: Column) -> Column:
-        terms = F.least(F.ceil(F.greatest(x - a, F.lit(0.0)) + 9 * F.sqrt(F.greatest(x, a)) + 40), F.lit(20_000)).cast("int")
-        zero = F.struct((1 / a).alias("term"), (1 / a).alias("total"))
-
-        def add(s: Column, k: Column) -> Column:
-            return _let(s["term"] * x / (a + k), lambda term: F.struct(term.alias("term"), (s["total"] + term).alias("total")))
-
-        total = F.aggregate(F.sequence(F.lit(1), terms), zero, add, lambda s: s["total"])
-        return F.when(x <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.exp(a * F.ln(x) - x - lgamma(a)) * total))
+        terms = F.least(F.ceil(F.greatest(x - a, F.lit(0.0)) + 9 * F.sqrt(F.greatest(x, a)) + 24), F.lit(20_000)).cast("int")
+        total = F.aggregate(F.sequence(terms, F.lit(1), F.lit(-1)), F.lit(1.0), lambda s, k: 1 + x / (a + k) * s)
+        return F.when(x <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.exp(a * F.ln(x) - x - lgamma(a)) * total / a))
 
     return _let(F.struct(x.alias("x"), a.alias("a")), lambda v: series(v["x"], v["a"]))
 
@@ -103,15 +98,12 @@ def normal_quantile(p: Column) -> Column:
 
 
 def erfc(x: Column) -> Column:
-    """1 - erf: the Taylor series near 0, else a continued fraction from its far end."""
+    """1 - erf: a series of positive terms near 0, else a continued fraction, both from their far ends."""
 
     def upper(z: Column) -> Column:
-        def term(s: Column, n: Column) -> Column:
-            return _let(s["t"] * (-z * z / n), lambda t: F.struct(t.alias("t"), (s["total"] + t / (2 * n + 1)).alias("total")))
-
-        taylor = F.aggregate(F.sequence(F.lit(1), F.lit(59)), F.struct(z.alias("t"), z.alias("total")), term, lambda s: 1 - 2 / math.sqrt(math.pi) * s["total"])
-        fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), z, lambda f, n: z + 0.5 * n / f)
-        return F.when(z < 2, taylor).when(z < 27.3, F.exp(-z * z) / (math.sqrt(math.pi) * fraction)).otherwise(0.0)
+        near = F.aggregate(F.sequence(F.lit(50), F.lit(1), F.lit(-1)), F.lit(1.0), lambda s, n: 1 + 2 * z * z / (2 * n + 1) * s)
+        far = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), z, lambda f, n: z + 0.5 * n / f)
+        return F.when(z < 2, 1 - 2 / math.sqrt(math.pi) * z * F.exp(-z * z) * near).when(z < 27.3, F.exp(-z * z) / (math.sqrt(math.pi) * far)).otherwise(0.0)
 
     def both(x: Column) -> Column:
         return F.when(x.isNull() | F.isnan(x), None).otherwise(_let(upper(F.abs(x)), lambda u: F.when(x < 0, 2 - u).otherwise(u)))

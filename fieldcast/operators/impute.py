@@ -124,14 +124,19 @@ def neighbours(df: DataFrame, columns: list[str], row_id: str, block: str | None
     distance found there it goes to the other tiles whose bounding boxes lie nearer, and nowhere else. None without NULLs.
     """
     cols, names = _blocks(df, columns, row_id, block)
-    asked = cols.filter("_ask").select("_b").distinct()
     kind = dict(cols.dtypes)["_id"]
+    sizes = cols.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.max("_ask").alias("_any")).filter("_any")
+    largest = sizes.agg(F.max("_n")).first()[0]
+    if largest is None:
+        return None
+    if largest <= donor_rows:  # a tile a block
+        whole = cols.join(sizes.select("_b"), "_b", "left_semi").withColumn("_tile", F.lit(0).cast("long"))
+    else:
+        near = _z_order(cols.join(sizes.select("_b"), "_b", "left_semi"), names)
+        whole = by_parts(near, ["_b"], ["_z", "_id"], lambda d, _: d.withColumn("_tile", F.expr(f"(_i - 1) DIV {donor_rows}")), hot_rows=hot_rows).drop("_z")
     path = scratch(df.sparkSession, "tiles")
-    placed = by_parts(_z_order(cols.join(asked, "_b", "left_semi"), names), ["_b"], ["_z", "_id"], lambda d, _: d.withColumn("_tile", F.expr(f"(_i - 1) DIV {donor_rows}")), hot_rows=hot_rows)
-    placed.drop("_z").write.parquet(path)
+    whole.write.parquet(path)
     placed, donors = (df.sparkSession.read.parquet(path) for _ in range(2))  # apart, so that they can be cogrouped
-    if placed.isEmpty():
-        return None
     kth = [f"_k{i}" for i in range(len(names))]
     schema = f"_id {kind}, _c int, _d double, _o {kind}, _v double"
 
@@ -157,8 +162,11 @@ def neighbours(df: DataFrame, columns: list[str], row_id: str, block: str | None
         return others.drop("_n").groupBy(*by).cogroup(own.drop("_n").groupBy(*by)).applyInPandas(search, schema)
 
     asks = placed.filter("_ask").select("_b", "_tile", "_id", *names)
+    first = dealt(asks.withColumns({c: F.lit(float("inf")) for c in kth}))
+    if largest <= donor_rows:
+        return first
     path = scratch(df.sparkSession, "near")
-    dealt(asks.withColumns({c: F.lit(float("inf")) for c in kth})).write.parquet(path)
+    first.write.parquet(path)
     first = df.sparkSession.read.parquet(path)
     box = [F.min(n).alias(f"_lo{n}") for n in names] + [F.max(n).alias(f"_hi{n}") for n in names]
     cells = donors.groupBy("_b", "_tile", *(F.col(n).isNotNull().alias(f"_has{n}") for n in names)).agg(*box)

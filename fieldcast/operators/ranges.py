@@ -17,12 +17,18 @@ from pyspark.sql.window import Window
 from ..sources.io import scratch
 
 HOT_ROWS = 2_000_000
+ROW_BYTES = 16
 FEW_KEYS = 100_000
 Part = Callable[[DataFrame, list[str]], DataFrame]
 
 
 def split_hot(df: DataFrame, key: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of other keys, rows of the keys with more than so many rows, or None without such keys)."""
+    """(rows of other keys, rows of the keys with more than so many rows, or None without such keys).
+
+    A table that Spark expects to be smaller than so many rows isn't counted for it: both ways give the same results.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < hot_rows * ROW_BYTES:
+        return df, None
     hot = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*(F.col(k).alias(f"_hot_{k}") for k in key))
     few = hot.limit(FEW_KEYS + 1).count()
     if not few:
