@@ -6,8 +6,9 @@ import re
 import numpy as np
 import pytest
 
-from fieldcast.llm import ngram_join, shingles
+from fieldcast.llm import ngram_join
 from fieldcast.llm.components import components
+from fieldcast.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -109,7 +110,7 @@ def test_inner_nodes_are_pruned(spark):
         w = base[: rng.choice((60, 90, 140, 220, 330))]
         for _ in range(3):
             w = w[: (at := rng.randrange(len(w)))] + [f"x{rng.randrange(10**6)}"] + w[at + 1 :]
-        sets.append(shingles.shingle_sets(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, len(" ".join(w).encode())]))[0])
+        sets.append(shingle_sets(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, len(" ".join(w).encode())]))[0])
     cell = ngram_join.TreeCell(np.arange(len(sets)), sets, np.ones(len(sets), np.int64))
     assert len(cell.tree.levels) > 1
     out = cell.own_links(True)
