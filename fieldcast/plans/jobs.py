@@ -208,5 +208,7 @@ def evaluate(scored: DataFrame, y: str = "y") -> DataFrame:
 
 
 def clean_records(df: DataFrame, columns: list[str], row_id: str, fix_skew: bool = True) -> DataFrame:
-    """Impute, then clip outliers and correct skew."""
-    return bias.correct_bias(impute.impute(df, columns, row_id), columns, fix_skew)
+    """Impute, then clip outliers and correct skew. The imputed table is stored, as the corrections read it many times."""
+    path = scratch(df.sparkSession, "imputed")
+    impute.impute(df, columns, row_id).write.parquet(path)
+    return bias.correct_bias(df.sparkSession.read.parquet(path), columns, fix_skew)
