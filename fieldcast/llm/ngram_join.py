@@ -43,19 +43,19 @@ GROUPS = 64
 class Heavy:
     """Levels (base-2 logarithm of the number of documents) of shingles that many documents hold; all others have level 0."""
 
-    def __init__(self, codes: np.ndarray, levels: np.ndarray, buckets: int):
-        order = np.argsort(codes)
-        self.codes, self.levels, self.buckets = codes[order], levels[order], buckets
+    def __init__(self, codes: np.ndarray, levels: np.ndarray):
+        order = np.lexsort((-levels, codes))
+        self.codes, self.levels = codes[order], levels[order]
 
     @staticmethod
-    def code(keys: np.ndarray, buckets: int) -> np.ndarray:
-        """32 bits of the hash beside its bucket; shingles that share a code share a level, which moves only the order."""
-        return (keys >> np.uint64(32)) * np.uint64(buckets) + keys % np.uint64(buckets)
+    def code(keys: np.ndarray) -> np.ndarray:
+        """32 bits of the hash; shingles that share a code share a level, which moves only the order."""
+        return (keys >> np.uint64(32)).astype(np.uint32)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.codes):
             return np.zeros(len(keys), np.int8)
-        code = self.code(keys, self.buckets)
+        code = self.code(keys)
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where(self.codes[at] == code, self.levels[at], 0)
 
@@ -98,10 +98,11 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[me
             yield row[0], row[1:]
 
 
-def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, most: int = 500_000) -> Heavy:
-    """Shingles that many documents hold: at least ``least``, and at most ``most`` of them.
+def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, most: int = 16_000_000) -> Heavy:
+    """Shingles that many documents hold: at least ``least``, and at most ``most`` of them, of 5 bytes each.
 
-    Only the order depends on them, not the links, so a table of bounded size is enough.
+    Only the order depends on them, not the links. But what the table lacks counts as rare, and ties all its documents: a table
+    that doesn't grow with the corpus (2,800,000 shingles at 6 GB) makes a few cells of most of it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +123,7 @@ def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, m
             at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             n = np.add.reduceat(c.astype(np.int64), at)
             on = n >= least
-            code = k[at][on].astype(np.uint64) * np.uint64(buckets) + np.uint64(now)
-            return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(np.log2(n[on]).astype(np.int32))], names=["code", "level"])
+            return pa.RecordBatch.from_arrays([pa.array(k[at][on].view(np.int32)), pa.array(np.log2(n[on]).astype(np.int8))], names=["code", "level"])
 
         for bucket, (k, c) in _by_bucket(batches):
             if bucket != now and keys:
@@ -136,14 +136,14 @@ def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, m
             yield total()
 
     packed = lean(texts, count, "bucket int, keys binary, counts binary")
-    heavy = saved(lean(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), add, "code long, level int"))
+    heavy = saved(lean(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), add, "code int, level byte"))
     have, floor = 0, 63
     number = {r["level"]: r["count"] for r in heavy.groupBy("level").count().collect()}
     while floor > 0 and have + number.get(floor, 0) <= most:
         have += number.get(floor, 0)
         floor -= 1
     got = heavy.filter(F.col("level") > floor).toPandas()
-    return Heavy(got["code"].to_numpy(np.int64).view(np.uint64), got["level"].to_numpy(np.int8), buckets)
+    return Heavy(got["code"].to_numpy(np.int32).view(np.uint32), got["level"].to_numpy(np.int8))
 
 
 def _ties(texts: DataFrame, heavy: Heavy, names: Names, buckets: int, width: int, pair_run: int) -> DataFrame:

@@ -138,3 +138,11 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {n: r for n, r in root.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_frequent_shingles_beyond_half_a_million(spark):
+    """600,000 shingles of 8 documents each: all are known as frequent, or each would tie its documents unchecked."""
+    text = " ".join(map(str, range(600_004)))
+    heavy = ngram_join.heavy_shingles(spark.createDataFrame([(text,)] * 8, "_text string").repartition(4), 2, 5)
+    s = shingle_sets(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
+    assert len(s) == 600_000 and (heavy.of(s) >= 3).all()
