@@ -55,7 +55,7 @@ def site_history(yields: DataFrame, site: str, year: str, time: str, value: str)
     """Per site and year the observed (last) yield, with the site's average over all years."""
     average = yields.groupBy(site).agg(F.avg(value).alias("historical_avg"))
     observed = yields.groupBy(site, year).agg(F.max_by(value, F.struct(time, value)).alias("observed_yield"))
-    return observed.join(average, site)
+    return observed.hint("merge").join(average.hint("merge"), site)
 
 
 def years(yields: DataFrame, year: str, site: str | None = None) -> DataFrame:

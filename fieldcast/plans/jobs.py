@@ -120,7 +120,7 @@ def forecast(inputs: DataFrame, history: DataFrame, load: Callable, shares: tupl
     d = d.withColumns({"_p": estimate, "warning": warning, "std": F.when(c("pi").isNotNull(), mixture.std(c("pi"), c("sigma"), c("mu")))})
     average = history.select("site", "historical_avg").distinct()
     observed = history.select("site", "year", "observed_yield")
-    d = d.join(average, "site", "left").join(observed, ["site", "year"], "left")
+    d = d.join(average.hint("merge"), "site", "left").join(observed.hint("merge"), ["site", "year"], "left")
     ok = risk.plausible(c("_p"))
     status = F.when(c("pi").isNull(), "no input").when(ok, "ok").otherwise("implausible")
     d = d.withColumns({"status": status, "predicted_yield": F.when(ok, c("_p"))}).drop("_p")
@@ -157,8 +157,9 @@ def live_inputs(areas: DataFrame, years: DataFrame, satellite: DataFrame, weathe
         w = series.last_of_year(own, ["site"], "time", values, F.year("time"), window)
         return w.select("site", "year", F.col("matrix").alias(name), F.col("status").alias(f"_{name}"))
 
-    d = years.select("site", F.col("year").cast("int").alias("year")).join(at.select("site"), "site")
-    d = d.join(last(satellite, sat_values, "sat"), ["site", "year"], "left").join(last(weather, weather_values, "weather"), ["site", "year"], "left")
+    d = years.select("site", F.col("year").cast("int").alias("year")).hint("merge").join(at.select("site").hint("merge"), "site")
+    for name, grid, values in (("sat", satellite, sat_values), ("weather", weather, weather_values)):
+        d = d.join(last(grid, values, name).hint("merge"), ["site", "year"], "left")
     short = lambda name, said: F.when(F.col(f"_{name}").isNull(), f"no {said} features").when(F.col(f"_{name}") != "ok", F.concat(F.lit(f"{said}: "), f"_{name}"))
     d = d.withColumn("input_status", F.coalesce(short("sat", "satellite"), short("weather", "weather"), F.lit("ok"))).drop("_sat", "_weather")
     if {"B04", "B08"} <= set(sat_values):
@@ -177,7 +178,9 @@ def region_context(areas: DataFrame, years: DataFrame, history: DataFrame, live:
     c = F.col
     observed = history.select("site", "year", "observed_yield")
     average = history.select("site", "historical_avg").distinct()
-    d = areas.select("site").join(years, "site").join(observed, ["site", "year"], "left").join(average, "site", "left").join(live, ["site", "year"], "left")
+    # Spark takes exploded years for as small as their areas, so by its own estimate it would broadcast them
+    d = areas.select("site").hint("merge").join(years.hint("merge"), "site").join(observed.hint("merge"), ["site", "year"], "left")
+    d = d.join(average.hint("merge"), "site", "left").join(live.hint("merge"), ["site", "year"], "left")
     store, model, covers = (F.coalesce(n, F.lit(False)) for n in ("has_store", "has_model", "covers_year"))
     ready = store & model & covers & c("live_error").isNull()
     status = (
@@ -189,9 +192,9 @@ def region_context(areas: DataFrame, years: DataFrame, history: DataFrame, live:
     )
     d = d.withColumns({"live_ready": ready, "status": status})
     if inputs is not None:
-        d = d.join(inputs.filter("input_status = 'ok'").select("site", "year", "ndvi_series"), ["site", "year"], "left")
+        d = d.join(inputs.filter("input_status = 'ok'").select("site", "year", "ndvi_series").hint("merge"), ["site", "year"], "left")
     if store_years is not None:
-        d = d.join(store_years.select("site", c("years").alias("feature_years")), "site", "left").withColumn("feature_years", F.coalesce("feature_years", F.array().cast("array<int>")))
+        d = d.join(store_years.select("site", c("years").alias("feature_years")).hint("merge"), "site", "left").withColumn("feature_years", F.coalesce("feature_years", F.array().cast("array<int>")))
     return d
 
 

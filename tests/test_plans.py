@@ -127,3 +127,11 @@ def test_histograms_bound_what_they_leave_out(spark):
         assert got[r]["psi"] == pytest.approx(exact[r], abs=0.05) and got[r]["psi_off"] < 0.05
         assert got[r]["ks_d"] <= far[r] + 1e-12 <= got[r]["ks_d"] + got[r]["ks_off"] + 1e-9
     assert got["few"]["psi"] is None
+
+
+def test_status_of_regions_broadcasts_no_table(spark, sf_dir):
+    """Exploded years look as small as their areas, and a million areas as small as their compressed file."""
+    from fieldcast.plans.registry import QUERIES
+
+    p = plan(QUERIES["region_context"](spark, sf_dir))
+    assert "BroadcastExchange" not in p and p.count("SortMergeJoin") == 6
