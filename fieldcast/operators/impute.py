@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,8 @@ from .ranges import HOT_ROWS, by_parts
 from .series import interpolate
 
 LEAF = 64
+FEW_BLOCKS = 10_000  # each with 15 quantiles of at most 15 columns: 18 MB
+FEW_POINTS = 100_000  # distinct rows with NULLs that are broadcast, with the block, the columns and a map
 _SLACK = 1 - 1e-9  # bounds and distances round differently
 
 
@@ -91,19 +95,22 @@ class Tile:
         return at, d
 
 
+def _block(block: str | None) -> Column:
+    return F.coalesce(F.col(block).cast("string"), F.lit("\0")) if block else F.lit("")
+
+
 def _blocks(df: DataFrame, columns: list[str], row_id: str, block: str | None) -> tuple[DataFrame, list[str]]:
     names = [f"_{i}" for i in range(len(columns))]
-    b = F.coalesce(F.col(block).cast("string"), F.lit("\0")) if block else F.lit("")
-    cols = df.select(F.col(row_id).alias("_id"), b.alias("_b"), *(F.col(c).cast("double").alias(n) for n, c in zip(names, columns)))
+    cols = df.select(F.col(row_id).alias("_id"), _block(block).alias("_b"), *(F.col(c).cast("double").alias(n) for n, c in zip(names, columns)))
     return cols.withColumn("_ask", F.greatest(F.lit(False), *(F.col(n).isNull() for n in names))), names
 
 
-def _z_order(cols: DataFrame, names: list[str], bits: int = 4) -> DataFrame:
+def _z_order(cols: DataFrame, names: list[str], side: str, bits: int = 4) -> DataFrame:
     """``_z``: interleaved bits of each column's place among 16 quantiles of its block, so that near rows get near numbers."""
     used = names[:15]
     shares = F.array(*(F.lit(i / (1 << bits)) for i in range(1, 1 << bits)))
     cuts = cols.groupBy("_b").agg(*(F.percentile_approx(n, shares, 1000).alias(f"_q{n}") for n in used))
-    d = cols.join(cuts.withColumnRenamed("_b", "_bq"), F.col("_b") == F.col("_bq"))
+    d = cols.join(cuts.withColumnRenamed("_b", "_bq").hint(side), F.col("_b") == F.col("_bq"))
 
     def below(n: str) -> Column:
         return F.size(F.filter(f"_q{n}", lambda x: x <= F.col(n)))
@@ -117,11 +124,23 @@ def _z_order(cols: DataFrame, names: list[str], bits: int = 4) -> DataFrame:
     return d.withColumn("_z", z).drop("_bq", *(f"{s}{n}" for n in used for s in ("_q", "_p")))
 
 
+def _points(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with NULLs and a number, those of equal numbers as one of them, the one of the lowest id.
+
+    A row is no donor for what it lacks, so equal rows have the same neighbours. A row without any number has none.
+    """
+    some = F.greatest(F.lit(False), *(F.col(n).isNotNull() for n in names))
+    rest = [c for c in rows.columns if c not in {"_b", "_id", *names}]
+    low = F.min(F.struct("_id", *rest)).alias("_l")
+    return rows.filter(F.col("_ask") & some).groupBy("_b", *names).agg(low).select("_b", *names, *(F.col(f"_l.{c}").alias(c) for c in ("_id", *rest)))
+
+
 def neighbours(df: DataFrame, columns: list[str], row_id: str, block: str | None = None, k: int = 5, query_rows: int = 5_000, donor_rows: int = 20_000, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """(_id, _c, _d, _o, _v) of at least the k nearest rows for each NULL cell; rows with _c = -1 count the rows compared, as _d.
 
     Rows of a block are laid in tiles of near rows. A row with NULLs is first compared within its own tile; with the k-th
-    distance found there it goes to the other tiles whose bounding boxes lie nearer, and nowhere else. None without NULLs.
+    distance found there it goes to the other tiles whose bounding boxes lie nearer, and nowhere else. Equal rows ask once, by
+    the lowest of their ids (``_points``). None without NULLs.
     """
     cols, names = _blocks(df, columns, row_id, block)
     kind = dict(cols.dtypes)["_id"]
@@ -129,10 +148,13 @@ def neighbours(df: DataFrame, columns: list[str], row_id: str, block: str | None
     largest = sizes.agg(F.max("_n")).first()[0]
     if largest is None:
         return None
+    # few blocks go to the rows: by its own estimate Spark may send the rows to the blocks, and one block's rows sort in one task
+    side = "broadcast" if sizes.limit(FEW_BLOCKS + 1).count() <= FEW_BLOCKS else "merge"
+    cols = cols.join(sizes.select("_b").hint(side), "_b", "left_semi")
     if largest <= donor_rows:  # a tile a block
-        whole = cols.join(sizes.select("_b"), "_b", "left_semi").withColumn("_tile", F.lit(0).cast("long"))
+        whole = cols.withColumn("_tile", F.lit(0).cast("long"))
     else:
-        near = _z_order(cols.join(sizes.select("_b"), "_b", "left_semi"), names)
+        near = _z_order(cols, names, side)
         whole = by_parts(near, ["_b"], ["_z", "_id"], lambda d, _: d.withColumn("_tile", F.expr(f"(_i - 1) DIV {donor_rows}")), hot_rows=hot_rows).drop("_z")
     path = scratch(df.sparkSession, "tiles")
     whole.write.parquet(path)
@@ -161,7 +183,9 @@ def neighbours(df: DataFrame, columns: list[str], row_id: str, block: str | None
         by = ["_b", "_tile", "_g"]
         return others.drop("_n").groupBy(*by).cogroup(own.drop("_n").groupBy(*by)).applyInPandas(search, schema)
 
-    asks = placed.filter("_ask").select("_b", "_tile", "_id", *names)
+    path = scratch(df.sparkSession, "asks")
+    _points(placed, names).select("_b", "_tile", "_id", *names).write.parquet(path)
+    asks = df.sparkSession.read.parquet(path)
     first = dealt(asks.withColumns({c: F.lit(float("inf")) for c in kth}))
     if largest <= donor_rows:
         return first
@@ -214,6 +238,9 @@ def knn_impute(df: DataFrame, columns: list[str], row_id: str, block: str | None
     alone; ties go to the lower row id; a cell without donors gets the column mean. Rows with NULLs are the query set. Without
     NULLs the table comes back as it is. Rows are found through ``neighbours``, so a block may be of any size.
     """
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)  # read many times, and series before it are long
+    df = df.sparkSession.read.parquet(path)
     found = neighbours(df, columns, row_id, block, k, query_rows, donor_rows, hot_rows)
     if found is None:
         return df
@@ -226,7 +253,15 @@ def knn_impute(df: DataFrame, columns: list[str], row_id: str, block: str | None
     value = F.when(F.size(zero) > 0, mean(zero, lambda x: F.lit(1.0))).otherwise(mean(F.col("_n"), lambda x: F.try_divide(F.lit(1.0), x["_d"])))
     cells = near.select("_id", "_c", value.alias("_f")).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_f"))).alias("_m"))
     means = df.agg(*(F.avg(c).alias(f"_a{i}") for i, c in enumerate(columns)))
-    d = df.join(cells.withColumnRenamed("_id", "_key"), F.col(row_id) == F.col("_key"), "left").crossJoin(F.broadcast(means))
+    rows, names = _blocks(df, columns, row_id, block)
+    filled = _points(rows, names).join(cells, "_id").select(F.col("_b").alias("_kb"), *(F.col(n).alias(f"_k{n}") for n in names), "_m")
+    path = scratch(df.sparkSession, "filled")
+    filled.write.parquet(path)
+    filled = df.sparkSession.read.parquet(path)
+    few = filled.limit(FEW_POINTS + 1).count() <= FEW_POINTS
+    d = df.withColumns({"_b": _block(block), **{n: F.col(c).cast("double") for n, c in zip(names, columns)}})
+    same = reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(f"_k{n}")) for n in names), F.col("_b") == F.col("_kb"))
+    d = d.join(F.broadcast(filled) if few else filled, same, "left").crossJoin(F.broadcast(means))
     return d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col("_m")[i], F.col(f"_a{i}")) for i, c in enumerate(columns)}).select(*df.columns)
 
 

@@ -135,3 +135,15 @@ def test_status_of_regions_broadcasts_no_table(spark, sf_dir):
 
     p = plan(QUERIES["region_context"](spark, sf_dir))
     assert "BroadcastExchange" not in p and p.count("SortMergeJoin") == 6
+
+
+def test_equal_rows_ask_once_for_their_neighbours(spark):
+    """2000 rows of 4 kinds lack a value; 4 rows are compared with others, not 2000, and all 2000 get the values of all pairs."""
+    from fieldcast.operators import impute
+
+    d = spark.range(4000).select("id", (F.col("id") % 4).cast("double").alias("h"), F.when(F.col("id") >= 2000, F.col("id") * 0.5).alias("v"))
+    for rows in (10_000, 500):  # one tile, many tiles
+        found = impute.neighbours(d, ["v", "h"], "id", donor_rows=rows).filter("_c = -1").collect()
+        assert {r["_id"] for r in found} == {0, 1, 2, 3}
+        got = impute.knn_impute(d, ["v", "h"], "id", donor_rows=rows).filter("id < 2000").collect()
+        assert len(got) == 2000 and all(r["v"] == 1000 + (r["id"] % 4) * 0.5 + 4 for r in got)  # the mean of the first five: 0, 2, ... 8 beyond the first
