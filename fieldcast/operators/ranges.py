@@ -22,12 +22,17 @@ FEW_KEYS = 100_000
 Part = Callable[[DataFrame, list[str]], DataFrame]
 
 
+def expected_few(df: DataFrame, rows: int) -> bool:
+    """Whether Spark expects the table to be smaller than so many rows."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < rows * ROW_BYTES
+
+
 def split_hot(df: DataFrame, key: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """(rows of other keys, rows of the keys with more than so many rows, or None without such keys).
 
     A table that Spark expects to be smaller than so many rows isn't counted for it: both ways give the same results.
     """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < hot_rows * ROW_BYTES:
+    if expected_few(df, hot_rows):
         return df, None
     hot = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*(F.col(k).alias(f"_hot_{k}") for k in key))
     few = hot.limit(FEW_KEYS + 1).count()
@@ -75,22 +80,19 @@ def _neighbours(rows: DataFrame, parts: DataFrame, key: list[str], columns: list
     return found.select(*key, "_part", F.col("_e._i").alias("_i"), *values)
 
 
-def by_parts(df: DataFrame, key: list[str], order: list[str] | str, run: Part, sums: list[str] = (), ends: list[str] = (), valid: int = 1, before: int = 0, after: int = 0, hot_rows: int = HOT_ROWS, prepare: Part | None = None) -> DataFrame:
+def by_parts(df: DataFrame, key: list[str], order: list[str] | str, run: Part, sums: list[str] = (), ends: list[str] = (), valid: int = 1, before: int = 0, after: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``run(rows, key)`` over all rows, with ``_i`` as their order in the key; ``run`` adds columns by windows parted by its key.
 
     What the windows need from outside a range: running sums of ``sums``, the ``valid`` nearest values of ``ends`` on both
-    sides, ``before`` rows before and ``after`` rows after it. ``prepare`` comes first and sees only rows of its range, in which
-    rows that agree in the first column of the order stand together.
+    sides, ``before`` rows before and ``after`` rows after it.
     """
     order = [order] if isinstance(order, str) else list(order)
     cold, hot = split_hot(df, key, hot_rows)
     numbered = cold.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long"))
-    prepare = prepare or (lambda d, _: d)
-    out = run(prepare(numbered, key), key).drop("_i")
+    out = run(numbered, key).drop("_i")
     if hot is None:
         return out
     rows, parts = _sorted_ranges(hot, key, order)
-    rows = prepare(rows, [*key, "_part"])
     extra = []
     if sums:
         totals = rows.groupBy(*key, "_part").agg(*(F.sum(c).alias(f"_s_{c}") for c in sums))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import laws
-from .ranges import HOT_ROWS, by_parts
+from ..sources.io import scratch
+from .ranges import HOT_ROWS, by_parts, expected_few
 
 
 def _order(key: list[str], time: list[str] | str) -> WindowSpec:
@@ -173,19 +174,14 @@ def _inner_slope(h0: Column, s0: Column, h1: Column, s1: Column) -> Column:
 def fill_gaps(df: DataFrame, key: list[str], time: str, columns: list[str], limit: int = 5, hot_rows: int = HOT_ROWS, ties: list[str] = []) -> DataFrame:  # noqa: B006
     """Monotone cubic (PCHIP) over real time, at most ``limit`` rows into each inner gap; what is left becomes 0.
 
-    All by window expressions: a row sees the two valid values on each side, which fix the cubic between the inner two. Of
-    rows with equal times, ordered by ``ties``, the first valid value counts.
+    All by window expressions: a time sees the two valid values on each side, which fix the cubic between the inner two. Of
+    rows with equal times, ordered by ``ties``, the first valid value counts. Windows along a key read one row for each of its
+    times, so repeated times make no task larger; rows take their time's value, and the last position that it may fill.
     """
 
-    def first(d: DataFrame, by: list[str]) -> DataFrame:
-        new = ~F.col(time).eqNullSafe(F.lag(time).over(Window.partitionBy(*by).orderBy("_i"))) | (F.row_number().over(Window.partitionBy(*by).orderBy("_i")) == 1)
-        here = Window.partitionBy(*by, time).orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        d = d.withColumns({"_new": new, **{f"_k_{c}": F.first(c, ignorenulls=True).over(here) for c in columns}})
-        return d.withColumns({f"_k_{c}": F.when(F.col("_new"), F.col(f"_k_{c}")) for c in columns}).drop("_new")
-
     def run(d: DataFrame, by: list[str]) -> DataFrame:
         x = _seconds(d, time)
-        point = {c: F.when(F.col(f"_k_{c}").isNotNull(), F.struct("_i", x.alias("x"), F.col(f"_k_{c}").alias("y"))) for c in columns}
+        point = {c: F.when(F.col(f"_k_{c}").isNotNull(), F.struct("_pos", x.alias("x"), F.col(f"_k_{c}").alias("y"))) for c in columns}
         for side, w in (("p", _past), ("n", _future)):
             beyond = w(by, last=-1)
             d = d.withColumns({f"_{side}q_{c}": F.when(v.isNotNull(), F.struct(F.last(v, True).over(beyond).alias("q"))) for c, v in point.items()})
@@ -210,14 +206,31 @@ def fill_gaps(df: DataFrame, key: list[str], time: str, columns: list[str], limi
         for c in columns:
             p, n, u, h = col("p", c), col("n", c), col("u", c), col("h", c)
             cubic = (1 + 2 * u) * (1 - u) * (1 - u) * p["y"] + u * (1 - u) * (1 - u) * h * col("a", c) + u * u * (3 - 2 * u) * n["y"] + u * u * (u - 1) * h * col("b", c)
-            inside = p.isNotNull() & n.isNotNull() & (F.col("_i") - p["_i"] <= limit)
-            same = p.isNotNull() & (p["x"] == x)  # a later row of a time that has a value
-            d = d.withColumn(f"_v_{c}", F.when(F.col(c).isNotNull(), F.col(c)).when(same, p["y"]).when(inside, cubic).otherwise(0.0))
+            same = p["x"] == x  # this time has a value, for its later rows too
+            value = F.when(same, p["y"]).when(p.isNotNull() & n.isNotNull(), cubic)
+            upto = F.when(same, F.lit((1 << 63) - 1)).otherwise(p["_pos"] + limit)
+            d = d.withColumn(f"_v_{c}", F.struct(value.alias("v"), upto.alias("upto")))
         return d.drop(*(f"_{s}_{c}" for c in columns for s in ("p", "n", "pq", "nq", "pr", "nr", "h", "hl", "hr", "s", "sl", "sr", "u", "a", "b")))
 
     d = df.withColumns({c: nan_to_null_column(c) for c in columns})
-    d = by_parts(d, key, [time, *ties], run, ends=[f"_k_{c}" for c in columns], valid=2, hot_rows=hot_rows, prepare=first)
-    return d.withColumns({c: F.coalesce(f"_v_{c}", F.lit(0.0)) for c in columns}).drop(*(f"_{s}_{c}" for c in columns for s in "vk"))
+    at, order = Window.partitionBy(*key, time), ties or [time]
+    every = at.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    times = d.withColumns({"_n": F.count(F.lit(1)).over(every), **{f"_k_{c}": F.first(c, ignorenulls=True).over(every) for c in columns}})
+    times = times.withColumn("_r", F.row_number().over(at.orderBy(*order))).filter("_r = 1").select(*key, time, "_n", *(f"_k_{c}" for c in columns))
+    if not expected_few(df, hot_rows):  # several passes read the times
+        path = scratch(df.sparkSession, "times")
+        times.write.parquet(path)
+        times = df.sparkSession.read.parquet(path)
+    times = running_total(times, key, time, {"_pos": "_n"}, hot_rows).withColumn("_pos", F.col("_pos") - F.col("_n") + 1)
+    times = by_parts(times, key, [time, "_pos"], run, ends=[f"_k_{c}" for c in columns], valid=2, hot_rows=hot_rows)
+    times = times.select(*key, time, F.struct("_pos", *(f"_v_{c}" for c in columns)).alias("_time"))
+    # each time's row comes before the rows of its time and is handed down to them
+    both = d.withColumn("_own", F.lit(True)).unionByName(times.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    down = at.orderBy("_own", *order)
+    both = both.withColumns({"_time": F.first("_time").over(down.rowsBetween(Window.unboundedPreceding, 0)), "_r": F.row_number().over(down)}).filter("_own")
+    i = F.col("_time._pos") + F.col("_r") - 2
+    fill = {c: F.coalesce(c, F.when(i <= F.col(f"_time._v_{c}.upto"), F.col(f"_time._v_{c}.v")), F.lit(0.0)) for c in columns}
+    return both.withColumns(fill).drop("_own", "_time", "_r")
 
 
 def nan_to_null_column(name: str) -> Column:

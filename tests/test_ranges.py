@@ -84,3 +84,15 @@ def test_gap_filling_against_the_array_version(spark):
         assert [got[k, r["n"]] for r in rows] == pytest.approx(want.tolist(), abs=1e-9)
     tied = spark.createDataFrame([("a", 0, 1.0), ("a", 0, None), ("a", 1, None), ("a", 2, 3.0)], "k string, t int, v double")
     assert sorted(r["v"] for r in series.fill_gaps(tied, ["k"], "t", ["v"]).collect() if r["t"] != 0) == [2.0, 3.0]
+
+
+def test_repeated_times_make_no_series_longer(spark, monkeypatch):
+    """900 rows at 30 times: the windows along the key read 30 rows, and results are those of all rows."""
+    d = spark.range(900).select(F.lit("k").alias("k"), (F.col("id") % 30).alias("t"), F.when((F.col("id") % 30) % 7 < 2, F.col("id").cast("double")).alias("v"), "id")
+    read, plain = [], ranges.by_parts
+    monkeypatch.setattr(series, "by_parts", lambda x, *a, **b: read.append(x.count()) or plain(x, *a, **b))
+    got = sorted((r["id"], r["v"]) for r in series.fill_gaps(d, ["k"], "t", ["v"], 35, ties=["v"]).collect())
+    assert read and max(read) == 30
+    at = {t: [v for i, v in got if i % 30 == t] for t in (1, 2, 3)}
+    assert at[1] == [float(i) for i in range(1, 900, 30)] and set(at[3]) == {0.0}
+    assert sorted(at[2]) == [0.0] * 24 + [pytest.approx(2.0)] * 6  # the first row of time 1 is the 31st, so the 66th is the last within 35
