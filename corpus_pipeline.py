@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm.common import new_folder, table, written
+from fieldcast.llm.common import new_folder, saved, shuffles_freed, table, written
 from fieldcast.llm.decontamination import contamination
 from fieldcast.llm.ngram_join import jaccard_components
 from fieldcast.llm.queries import packed, toxicity_scores
@@ -43,9 +43,9 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         rows = rows.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text")  # repeated rows are one document
         rows = written(rows.withColumn("_key", F.monotonically_increasing_id()), "rows")
     named = rows.select(F.col("_key").alias("doc_id"), "text")
-    later = jaccard_components(named, links=False).filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_key")).distinct()
+    later = saved(jaccard_components(named, links=False).filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_key")).distinct())
     few = later.limit(FEW_IDS + 1).count() <= FEW_IDS
-    return rows.join(F.broadcast(later) if few else later, "_key", "left_anti").select("row.*")
+    return rows.join(later.hint("broadcast" if few else "shuffle_hash"), "_key", "left_anti").select("row.*")  # rows are never sorted: that spills them all
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,6 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = new_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with shuffles_freed(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

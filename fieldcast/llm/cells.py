@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, saved
+from .common import lean, saved, written
 from .components import components
 from .shingles import Names
 
@@ -123,16 +125,43 @@ def class_table(known: DataFrame) -> DataFrame:
     return known.filter("name IS NOT NULL").groupBy("name").agg(F.min("_id").alias("_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
 
 
+MOST_BITS = 1 << 27  # of 16 MB; beyond 8 million members more other rows pass
+
+
+def of_members(own: DataFrame, members: DataFrame, number: int) -> DataFrame:
+    """The rows of ``own`` whose _id may be a member's: all members' rows, and about one of 16 others.
+
+    A bitmap over hashed ids (16 bits a member) travels, so that texts of other rows needn't be dealt out for a join.
+    """
+    bits = min(MOST_BITS, max(1 << 10, 1 << (16 * number - 1).bit_length()))
+    at = members.select(F.xxhash64("_id").bitwiseAND(bits - 1).alias("at"))
+    words = at.groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 32 as int))")).alias("bits")).toPandas()
+    marks = np.zeros(bits >> 5, np.uint32)
+    marks[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int32).view(np.uint32)
+    shared = own.sparkSession.sparkContext.broadcast(marks)
+
+    def marked(h: pd.Series) -> pd.Series:
+        at = h.to_numpy(np.int64) & np.int64(bits - 1)
+        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1)
+
+    return own.filter(F.pandas_udf(marked, "boolean")(F.xxhash64("_id")))
+
+
 def verified(own: DataFrame, cells: DataFrame, classes: DataFrame, names: Names, kind: type[Cell], width: int, cell_shingles: int, few_members: int, links: bool) -> DataFrame:
     """(a, b, n) of ``Cell.own_links`` for cells (node, root) of classes; ``own`` has (_id, _text) of all documents.
 
-    Each member's set travels once, to its cell; a cell over ``cell_shingles`` is cut into blocks that read all its members.
+    Each member's set travels once, to its cell; a cell over ``cell_shingles`` is cut into blocks that read all its members. What
+    such cells deal out grows with their square, so blocks take turns: one turn deals about a quarter of the corpus's shingles.
     """
     members = saved(cells.join(classes, F.col("node") == F.col("name")).select("name", "_id", "n", "copies", F.col("root").alias("cell")))
-    few = members.limit(few_members + 1).count() <= few_members
-    sizes = members.groupBy("cell").agg(F.ceil(F.sum("n") / cell_shingles).cast("int").alias("blocks"))
-    members = members.join(sizes, "cell").drop("n")
-    held = own.select("_id", "_text").join(F.broadcast(members) if few else members, "_id")
+    number = members.count()
+    few = number <= few_members
+    sizes = members.groupBy("cell").agg(F.sum("n").alias("_all"), F.ceil(F.sum("n") / cell_shingles).cast("int").alias("blocks"))
+    large = sizes.filter("blocks > 1").agg(F.sum(F.col("_all") * F.col("blocks")), F.max("blocks")).first()
+    turns = min(large[1], -(-4 * large[0] // classes.agg(F.sum("n")).first()[0])) if large[1] else 1
+    members = members.join(sizes.drop("_all"), "cell").drop("n")
+    texts = own.select("_id", "_text")
+    held = texts.join(F.broadcast(members), "_id") if few else of_members(texts, members, number).join(members.hint("shuffle_hash"), "_id")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,10 +171,16 @@ def verified(own: DataFrame, cells: DataFrame, classes: DataFrame, names: Names,
             yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("cell", "blocks", "name", "copies")] + [pa.array([sets[i][0].tobytes() for i in same], pa.binary())], names=["cell", "blocks", "name", "copies", "shingles"])
 
     points = lean(held, gather, "cell long, blocks int, name long, copies long, shingles binary")
+    if turns > 1:
+        points = written(points, "cells")
     block = F.pmod("name", F.col("blocks")).cast("int")
-    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.when(k == block, 0).otherwise(1).alias("role")))
-    dealt = points.withColumn("_p", F.explode(everywhere)).select("cell", "_p.block", "_p.role", "name", "copies", "shingles")
-    return saved(lean(dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "role", "name"), _link_cells(kind, links), "a long, b long, n long"))
+    found = []
+    for turn in range(turns):
+        own_turn = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k + F.pmod("cell", F.lit(turns))) % turns == turn)
+        everywhere = F.transform(own_turn, lambda k: F.struct(k.alias("block"), F.when(k == block, 0).otherwise(1).alias("role")))
+        dealt = points.withColumn("_p", F.explode(everywhere)).select("cell", "_p.block", "_p.role", "name", "copies", "shingles")
+        found.append(saved(lean(dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "role", "name"), _link_cells(kind, links), "a long, b long, n long")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def component_rows(known: DataFrame, classes: DataFrame, found: DataFrame, restore: Callable[[Column], Column], links: bool) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import Cell, class_table, component_rows, verified
-from .common import lean, saved
+from .common import lean, saved, written
 from .components import components
 from .shingles import Names, id_key, sets_of, told_apart
 
@@ -136,7 +136,7 @@ def heavy_shingles(texts: DataFrame, buckets: int, width: int, least: int = 8, m
             yield total()
 
     packed = lean(texts, count, "bucket int, keys binary, counts binary")
-    heavy = saved(lean(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), add, "code int, level byte"))
+    heavy = written(lean(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), add, "code int, level byte"), "heavy")
     have, floor = 0, 63
     number = {r["level"]: r["count"] for r in heavy.groupBy("level").count().collect()}
     while floor > 0 and have + number.get(floor, 0) <= most:
